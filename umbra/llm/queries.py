@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import line_dedup
+from umbra.llm import decontamination, line_dedup, mixing, quality_rules
 from umbra.llm.common import table
 
 SP = r"[\x20\x09-\x0D]"
@@ -39,12 +39,91 @@ op1_out AS (
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept_text
   FROM op1_marked GROUP BY doc_id)"""
 
-OP1_SQL = f"WITH {OP1_CTES.format(docs='documents')} SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM op1_out"
+OP1_SQL = f"WITH {OP1_CTES.replace('{docs}', 'documents')} SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM op1_out"
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.score_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
+
+
+def _line_ok(x: str) -> str:
+    word = rf"[^\x20\x09-\x0D]+"
+    noise, nav, end, plate = (v.replace("'", "''") for v in (quality_rules.NOISE, quality_rules.NAVIGATION, quality_rules.SENTENCE_END, quality_rules.BOILERPLATE))
+    return (
+        f"NOT (regexp_matches({x}, '{word}') AND (len(regexp_extract_all({x}, '{noise}')) * 10 > length({x}) OR regexp_matches({x}, '{nav}')"
+        f" OR NOT regexp_matches({x}, '{end}') AND NOT regexp_matches({x}, '{word}{SP}+{word}{SP}+{word}') OR regexp_matches({x}, '{plate}')))"
+    )
+
+
+OP3_CTES = rf"""
+op3_words AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {{docs}}),
+op3_windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM op3_words)),
+op3_repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM op3_windows) WHERE c > 1)
+  GROUP BY doc_id),
+op3_lines AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM op3_words))),
+op3_judged AS (SELECT *, {_line_ok("line")} AS ok, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line FROM op3_lines),
+op3_by_doc AS (
+  SELECT doc_id, count(*) FILTER (full_line) - count(DISTINCT line) FILTER (full_line) AS n_dup_lines, count(*) FILTER (NOT ok) AS n_lines_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (ok), '') AS clean_text
+  FROM op3_judged GROUP BY doc_id),
+op3_counts AS (
+  SELECT w.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_lines_removed, clean_text
+  FROM op3_words w JOIN op3_by_doc USING (doc_id) LEFT JOIN op3_repeats USING (doc_id)),
+op3_out AS (
+  SELECT *, NOT base_failed AND 100 * length(regexp_replace(clean_text, '{SP}+', '', 'g')) >= {quality_rules.MIN_KEPT_PERCENT} * word_chars AS kept
+  FROM (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM op3_counts))"""
+
+OP3_SQL = f"WITH {OP3_CTES.replace('{docs}', 'documents')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_removed FROM op3_out"
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _shingles_sql(name: str, source: str, key: str, lower: str) -> str:
+    return rf"""
+{name}_w AS (SELECT {key}, w FROM (SELECT {key}, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM {source}) WHERE len(w) > 0),
+{name} AS (
+  SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w))"""
+
+
+OP4_CTES = f"""{_shingles_sql("op4_docs", "{docs}", "doc_id", "lower(text)")},{_shingles_sql("op4_items", "benchmark", "item_id", "lower(text)")},
+op4_sizes AS (SELECT item_id, count(*) AS n_item FROM op4_items GROUP BY item_id),
+op4_out AS (
+  SELECT doc_id, item_id, n_shared, n_item FROM (SELECT doc_id, item_id, count(*) AS n_shared FROM op4_docs JOIN op4_items USING (s) GROUP BY doc_id, item_id)
+  JOIN op4_sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item)"""
+
+OP4_SQL = f"WITH {OP4_CTES.replace('{docs}', 'documents')} SELECT * FROM op4_out"
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+OP6_CTES = """
+op6_weighed AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS weight FROM {docs} GROUP BY source),
+op6_rates AS (SELECT source, weight / (SELECT sum(weight) FROM op6_weighed) * (SELECT sum(n) FROM op6_weighed) / n AS rate FROM op6_weighed),
+op6_steps AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 25) AS BIGINT) + 1)) AS k FROM op6_rates),
+op6_logs AS (SELECT *, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS lf FROM op6_steps),
+op6_cdf AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM op6_logs),
+op6_drawn AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM {docs}),
+op6_copies AS (
+  SELECT d.*, unnest(range(0, (SELECT count(*) FROM op6_cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u))) AS copy FROM op6_drawn d),
+op6_out AS (SELECT *, ('0x' || substr(md5('17/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS order_key FROM op6_copies)"""
+
+OP6_SQL = f"WITH {OP6_CTES.replace('{docs}', 'documents')} SELECT doc_id, source, text, copy, order_key FROM op6_out"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup}
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL}
