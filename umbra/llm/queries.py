@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, line_dedup, mixing, quality_rules
+from umbra.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules
 from umbra.llm.common import table
 
 SP = r"[\x20\x09-\x0D]"
@@ -120,10 +120,29 @@ op6_out AS (SELECT *, ('0x' || substr(md5('17/order:' || coalesce(doc_id::VARCHA
 OP6_SQL = f"WITH {OP6_CTES.replace('{docs}', 'documents')} SELECT doc_id, source, text, copy, order_key FROM op6_out"
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9_CTES = f"""{_shingles_sql("op9_s", "{docs}", "doc_id", ASCII_LOWER)},
+op9_n AS (SELECT doc_id, count(*) AS n FROM op9_s GROUP BY doc_id),
+op9_links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM op9_s x JOIN op9_s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN op9_n p ON p.doc_id = a JOIN op9_n q ON q.doc_id = b WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
+op9_reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM {{docs}}
+  UNION SELECT r.a, l.b FROM op9_reach r JOIN op9_links l ON l.a = r.b),
+op9_out AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM {{docs}} d JOIN (SELECT a, min(b) AS c FROM op9_reach GROUP BY a) ON a = d.doc_id LEFT JOIN op9_n n ON n.doc_id = d.doc_id)"""
+
+OP9_SQL = f"WITH RECURSIVE {OP9_CTES.replace('{docs}', 'documents')} SELECT doc_id, n_shingles, component_id FROM op9_out"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op9_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
