@@ -25,8 +25,9 @@ from umbra.llm.common import cut, shuffle_partitions
 from umbra.llm.components import components
 from umbra.llm.kernels import mix64, shingle_sets
 
-#: Groups of up to so many sets give all their pairs; larger ones the pairs with their smallest member.
-SMALL = 6
+#: Groups of up to so many sets give all their pairs; larger ones the pairs with their smallest member. The
+#: second number is for groups that are refined, of which only pairs of different classes are left.
+SMALL = (6, 64)
 #: Levels of refinement before a group that is still large and mixed gives all its pairs.
 LEVELS = 5
 #: Partitions of an instance for each feature of its largest set.
@@ -102,11 +103,9 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, comp: np.ndarray, size: np.ndarray,
     i = np.flatnonzero(large & (rank > 0))
     left.append(i)
     right.append(first[i])
-    d = 1
-    while (i := np.flatnonzero(~large & (rank >= d))).size:
-        left.append(i)
-        right.append(i - d)
-        d += 1
+    i = np.flatnonzero(~large & (rank > 0))
+    left.append(np.repeat(i, rank[i]))
+    right.append(np.repeat(first[i], rank[i]) + np.arange(rank[i].sum()) - np.repeat(np.cumsum(rank[i]) - rank[i], rank[i]))
     a, b = order[np.concatenate(left)], order[np.concatenate(right)]
     ok = (comp[a] != comp[b]) & (doc[a] != doc[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
     refine = np.zeros(len(sig), bool)
@@ -126,7 +125,7 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
     rows: doc_id, comp (its class so far), prefix (signature of the group to refine; 0 for none), text. A task
     first meets its own rows: of a signature that many of them share it passes on the smallest alone.
     """
-    small = SMALL if level < LEVELS else 1 << 62
+    small = 1 << 62 if level == LEVELS else SMALL[level > 0]
     packed = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sigs", "docs", "comps", "sizes", "joined")), ("kind", pa.string())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +144,14 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
             s = sig[order]
             start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
             many = np.zeros(len(s), bool)
-            many[order] = np.repeat(np.diff(np.concatenate([start, [len(s)]])) > SMALL, np.diff(np.concatenate([start, [len(s)]])))
+            many[order] = np.repeat(np.diff(np.concatenate([start, [len(s)]])) > small, np.diff(np.concatenate([start, [len(s)]])))
             send, joined = ~many, np.zeros(len(s), bool)
             if level < LEVELS and many.any():
                 at = np.flatnonzero(many)
                 at = at[np.lexsort((doc[at], sig[at]))]
                 lead = np.concatenate([[True], sig[at][1:] != sig[at][:-1]])
                 send[at[lead]] = joined[at[lead]] = True
-                a, b, _ = _pairs(sig[at], doc[at], comp[at], size[at], SMALL, joined[at])
+                a, b, _ = _pairs(sig[at], doc[at], comp[at], size[at], small, joined[at])
                 local = np.unique(np.stack([doc[at][a], doc[at][b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 home = int(sig[at][0] % np.uint64(buckets))
                 for kind, x, y in (("pair", local[:, 0], local[:, 1]), ("group", sig[at], doc[at])):
@@ -222,8 +221,9 @@ def classes(docs: DataFrame) -> DataFrame:
         found = cut(candidates(rows, level, buckets))
         pairs = found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         new = cut(verified(pairs, texts))
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+        if comps is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            comps = components(links)
         members = found.where("kind = 'group'").select(F.col("a").alias("prefix"), F.col("b").alias("doc_id")).distinct()
         known = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("prefix", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         mixed = known.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("prefix")
