@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, jaccard_join, line_dedup, mixing, quality_rules
+from umbra.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules
 from umbra.llm.common import table
 
 SP = r"[\x20\x09-\x0D]"
@@ -139,8 +139,16 @@ op9_out AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FRO
 OP9_SQL = f"WITH RECURSIVE {OP9_CTES.replace('{docs}', 'documents')} SELECT doc_id, n_shingles, component_id FROM op9_out"
 
 
+def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.fit_and_predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.fit_and_predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op9_ngram_jaccard_join)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op9_ngram_jaccard_join)
     return {f.__name__: f for f in found}
 
 
