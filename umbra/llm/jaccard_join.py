@@ -8,26 +8,31 @@ non-empty partitions of the one whose k + 1st comes first at least one has the s
 the pair shares the signature (instance, partition, features in it). A set with too few non-empty partitions
 has all of them and one signature more that all such sets share. So no link is missed.
 
-Signatures that many sets share are refined, not dropped: the members of such a group that are not yet in
-one class are signed again under another partitioning, together with the group's signature. That
-enumerates subsets of two, three, ... partitions, until groups are small or of one class.
+A group of a signature gives the pairs with its smallest member first. Where verified links don't make it one
+class, the pairs of different classes follow; if it is large, its members are signed again before that under
+another partitioning, together with the group's signature, which enumerates subsets of two, three, ...
+partitions. Candidate pairs are held against counts of features by 1024 cells of the domain, which bound the
+difference of the sets from below, and what is left is verified on the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from umbra.llm.common import cut, shuffle_partitions
 from umbra.llm.components import components
 from umbra.llm.kernels import mix64, shingle_sets
 
-#: Groups of up to so many sets give all their pairs; larger ones the pairs with their smallest member. The
-#: second number is for groups that are refined, of which only pairs of different classes are left.
-SMALL = (6, 64)
+#: Groups of up to so many sets give all their pairs at once; larger ones the pairs with their smallest member.
+SMALL = 6
+#: Mixed groups of up to so many sets give all pairs of different classes; larger ones are refined first.
+LARGE = 512
+CELLS = 1024
 #: Levels of refinement before a group that is still large and mixed gives all its pairs.
 LEVELS = 5
 #: Partitions of an instance for each feature of its largest set.
@@ -48,11 +53,13 @@ BANDS = bands()
 LOWS = np.array([low for low, _ in BANDS])
 
 
-def signatures(features: np.ndarray, level: int = 0, prefix: int = 0) -> np.ndarray:
-    """The signatures of a set of distinct sorted 64-bit features."""
+def signatures(features: np.ndarray, level: int = 0, prefixes: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set of distinct sorted 64-bit features, for each of the groups in prefixes."""
     size = len(features)
     if not size:
         return np.zeros(0, np.uint64)
+    if prefixes is None:
+        prefixes = np.zeros(1, np.uint64)
     if level:
         features = np.sort(mix64(features ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     codes = mix64(features + np.uint64(1))
@@ -66,12 +73,13 @@ def signatures(features: np.ndarray, level: int = 0, prefix: int = 0) -> np.ndar
         parts = max(8, int(np.ceil(DENSITY * high)))
         part = (top * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        seed = np.uint64(mix64(np.array([prefix ^ (instance + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1], np.uint64))[0])
+        seeds = mix64(prefixes ^ np.uint64((instance + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         if len(starts) < need:
-            out.append(np.array([seed], np.uint64))
+            out.append(seeds)
         end = starts[need] if len(starts) > need else size
         starts = starts[:need]
-        out.append(mix64(np.add.reduceat(codes[:end], starts) + (part[starts] + np.uint64(1)) * seed))
+        sums = np.add.reduceat(codes[:end], starts)
+        out.append(mix64(sums + (part[starts] + np.uint64(1)) * seeds[:, None]).ravel())
     return np.concatenate(out)
 
 
@@ -115,28 +123,95 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, comp: np.ndarray, size: np.ndarray,
     return a[ok], b[ok], refine
 
 
+def cells_of(features: np.ndarray) -> bytes:
+    """Packed counts, up to 255, of the features by cells of the domain."""
+    counts = np.bincount((features & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose cells don't already differ by more than linked sets can; sets: doc_id, n, cells."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = lambda data: np.frombuffer(zlib.decompress(data), np.uint8).astype(np.int16)
+        for batch in batches:
+            b_of: dict[int, np.ndarray] = {}
+            ok = []
+            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b not in b_of:
+                    b_of = {b: counts(y)}  # rows come sorted by b
+                ok.append(5 * min(n, m) >= 4 * max(n, m) and 9 * int(np.abs(counts(x) - b_of[b]).sum()) <= n + m)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    one = sets.join(pairs, F.col("doc_id") == F.col("a")).select("a", "b", F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
+    two = sets.join(one, F.col("doc_id") == F.col("b")).select("a", "b", "n_a", F.col("n").alias("n_b"), "cells_a", F.col("cells").alias("cells_b"))
+    return two.mapInArrow(check, "a long, b long")
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members (prefix, doc_id, comp) of one group that are of different classes.
+
+    Groups hold LARGE members at most. Groups with the same smallest member mostly are the same documents and
+    meet in one task; there are no more of them than that document has signatures.
+    """
+    sizes = pa.schema([("least", pa.int64()), ("docs", pa.binary()), ("comps", pa.binary())])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        doc, comp = rows["doc_id"].to_numpy(), rows["comp"].to_numpy()
+        order = np.argsort(doc)
+        return pa.table({"least": [int(doc[order[0]])], "docs": [doc[order].tobytes()], "comps": [comp[order].tobytes()]}, schema=sizes)
+
+    def pair(rows: pa.Table) -> pa.Table:
+        found, held = [np.zeros((0, 2), np.int64)], 0
+        for docs, comps in set(zip(rows["docs"].to_pylist(), rows["comps"].to_pylist(), strict=True)):
+            doc, comp = np.frombuffer(docs, np.int64), np.frombuffer(comps, np.int64)
+            i, j = np.nonzero(np.tri(len(doc), k=-1, dtype=bool) & (comp[:, None] != comp[None, :]))
+            found.append(np.stack([doc[i], doc[j]], 1))
+            held += len(i)
+            if held > 1_000_000:
+                found, held = [np.unique(np.concatenate(found), axis=0)], 0
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    packs = members.groupBy("prefix").applyInArrow(pack, "least long, docs binary, comps binary")
+    return packs.groupBy("least").applyInArrow(pair, "a long, b long").distinct()
+
+
 GROUPED = "bucket int, sigs binary, docs binary, comps binary, sizes binary, joined binary, kind string"
-FOUND = "kind string, a long, b long"
+FOUND = "kind string, a long, b long, cells binary"
 
 
 def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
-    """(kind, a, b): kind 'pair' for candidate pairs of documents, 'group' for (signature, document) of large groups.
+    """(kind, a, b, cells): kind 'pair' for candidate pairs of documents, 'group' for (signature, document) of
+    groups that gave part of their pairs and, at level 0, 'set' for (document, size of its set, packed cells).
 
-    rows: doc_id, comp (its class so far), prefix (signature of the group to refine; 0 for none), text. A task
+    rows: doc_id, comp (its class so far), prefixes (signatures of the groups to refine; 0 for none), text. A task
     first meets its own rows: of a signature that many of them share it passes on the smallest alone.
     """
-    small = 1 << 62 if level == LEVELS else SMALL[level > 0]
+    small = 1 << 62 if level == LEVELS else SMALL
     packed = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sigs", "docs", "comps", "sizes", "joined")), ("kind", pa.string())])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Runs of rows of a million signatures or so: ids, classes, sizes of sets, signatures, packed cells."""
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            ids, comps, prefixes = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            sigs, sizes = [], np.zeros(len(ids), np.int64)
-            for i, features in enumerate(shingle_sets(batch.column(3))):
-                sizes[i] = len(features)
-                sigs.append(signatures(features, level, int(prefixes[i]) & (1 << 64) - 1))
-            if not sigs:
-                continue
+            prefixes = batch.column(2)
+            for doc, comp, prefix, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), prefixes, shingle_sets(batch.column(3)), strict=True):
+                sigs = signatures(features, level, prefix.values.to_numpy().astype(np.uint64))
+                held.append((doc, comp, len(features), sigs, b"" if level else cells_of(features)))
+                n += len(sigs)
+                if n > 1_000_000:
+                    yield (*(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3]), [x[3] for x in held], [x[4] for x in held])
+                    held, n = [], 0
+        if held:
+            yield (*(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3]), [x[3] for x in held], [x[4] for x in held])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, comps, sizes, sigs, cells in signed(batches):
+            if not level:
+                home = pa.array(ids % buckets, pa.int32())
+                yield pa.RecordBatch.from_arrays([home, *(pa.array([int(v).to_bytes(8, "little", signed=True) for v in x], pa.binary()) for x in (ids, sizes)), pa.array(cells, pa.binary()), *(pa.array([b""] * len(ids), pa.binary()) for _ in range(2)), pa.array(["set"] * len(ids))], schema=packed)
             row = np.repeat(np.arange(len(ids)), [len(x) for x in sigs])
             sig = np.concatenate(sigs) & np.uint64((1 << 48) - 1)
             doc, comp, size = ids[row], comps[row], sizes[row]
@@ -170,7 +245,7 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
 
     def meet(rows: pa.Table) -> pa.Table:
         t = rows.combine_chunks().to_pydict()
-        at = {kind: [i for i, k in enumerate(t["kind"]) if k == kind] for kind in ("rows", "pair", "group")}
+        at = {kind: [i for i, k in enumerate(t["kind"]) if k == kind] for kind in ("rows", "pair", "group", "set")}
 
         def whole(kind: str, name: str, width: int) -> np.ndarray:
             return np.concatenate([np.zeros(0, np.uint64), *(_numbers(t[name][i], width) for i in at[kind])])
@@ -179,14 +254,16 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
         comp = whole("rows", "comps", 8).astype(np.int64) + doc
         a, b, refine = _pairs(sig, doc, comp, size, small, joined)
         pairs = np.unique(np.stack([doc[a], doc[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        columns = {
-            "a": np.concatenate([pairs[:, 0], whole("pair", "sigs", 8).astype(np.int64), sig[refine].astype(np.int64), whole("group", "sigs", 8).astype(np.int64)]),
-            "b": np.concatenate([pairs[:, 1], whole("pair", "docs", 8).astype(np.int64), doc[refine], whole("group", "docs", 8).astype(np.int64)]),
-        }
-        n_pairs = len(pairs) + sum(len(t["sigs"][i]) // 8 for i in at["pair"])
-        return pa.table({"kind": ["pair"] * n_pairs + ["group"] * (len(columns["a"]) - n_pairs), **columns}, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
+        a = [pairs[:, 0], whole("pair", "sigs", 8), sig[refine], whole("group", "sigs", 8), whole("set", "sigs", 8)]
+        b = [pairs[:, 1], whole("pair", "docs", 8), doc[refine], whole("group", "docs", 8), whole("set", "docs", 8)]
+        n_sets = len(at["set"])
+        n_pairs, n_groups = len(a[0]) + len(a[1]), len(a[2]) + len(a[3])
+        kinds = ["pair"] * n_pairs + ["group"] * n_groups + ["set"] * n_sets
+        cells = [None] * (n_pairs + n_groups) + [t["comps"][i] for i in at["set"]]
+        columns = {"kind": kinds, "a": np.concatenate([x.astype(np.int64) for x in a]), "b": np.concatenate([x.astype(np.int64) for x in b]), "cells": cells}
+        return pa.table(columns, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.binary())]))
 
-    return rows.select("doc_id", "comp", "prefix", "text").mapInArrow(sign, GROUPED).groupBy("bucket").applyInArrow(meet, FOUND)
+    return rows.select("doc_id", "comp", "prefixes", "text").mapInArrow(sign, GROUPED).groupBy("bucket").applyInArrow(meet, FOUND)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,32 +288,35 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.mapInArrow(check, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(node, component): the class of each document that has a link; documents without one are left out."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n): the size of each document's set, (node, component): the class of each linked document)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.lit(0).cast("long").alias("prefix"), "text")
-    links, comps = None, None
+    rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
     buckets = 4 * shuffle_partitions(docs.sparkSession)
-    for level in range(LEVELS + 1):
-        found = cut(candidates(rows, level, buckets))
-        pairs = found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = cut(verified(pairs, texts))
+    sets = links = comps = None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        new = cut(verified(near(pairs, sets), texts))
         if comps is None or not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comps = components(links)
+
+    for level in range(LEVELS + 1):
+        found = cut(candidates(rows, level, buckets))
+        if not level:
+            sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
+        link(found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         members = found.where("kind = 'group'").select(F.col("a").alias("prefix"), F.col("b").alias("doc_id")).distinct()
         known = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("prefix", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        mixed = known.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("prefix")
-        again = cut(known.join(mixed, "prefix"))
-        if again.isEmpty():
+        mixed = known.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("prefix", "m")
+        left = cut(known.join(mixed, "prefix"))
+        link(cross_pairs(left.where(f"m <= {LARGE}")))
+        again = cut(left.where(f"m > {LARGE}").groupBy("doc_id", "comp").agg(F.collect_set("prefix").alias("prefixes")))
+        if level == LEVELS or again.isEmpty():
             break
-        rows = texts.join(again, "doc_id").select("doc_id", "comp", "prefix", "text")
-    return comps
-
-
-@F.arrow_udf(T.LongType())
-def n_shingles(text: pa.Array) -> pa.Array:
-    return pa.array([len(x) for x in shingle_sets(text)], pa.int64())
+        rows = texts.join(again, "doc_id").select("doc_id", "comp", "prefixes", "text")
+    return sets.select("doc_id", "n"), comps
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -244,14 +324,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
     Words are split at white space and A-Z lower-cased. A text of fewer than five words is one shingle; a
     null text and one without words have none and are linked with nothing. Rows that repeat an id are one
-    document; a null id has a null class.
+    document; a null id has neither a size nor a class.
     """
-    comps = classes(docs)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_shingles("text").alias("n_shingles"))
-    return counted.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sets, comps = classes(docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(sets, "doc_id", "left")
+    return ids.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are linked, over others or not, with one of a smaller id."""
-    gone = classes(docs).where("node <> component").select(F.col("node").alias("doc_id"))
+    gone = classes(docs)[1].where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
