@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules
+from umbra.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules, secrets, suffix_dedup, toxicity
 from umbra.llm.common import table
 
 SP = r"[\x20\x09-\x0D]"
@@ -147,8 +147,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.fit_and_predict(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op9_ngram_jaccard_join)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn)
     return {f.__name__: f for f in found}
 
 
