@@ -10,8 +10,8 @@ import pyarrow as pa
 #: Rows are handled in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 SPACES = np.zeros(256, bool)
@@ -45,13 +45,13 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_hashes(buf: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes of buf; span_hashes() reads any substring's from them."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[buf] * powers(_BASE, len(buf)), out=out[1:])
+    np.cumsum(BYTE_CODES[buf] * powers(BASE, len(buf)), out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hash of each buf[start:end]: equal strings have equal hashes wherever they stand."""
-    return (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
+    return (prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
