@@ -31,7 +31,7 @@ from umbra.llm.kernels import mix64, shingle_sets
 #: Groups of up to so many sets give all their pairs at once; larger ones the pairs with their smallest member.
 SMALL = 6
 #: Mixed groups of up to so many sets give all pairs of different classes; larger ones are refined first.
-LARGE = 512
+LARGE = 2048
 CELLS = 1024
 #: Levels of refinement before a group that is still large and mixed gives all its pairs.
 LEVELS = 5
@@ -148,33 +148,42 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.mapInArrow(check, "a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of members (prefix, doc_id, comp) of one group that are of different classes.
+def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (prefix, doc_id, comp) of one group, of different classes, whose cells may be linked.
 
-    Groups hold LARGE members at most. Groups with the same smallest member mostly are the same documents and
-    meet in one task; there are no more of them than that document has signatures.
+    Groups hold LARGE members at most. Groups with the same smallest member mostly are the same documents, so
+    they meet in one task with one copy of each document's cells, and only pairs that pass leave it; there are no
+    more such groups than that member has signatures.
     """
-    sizes = pa.schema([("least", pa.int64()), ("docs", pa.binary()), ("comps", pa.binary())])
+    packed = pa.schema([("least", pa.int64()), ("docs", pa.binary()), ("comps", pa.binary())])
 
     def pack(rows: pa.Table) -> pa.Table:
         doc, comp = rows["doc_id"].to_numpy(), rows["comp"].to_numpy()
         order = np.argsort(doc)
-        return pa.table({"least": [int(doc[order[0]])], "docs": [doc[order].tobytes()], "comps": [comp[order].tobytes()]}, schema=sizes)
-
-    def pair(rows: pa.Table) -> pa.Table:
-        found, held = [np.zeros((0, 2), np.int64)], 0
-        for docs, comps in set(zip(rows["docs"].to_pylist(), rows["comps"].to_pylist(), strict=True)):
-            doc, comp = np.frombuffer(docs, np.int64), np.frombuffer(comps, np.int64)
-            i, j = np.nonzero(np.tri(len(doc), k=-1, dtype=bool) & (comp[:, None] != comp[None, :]))
-            found.append(np.stack([doc[i], doc[j]], 1))
-            held += len(i)
-            if held > 1_000_000:
-                found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-    packs = members.groupBy("prefix").applyInArrow(pack, "least long, docs binary, comps binary")
-    return packs.groupBy("least").applyInArrow(pair, "a long, b long").distinct()
+        return pa.table({"least": [int(doc[order[0]])], "docs": [doc[order].tobytes()], "comps": [comp[order].tobytes()]}, schema=packed)
+
+    def pair(groups: pa.Table, known: pa.Table) -> pa.Table:
+        ids = known["doc_id"].to_numpy()
+        order = np.argsort(ids)
+        ids, n = ids[order], known["n"].to_numpy()[order]
+        cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in known["cells"].take(pa.array(order)).to_pylist()]) if len(ids) else np.zeros((0, CELLS), np.uint8)
+        tried, kept = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
+        for docs, comps in set(zip(groups["docs"].to_pylist(), groups["comps"].to_pylist(), strict=True)):
+            at, comp = np.searchsorted(ids, np.frombuffer(docs, np.int64)), np.frombuffer(comps, np.int64)
+            i, j = np.nonzero(np.tri(len(at), k=-1, dtype=bool) & (comp[:, None] != comp[None, :]) & (9 * np.abs(n[at][:, None] - n[at][None, :]) <= n[at][:, None] + n[at][None, :]))
+            new = np.setdiff1d(at[i] * len(ids) + at[j], tried)
+            tried = np.union1d(tried, new)
+            for some in np.array_split(new, len(new) // 4000 + 1):
+                x, y = some // len(ids), some % len(ids)
+                apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(1)
+                kept.append(some[9 * apart <= n[x] + n[y]])
+        some = np.concatenate(kept)
+        return pa.table({"a": ids[some // max(len(ids), 1)], "b": ids[some % max(len(ids), 1)]})
+
+    packs = members.select("prefix", "doc_id", "comp").groupBy("prefix").applyInArrow(pack, "least long, docs binary, comps binary")
+    least = members.groupBy("prefix").agg(F.min("doc_id").alias("least"))
+    held = members.join(least, "prefix").select("least", "doc_id").distinct().join(sets, "doc_id").select("least", "doc_id", "n", "cells")
+    return packs.groupBy("least").cogroup(held.groupBy("least")).applyInArrow(pair, "a long, b long").distinct()
 
 
 GROUPED = "bucket int, sigs binary, docs binary, comps binary, sizes binary, joined binary, kind string"
@@ -192,7 +201,7 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
     packed = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sigs", "docs", "comps", "sizes", "joined")), ("kind", pa.string())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Runs of rows of a million signatures or so: ids, classes, sizes of sets, signatures, packed cells."""
+        """Runs of rows of 400,000 signatures or so: ids, classes, sizes of sets, signatures, packed cells."""
         held: list[tuple] = []
         n = 0
         for batch in batches:
@@ -201,7 +210,7 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
                 sigs = signatures(features, level, prefix.values.to_numpy().astype(np.uint64))
                 held.append((doc, comp, len(features), sigs, b"" if level else cells_of(features)))
                 n += len(sigs)
-                if n > 1_000_000:
+                if n > 400_000:
                     yield (*(np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3]), [x[3] for x in held], [x[4] for x in held])
                     held, n = [], 0
         if held:
@@ -297,7 +306,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, comps
-        new = cut(verified(near(pairs, sets), texts))
+        new = cut(verified(pairs, texts))
         if comps is None or not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comps = components(links)
@@ -306,12 +315,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = cut(candidates(rows, level, buckets))
         if not level:
             sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
-        link(found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        link(near(found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets))
         members = found.where("kind = 'group'").select(F.col("a").alias("prefix"), F.col("b").alias("doc_id")).distinct()
         known = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("prefix", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         mixed = known.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("prefix", "m")
         left = cut(known.join(mixed, "prefix"))
-        link(cross_pairs(left.where(f"m <= {LARGE}")))
+        link(cross_pairs(left.where(f"m <= {LARGE}"), sets))
         again = cut(left.where(f"m > {LARGE}").groupBy("doc_id", "comp").agg(F.collect_set("prefix").alias("prefixes")))
         if level == LEVELS or again.isEmpty():
             break

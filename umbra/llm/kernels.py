@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are handled in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
