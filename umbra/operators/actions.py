@@ -62,7 +62,7 @@ def bounded_history(log: DataFrame, n: int = 25) -> DataFrame:
 
 def sensing_counters(log: DataFrame) -> DataFrame:
     """(session, steps, dom_only, reused, vision): how steps of a session sensed their page."""
-    return log.groupBy("session").agg(F.count(F.lit(1)).alias("steps"), F.count_if("digest = 0").alias("dom_only"), F.count_if("digest = 1").alias("reused"), F.count_if("digest = 2").alias("vision"))
+    return log.groupBy("session").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.expr("digest = 0")).alias("dom_only"), F.count_if(F.expr("digest = 1")).alias("reused"), F.count_if(F.expr("digest = 2")).alias("vision"))
 
 
 def expansion_budget(requests: DataFrame, most: int = 3) -> DataFrame:

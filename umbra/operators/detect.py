@@ -38,30 +38,36 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found)
 
 
-def _valid(rule: Rule) -> Column:
-    value, digits = F.col("m.value"), F.regexp_replace("m.value", "[ -]", "")
-    return {
-        "": F.lit(True), "verhoeff": verhoeff_valid(digits), "digit": value.rlike("[0-9]"), "letter_digit": value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
-        "card": F.length(digits).between(13, 19) & luhn_valid(digits) & digits.rlike(CARD_PREFIX),
-        "upi": F.col("m.next") != ".", "not_bh": ~F.upper(value).contains("BH"),
-    }[rule.check]
+def _valid(rule: Rule, m: Column) -> Column:
+    value, digits = m.value, F.regexp_replace(m.value, "[ -]", "")
+    checks = {
+        "": lambda: F.lit(True), "verhoeff": lambda: verhoeff_valid(digits), "digit": lambda: value.rlike("[0-9]"), "letter_digit": lambda: value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
+        "card": lambda: F.length(digits).between(13, 19) & luhn_valid(digits) & digits.rlike(CARD_PREFIX),
+        "upi": lambda: m.next != ".", "not_bh": lambda: ~F.upper(value).contains("BH"),
+    }
+    return checks[rule.check]()
+
+
+def _found(rule: Rule) -> Column:
+    """array<struct<rule, category, span_start, span_end, value, confidence>>: the valid matches of a rule in `text`."""
+
+    def row(m: Column) -> Column:
+        handle = F.lower(F.element_at(F.split(m.value, "@"), -1))
+        confidence = F.when(handle.isin(*UPI_HANDLES), 0.9).otherwise(0.55) if rule.check == "upi" else F.lit(rule.confidence)
+        return F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), m.span_start.alias("span_start"), m.span_end.alias("span_end"), m.value.alias("value"), confidence.alias("confidence"))
+
+    found = F.transform(F.filter(matches(F.col("text"), rule.spark_pattern), lambda m: _valid(rule, m)), row)
+    none = F.array().cast("array<struct<rule:string,category:string,span_start:int,span_end:int,value:string,confidence:double>>")
+    return F.coalesce(F.when(F.col("context") == rule.context, found) if rule.context else found, none)
 
 
 def scan(units: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("unit_id", "origin")) -> DataFrame:
     """(unit_id, origin, rule, category, span_start, span_end, value, confidence): every valid match of every rule.
 
-    Nothing is shuffled: each rule tests the text before it looks for places. Rules with a context only read
-    units whose `context` is theirs.
+    One pass over the units and no shuffle: each rule tests the text before it looks for places. Rules with a
+    context only read units whose `context` is theirs. A null text holds nothing.
     """
-    out = None
-    for rule in rules:
-        rows = units.where((F.col("context") == rule.context) if rule.context else F.lit(True)).where(F.col("text").rlike(rule.spark_pattern))
-        confidence = F.when(F.lower(F.element_at(F.split("m.value", "@"), -1)).isin(*UPI_HANDLES), 0.9).otherwise(0.55) if rule.check == "upi" else F.lit(rule.confidence)
-        found = rows.select(*keep, F.explode(matches(F.col("text"), rule.spark_pattern)).alias("m")).where(_valid(rule)).select(
-            *keep, F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), "m.span_start", "m.span_end", "m.value", confidence.alias("confidence")
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    return units.select(*keep, F.inline(F.concat(*[_found(rule) for rule in rules])))
 
 
 def scan_context_rules(units: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def replay_diff(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 def false_success_rate(runs: DataFrame) -> DataFrame:
     """(reason, impossible, done, flagged): how runs that can't succeed ended, by reason and over all (null)."""
-    return runs.where("impossible").rollup("reason").agg(F.count(F.lit(1)).alias("impossible"), F.count_if("verdict = 'done'").alias("done"), F.count_if("verdict = 'flagged'").alias("flagged"))
+    return runs.where("impossible").rollup("reason").agg(F.count(F.lit(1)).alias("impossible"), F.count_if(F.expr("verdict = 'done'")).alias("done"), F.count_if(F.expr("verdict = 'flagged'")).alias("flagged"))
 
 
 def stratified_sample(tasks: DataFrame, n: int, salt: str) -> DataFrame:

@@ -435,10 +435,11 @@ def a16_near_hashes(spark, sf):
 
 
 @query(f"""WITH {LOG}, b AS (SELECT *, max(CASE WHEN digest = 0 THEN step END) OVER (PARTITION BY session ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM log)
-  SELECT p.session, p.step, p.fp AS token, s.fp AS current, coalesce(p.fp <> s.fp, TRUE) AS stale FROM b p LEFT JOIN log s ON s.session = p.session AND s.step = p.at WHERE p.digest <> 0""")
+  SELECT p.session, p.step, p.fp AS token, coalesce(s.fp, -1) AS current, coalesce(p.fp <> s.fp, TRUE) AS stale FROM b p LEFT JOIN log s ON s.session = p.session AND s.step = p.at WHERE p.digest <> 0""")
 def a1_latest_state_check(spark, sf):
     rows = log(spark, sf)
-    return A.latest_state_check(rows.where("digest <> 0").select("session", "ts", "step", F.col("fp").alias("token")), rows.where("digest = 0").select("session", "ts", "step", F.col("fp").alias("state")))
+    checked = A.latest_state_check(rows.where("digest <> 0").select("session", "ts", "step", F.col("fp").alias("token")), rows.where("digest = 0").select("session", "ts", "step", F.col("fp").alias("state")))
+    return checked.fillna(-1, "current")
 
 
 # ---- event time
@@ -505,7 +506,7 @@ uniq AS (SELECT DISTINCT * FROM hits),
 counts AS (
   SELECT u.category, CASE WHEN t.unit_id IS NULL THEN 0 ELSE 1 END AS tp, CASE WHEN t.unit_id IS NULL THEN 1 ELSE 0 END AS fp, 0 AS fn FROM uniq u LEFT JOIN truth t ON t.unit_id = u.unit_id AND t.ann_id = u.ann_id AND t.category = u.category
   UNION ALL SELECT t.category, 0, 0, 1 FROM truth t LEFT JOIN uniq u ON t.unit_id = u.unit_id AND t.ann_id = u.ann_id AND t.category = u.category WHERE u.unit_id IS NULL),
-scores AS (SELECT category, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, CASE WHEN sum(tp) + sum(fp) > 0 THEN round(sum(tp) / (sum(tp) + sum(fp)), 3) END AS precision, CASE WHEN sum(tp) + sum(fn) > 0 THEN round(sum(tp) / (sum(tp) + sum(fn)), 3) END AS recall FROM counts GROUP BY ROLLUP (category))"""
+scores AS (SELECT category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CASE WHEN sum(tp) + sum(fp) > 0 THEN round(sum(tp) / (sum(tp) + sum(fp)), 3) END AS precision, CASE WHEN sum(tp) + sum(fn) > 0 THEN round(sum(tp) / (sum(tp) + sum(fn)), 3) END AS recall FROM counts GROUP BY ROLLUP (category))"""
 
 
 def identifiers(spark, sf):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
+def micros(ts: Column | str) -> Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def timed(events: DataFrame) -> DataFrame:
     """Events with ts as an instant, which watermarks ask for."""
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -26,14 +30,14 @@ def settle_windows(events: DataFrame, quiet: str = "2 hours", late: str = "1 hou
 def debounce(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """(user_id, event_id): the last event of each burst of a user."""
     following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = F.unix_micros(following) - F.unix_micros("ts")
+    gap = micros(following) - micros("ts")
     return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > seconds * 1_000_000)).select("user_id", "event_id")
 
 
 def session_state(events: DataFrame, ttl: int = 7200) -> DataFrame:
     """(user_id, session, first_type, last_type, n): what a session with a time to live keeps: its first plan and last token."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
+    gap = micros("ts") - micros(F.lag("ts").over(order))
     marked = events.withColumn("__new", F.when(gap.isNull() | (gap > ttl * 1_000_000), 1).otherwise(0)).withColumn("session", F.sum("__new").over(order))
     at = F.struct("ts", "event_id")
     return marked.groupBy("user_id", "session").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.count(F.lit(1)).alias("n"))
@@ -46,7 +50,7 @@ def coalesce_latest(events: DataFrame) -> DataFrame:
 
 def rate_limit(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """(user_id, event_id): events admitted when fewer than two were in the time before. An ordered fold over a user's events."""
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id")))
+    rows = F.array_sort(F.collect_list(F.struct(micros("ts").alias("t"), "event_id")))
     none = F.lit(-(2**62)).cast("long")
     start = F.struct(none.alias("a"), none.alias("b"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda s, e: F.when(e.t - s.a >= seconds * 1_000_000, F.struct(s.b.alias("a"), e.t.alias("b"), F.concat(s.kept, F.array(e.event_id)).alias("kept"))).otherwise(s)
