@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from umbra.functions import rules as R
-from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, protect as P
+from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, evidence as V, pages as H, protect as P
 from umbra.sources.tables import table, to_units, units
 from umbra.streaming import streams as T
 
@@ -644,6 +645,147 @@ def e16_payload_sizes(spark, sf):
     return E.payload_sizes(units(spark, sf).select(F.col("target_kind").alias("mode"), "text"))
 
 
+# ---- pages
+
+
+def parts(spark, sf):
+    return H.page_parts(table(spark, sf, "pages"))
+
+
+@query()
+def h1_html_text_blocks(spark, sf):
+    return H.text_blocks(parts(spark, sf))
+
+
+@query()
+def h2_html_elements(spark, sf):
+    return H.elements(parts(spark, sf))
+
+
+@query()
+def h3_html_media(spark, sf):
+    return H.media(parts(spark, sf))
+
+
+@query()
+def h4_static_visibility(spark, sf):
+    return parts(spark, sf).groupBy("page_id", F.coalesce("hidden", F.lit("visible")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def h5_structural_context(spark, sf):
+    return H.structural_context(H.text_blocks(parts(spark, sf)))
+
+
+@query()
+def h6_inherit_privacy_attrs(spark, sf):
+    return parts(spark, sf).select("page_id", "seq", F.explode(F.split("marks", ",")).alias("mark")).where("mark <> ''")
+
+
+FP = "fps AS (SELECT *, substr(sha256('salt' || chr(1) || action || chr(1) || verdict || chr(1) || regexp_replace('item ' || fp, '[0-9]+', '#', 'g')), 1, 8) AS key FROM log), nth AS (SELECT session, step, key, row_number() OVER (PARTITION BY session, key ORDER BY step) - 1 AS ordinal FROM fps)"
+
+
+def fingerprints(spark, sf):
+    rows = log(spark, sf).select("session", F.col("step").alias("seq"), F.col("action").alias("role"), F.col("verdict").alias("tag"), F.concat(F.lit("Item "), "fp").alias("name"))
+    return H.row_fingerprint(rows, "salt", "session")
+
+
+@query(f"WITH {LOG}, {FP} SELECT session, step, key FROM nth")
+def h8_row_fingerprint(spark, sf):
+    return fingerprints(spark, sf).select("session", F.col("seq").alias("step"), F.col("fp").alias("key"))
+
+
+@query(f"WITH {LOG}, {FP} SELECT session, step, key, ordinal FROM nth")
+def h9_assign_ordinals(spark, sf):
+    return fingerprints(spark, sf).select("session", F.col("seq").alias("step"), F.col("fp").alias("key"), "ordinal")
+
+
+@query(f"""WITH {LOG}, {FP}, b AS (SELECT session, key, ordinal, row_number() OVER (PARTITION BY session ORDER BY key, ordinal) AS eid FROM nth WHERE step % 3 <> 0), t AS (SELECT session, max(eid) AS top FROM b GROUP BY session),
+  n AS (SELECT n.session, n.key, n.ordinal, b.eid, coalesce(top, 0) AS top FROM nth n LEFT JOIN b ON b.session = n.session AND b.key = n.key AND b.ordinal = n.ordinal LEFT JOIN t ON t.session = n.session WHERE n.step % 2 = 0)
+  SELECT session AS page_id, key AS fp, ordinal, coalesce(eid, top + row_number() OVER (PARTITION BY session, eid IS NULL ORDER BY key, ordinal)) AS eid FROM n""")
+def h10_stable_ids(spark, sf):
+    rows = fingerprints(spark, sf).withColumnRenamed("session", "page_id")
+    before = rows.where("seq % 3 <> 0").withColumn("eid", F.row_number().over(Window.partitionBy("page_id").orderBy("fp", "ordinal")))
+    return H.stable_ids(before, rows.where("seq % 2 = 0"))
+
+
+BOXES = "boxes AS (SELECT o_orderkey AS id, (o_orderkey % 97) * 100 AS x, (o_orderkey * 53 % 311) * 10 AS y FROM orders)"
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT v.id AS value_id, l.id AS label_id, (v.x - l.x) ** 2 + (v.y - l.y) ** 2 AS far FROM boxes v JOIN boxes l ON v.id % 3 <> 0 AND l.id % 3 = 0 AND (l.y = v.y AND l.x < v.x AND v.x - l.x <= 120 OR l.x = v.x AND l.y < v.y AND v.y - l.y <= 120))
+  SELECT value_id, arg_min(label_id, (far, label_id)) AS label_id FROM p GROUP BY value_id""")
+def h12_nearest_label(spark, sf):
+    k = F.col("o_orderkey")
+    boxes = table(spark, sf, "orders").select(k.alias("id"), ((k % 97) * 100).alias("x"), ((k * 53 % 311) * 10).alias("y"))
+    return H.nearest_label(boxes.where("id % 3 <> 0").withColumnRenamed("id", "value_id"), boxes.where("id % 3 = 0").withColumnRenamed("id", "label_id"))
+
+
+FRAMES = "frames AS (SELECT c_custkey AS frame_id, CASE WHEN c_custkey % 97 = 0 OR c_custkey < 2 THEN NULL WHEN c_custkey % 89 = 0 THEN c_custkey ELSE c_custkey // 3 END AS parent_id FROM customer)"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, walk AS (SELECT frame_id, frame_id::VARCHAR AS path, 1 AS depth FROM frames WHERE parent_id IS NULL
+  UNION ALL SELECT f.frame_id, w.path || '/' || f.frame_id, w.depth + 1 FROM walk w JOIN frames f ON f.parent_id = w.frame_id WHERE w.depth < 8) SELECT frame_id, path FROM walk""")
+def h13_frame_paths(spark, sf):
+    k = F.col("c_custkey")
+    parent = F.when((k % 97 == 0) | (k < 2), None).when(k % 89 == 0, k).otherwise(F.floor(k / 3))
+    return H.frame_paths(table(spark, sf, "customer").select(k.alias("frame_id"), parent.alias("parent_id")))
+
+
+# ---- evidence
+
+TOKENS = tuple(V.AUTOCOMPLETE)
+CANDS = f"""cands AS (SELECT o_orderkey AS id, ([{', '.join(map(quoted, ('UAN', 'SECRET', 'PIN_CODE', 'DATE')))}])[(o_orderkey % 4 + 1)::INT] AS category,
+  CASE o_orderkey % 6 WHEN 0 THEN 'AB-' || o_orderkey WHEN 1 THEN 'user_' || (o_orderkey % 1000) WHEN 2 THEN (o_orderkey % 100) || '%' ELSE o_orderkey::VARCHAR END AS value,
+  (['weak', 'structured', 'self_describing'])[(o_orderkey % 3 + 1)::INT] AS strength, CASE WHEN o_orderkey % 5 = 0 THEN 'fail' WHEN o_orderkey % 5 = 1 THEN 'pass' END AS checksum,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'NAME' END AS bound, CASE WHEN o_orderkey % 4 = 1 THEN ([{', '.join(quoted(V.AUTOCOMPLETE[t]) for t in TOKENS)}])[(o_orderkey % {len(TOKENS)} + 1)::INT] END AS autocomplete,
+  CASE WHEN o_orderkey % 8 = 0 THEN 'Our Product list' WHEN o_orderkey % 8 = 1 THEN 'Productivity' END AS container, o_orderkey % 5 AS n_targets FROM orders)"""
+
+
+def candidates(spark, sf):
+    k = F.col("o_orderkey")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    value = F.when(k % 6 == 0, F.concat(F.lit("AB-"), k)).when(k % 6 == 1, F.concat(F.lit("user_"), k % 1000)).when(k % 6 == 2, F.concat(k % 100, F.lit("%"))).otherwise(k.cast("string"))
+    auto = F.when(k % 4 == 1, V.map_autocomplete(F.concat(F.lit("section-x "), F.upper(pick(TOKENS, k % len(TOKENS))), F.lit(" email"))))
+    return table(spark, sf, "orders").select(
+        k.alias("id"), pick(("UAN", "SECRET", "PIN_CODE", "DATE"), k % 4).alias("category"), value.alias("value"), pick(("weak", "structured", "self_describing"), k % 3).alias("strength"),
+        F.when(k % 5 == 0, "fail").when(k % 5 == 1, "pass").alias("checksum"), F.when(k % 7 == 0, "NAME").alias("bound"), auto.alias("autocomplete"),
+        F.when(k % 8 == 0, "Our Product list").when(k % 8 == 1, "Productivity").alias("container"), (k % 5).alias("n_targets"),
+    )
+
+
+@query(f"WITH {CANDS} SELECT id, autocomplete FROM cands")
+def d7_map_autocomplete(spark, sf):
+    return candidates(spark, sf).select("id", "autocomplete")
+
+
+PADDED = "' ' || regexp_replace(lower(coalesce(container, '')), '[^a-z]+', ' ', 'g') || ' '"
+SIGNALS = f"""signals AS (SELECT *, (CASE WHEN coalesce(checksum = 'fail', FALSE) THEN -4 ELSE 0 END) AS s1,
+  (CASE WHEN {' OR '.join(f"contains({PADDED}, ' {t} ')" for t in V.CONTAINERS)} THEN -3 ELSE 0 END) AS s2, (CASE WHEN {' OR '.join(f"regexp_matches(trim(value), {quoted(x)})" for x in V.SHAPES)} THEN -3 ELSE 0 END) AS s3,
+  (CASE WHEN n_targets >= 3 THEN -2 ELSE 0 END) AS s4, (CASE WHEN category = 'SECRET' AND regexp_matches(trim(value), {quoted(V.USERNAME)}) THEN -2 ELSE 0 END) AS s5 FROM cands)"""
+
+
+@query(f"""WITH {CANDS}, {SIGNALS} SELECT id, concat_ws(',', CASE WHEN s1 < 0 THEN 'checksum_fail' END, CASE WHEN s2 < 0 THEN 'non_pii_container' END, CASE WHEN s3 < 0 THEN 'non_pii_shape' END, CASE WHEN s4 < 0 THEN 'repeated' END, CASE WHEN s5 < 0 THEN 'username' END) AS signals FROM signals""")
+def d15_negative_signals(spark, sf):
+    found = V.negative_signals(F.col("container"), F.col("value"), F.col("n_targets"), F.col("category"), F.col("checksum"))
+    return candidates(spark, sf).select("id", F.array_join(F.transform(found, lambda s: s["name"]), ",").alias("signals"))
+
+
+@query(f"""WITH {CANDS}, {SIGNALS}, sc AS (SELECT id, coalesce(bound, autocomplete, category) AS claimed, CASE WHEN checksum = 'pass' THEN 5 ELSE 0 END + CASE strength WHEN 'weak' THEN 1 WHEN 'structured' THEN 3 ELSE 5 END + CASE WHEN bound IS NOT NULL THEN 3 ELSE 0 END
+    + CASE WHEN autocomplete = coalesce(bound, autocomplete, category) THEN 3 ELSE 0 END + s1 + s2 + s3 + s4 + s5 AS score FROM signals)
+  SELECT id, claimed, score, CASE WHEN score >= 5 THEN 'DETECTED' WHEN score >= 3 THEN 'UNCERTAIN' ELSE 'NOT_DETECTED' END AS verdict,
+    CAST(round(CASE WHEN score <= 0 THEN 0 WHEN score >= 5 THEN least(0.95, 0.75 + 0.05 * (score - 5)) ELSE greatest(0.05, least(0.55, 0.15 * score)) END, 6) AS DOUBLE) AS score_confidence FROM sc""")
+def d16_score_evidence(spark, sf):
+    return V.score_evidence(candidates(spark, sf)).select("id", "claimed", "score", "verdict", "score_confidence")
+
+
+LEAST_LENGTH = "CASE category WHEN 'UAN' THEN 12 WHEN 'PIN_CODE' THEN 6 END"
+
+
+@query(f"WITH {CANDS} SELECT id, CASE WHEN value = '' THEN 'empty' WHEN length(regexp_replace(value, '[ -]', '', 'g')) < {LEAST_LENGTH} THEN 'partial' ELSE 'filled' END AS state FROM cands")
+def d19_fill_state(spark, sf):
+    return candidates(spark, sf).select("id", H.fill_state(F.col("category"), F.col("value")).alias("state"))
+
+
 @query(f"""WITH {REDACTED} SELECT origin, count(*) AS n_units, CAST(sum(n_redacted) AS BIGINT) AS n_redacted, CAST(sum(length(text_redacted)) AS BIGINT) AS n_chars FROM red GROUP BY origin""")
 def flagship_redaction(spark, sf):
     """Texts of every origin, redacted: units, redactions and characters left."""
