@@ -44,10 +44,10 @@ def test_equals_brute_force(docs, rows):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize(("small", "large"), [(6, 2048), (2, 3)])
-def test_families_near_the_threshold(spark, monkeypatch, small, large):
+@pytest.mark.parametrize(("small", "pairs"), [(6, 4_000_000), (2, 3)])
+def test_families_near_the_threshold(spark, monkeypatch, small, pairs):
     monkeypatch.setattr(J, "SMALL", small)
-    monkeypatch.setattr(J, "LARGE", large)
+    monkeypatch.setattr(J, "PAIRS", pairs)
     monkeypatch.setattr(J, "LEVELS", 2)
     rows = family(40)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)

@@ -30,8 +30,9 @@ from umbra.llm.kernels import mix64, shingle_sets
 
 #: Groups of up to so many sets give all their pairs at once; larger ones the pairs with their smallest member.
 SMALL = 6
-#: Mixed groups of up to so many sets give all pairs of different classes; larger ones are refined first.
-LARGE = 2048
+#: A mixed group whose members outside its largest class make up to so many pairs with the others has their cells
+#: compared within a task; beyond, the group is refined first.
+PAIRS = 4_000_000
 CELLS = 1024
 #: Levels of refinement before a group that is still large and mixed gives all its pairs.
 LEVELS = 5
@@ -148,51 +149,138 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.mapInArrow(check, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (prefix, doc_id, comp) of one group, of different classes, whose cells may be linked.
+def _bucketed(kind: str, key: np.ndarray, buckets: int, columns: tuple[tuple[np.ndarray, int], ...], schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each bucket of key (modulo buckets): kind, bucket, and the columns packed to so many bytes a number."""
+    bucket = key % buckets
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    parts = [order[cuts[i] : cuts[i + 1]] for i in full]
+    packed = [pa.array([_planes(x[p], w) for p in parts], pa.binary()) for x, w in columns]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.string()), pa.array(full, pa.int64()), *packed], schema=schema)
 
-    Groups hold LARGE members at most. Groups with the same smallest member mostly are the same documents, so
-    they meet in one task with one copy of each document's cells, and only pairs that pass leave it; there are no
-    more such groups than that member has signatures.
+
+def _whole(values: list[bytes | None], width: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(_numbers(x, width) for x in values if x)])
+
+
+THREE = pa.schema([("kind", pa.string()), ("home", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary()), ("comps", pa.binary())])
+THREE_SQL = "kind string, home long, sigs binary, docs binary, comps binary"
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    """The distinct candidate pairs (a, b), a > b; packs of them come by the bucket of a."""
+
+    def unpack(rows: pa.Table) -> pa.Table:
+        pairs = np.unique(np.stack([_whole(rows[c].to_pylist(), 8).astype(np.int64) for c in ("cells", "docs")], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return found.where("kind = 'pair'").select("a", "cells", "docs").groupBy("a").applyInArrow(unpack, "a long, b long")
+
+
+def mixed_groups(found: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
+    """(kind, home, sigs, docs, comps): groups of a signature that hold more than one class.
+
+    Memberships are packed throughout: they meet their documents' classes by the document, then each other by the
+    signature. 'few': the members of groups with the same smallest member, home. 'many': memberships of groups
+    with too many pairs between classes, home is the bucket of the document.
     """
-    packed = pa.schema([("least", pa.int64()), ("docs", pa.binary()), ("comps", pa.binary())])
-
-    def pack(rows: pa.Table) -> pa.Table:
-        doc, comp = rows["doc_id"].to_numpy(), rows["comp"].to_numpy()
-        order = np.argsort(doc)
-        return pa.table({"least": [int(doc[order[0]])], "docs": [doc[order].tobytes()], "comps": [comp[order].tobytes()]}, schema=packed)
-
-    def pair(groups: pa.Table, known: pa.Table) -> pa.Table:
-        ids = known["doc_id"].to_numpy()
-        order = np.argsort(ids)
-        ids, n = ids[order], known["n"].to_numpy()[order]
-        cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in known["cells"].take(pa.array(order)).to_pylist()]) if len(ids) else np.zeros((0, CELLS), np.uint8)
-        tried, kept = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
-        for docs, comps in set(zip(groups["docs"].to_pylist(), groups["comps"].to_pylist(), strict=True)):
-            at, comp = np.searchsorted(ids, np.frombuffer(docs, np.int64)), np.frombuffer(comps, np.int64)
-            i, j = np.nonzero(np.tri(len(at), k=-1, dtype=bool) & (comp[:, None] != comp[None, :]) & (9 * np.abs(n[at][:, None] - n[at][None, :]) <= n[at][:, None] + n[at][None, :]))
-            new = np.setdiff1d(at[i] * len(ids) + at[j], tried)
-            tried = np.union1d(tried, new)
-            for some in np.array_split(new, len(new) // 4000 + 1):
-                x, y = some // len(ids), some % len(ids)
-                apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(1)
-                kept.append(some[9 * apart <= n[x] + n[y]])
-        some = np.concatenate(kept)
-        return pa.table({"a": ids[some // max(len(ids), 1)], "b": ids[some % max(len(ids), 1)]})
-
-    packs = members.select("prefix", "doc_id", "comp").groupBy("prefix").applyInArrow(pack, "least long, docs binary, comps binary")
-    least = members.groupBy("prefix").agg(F.min("doc_id").alias("least"))
-    held = members.join(least, "prefix").select("least", "doc_id").distinct().join(sets, "doc_id").select("least", "doc_id", "n", "cells")
-    return packs.groupBy("least").cogroup(held.groupBy("least")).applyInArrow(pair, "a long, b long").distinct()
+
+    def attach(groups: pa.Table, known: pa.Table) -> pa.Table:
+        sig, doc = _whole(groups["cells"].to_pylist(), 6), _whole(groups["docs"].to_pylist(), 8).astype(np.int64)
+        node, comp = known["node"].to_numpy(), known["component"].to_numpy()
+        order = np.argsort(node)
+        node, comp = node[order], comp[order]
+        at = np.minimum(np.searchsorted(node, doc), max(len(node) - 1, 0))
+        own = np.where(node[at] == doc, comp[at], doc) if len(node) else doc
+        return pa.Table.from_batches([_bucketed("", (sig % np.uint64(buckets)).astype(np.int64), buckets, ((sig, 6), (doc, 8), (own, 8)), THREE)])
+
+    def mixed(rows: pa.Table) -> pa.Table:
+        sig, doc, comp = _whole(rows["sigs"].to_pylist(), 6), _whole(rows["docs"].to_pylist(), 8).astype(np.int64), _whole(rows["comps"].to_pylist(), 8).astype(np.int64)
+        order = np.lexsort((doc, comp, sig))
+        sig, doc, comp = sig[order], doc[order], comp[order]
+        again = np.concatenate([[False], (sig[1:] == sig[:-1]) & (doc[1:] == doc[:-1])]) if len(sig) else np.zeros(0, bool)
+        sig, doc, comp = sig[~again], doc[~again], comp[~again]
+        if not len(sig):
+            return pa.Table.from_batches([], schema=THREE)
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.append(start, len(sig)))
+        run = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])]))
+        size = np.diff(np.append(run, len(sig)))
+        largest = np.maximum.reduceat(size, np.searchsorted(run, start))
+        outside = (count - largest) * count
+        homes: dict[int, dict[int, int]] = {}
+        for i in np.flatnonzero((outside > 0) & (outside <= PAIRS)):
+            some = slice(start[i], start[i] + count[i])
+            homes.setdefault(int(doc[some].min()), {}).update(zip(doc[some].tolist(), comp[some].tolist(), strict=True))
+        few = pa.RecordBatch.from_arrays([
+            pa.array(["few"] * len(homes), pa.string()), pa.array(list(homes), pa.int64()), pa.array([b""] * len(homes), pa.binary()),
+            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in homes.values()], pa.binary()) for f in (dict.keys, dict.values)),
+        ], schema=THREE)
+        many = np.repeat(outside > PAIRS, count)
+        return pa.Table.from_batches([few, _bucketed("many", doc[many], buckets, ((sig[many], 6), (doc[many], 8), (comp[many], 8)), THREE)])
+
+    groups = found.where("kind = 'group'").select(F.col("a").alias("home"), "cells", "docs")
+    known = comps.withColumn("home", F.pmod("node", F.lit(buckets)))
+    return groups.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(attach, THREE_SQL).groupBy("home").applyInArrow(mixed, THREE_SQL)
+
+
+def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes whose cells may be linked, among members of groups with the same smallest member.
+
+    Such groups mostly are the same documents. They meet in one task with one copy of each document's cells, and
+    only pairs that pass leave it. Documents of the largest class are compared with the others alone.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for home, docs, comps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc, comp = _whole([docs], 8).astype(np.int64), _whole([comps], 8).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), home)), pa.array(doc), pa.array(comp)], names=["home", "doc_id", "comp"])
+
+    def pair(rows: pa.Table) -> pa.Table:
+        doc, comp, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "n"))
+        cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["cells"].to_pylist()]).astype(np.int16)
+        names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+        big = which == count.argmax()
+        order = np.concatenate([np.flatnonzero(big), np.flatnonzero(~big)])
+        doc, which, n, cells = doc[order], which[order], n[order], cells[order]
+        found = [np.zeros((0, 2), np.int64)]
+        for i in range(int(big.sum()), len(doc)):
+            j = np.flatnonzero((which[:i] != which[i]) & (9 * np.abs(n[:i] - n[i]) <= n[:i] + n[i]))
+            for some in np.array_split(j, len(j) // 4000 + 1):
+                ok = some[9 * np.abs(cells[some] - cells[i]).sum(1, dtype=np.int64) <= n[some] + n[i]]
+                found.append(np.stack([np.maximum(doc[ok], doc[i]), np.minimum(doc[ok], doc[i])], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    held = few.select("home", "docs", "comps").mapInArrow(unpack, "home long, doc_id long, comp long").distinct()
+    return held.join(sets, "doc_id").select("home", "doc_id", "comp", "n", "cells").groupBy("home").applyInArrow(pair, "a long, b long").distinct()
+
+
+def to_refine(many: DataFrame) -> DataFrame:
+    """(doc_id, comp, prefixes): the groups that each document is to be signed again for."""
+
+    def lists(rows: pa.Table) -> pa.Table:
+        sig, doc, comp = _whole(rows["sigs"].to_pylist(), 6), _whole(rows["docs"].to_pylist(), 8).astype(np.int64), _whole(rows["comps"].to_pylist(), 8).astype(np.int64)
+        order = np.lexsort((sig, doc))
+        sig, doc, comp = sig[order].astype(np.int64), doc[order], comp[order]
+        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        prefixes = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(sig))
+        return pa.table({"doc_id": doc[start], "comp": comp[start], "prefixes": prefixes})
+
+    return many.select("home", "sigs", "docs", "comps").groupBy("home").applyInArrow(lists, "doc_id long, comp long, prefixes array<long>")
 
 
 GROUPED = "bucket int, sigs binary, docs binary, comps binary, sizes binary, joined binary, kind string"
-FOUND = "kind string, a long, b long, cells binary"
+FOUND = "kind string, a long, b long, cells binary, docs binary"
+FOUND_ARROW = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.binary()), ("docs", pa.binary())])
 
 
 def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
-    """(kind, a, b, cells): kind 'pair' for candidate pairs of documents, 'group' for (signature, document) of
-    groups that gave part of their pairs and, at level 0, 'set' for (document, size of its set, packed cells).
+    """(kind, a, b, cells, docs): 'pair' holds packs of candidate pairs by the bucket of the larger id (a), 'group' packs of
+    (signature, document) of groups that gave part of their pairs, by the bucket of the document (a), and 'set', at
+    level 0, a document (a), the size of its set (b) and its packed cells.
 
     rows: doc_id, comp (its class so far), prefixes (signatures of the groups to refine; 0 for none), text. A task
     first meets its own rows: of a signature that many of them share it passes on the smallest alone.
@@ -262,15 +350,15 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
         sig, doc, size, joined = whole("rows", "sigs", 6), whole("rows", "docs", 8).astype(np.int64), whole("rows", "sizes", 4).astype(np.int64), whole("rows", "joined", 1).astype(bool)
         comp = whole("rows", "comps", 8).astype(np.int64) + doc
         a, b, refine = _pairs(sig, doc, comp, size, small, joined)
-        pairs = np.unique(np.stack([doc[a], doc[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        a = [pairs[:, 0], whole("pair", "sigs", 8), sig[refine], whole("group", "sigs", 8), whole("set", "sigs", 8)]
-        b = [pairs[:, 1], whole("pair", "docs", 8), doc[refine], whole("group", "docs", 8), whole("set", "docs", 8)]
-        n_sets = len(at["set"])
-        n_pairs, n_groups = len(a[0]) + len(a[1]), len(a[2]) + len(a[3])
-        kinds = ["pair"] * n_pairs + ["group"] * n_groups + ["set"] * n_sets
-        cells = [None] * (n_pairs + n_groups) + [t["comps"][i] for i in at["set"]]
-        columns = {"kind": kinds, "a": np.concatenate([x.astype(np.int64) for x in a]), "b": np.concatenate([x.astype(np.int64) for x in b]), "cells": cells}
-        return pa.table(columns, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.binary())]))
+        x = np.concatenate([doc[a], whole("pair", "sigs", 8).astype(np.int64)])
+        y = np.concatenate([doc[b], whole("pair", "docs", 8).astype(np.int64)])
+        pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
+        member = np.concatenate([doc[refine], whole("group", "docs", 8).astype(np.int64)])
+        of = np.concatenate([sig[refine], whole("group", "sigs", 8)])
+        sets = {"kind": ["set"] * len(at["set"]), "a": whole("set", "sigs", 8).astype(np.int64), "b": whole("set", "docs", 8).astype(np.int64), "cells": [t["comps"][i] for i in at["set"]], "docs": [None] * len(at["set"])}
+        two = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("cells", pa.binary()), ("docs", pa.binary())])
+        packs = pa.Table.from_batches([_bucketed("pair", pairs[:, 0], buckets, ((pairs[:, 0], 8), (pairs[:, 1], 8)), two), _bucketed("group", member, buckets, ((of, 6), (member, 8)), two)])
+        return pa.concat_tables([pa.table(sets, schema=FOUND_ARROW), packs.add_column(2, "b", pa.nulls(len(packs), pa.int64())).cast(FOUND_ARROW)])
 
     return rows.select("doc_id", "comp", "prefixes", "text").mapInArrow(sign, GROUPED).groupBy("bucket").applyInArrow(meet, FOUND)
 
@@ -315,13 +403,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = cut(candidates(rows, level, buckets))
         if not level:
             sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
-        link(near(found.where("kind = 'pair'").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets))
-        members = found.where("kind = 'group'").select(F.col("a").alias("prefix"), F.col("b").alias("doc_id")).distinct()
-        known = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("prefix", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        mixed = known.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("prefix", "m")
-        left = cut(known.join(mixed, "prefix"))
-        link(cross_pairs(left.where(f"m <= {LARGE}"), sets))
-        again = cut(left.where(f"m > {LARGE}").groupBy("doc_id", "comp").agg(F.collect_set("prefix").alias("prefixes")))
+        link(near(pairs_of(found), sets))
+        mixed = cut(mixed_groups(found, comps, buckets))
+        link(cross_pairs(mixed.where("kind = 'few'"), sets))
+        again = cut(to_refine(mixed.where("kind = 'many'")))
         if level == LEVELS or again.isEmpty():
             break
         rows = texts.join(again, "doc_id").select("doc_id", "comp", "prefixes", "text")
