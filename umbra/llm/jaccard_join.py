@@ -178,7 +178,7 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.where("kind = 'pair'").select("a", "cells", "docs").groupBy("a").applyInArrow(unpack, "a long, b long")
 
 
-def mixed_groups(found: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
+def mixed_groups(found: DataFrame, comps: DataFrame, homes: int) -> DataFrame:
     """(kind, home, sigs, docs, comps): groups of a signature that hold more than one class.
 
     Memberships are packed throughout: they meet their documents' classes by the document, then each other by the
@@ -193,7 +193,7 @@ def mixed_groups(found: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
         node, comp = node[order], comp[order]
         at = np.minimum(np.searchsorted(node, doc), max(len(node) - 1, 0))
         own = np.where(node[at] == doc, comp[at], doc) if len(node) else doc
-        return pa.Table.from_batches([_bucketed("", (sig % np.uint64(buckets)).astype(np.int64), buckets, ((sig, 6), (doc, 8), (own, 8)), THREE)])
+        return pa.Table.from_batches([_bucketed("", (sig % np.uint64(homes)).astype(np.int64), homes, ((sig, 6), (doc, 8), (own, 8)), THREE)])
 
     def mixed(rows: pa.Table) -> pa.Table:
         sig, doc, comp = _whole(rows["sigs"].to_pylist(), 6), _whole(rows["docs"].to_pylist(), 8).astype(np.int64), _whole(rows["comps"].to_pylist(), 8).astype(np.int64)
@@ -209,19 +209,19 @@ def mixed_groups(found: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
         size = np.diff(np.append(run, len(sig)))
         largest = np.maximum.reduceat(size, np.searchsorted(run, start))
         outside = (count - largest) * count
-        homes: dict[int, dict[int, int]] = {}
+        by_least: dict[int, dict[int, int]] = {}
         for i in np.flatnonzero((outside > 0) & (outside <= PAIRS)):
             some = slice(start[i], start[i] + count[i])
-            homes.setdefault(int(doc[some].min()), {}).update(zip(doc[some].tolist(), comp[some].tolist(), strict=True))
+            by_least.setdefault(int(doc[some].min()), {}).update(zip(doc[some].tolist(), comp[some].tolist(), strict=True))
         few = pa.RecordBatch.from_arrays([
-            pa.array(["few"] * len(homes), pa.string()), pa.array(list(homes), pa.int64()), pa.array([b""] * len(homes), pa.binary()),
-            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in homes.values()], pa.binary()) for f in (dict.keys, dict.values)),
+            pa.array(["few"] * len(by_least), pa.string()), pa.array(list(by_least), pa.int64()), pa.array([b""] * len(by_least), pa.binary()),
+            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in by_least.values()], pa.binary()) for f in (dict.keys, dict.values)),
         ], schema=THREE)
         many = np.repeat(outside > PAIRS, count)
-        return pa.Table.from_batches([few, _bucketed("many", doc[many], buckets, ((sig[many], 6), (doc[many], 8), (comp[many], 8)), THREE)])
+        return pa.Table.from_batches([few, _bucketed("many", doc[many], homes, ((sig[many], 6), (doc[many], 8), (comp[many], 8)), THREE)])
 
     groups = found.where("kind = 'group'").select(F.col("a").alias("home"), "cells", "docs")
-    known = comps.withColumn("home", F.pmod("node", F.lit(buckets)))
+    known = comps.withColumn("home", F.pmod("node", F.lit(homes)))
     return groups.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(attach, THREE_SQL).groupBy("home").applyInArrow(mixed, THREE_SQL)
 
 
@@ -277,7 +277,7 @@ FOUND = "kind string, a long, b long, cells binary, docs binary"
 FOUND_ARROW = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.binary()), ("docs", pa.binary())])
 
 
-def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
+def candidates(rows: DataFrame, level: int, buckets: int, homes: int) -> DataFrame:
     """(kind, a, b, cells, docs): 'pair' holds packs of candidate pairs by the bucket of the larger id (a), 'group' packs of
     (signature, document) of groups that gave part of their pairs, by the bucket of the document (a), and 'set', at
     level 0, a document (a), the size of its set (b) and its packed cells.
@@ -357,7 +357,7 @@ def candidates(rows: DataFrame, level: int, buckets: int) -> DataFrame:
         of = np.concatenate([sig[refine], whole("group", "sigs", 8)])
         sets = {"kind": ["set"] * len(at["set"]), "a": whole("set", "sigs", 8).astype(np.int64), "b": whole("set", "docs", 8).astype(np.int64), "cells": [t["comps"][i] for i in at["set"]], "docs": [None] * len(at["set"])}
         two = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("cells", pa.binary()), ("docs", pa.binary())])
-        packs = pa.Table.from_batches([_bucketed("pair", pairs[:, 0], buckets, ((pairs[:, 0], 8), (pairs[:, 1], 8)), two), _bucketed("group", member, buckets, ((of, 6), (member, 8)), two)])
+        packs = pa.Table.from_batches([_bucketed("pair", pairs[:, 0], homes, ((pairs[:, 0], 8), (pairs[:, 1], 8)), two), _bucketed("group", member, homes, ((of, 6), (member, 8)), two)])
         return pa.concat_tables([pa.table(sets, schema=FOUND_ARROW), packs.add_column(2, "b", pa.nulls(len(packs), pa.int64())).cast(FOUND_ARROW)])
 
     return rows.select("doc_id", "comp", "prefixes", "text").mapInArrow(sign, GROUPED).groupBy("bucket").applyInArrow(meet, FOUND)
@@ -389,7 +389,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n): the size of each document's set, (node, component): the class of each linked document)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    # signatures meet in many small buckets; what is found out goes home to documents in fewer, larger packs
+    buckets, homes = 2 * shuffle_partitions(docs.sparkSession), max(1, shuffle_partitions(docs.sparkSession) // 2)
     sets = links = comps = None
 
     def link(pairs: DataFrame) -> None:
@@ -400,11 +401,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             comps = components(links)
 
     for level in range(LEVELS + 1):
-        found = cut(candidates(rows, level, buckets))
+        found = cut(candidates(rows, level, buckets, homes))
         if not level:
             sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
         link(near(pairs_of(found), sets))
-        mixed = cut(mixed_groups(found, comps, buckets))
+        mixed = cut(mixed_groups(found, comps, homes))
         link(cross_pairs(mixed.where("kind = 'few'"), sets))
         again = cut(to_refine(mixed.where("kind = 'many'")))
         if level == LEVELS or again.isEmpty():
