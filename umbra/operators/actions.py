@@ -127,3 +127,53 @@ def latest_state_check(plans: DataFrame, states: DataFrame) -> DataFrame:
     both = plans.select("session", "ts", "step", "token", F.lit(None).cast("long").alias("state")).unionByName(states.select("session", "ts", "step", F.lit(None).cast("long").alias("token"), "state"))
     latest = F.last("state", ignorenulls=True).over(Window.partitionBy("session").orderBy("ts", "step").rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn("current", latest).where("token is not null").select("session", "step", "token", "current", F.coalesce(F.col("token") != F.col("current"), F.lit(True)).alias("stale"))
+
+
+# Words that commit something, in two languages.
+COMMITS = ("submit", "pay", "pay now", "place order", "confirm", "send", "delete", "remove", "transfer", "apply", "book", "register", "sign up", "upload", "proceed to pay", "checkout", "जमा करें", "भुगतान करें", "भेजें", "हटाएं", "पुष्टि करें", "आवेदन करें", "पंजीकरण करें")
+
+
+def authority_level(actions: DataFrame) -> DataFrame:
+    """(session, step, level, reason, requires_user); actions: action, label, in_form, category, class.
+
+    L0 changes nothing, L1 leads elsewhere, L2 is local, L3 sensitive, L4 a credential, L5 commits.
+    """
+    padded = F.concat(F.lit(" "), F.lower("label"), F.lit(" "))
+    commits = F.exists(F.array(*map(F.lit, COMMITS)), lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
+    a = F.col("action")
+    rules = (
+        (a.isin("wait", "scroll", "done", "fail"), "L0", "NO_DIRECT_CHANGE", False), (a == "navigate", "L1", "NAVIGATE", False), ((a == "click") & commits, "L5", "COMMIT", True),
+        (F.col("category") == "PASSWORD", "L4", "CREDENTIAL", True), (a.isin("type", "select") & F.col("class").isin("high", "never_automated"), "L3", "SENSITIVE_APPROVAL_REQUIRED", True),
+        (a.isin("type", "select") & F.col("category").isNotNull(), "L3", "SENSITIVE_FIELD_OR_TOKEN", False), ((a == "click") & F.col("in_form"), "L5", "UNKNOWN_FORM_BUTTON", True),
+    )
+    level, reason, user = F.lit("L2"), F.lit("LOCAL_CONTROL"), F.lit(False)
+    for on, lv, why, asks in reversed(rules):
+        on = F.coalesce(on, F.lit(False))
+        level, reason, user = F.when(on, lv).otherwise(level), F.when(on, why).otherwise(reason), F.when(on, asks).otherwise(user)
+    return actions.select("session", "step", level.alias("level"), reason.alias("reason"), user.alias("requires_user"))
+
+
+def unmet_requirements(placements: DataFrame, filled: DataFrame) -> DataFrame:
+    """(session, token): required tokens without a field that they were placed in last and that still has a value.
+
+    placements: session, step, field, token; filled: session, field.
+    """
+    newest = Window.partitionBy("session", "field").orderBy(F.desc("step"))
+    last = placements.withColumn("__r", F.row_number().over(newest)).where("__r = 1").join(filled.withColumn("__f", F.lit(True)), ["session", "field"], "left")
+    met = last.groupBy("session", "token").agg(F.bool_or(F.coalesce("__f", F.lit(False))).alias("met"))
+    return placements.select("session", "token").distinct().join(met, ["session", "token"], "left").where("not coalesce(met, false)").select("session", "token")
+
+
+def stable_captures(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(session, fp, step, outcome): the first clean attempt of the first few, else the last complete one, else a refusal; attempts: session, fp, step, clean, complete."""
+    nth = F.row_number().over(Window.partitionBy("session", "fp").orderBy("step"))
+    tried = attempts.withColumn("__n", nth).where(F.col("__n") <= most)
+    rows = tried.groupBy("session", "fp").agg(F.min(F.when(F.col("clean"), F.col("step"))).alias("__c"), F.max(F.when(F.col("complete"), F.col("step"))).alias("__d"))
+    return rows.select("session", "fp", F.coalesce("__c", "__d").alias("step"), F.when(F.col("__c").isNotNull(), "clean").when(F.col("__d").isNotNull(), "complete").otherwise("refused").alias("outcome"))
+
+
+def check_actions(actions: DataFrame, elements: DataFrame) -> DataFrame:
+    """(session, step, fault): the first thing wrong with an action's target; elements: session, eid, fp, visible, enabled."""
+    joined = actions.join(elements.select("session", "eid", F.col("fp").alias("__fp"), "visible", "enabled"), ["session", "eid"], "left")
+    fault = F.when(F.col("__fp").isNull(), "missing").when(F.col("__fp") != F.col("fp"), "changed").when(~F.col("visible"), "not_visible").when(~F.col("enabled"), "disabled")
+    return joined.select("session", "step", fault.alias("fault")).where("fault is not null")

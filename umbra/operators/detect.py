@@ -145,3 +145,26 @@ def merge_spans(detections: DataFrame, policy: DataFrame) -> DataFrame:
 def detection_stats(detections: DataFrame) -> DataFrame:
     """(category, n, n_units, n_certain): counts by category, certain from 0.6 on."""
     return detections.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit_id").alias("n_units"), F.count_if(F.col("confidence") >= 0.6).alias("n_certain"))
+
+
+def drop_structural_values(detections: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """detections whose value is neither the label of its own unit (texts: unit_id, label) nor a phrase of the dictionary."""
+    own = detections.join(texts.select("unit_id", plain_label(F.col("label")).alias("__label")), "unit_id", "left").withColumn("__value", plain_label(F.col("value")))
+    phrases = F.broadcast(labels.select(F.col("phrase").alias("__value")).distinct())  # the fixed dictionary
+    return own.where("__label is null or __label <> __value").join(phrases, "__value", "left_anti").drop("__label", "__value")
+
+
+def residual_label_fallback(bindings: DataFrame, detections: DataFrame) -> DataFrame:
+    """(unit_id, category, span_start, span_end, confidence): labelled values that no detection overlaps; bindings: unit_id, category, span_start, span_end."""
+    d = detections.select("unit_id", F.col("span_start").alias("s"), F.col("span_end").alias("e"))
+    b = bindings.alias("b")
+    free = b.join(d, (F.col("b.unit_id") == d.unit_id) & (F.col("b.span_start") < F.col("e")) & (F.col("s") < F.col("b.span_end")), "left_anti")
+    return free.select("unit_id", "category", "span_start", "span_end", F.lit(0.65).alias("confidence"))
+
+
+def detect_tags(parts: DataFrame) -> DataFrame:
+    """(page_id, seq, category, confidence): parts that their site marks: a password, or something private."""
+    marks = F.split("marks", ",")
+    generic = F.arrays_overlap(marks, F.array(*map(F.lit, ("data-private", "data-pii", "data-hj-suppress", "data-clarity-mask", "rr-mask", "rr-block", "sentry-mask"))))
+    category = F.when(F.array_contains(marks, "type-password"), "PASSWORD").when(generic, "PRIVATE_GENERIC")
+    return parts.select("page_id", "seq", category.alias("category")).where("category is not null").withColumn("confidence", F.when(F.col("category") == "PASSWORD", 1.0).otherwise(0.5))

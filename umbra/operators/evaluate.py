@@ -111,3 +111,16 @@ def probe_log(events: DataFrame) -> DataFrame:
     """events as a log of calls: the type is the fixture, the value its latency, the key's remainders its verdicts."""
     k = F.get_json_object("props", "$.k").cast("long")
     return events.select(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), (k % 2 == 0).alias("schema_valid"), F.when(k % 5 != 0, k % 3 == 0).alias("grounded"), F.when(k % 7 != 0, k % 2 == 1).alias("enforced_ok"))
+
+
+def changed_decisions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(unit_id, span_start, before, after): spans that two policies decide differently."""
+    key = ["unit_id", "span_start"]
+    return a.select(*key, F.col("action").alias("before")).join(b.select(*key, F.col("action").alias("after")), key).where("before <> after")
+
+
+def faceted_counts(truth: DataFrame, hits: DataFrame) -> DataFrame:
+    """(label, construct, tp, fn) for each facet and over each (null); truth also has label and construct."""
+    found = dedup_hits(hits).withColumn("__hit", F.lit(1))
+    joined = truth.join(found, ["unit_id", "ann_id", "category"], "left")
+    return joined.cube("label", "construct").agg(F.count("__hit").alias("tp"), (F.count(F.lit(1)) - F.count("__hit")).alias("fn"))

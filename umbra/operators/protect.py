@@ -141,3 +141,42 @@ def text_budget(units: DataFrame, most: int = 4000) -> DataFrame:
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
     step = lambda a, u: F.when(a.used + u.n <= most, F.struct((a.used + u.n).alias("used"), F.concat(a.kept, F.array(u.unit_id)).alias("kept"))).otherwise(a)
     return units.groupBy("origin").agg(F.aggregate(rows, start, step).alias("b")).select("origin", F.explode("b.kept").alias("unit_id"))
+
+
+def necessity(detections: DataFrame, vault: DataFrame, categories: list[str]) -> DataFrame:
+    """detections with needed_by_task: the value is in the vault already, or the task asks for its category."""
+    held = vault.select("category", "normalized", F.lit(True).alias("__held")).distinct()
+    normal = detections.withColumn("normalized", normalize_value(F.col("category"), F.col("value")))
+    joined = normal.join(held, ["category", "normalized"], "left")
+    return joined.withColumn("needed_by_task", F.coalesce("__held", F.lit(False)) | F.col("category").isin(*categories)).drop("__held")
+
+
+def rehydrate(requests: DataFrame, vault: DataFrame) -> DataFrame:
+    """(request_id, text, reason): all tokens of a text replaced by their values, or the request refused with a reason.
+
+    requests: request_id, action, origin, text. Only `type` and `select` may carry values, only tokens that were issued,
+    and only to an origin where the value was seen.
+    """
+    token = F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
+    asked = requests.withColumn("token", token).join(vault.select("token", "normalized", "origins"), "token", "left")
+    reason = F.when(F.col("token").isNull(), None).when(~F.col("action").isin("type", "select"), "action").when(F.col("normalized").isNull(), "unknown").when(~F.array_contains("origins", F.col("origin")), "origin")
+    rows = asked.withColumn("reason", reason).groupBy("request_id", "text").agg(
+        F.min("reason").alias("reason"), F.array_sort(F.collect_list(F.when(F.col("normalized").isNotNull(), F.struct("token", "normalized")))).alias("pairs")
+    )
+    filled = F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(t, p.token, p.normalized))
+    return rows.select("request_id", F.when(F.col("reason").isNull(), filled).alias("text"), "reason")
+
+
+def mask_plan(decisions: DataFrame) -> DataFrame:
+    """(unit_id, span_start, mask, label): how each protected span is masked, and its label from a closed vocabulary."""
+    mask = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), "LABELLED_FILL").when(F.col("action") == "BLUR", "BLUR").when(F.col("action") == "FILL_REGION", "FILL_REGION").otherwise("FILL")
+    nth = F.row_number().over(Window.partitionBy("unit_id", "category").orderBy("span_start"))
+    label = F.when(mask == "LABELLED_FILL", F.concat(F.lit("["), "category", F.lit("#"), nth.cast("string"), F.lit("]")))
+    return decisions.where("action <> 'ALLOW'").select("unit_id", "span_start", mask.alias("mask"), label.alias("label"))
+
+
+def suppress_secret_values(fields: DataFrame, top: DataFrame) -> DataFrame:
+    """(unit_id, value, has_value): values of fields whose label is that of a secret are nulled; top: unit_id, category."""
+    joined = fields.join(top.select("unit_id", "category"), "unit_id", "left")
+    value = F.when(~F.coalesce(F.col("category").isin(*NEVER_TOKENS), F.lit(False)), F.col("value"))
+    return joined.select("unit_id", value.alias("value"), (F.coalesce("value", F.lit("")) != "").alias("has_value"))

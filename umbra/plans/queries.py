@@ -786,6 +786,108 @@ def d19_fill_state(spark, sf):
     return candidates(spark, sf).select("id", H.fill_state(F.col("category"), F.col("value")).alias("state"))
 
 
+# ---- more of protection, actions and evaluation
+
+
+@query(f"""WITH {DET}, n AS (SELECT unit_id, rule, category, span_start, origin, {normal_sql('category', 'value')} AS normalized FROM det), v AS (SELECT DISTINCT category, normalized FROM n WHERE origin < 'src5')
+  SELECT n.unit_id, n.rule, n.span_start, n.normalized, v.normalized IS NOT NULL OR n.category = 'CARD_NUMBER' AS needed_by_task FROM n LEFT JOIN v USING (category, normalized)""")
+def p2_necessity(spark, sf):
+    found = detections(spark, sf)
+    return P.necessity(found, P.tokenize(found.where("origin < 'src5'"), KEY), ["CARD_NUMBER"]).select("unit_id", "rule", "span_start", "normalized", "needed_by_task")
+
+
+REQUESTS = "req AS (SELECT category || '/' || normalized AS request_id, token, normalized, origins, CASE WHEN length(normalized) % 3 = 0 THEN 'click' ELSE 'type' END AS action, CASE WHEN length(normalized) % 2 = 0 THEN origins[1] ELSE 'elsewhere' END AS origin FROM vault)"
+
+
+@query(f"WITH {DET}, {VAULT}, {REQUESTS} SELECT request_id, CASE WHEN action = 'type' AND origin <> 'elsewhere' THEN 'use ' || normalized || ' and ' || normalized END AS text, CASE WHEN action <> 'type' THEN 'action' WHEN origin = 'elsewhere' THEN 'origin' END AS reason FROM req")
+def p7_rehydrate(spark, sf):
+    held, n = vault(spark, sf), F.length("normalized")
+    requests = held.select(F.concat("category", F.lit("/"), "normalized").alias("request_id"), F.when(n % 3 == 0, "click").otherwise("type").alias("action"), F.when(n % 2 == 0, F.col("origins")[0]).otherwise("elsewhere").alias("origin"), F.concat(F.lit("use "), "token", F.lit(" and "), "token").alias("text"))
+    return P.rehydrate(requests, held)
+
+
+@query(f"""WITH {ORDERED} SELECT unit_id, span_start, CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN 'LABELLED_FILL' WHEN action IN ('BLUR', 'FILL_REGION') THEN action ELSE 'FILL' END AS mask,
+  CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN '[' || category || '#' || row_number() OVER (PARTITION BY unit_id, category ORDER BY span_start) || ']' END AS label FROM decided WHERE action <> 'ALLOW'""")
+def p12_mask_plan(spark, sf):
+    return P.mask_plan(decided(spark, sf))
+
+
+@query(f"""WITH {LABELS}, {LABELLED}, t AS (SELECT unit_id, label AS text FROM labelled), top AS (SELECT unit_id, category FROM {label_match_sql('t')} WHERE rank = 1)
+  SELECT unit_id, CASE WHEN coalesce(category IN ('PASSWORD', 'OTP', 'CVV', 'UPI_PIN', 'SECRET'), FALSE) THEN NULL ELSE name END AS value, name <> '' AS has_value FROM labelled LEFT JOIN top USING (unit_id)""")
+def p19_suppress_secret_values(spark, sf):
+    fields = labelled(spark, sf)
+    top = D.match_labels(fields.withColumnRenamed("label", "text"), R.load_labels(spark)).where("rank = 1")
+    return P.suppress_secret_values(fields.select("unit_id", F.col("name").alias("value")), top)
+
+
+@query(f"WITH {LABELS}, {LABELLED} SELECT unit_id, label AS value FROM labelled WHERE seq % 3 <> 2 AND {PLAIN.format(x='label')} NOT IN (SELECT phrase FROM labels_d) AND seq % 2 = 0 UNION ALL SELECT unit_id, name FROM labelled WHERE seq % 2 = 1")
+def d10_drop_structural_values(spark, sf):
+    rows, even = labelled(spark, sf), F.col("seq") % 2 == 0
+    values = rows.select("unit_id", F.when(even, F.col("label")).otherwise(F.col("name")).alias("value"))
+    labels_of = rows.select("unit_id", F.when(even & (F.col("seq") % 3 != 2), "other").otherwise(F.when(even, F.col("label")).otherwise("other")).alias("label"))
+    return D.drop_structural_values(values, labels_of, R.load_labels(spark))
+
+
+@query(f"""WITH {FOUND} SELECT unit_id, category, span_start, span_end, CAST(0.65 AS DOUBLE) AS confidence FROM truth t WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.category IN ('EMAIL', 'PAN') AND f.unit_id = t.unit_id AND t.span_start < f.span_end AND f.span_start < t.span_end)""")
+def d17_residual_label_fallback(spark, sf):
+    return D.residual_label_fallback(truth(spark, sf).select("unit_id", "category", "span_start", "span_end"), found(spark, sf).where("category in ('EMAIL', 'PAN')"))
+
+
+@query()
+def d8_detect_tags(spark, sf):
+    return D.detect_tags(parts(spark, sf))
+
+
+ACTS = """acts AS (SELECT session, step, (['wait', 'navigate', 'click', 'type', 'select'])[(fp % 5 + 1)::INT] AS action, (['Pay now', 'Open', 'please confirm it', 'Payment'])[(step % 4 + 1)::INT] AS label, step % 3 = 0 AS in_form,
+  CASE WHEN fp % 7 = 0 THEN 'PASSWORD' WHEN fp % 7 = 1 THEN 'PAN' WHEN fp % 7 = 2 THEN 'EMAIL' END AS category, CASE WHEN fp % 7 = 0 THEN 'credential' WHEN fp % 7 = 1 THEN 'high' WHEN fp % 7 = 2 THEN 'medium' END AS class FROM log)"""
+
+
+@query(f"""WITH {LOG}, {ACTS}, l AS (SELECT *, CASE WHEN action = 'wait' THEN 0 WHEN action = 'navigate' THEN 1 WHEN action = 'click' AND label IN ('Pay now', 'please confirm it') THEN 2 WHEN category = 'PASSWORD' THEN 3
+    WHEN action IN ('type', 'select') AND class = 'high' THEN 4 WHEN action IN ('type', 'select') AND category IS NOT NULL THEN 5 WHEN action = 'click' AND in_form THEN 6 ELSE 7 END AS i FROM acts)
+  SELECT session, step, (['L0', 'L1', 'L5', 'L4', 'L3', 'L3', 'L5', 'L2'])[i + 1] AS level, (['NO_DIRECT_CHANGE', 'NAVIGATE', 'COMMIT', 'CREDENTIAL', 'SENSITIVE_APPROVAL_REQUIRED', 'SENSITIVE_FIELD_OR_TOKEN', 'UNKNOWN_FORM_BUTTON', 'LOCAL_CONTROL'])[i + 1] AS reason, i IN (2, 3, 4, 6) AS requires_user FROM l""")
+def a3_authority_level(spark, sf):
+    k, pick = F.col("fp"), lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    seven = lambda a, b, c: F.when(k % 7 == 0, a).when(k % 7 == 1, b).when(k % 7 == 2, c)
+    rows = log(spark, sf).select("session", "step", pick(("wait", "navigate", "click", "type", "select"), k % 5).alias("action"), pick(("Pay now", "Open", "please confirm it", "Payment"), F.col("step") % 4).alias("label"), (F.col("step") % 3 == 0).alias("in_form"), seven("PASSWORD", "PAN", "EMAIL").alias("category"), seven("credential", "high", "medium").alias("class"))
+    return A.authority_level(rows)
+
+
+@query(f"""WITH {LOG}, p AS (SELECT session, step, fp % 10 AS field, action AS token FROM log), l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY session, field ORDER BY step DESC) = 1),
+  m AS (SELECT session, token, bool_or(field % 2 = 0) AS met FROM l GROUP BY ALL) SELECT DISTINCT p.session, p.token FROM p LEFT JOIN m USING (session, token) WHERE NOT coalesce(met, FALSE)""")
+def a5_unmet_requirements(spark, sf):
+    placements = log(spark, sf).select("session", "step", (F.col("fp") % 10).alias("field"), F.col("action").alias("token"))
+    return A.unmet_requirements(placements, placements.where("field % 2 = 0").select("session", "field").distinct())
+
+
+@query(f"""WITH {LOG}, t AS (SELECT *, row_number() OVER (PARTITION BY session, fp ORDER BY step) AS n FROM log), r AS (SELECT session, fp, min(step) FILTER (verdict = 'pass') AS c, max(step) FILTER (verdict <> 'fail') AS d FROM t WHERE n <= 3 GROUP BY ALL)
+  SELECT session, fp, coalesce(c, d, -1) AS step, CASE WHEN c IS NOT NULL THEN 'clean' WHEN d IS NOT NULL THEN 'complete' ELSE 'refused' END AS outcome FROM r""")
+def a17_stable_captures(spark, sf):
+    attempts = log(spark, sf).select("session", "fp", "step", (F.col("verdict") == "pass").alias("clean"), (F.col("verdict") != "fail").alias("complete"))
+    return A.stable_captures(attempts).fillna(-1, "step")
+
+
+@query(f"""WITH {LOG}, e AS (SELECT session, fp % 20 AS eid, min(fp) AS fp, count(*) % 2 = 0 AS visible, count(*) % 3 = 0 AS enabled FROM log WHERE step % 4 <> 0 GROUP BY session, fp % 20)
+  SELECT * FROM (SELECT l.session, l.step, CASE WHEN e.fp IS NULL THEN 'missing' WHEN e.fp <> l.fp THEN 'changed' WHEN NOT visible THEN 'not_visible' WHEN NOT enabled THEN 'disabled' END AS fault FROM log l LEFT JOIN e ON e.session = l.session AND e.eid = l.fp % 20) WHERE fault IS NOT NULL""")
+def a2_check_actions(spark, sf):
+    rows = log(spark, sf).withColumn("eid", F.col("fp") % 20)
+    elements = rows.where("step % 4 <> 0").groupBy("session", "eid").agg(F.min("fp").alias("fp"), (F.count(F.lit(1)) % 2 == 0).alias("visible"), (F.count(F.lit(1)) % 3 == 0).alias("enabled"))
+    return A.check_actions(rows, elements)
+
+
+@query(f"WITH {ORDERED} SELECT d.unit_id, d.span_start, d.action AS before, CASE WHEN r.class = 'high' THEN d.action ELSE 'FILL' END AS after FROM decided d JOIN resolved r USING (unit_id, span_start) WHERE d.action <> CASE WHEN r.class = 'high' THEN d.action ELSE 'FILL' END")
+def e9_policy_ablation(spark, sf):
+    policy = R.load_policy(spark)
+    stricter = P.decide(ordered(spark, sf).withColumn("needed_by_task", F.lit(False)), policy, k=2)
+    return E.changed_decisions(decided(spark, sf), stricter)
+
+
+@query(f"""WITH {HITS}, t AS (SELECT *, CASE WHEN length(value) % 2 = 0 THEN 'labelled' ELSE 'misleading' END AS label, CASE WHEN span_start < 60 THEN 'table' ELSE 'prose' END AS construct FROM truth)
+  SELECT label, construct, count(u.unit_id) AS tp, count(*) - count(u.unit_id) AS fn FROM t LEFT JOIN (SELECT * FROM uniq WHERE category <> 'PAN') u ON u.unit_id = t.unit_id AND u.ann_id = t.ann_id AND u.category = t.category GROUP BY CUBE (label, construct)""")
+def e17_faceted_metrics(spark, sf):
+    t = truth(spark, sf).withColumns({"label": F.when(F.length("value") % 2 == 0, "labelled").otherwise("misleading"), "construct": F.when(F.col("span_start") < 60, "table").otherwise("prose")})
+    return E.faceted_counts(t, hits(spark, sf).where("category <> 'PAN'"))
+
+
 @query(f"""WITH {REDACTED} SELECT origin, count(*) AS n_units, CAST(sum(n_redacted) AS BIGINT) AS n_redacted, CAST(sum(length(text_redacted)) AS BIGINT) AS n_chars FROM red GROUP BY origin""")
 def flagship_redaction(spark, sf):
     """Texts of every origin, redacted: units, redactions and characters left."""
