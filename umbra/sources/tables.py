@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Closed schemas: what doesn't fit is kept in _corrupt_record, never inferred.
@@ -50,3 +52,14 @@ def to_units(documents: DataFrame, conversations: DataFrame, pages: DataFrame) -
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_units(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), table(spark, sf_dir, "pages"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read from there: for small results of long scans that are used again.
+
+    The folder is that of spark.checkpoint.dir; where it is unset, as in tests, a temporary one is made.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
