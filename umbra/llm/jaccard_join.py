@@ -232,11 +232,10 @@ def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
     only pairs that pass leave it. Documents of the largest class are compared with the others alone.
     """
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for home, docs, comps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, comp = _whole([docs], 8).astype(np.int64), _whole([comps], 8).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), home)), pa.array(doc), pa.array(comp)], names=["home", "doc_id", "comp"])
+    def members(rows: pa.Table) -> pa.Table:
+        doc, first = np.unique(_whole(rows["docs"].to_pylist(), 8).astype(np.int64), return_index=True)
+        comp = _whole(rows["comps"].to_pylist(), 8).astype(np.int64)[first]
+        return pa.table({"home": np.full(len(doc), rows["home"][0].as_py()), "doc_id": doc, "comp": comp})
 
     def pair(rows: pa.Table) -> pa.Table:
         doc, comp, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "n"))
@@ -254,7 +253,7 @@ def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    held = few.select("home", "docs", "comps").mapInArrow(unpack, "home long, doc_id long, comp long").distinct()
+    held = few.select("home", "docs", "comps").groupBy("home").applyInArrow(members, "home long, doc_id long, comp long")
     return held.join(sets, "doc_id").select("home", "doc_id", "comp", "n", "cells").groupBy("home").applyInArrow(pair, "a long, b long").distinct()
 
 
