@@ -15,6 +15,9 @@ SKIPPED = ("script", "style", "template", "noscript")
 ROLES = {"a": "link", "button": "button", "input": "textbox", "select": "combobox", "textarea": "textbox", "summary": "button"}
 MEDIA = {"img": "img", "canvas": "canvas", "video": "video", "embed": "embed", "object": "object", "iframe": "iframe"}
 MARKS = ("data-private", "data-pii", "data-hj-suppress", "data-clarity-mask", "rr-mask", "rr-block", "sentry-mask")
+#: What an opening tag closes first when it is still open.
+CLOSES = {t: ("p",) for t in ("p", "ul", "ol", "dl", "div", "table", "section", "article", "header", "footer", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "form", "pre")} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+CONTAINERS = ("ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "div", "section", "article", "li", "dd", "body")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 PARTS = "page_id long, kind string, seq int, tag string, role string, text string, attr string, hidden string, marks string"
@@ -30,13 +33,19 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in CLOSES.get(tag, ()):
+                del self.stack[i:]
+                break
+            if self.stack[i][0] in CONTAINERS:
+                break
         style = a.get("style", "").replace(" ", "").lower()
         reasons = [("aria-hidden", a.get("aria-hidden") == "true"), ("inert", "inert" in a), ("display", "display:none" in style), ("visibility", "visibility:hidden" in style), ("opacity", "opacity:0;" in style + ";")]
         above = self.stack[-1] if self.stack else (None, None, None, ())
         hidden = above[2] or next((name for name, on in reasons if on), None)
         marks = tuple(dict.fromkeys([*above[3], *(m for m in MARKS if m in a), *(["autocomplete-cc"] if a.get("autocomplete", "").lower().startswith("cc-") else []), *(["type-password"] if tag == "input" and a.get("type", "").lower() == "password" else [])]))
         part = None
-        if tag in BLOCKS and not (tag == "p" and above[0] == "p"):
+        if tag in BLOCKS:
             part = self._add("block", tag, BLOCKS[tag], "", "", hidden, marks)
         if tag in ROLES and (tag != "a" or "href" in a):
             own = self._add("element", tag, a.get("role") or ROLES[tag], a.get("aria-label") or a.get("title") or a.get("placeholder") or "", a.get("href") or a.get("autocomplete") or "", hidden, marks)
