@@ -73,7 +73,8 @@ def score_rules(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their failing lines removed; columns as in docs."""
-    kept = score_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    scored = score_rules(docs.select(F.struct("*").alias("__doc"), "text"))
+    # through a generator, for a plain filter would be pushed below the scoring, which would then run twice
+    verdict = scored.select("__doc", F.inline(F.array(F.struct(F.col("kept").alias("__kept"), F.col("clean_text").alias("__clean"))))).where("__kept")
+    changed = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
+    return verdict.select(*[changed.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
