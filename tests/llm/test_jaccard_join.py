@@ -73,3 +73,26 @@ def test_empty_and_one_kept(docs, no_docs):
     assert J.linked(no_docs).count() == 0
     kept = {r.doc_id for r in J.keep_one(docs).select("doc_id").collect()}
     assert 1 in kept and None in kept and not kept & {2, 3, 8, 12, 18}
+
+
+def test_copies_never_meet_and_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "LEVELS", 1)
+    monkeypatch.setattr(J, "PAIRS", 200)
+    signed, tasks = [], []
+    candidates, mixed_groups = J.candidates, J.mixed_groups
+    monkeypatch.setattr(J, "candidates", lambda rows, *a: signed.append(rows.count()) or candidates(rows, *a))
+    monkeypatch.setattr(J, "mixed_groups", lambda *a: tasks.append(mixed_groups(*a)) or tasks[-1])
+    rows = family(60)
+    rows += [(5000 + i, rows[3][1], "en", "a") for i in range(300)] + [(7000, "an id with two texts here", "en", "a"), (7001, "an id with two texts here", "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in J.linked(df).collect()} == brute(rows)
+    assert signed[0] <= 61
+    sizes = [r for m in tasks for r in J.block_members(m.where("kind <> 'many'")).groupBy("home", "block", "side").count().collect()]
+    assert {0, 1} <= {r.side for r in sizes} and max(r["count"] for r in sizes) <= 16
+
+
+def test_an_id_with_two_texts_ties_their_copies(spark):
+    one, two = "a b c d e f g", "h i j k l m n"
+    df = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in J.linked(df).collect()} == {(1, 1), (2, 1), (3, 1)}

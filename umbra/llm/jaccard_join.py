@@ -8,10 +8,11 @@ non-empty partitions of the one whose k + 1st comes first at least one has the s
 the pair shares the signature (instance, partition, features in it). A set with too few non-empty partitions
 has all of them and one signature more that all such sets share. So no link is missed.
 
-A group of a signature gives the pairs with its smallest member first. Where verified links don't make it one
-class, the pairs of different classes follow; if it is large, its members are signed again before that under
-another partitioning, together with the group's signature, which enumerates subsets of two, three, ...
-partitions. Candidate pairs are held against counts of features by 1024 cells of the domain, which bound the
+Documents with equal sets are one: only the smallest id of them is signed, and the others join its class at
+the end. A group of a signature gives the pairs with its smallest member first. Where verified links don't make
+it one class, the pairs of different classes follow, by blocks of members; if it is large, its members are signed
+again before that under another partitioning, together with the group's signature, which enumerates subsets of
+two, three, ... partitions. Candidate pairs are held against counts of features by 1024 cells of the domain, which bound the
 difference of the sets from below, and what is left is verified on the texts.
 """
 
@@ -31,10 +32,14 @@ from umbra.llm.kernels import mix64, shingle_sets
 #: Groups of up to so many sets give all their pairs at once; larger ones the pairs with their smallest member.
 SMALL = 6
 #: A mixed group whose members outside its largest class make up to so many pairs with the others has their cells
-#: compared within a task; beyond, the group is refined first.
+#: compared; beyond, the group is refined first.
 PAIRS = 4_000_000
+#: A task compares the cells of two blocks of about so many members of a group.
+BLOCK = 2000
+#: Up to so many documents that repeat others are broadcast; more are joined by shuffle.
+COPIES = 500_000
 CELLS = 1024
-#: Levels of refinement before a group that is still large and mixed gives all its pairs.
+#: Levels of refinement before all blocks of a group that is still large and mixed are compared.
 LEVELS = 5
 #: Partitions of an instance for each feature of its largest set.
 DENSITY = 0.27
@@ -130,6 +135,31 @@ def cells_of(features: np.ndarray) -> bytes:
     return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
 
 
+def set_hashes(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, h1, h2): the size and a 128-bit hash of each document's set."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(x), x.sum(dtype=np.uint64), mix64(x ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)) for x in shingle_sets(batch.column(1))]
+            n, h1, h2 = (np.array([f[i] for f in found], np.uint64).astype(np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "h1", "h2"])
+
+    return texts.select("doc_id", "text").mapInArrow(hashed, "doc_id long, n long, h1 long, h2 long")
+
+
+def equal_sets(hashes: DataFrame) -> DataFrame:
+    """(doc_id, rep): documents whose set equals that of a smaller id, with the smallest such id."""
+    key = ["n", "h1", "h2"]
+    groups = hashes.where("n > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    return few_broadcast(groups, hashes, key).where("doc_id <> rep").select("doc_id", "rep").distinct()
+
+
+def few_broadcast(some: DataFrame, to: DataFrame, key: list[str] | str, how: str = "inner") -> DataFrame:
+    """to joined with some, which is broadcast if it has up to COPIES rows."""
+    some = cut(some)
+    return to.join(F.broadcast(some) if some.count() <= COPIES else some, key, how)
+
+
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose cells don't already differ by more than linked sets can; sets: doc_id, n, cells."""
 
@@ -178,12 +208,35 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.where("kind = 'pair'").select("a", "cells", "docs").groupBy("a").applyInArrow(unpack, "a long, b long")
 
 
-def mixed_groups(found: DataFrame, comps: DataFrame, homes: int) -> DataFrame:
+def _blocks(members: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], most: int, shift: int = 0) -> Iterator[tuple]:
+    """(kind, block, docs, comps): members (left) by blocks of about `most` against others (right); both are (docs, comps).
+
+    Blocks are by the hash of the document and the power of two that their number is, so that groups with the
+    same smallest member and much the same others have the same blocks.
+    """
+    hashed = [mix64(doc.astype(np.uint64)) >> np.uint64(shift) for doc, _ in (members, others)]
+    numbers = [1 << int(np.ceil(np.log2(max(1.0, len(h) / most)))) for h in hashed]
+    left, right = (h % np.uint64(k) for h, k in zip(hashed, numbers, strict=True))
+    for i in range(numbers[0]):
+        for j in range(numbers[1]):
+            key = np.array([*numbers, i, j], "<i4").tobytes()
+            yield "left", key, members[0][left == i], members[1][left == i]
+            yield "right", key, others[0][right == j], others[1][right == j]
+
+
+def _outside(comp: np.ndarray) -> np.ndarray:
+    """Which members are outside the largest class."""
+    _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return which != count.argmax()
+
+
+def mixed_groups(found: DataFrame, comps: DataFrame, homes: int, most: int = PAIRS) -> DataFrame:
     """(kind, home, sigs, docs, comps): groups of a signature that hold more than one class.
 
     Memberships are packed throughout: they meet their documents' classes by the document, then each other by the
-    signature. 'few': the members of groups with the same smallest member, home. 'many': memberships of groups
-    with too many pairs between classes, home is the bucket of the document.
+    signature. 'few': the members of groups with the same smallest member, home; 'left' and 'right': those of larger
+    groups by blocks (sigs). 'many': memberships of groups with over `most` pairs between classes, home is the
+    bucket of the document.
     """
 
     def attach(groups: pa.Table, known: pa.Table) -> pa.Table:
@@ -210,14 +263,21 @@ def mixed_groups(found: DataFrame, comps: DataFrame, homes: int) -> DataFrame:
         largest = np.maximum.reduceat(size, np.searchsorted(run, start))
         outside = (count - largest) * count
         by_least: dict[int, dict[int, int]] = {}
-        for i in np.flatnonzero((outside > 0) & (outside <= PAIRS)):
+        by_block: dict[tuple[str, int, bytes], dict[int, int]] = {}
+        for i in np.flatnonzero((outside > 0) & (outside <= most)):
             some = slice(start[i], start[i] + count[i])
+            if count[i] > BLOCK:
+                out = _outside(comp[some])
+                for kind, key, d, c in _blocks((doc[some], comp[some]), (doc[some][out], comp[some][out]), BLOCK):
+                    by_block.setdefault((kind, int(doc[some].min()), key), {}).update(zip(d.tolist(), c.tolist(), strict=True))
+                continue
             by_least.setdefault(int(doc[some].min()), {}).update(zip(doc[some].tolist(), comp[some].tolist(), strict=True))
+        groups = {**{("few", least, b""): h for least, h in by_least.items()}, **by_block}
         few = pa.RecordBatch.from_arrays([
-            pa.array(["few"] * len(by_least), pa.string()), pa.array(list(by_least), pa.int64()), pa.array([b""] * len(by_least), pa.binary()),
-            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in by_least.values()], pa.binary()) for f in (dict.keys, dict.values)),
+            *(pa.array([k[i] for k in groups], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))),
+            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in groups.values()], pa.binary()) for f in (dict.keys, dict.values)),
         ], schema=THREE)
-        many = np.repeat(outside > PAIRS, count)
+        many = np.repeat(outside > most, count)
         return pa.Table.from_batches([few, _bucketed("many", doc[many], homes, ((sig[many], 6), (doc[many], 8), (comp[many], 8)), THREE)])
 
     groups = found.where("kind = 'group'").select(F.col("a").alias("home"), "cells", "docs")
@@ -225,36 +285,67 @@ def mixed_groups(found: DataFrame, comps: DataFrame, homes: int) -> DataFrame:
     return groups.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(attach, THREE_SQL).groupBy("home").applyInArrow(mixed, THREE_SQL)
 
 
-def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes whose cells may be linked, among members of groups with the same smallest member.
+def block_members(few: DataFrame) -> DataFrame:
+    """(home, block, side, doc_id, comp): members of groups with the same smallest member, home, by the tasks to compare them in.
 
-    Such groups mostly are the same documents. They meet in one task with one copy of each document's cells, and
-    only pairs that pass leave it. Documents of the largest class are compared with the others alone.
+    side 0 is compared with side 1; those of side 2 are a whole group. Blocks that many groups have made large are split again.
     """
 
     def members(rows: pa.Table) -> pa.Table:
-        doc, first = np.unique(_whole(rows["docs"].to_pylist(), 8).astype(np.int64), return_index=True)
-        comp = _whole(rows["comps"].to_pylist(), 8).astype(np.int64)[first]
-        return pa.table({"home": np.full(len(doc), rows["home"][0].as_py()), "doc_id": doc, "comp": comp})
+        out = []
+        home, block = rows["home"][0].as_py(), rows["sigs"][0].as_py()
+
+        def add(key: bytes, side: int, doc: np.ndarray, comp: np.ndarray) -> None:
+            n = len(doc)
+            out.append(pa.table({"home": np.full(n, home, np.int64), "block": pa.array([key] * n, pa.binary()), "side": np.full(n, side, np.int32), "doc_id": doc, "comp": comp}))
+
+        held = {}
+        for kind in ("left", "right", "few"):
+            some = rows.filter(pa.array([k == kind for k in rows["kind"].to_pylist()], pa.bool_()))
+            doc, first = np.unique(_whole(some["docs"].to_pylist(), 8).astype(np.int64), return_index=True)
+            held[kind] = doc, _whole(some["comps"].to_pylist(), 8).astype(np.int64)[first]
+        doc, comp = held["few"]
+        if 0 < len(doc) <= BLOCK:
+            add(block, 2, doc, comp)
+        elif len(doc):
+            away = _outside(comp)
+            held = {"left": (doc, comp), "right": (doc[away], comp[away])}
+        if len(held["left"][0]):
+            for kind, key, d, c in _blocks(held["left"], held["right"], BLOCK, 32):
+                add(block + key, ("left", "right").index(kind), d, c)
+        return pa.concat_tables(out)
+
+    return few.select("home", "sigs", "kind", "docs", "comps").groupBy("home", "sigs").applyInArrow(members, "home long, block binary, side int, doc_id long, comp long")
+
+
+def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes whose cells may be linked, among members of groups with the same smallest member.
+
+    Such groups mostly are the same documents. Blocks of them meet in one task with one copy of each document's
+    cells, and only pairs that pass leave it. Documents of the largest class are compared with the others alone.
+    """
 
     def pair(rows: pa.Table) -> pa.Table:
-        doc, comp, n = (rows[c].to_numpy() for c in ("doc_id", "comp", "n"))
+        side, doc, comp, n = (rows[c].to_numpy() for c in ("side", "doc_id", "comp", "n"))
         cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["cells"].to_pylist()]).astype(np.int16)
         names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-        big = which == count.argmax()
-        order = np.concatenate([np.flatnonzero(big), np.flatnonzero(~big)])
-        doc, which, n, cells = doc[order], which[order], n[order], cells[order]
+        # a whole group: the largest class first, each of the others against all before it; two blocks: left first
+        first = side == 0 if (side < 2).any() else which == count.argmax()
+        order = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])
+        doc, which, n, cells, side = doc[order], which[order], n[order], cells[order], side[order]
+        lefts = int(first.sum())
         found = [np.zeros((0, 2), np.int64)]
-        for i in range(int(big.sum()), len(doc)):
-            j = np.flatnonzero((which[:i] != which[i]) & (9 * np.abs(n[:i] - n[i]) <= n[:i] + n[i]))
+        for i in range(lefts, len(doc)):
+            end = i if side[i] == 2 else lefts
+            j = np.flatnonzero((which[:end] != which[i]) & (9 * np.abs(n[:end] - n[i]) <= n[:end] + n[i]))
             for some in np.array_split(j, len(j) // 4000 + 1):
                 ok = some[9 * np.abs(cells[some] - cells[i]).sum(1, dtype=np.int64) <= n[some] + n[i]]
                 found.append(np.stack([np.maximum(doc[ok], doc[i]), np.minimum(doc[ok], doc[i])], 1))
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    held = few.select("home", "docs", "comps").groupBy("home").applyInArrow(members, "home long, doc_id long, comp long")
-    return held.join(sets, "doc_id").select("home", "doc_id", "comp", "n", "cells").groupBy("home").applyInArrow(pair, "a long, b long").distinct()
+    with_cells = block_members(few).join(sets, "doc_id").select("home", "block", "side", "doc_id", "comp", "n", "cells")
+    return with_cells.groupBy("home", "block").applyInArrow(pair, "a long, b long").distinct()
 
 
 def to_refine(many: DataFrame) -> DataFrame:
@@ -284,7 +375,7 @@ def candidates(rows: DataFrame, level: int, buckets: int, homes: int) -> DataFra
     rows: doc_id, comp (its class so far), prefixes (signatures of the groups to refine; 0 for none), text. A task
     first meets its own rows: of a signature that many of them share it passes on the smallest alone.
     """
-    small = 1 << 62 if level == LEVELS else SMALL
+    small = SMALL
     packed = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("sigs", "docs", "comps", "sizes", "joined")), ("kind", pa.string())])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -317,14 +408,14 @@ def candidates(rows: DataFrame, level: int, buckets: int, homes: int) -> DataFra
             many = np.zeros(len(s), bool)
             many[order] = np.repeat(np.diff(np.concatenate([start, [len(s)]])) > small, np.diff(np.concatenate([start, [len(s)]])))
             send, joined = ~many, np.zeros(len(s), bool)
-            if level < LEVELS and many.any():
+            if many.any():
                 at = np.flatnonzero(many)
                 at = at[np.lexsort((doc[at], sig[at]))]
                 lead = np.concatenate([[True], sig[at][1:] != sig[at][:-1]])
                 send[at[lead]] = joined[at[lead]] = True
                 a, b, _ = _pairs(sig[at], doc[at], comp[at], size[at], small, joined[at])
                 local = np.unique(np.stack([doc[at][a], doc[at][b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                home = int(sig[at][0] % np.uint64(buckets))
+                home = int(mix64(ids[:1].astype(np.uint64))[0] % np.uint64(buckets))  # by the run, not by the group, which many runs have
                 for kind, x, y in (("pair", local[:, 0], local[:, 1]), ("group", sig[at], doc[at])):
                     yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), *(pa.array([v], pa.binary()) for v in (_planes(x, 8), _planes(y, 8), b"", b"", b"")), pa.array([kind])], schema=packed)
             else:
@@ -387,6 +478,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n): the size of each document's set, (node, component): the class of each linked document)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    hashes = cut(set_hashes(texts))
+    copies = cut(equal_sets(hashes))
+    # an id that is repeated with another text may stand for that one's set and stays
+    gone = copies.select("doc_id").distinct().join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    texts = few_broadcast(gone, texts, "doc_id", "left_anti")
     rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
     # signatures meet in many small buckets; what is found out goes home to documents in fewer, larger packs
     buckets, homes = 2 * shuffle_partitions(docs.sparkSession), max(1, shuffle_partitions(docs.sparkSession) // 2)
@@ -404,13 +500,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not level:
             sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
         link(near(pairs_of(found), sets))
-        mixed = cut(mixed_groups(found, comps, homes))
-        link(cross_pairs(mixed.where("kind = 'few'"), sets))
+        mixed = cut(mixed_groups(found, comps, homes, PAIRS if level < LEVELS else 1 << 62))
+        link(cross_pairs(mixed.where("kind <> 'many'"), sets))
         again = cut(to_refine(mixed.where("kind = 'many'")))
-        if level == LEVELS or again.isEmpty():
+        if again.isEmpty():
             break
         rows = texts.join(again, "doc_id").select("doc_id", "comp", "prefixes", "text")
-    return sets.select("doc_id", "n"), comps
+    return hashes.select("doc_id", "n").dropDuplicates(["doc_id"]), with_copies(comps, copies)
+
+
+def with_copies(comps: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, component): the classes with those of the documents that have equal sets joined in."""
+    several = copies.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    both = several.unionByName(copies.join(copies.select(F.col("rep").alias("r")).distinct(), F.col("doc_id") == F.col("r")).select("doc_id"))
+    if not both.isEmpty():  # ids repeated with other texts tie classes together
+        return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    # a small id's class is asked once for all its copies
+    heads = copies.select("rep").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    joined = few_broadcast(heads, copies, "rep").select(F.col("doc_id").alias("node"), "component")
+    return comps.unionByName(joined).unionByName(heads.select(F.col("rep").alias("node"), "component")).distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
