@@ -15,6 +15,15 @@ def test_quality_rules(docs, no_docs):
     assert Q.clean(docs).columns == docs.columns
 
 
+def test_one_phrase_does_not_fail_a_long_line(spark):
+    long = prose(9, 400).replace("\n", " ")
+    quotes = "Elle dit « bonjour » et puis « merci » avant de partir."
+    rows = [(1, long + " Click here to read more."), (2, long + "\n" + quotes + "\nEr sagte »ja« und dann »nein« zu ihr.\nHome » Shop » Shoes\nRead more about our privacy policy."), (3, long + " a | b | c")]
+    got = {r.doc_id: r for r in Q.score_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].clean_text == rows[0][1] and got[3].clean_text == rows[2][1]
+    assert got[2].n_lines_removed == 2 and quotes in got[2].clean_text and "»nein«" in got[2].clean_text
+
+
 def test_lines_go_first(spark):
     good = prose(9, 81)
     rows = [(1, good + "\nHome | About | Contact"), (2, "Home | About | Contact\n" * 40 + "One sentence stays here."), (3, good + "\nAll rights reserved.\n### ### %%%")]

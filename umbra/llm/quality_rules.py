@@ -17,6 +17,10 @@ MIN_KEPT_PERCENT = 50
 NOISE = r"[#*$%&|<>!~^=_{}\\]"
 #: Two separators make a line a menu.
 NAVIGATION = r"(?s)[|»›•].*[|»›•]"
+#: Guillemets that quote, opening either way, separate nothing.
+QUOTED = "«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹"
+#: A line with more words than so many for each separator is no menu, one with more for each phrase no boilerplate.
+WORDS_A_SEPARATOR, WORDS_A_PHRASE = 10, 40
 #: A line of one or two words must end a sentence.
 SENTENCE_END = r"""[.!?:;…]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 BOILERPLATE = (
@@ -29,7 +33,11 @@ def line_fails(line: Column) -> Column:
     """True for a line that is noise, a menu, a stub or boilerplate; lines without a word never fail."""
     noisy = F.regexp_count(line, F.lit(NOISE)) * 10 > F.length(line)
     stub = ~line.rlike(SENTENCE_END) & ~line.rlike(f"{WORD}[{SPACE}]+{WORD}[{SPACE}]+{WORD}")
-    return line.rlike(WORD) & (noisy | line.rlike(NAVIGATION) | stub | line.rlike(BOILERPLATE))
+    words = F.regexp_count(line, F.lit(WORD))
+    bare = F.regexp_replace(line, QUOTED, " ")
+    menu = line.rlike(NAVIGATION) & bare.rlike(NAVIGATION) & (F.regexp_count(bare, F.lit("[|»›•]")) * WORDS_A_SEPARATOR >= words)
+    plate = line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * WORDS_A_PHRASE >= words)
+    return line.rlike(WORD) & (noisy | menu | stub | plate)
 
 
 def word_chars(text: Column) -> Column:
