@@ -102,6 +102,16 @@ def test_neutralize_and_urls(spark):
     assert (got[0].u, got[1].u) == ("https://h.org/a/:id/b", "")
 
 
+def test_known_values_in_other_forms(spark):
+    texts = ["write to john@x.com.", "call +91 98765 43210 now", "(John@X.com)", "nothing 98765", "[[PII:PHONE:aaaaaa22]] 9876543 21", "pay 1,234,567.00 today"]
+    units = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "unit_id string, text string")
+    known = [("EMAIL", "john@x.com", "John@x.com"), ("PHONE", "9876543210", "+91 98765-43210"), ("AMOUNT", "1234567", "1,234,567")]
+    vault = spark.createDataFrame(known, "category string, normalized string, value string")
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    want = {(str(i), c) for i, x in enumerate(texts) for c, n, v in known if n in x.lower() or v.lower() in x.lower() or any(len(digits(f)) >= 7 and digits(f) in digits(x) for f in (n, v))}
+    assert {(r.unit_id, r.category) for r in L.known_value_leaks(units, vault).collect()} == want == {("0", "EMAIL"), ("1", "PHONE"), ("2", "EMAIL"), ("5", "AMOUNT")}
+
+
 def test_audit(spark):
     units = spark.createDataFrame([("1", "o", "x a@b.org"), ("2", "o", "[[PII:EMAIL:aaaaaaaa]]")], "unit_id string, origin string, text string")
     none = spark.createDataFrame([], "unit_id string, category string")

@@ -8,6 +8,8 @@ from umbra.operators.detect import scan
 from umbra.operators.protect import TOKEN
 
 CHECKS = ("schema", "rule-scan", "known-value", "unknown-token", "coverage", "digest")
+#: Fewer digits stand in any text by chance.
+MIN_DIGITS = 7
 
 
 def rescan_rules(sanitized: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -17,15 +19,30 @@ def rescan_rules(sanitized: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def known_value_leaks(sanitized: DataFrame, vault: DataFrame) -> DataFrame:
-    """(unit_id, category, normalized): units that still hold a known value, case aside, as whole words.
+    """(unit_id, category, normalized): units that still hold a known value, normalized or (column value, if given) raw.
 
-    A value's first word blocks the join: only units with that word are looked at, so no pair is tried in vain.
+    Values of four characters or more are looked for, case aside, where their first word, without marks at its
+    ends, is a word of the text. Values of seven digits or more are also looked for in the digits of the text
+    alone, whatever stands between them; tokens are taken out before.
     """
-    word = r"[a-z0-9_.@+-]+"
-    values = vault.where(F.length("normalized") >= 4).select("category", "normalized", F.regexp_extract(F.lower("normalized"), word, 0).alias("block")).where("block <> ''")
-    words = sanitized.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("block"))
-    pairs = words.join(values, "block").select("unit_id", "category", "normalized").distinct()
-    return pairs.join(sanitized.select("unit_id", "text"), "unit_id").where(F.contains(F.lower("text"), F.lower("normalized"))).select("unit_id", "category", "normalized")
+    word, key = r"[a-z0-9](?:[a-z0-9_.@+-]*[a-z0-9])?", ["category", "normalized"]
+    forms = ["normalized", *(["value"] if "value" in vault.columns else [])]
+    values = vault.select(*key, F.explode(F.array(*forms)).alias("form")).where("form is not null").distinct()
+    texts = sanitized.select("unit_id", "text")
+
+    blocks = values.where(F.length("form") >= 4).withColumn("block", F.regexp_extract(F.lower("form"), word, 0)).where("block <> ''")
+    words = texts.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("block"))
+    pairs = words.join(blocks, "block").select("unit_id", *key, "form").distinct()
+    as_text = pairs.join(texts, "unit_id").where(F.contains(F.lower("text"), F.lower("form"))).select("unit_id", *key)
+
+    digits = values.select(*key, F.regexp_replace("form", r"\D", "").alias("digits")).where(F.length("digits") >= MIN_DIGITS).distinct()
+    digits = digits.withColumn("block", F.substring("digits", 1, MIN_DIGITS))
+    runs = texts.select("unit_id", F.regexp_replace(F.regexp_replace("text", TOKEN, " "), r"\D", "").alias("all")).where(F.length("all") >= MIN_DIGITS)
+    starts = F.sequence(F.lit(1), F.length("all") - MIN_DIGITS + 1)
+    windows = runs.select("unit_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("all").substr(i, F.lit(MIN_DIGITS))))).alias("block"))
+    pairs = windows.join(digits, "block").select("unit_id", *key, "digits").distinct()
+    as_digits = pairs.join(runs, "unit_id").where(F.contains(F.col("all"), F.col("digits"))).select("unit_id", *key)
+    return as_text.unionByName(as_digits).distinct()
 
 
 def unknown_tokens(sanitized: DataFrame, vault: DataFrame) -> DataFrame:

@@ -314,11 +314,17 @@ def l3_rescan_rules(spark, sf):
     return rescanned(spark, sf)
 
 
+def known_values(found):
+    """(category, normalized, value) of the detections that may have a token."""
+    normal = P.normalize_value(F.col("category"), F.col("value"))
+    return found.where(~F.col("category").isin(*P.NEVER_TOKENS)).select("category", normal.alias("normalized"), "value").distinct()
+
+
 @query(f"""WITH {DET}, {VAULT}, v AS (SELECT category, normalized, regexp_extract(lower(normalized), '[a-z0-9_.@+-]+', 0) AS block FROM vault WHERE length(normalized) >= 4),
   w AS (SELECT unit_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.@+-]+')) AS words FROM units)
   SELECT unit_id, category, normalized FROM w JOIN v ON block <> '' AND contains(lower(text), lower(normalized)) AND list_contains(words, block)""")
 def l4_known_value_leaks(spark, sf):
-    return L.known_value_leaks(units(spark, sf), vault(spark, sf))
+    return L.known_value_leaks(units(spark, sf), known_values(detections(spark, sf)))
 
 
 def token_texts(spark, sf):
