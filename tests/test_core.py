@@ -112,6 +112,13 @@ def test_known_values_in_other_forms(spark):
     assert {(r.unit_id, r.category) for r in L.known_value_leaks(units, vault).collect()} == want == {("0", "EMAIL"), ("1", "PHONE"), ("2", "EMAIL"), ("5", "AMOUNT")}
 
 
+def test_every_check_reaches_the_verdict(spark):
+    units = spark.createDataFrame([(c,) for c in (*L.CHECKS, "none")], "unit_id string")
+    found = {c: units.where(F.col("unit_id") == c) for c in L.CHECKS[1:]}
+    got = {r.unit_id: r.verdict for r in L.seal_verdict(units, L.union_failures(found)).collect()}
+    assert got == {c: c for c in L.CHECKS[1:]} | {"schema": "SEALED", "none": "SEALED"}
+
+
 def test_audit(spark):
     units = spark.createDataFrame([("1", "o", "x a@b.org"), ("2", "o", "[[PII:EMAIL:aaaaaaaa]]")], "unit_id string, origin string, text string")
     none = spark.createDataFrame([], "unit_id string, category string")

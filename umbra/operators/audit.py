@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from umbra.operators.detect import scan
@@ -59,6 +61,11 @@ def coverage_gaps(spans: DataFrame, applied: DataFrame) -> DataFrame:
     return joined.where("covered < span_end - span_start")
 
 
+def union_failures(found: dict[str, DataFrame]) -> DataFrame:
+    """(unit_id, check) of the units that each check, by its name, has found."""
+    return reduce(DataFrame.unionByName, (df.select("unit_id", F.lit(check).alias("check")) for check, df in found.items())).distinct()
+
+
 def seal_verdict(units: DataFrame, failures: DataFrame) -> DataFrame:
     """(unit_id, verdict): the first failing check in their fixed order, or SEALED; failures: unit_id, check."""
     rank = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("check"))

@@ -348,7 +348,11 @@ def l6_coverage_gaps(spark, sf):
 
 @query(f"WITH {RESCAN} SELECT u.unit_id, CASE WHEN l.unit_id IS NULL THEN 'SEALED' ELSE 'rule-scan' END AS verdict FROM units u LEFT JOIN (SELECT DISTINCT unit_id FROM leaks) l ON l.unit_id = u.unit_id")
 def l8_seal_verdict(spark, sf):
-    return L.seal_verdict(units(spark, sf), rescanned(spark, sf).select("unit_id", F.lit("rule-scan").alias("check")))
+    out = redacted(spark, sf).select("unit_id", F.col("text_redacted").alias("text"))
+    hidden = decided(spark, sf).where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end").distinct()
+    values = known_values(detections(spark, sf).join(hidden, ["unit_id", "span_start", "span_end"], "left_semi"))
+    found = {"rule-scan": rescanned(spark, sf), "known-value": L.known_value_leaks(out, values), "unknown-token": L.unknown_tokens(out, vault(spark, sf)), "coverage": L.coverage_gaps(hidden, hidden)}
+    return L.seal_verdict(units(spark, sf), L.union_failures(found))
 
 
 @query()
