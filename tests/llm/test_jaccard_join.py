@@ -80,18 +80,39 @@ def test_copies_never_meet_and_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(J, "LEVELS", 1)
     monkeypatch.setattr(J, "PAIRS", 200)
     signed, tasks = [], []
-    candidates, mixed_groups = J.candidates, J.mixed_groups
+    candidates, block_members = J.candidates, J.block_members
     monkeypatch.setattr(J, "candidates", lambda rows, *a: signed.append(rows.count()) or candidates(rows, *a))
-    monkeypatch.setattr(J, "mixed_groups", lambda *a: tasks.append(mixed_groups(*a)) or tasks[-1])
+    monkeypatch.setattr(J, "block_members", lambda *a: tasks.append(block_members(*a)) or tasks[-1])
     rows = family(60)
     rows += [(5000 + i, rows[3][1], "en", "a") for i in range(300)] + [(7000, "an id with two texts here", "en", "a"), (7001, "an id with two texts here", "en", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in J.linked(df).collect()} == brute(rows)
     assert signed[0] <= 61
-    sizes = [r for m in tasks for r in J.block_members(m.where("kind <> 'many'")).groupBy("home", "block", "side").count().collect()]
+    sizes = [r for m in tasks for r in m.groupBy(*J.BLOCK_KEY, "p", "q", "side").count().collect()]
     assert {0, 1} <= {r.side for r in sizes} and max(r["count"] for r in sizes) <= 16
 
 
+def test_a_mixed_group_is_counted_without_coming_together(spark, monkeypatch):
+    """Members of one signature are counted by class; each pair across the largest class meets in some block."""
+    import numpy as np
+
+    docs = list(range(100, 160))
+    packs = [("group", 0, J._planes(np.full(30, 7, np.uint64), 6), J._planes(np.array(docs[k::2], np.uint64), 8)) for k in (0, 1)]
+    found = spark.createDataFrame([(k, h, bytearray(s), bytearray(d)) for k, h, s, d in packs], "kind string, a long, cells binary, docs binary")
+    comps = spark.createDataFrame([(d, 100) for d in docs[:40]] + [(d, 140) for d in docs[40:50]], "node long, component long")
+    monkeypatch.setattr(J, "COPIES", 0)  # by shuffle with a salt
+    mixed = J.mixed_groups(found, comps, 1)
+    assert [tuple(r) for r in mixed.select("sig", "n", "outside", "top", "least").collect()] == [(7, 60, 20, 100, 100)]
+    members = J.members_of(found, mixed, comps)
+    assert members.count() == 60
+    rows = J.block_members(members, 8).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault((r.n_left, r.n_right, r.i, r.j, r.p, r.q), ([], []))[r.side].append(r.doc_id)
+    met = {(a, b) for left, right in tasks.values() for a in left for b in right}
+    assert met >= {(a, b) for a in docs for b in docs[40:]} and len(tasks) > 8
+
+
 def test_an_id_with_two_texts_ties_their_copies(spark):
     one, two = "a b c d e f g", "h i j k l m n"
     df = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two)], "doc_id long, text string")

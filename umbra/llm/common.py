@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and read on from there.
 
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (tests) a
-    temporary one is made.
+    The folder is the one named in spark.checkpoint.dir. Only in local mode (tests) a temporary one is made
+    where that is unset; on a cluster its absence is an error, for a folder of one machine is lost with it. Spark
+    removes the files of frames that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -39,3 +42,24 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """How many bytes the texts have, counted."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def parts_for(size: int, most: int, least: int) -> int:
+    """Into how many groups `size` is dealt so that one has about `most` on average; at least `least`."""
+    return max(least, -(-size // most), 1)
+
+
+def met(many: DataFrame, few: DataFrame, key: str, spread: str, most: int, salts: int = 16) -> DataFrame:
+    """many joined with few on key: by broadcast if few has up to `most` rows, counted, else by key and a salt.
+
+    The salt deals a key that very many rows have over several tasks by the hash of the column `spread`.
+    """
+    if few.limit(most + 1).count() <= most:
+        return many.join(F.broadcast(few), key)
+    salted = many.withColumn("__salt", F.pmod(F.hash(spread), F.lit(salts)))
+    return salted.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "__salt"]).drop("__salt")

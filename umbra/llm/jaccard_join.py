@@ -23,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from umbra.llm.common import cut, shuffle_partitions
+from umbra.llm.common import cut, met, parts_for, shuffle_partitions, text_bytes
 from umbra.llm.components import components
 from umbra.llm.kernels import mix64, shingle_sets
 
@@ -39,6 +39,8 @@ BLOCK = 2000
 #: Up to so many documents that repeat others are broadcast; more are joined by shuffle.
 COPIES = 500_000
 CELLS = 1024
+#: A bucket of signatures has those of about so many bytes of text, a home the findings of twice as many.
+BUCKET_BYTES = 16 << 20
 #: Levels of refinement before all blocks of a group that is still large and mixed are compared.
 LEVELS = 5
 #: Partitions of an instance for each feature of its largest set.
@@ -194,10 +196,6 @@ def _whole(values: list[bytes | None], width: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(_numbers(x, width) for x in values if x)])
 
 
-THREE = pa.schema([("kind", pa.string()), ("home", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary()), ("comps", pa.binary())])
-THREE_SQL = "kind string, home long, sigs binary, docs binary, comps binary"
-
-
 def pairs_of(found: DataFrame) -> DataFrame:
     """The distinct candidate pairs (a, b), a > b; packs of them come by the bucket of a."""
 
@@ -208,158 +206,148 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.where("kind = 'pair'").select("a", "cells", "docs").groupBy("a").applyInArrow(unpack, "a long, b long")
 
 
-def _blocks(members: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray], most: int, shift: int = 0) -> Iterator[tuple]:
-    """(kind, block, docs, comps): members (left) by blocks of about `most` against others (right); both are (docs, comps).
-
-    Blocks are by the hash of the document and the power of two that their number is, so that groups with the
-    same smallest member and much the same others have the same blocks.
-    """
-    hashed = [mix64(doc.astype(np.uint64)) >> np.uint64(shift) for doc, _ in (members, others)]
-    numbers = [1 << int(np.ceil(np.log2(max(1.0, len(h) / most)))) for h in hashed]
-    left, right = (h % np.uint64(k) for h, k in zip(hashed, numbers, strict=True))
-    for i in range(numbers[0]):
-        for j in range(numbers[1]):
-            key = np.array([*numbers, i, j], "<i4").tobytes()
-            yield "left", key, members[0][left == i], members[1][left == i]
-            yield "right", key, others[0][right == j], others[1][right == j]
-
-
-def _outside(comp: np.ndarray) -> np.ndarray:
-    """Which members are outside the largest class."""
-    _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-    return which != count.argmax()
+SUMS = pa.schema([("home", pa.int64()), ("sigs", pa.binary()), ("comps", pa.binary()), ("ns", pa.binary()), ("leasts", pa.binary())])
+SUMS_SQL = "home long, sigs binary, comps binary, ns binary, leasts binary"
 
 
-def mixed_groups(found: DataFrame, comps: DataFrame, homes: int, most: int = PAIRS) -> DataFrame:
-    """(kind, home, sigs, docs, comps): groups of a signature that hold more than one class.
+def mixed_groups(found: DataFrame, comps: DataFrame, homes: int) -> DataFrame:
+    """(sig, n, outside, top, least): groups of a signature that hold more than one class.
 
-    Memberships are packed throughout: they meet their documents' classes by the document, then each other by the
-    signature. 'few': the members of groups with the same smallest member, home; 'left' and 'right': those of larger
-    groups by blocks (sigs). 'many': memberships of groups with over `most` pairs between classes, home is the
-    bucket of the document.
+    n is the number of members, top the largest class, outside how many aren't in it, least the smallest member. No
+    group comes together for that: members are counted by class where their documents are, counts of a class meet by
+    signature and class, and a signature's classes are summed up by Spark's aggregation.
     """
 
-    def attach(groups: pa.Table, known: pa.Table) -> pa.Table:
+    def count(groups: pa.Table, known: pa.Table) -> pa.Table:
         sig, doc = _whole(groups["cells"].to_pylist(), 6), _whole(groups["docs"].to_pylist(), 8).astype(np.int64)
         node, comp = known["node"].to_numpy(), known["component"].to_numpy()
         order = np.argsort(node)
         node, comp = node[order], comp[order]
         at = np.minimum(np.searchsorted(node, doc), max(len(node) - 1, 0))
         own = np.where(node[at] == doc, comp[at], doc) if len(node) else doc
-        return pa.Table.from_batches([_bucketed("", (sig % np.uint64(homes)).astype(np.int64), homes, ((sig, 6), (doc, 8), (own, 8)), THREE)])
-
-    def mixed(rows: pa.Table) -> pa.Table:
-        sig, doc, comp = _whole(rows["sigs"].to_pylist(), 6), _whole(rows["docs"].to_pylist(), 8).astype(np.int64), _whole(rows["comps"].to_pylist(), 8).astype(np.int64)
-        order = np.lexsort((doc, comp, sig))
-        sig, doc, comp = sig[order], doc[order], comp[order]
-        again = np.concatenate([[False], (sig[1:] == sig[:-1]) & (doc[1:] == doc[:-1])]) if len(sig) else np.zeros(0, bool)
-        sig, doc, comp = sig[~again], doc[~again], comp[~again]
-        if not len(sig):
-            return pa.Table.from_batches([], schema=THREE)
+        order = np.lexsort((doc, own, sig))
+        sig, doc, own = sig[order], doc[order], own[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]) if len(sig) else np.zeros(0, bool)
+        return pa.Table.from_batches([_summed(sig[new], own[new], np.ones(int(new.sum()), np.int64), doc[new], homes)])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        sig, comp, n, least = _sums(rows)
+        order = np.lexsort((n, sig))
+        sig, comp, n, least = sig[order], comp[order], n[order], least[order]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(start, len(sig)))
-        run = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])]))
-        size = np.diff(np.append(run, len(sig)))
-        largest = np.maximum.reduceat(size, np.searchsorted(run, start))
-        outside = (count - largest) * count
-        by_least: dict[int, dict[int, int]] = {}
-        by_block: dict[tuple[str, int, bytes], dict[int, int]] = {}
-        for i in np.flatnonzero((outside > 0) & (outside <= most)):
-            some = slice(start[i], start[i] + count[i])
-            if count[i] > BLOCK:
-                out = _outside(comp[some])
-                for kind, key, d, c in _blocks((doc[some], comp[some]), (doc[some][out], comp[some][out]), BLOCK):
-                    by_block.setdefault((kind, int(doc[some].min()), key), {}).update(zip(d.tolist(), c.tolist(), strict=True))
-                continue
-            by_least.setdefault(int(doc[some].min()), {}).update(zip(doc[some].tolist(), comp[some].tolist(), strict=True))
-        groups = {**{("few", least, b""): h for least, h in by_least.items()}, **by_block}
-        few = pa.RecordBatch.from_arrays([
-            *(pa.array([k[i] for k in groups], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))),
-            *(pa.array([_planes(np.array(list(f(h)), np.int64), 8) for h in groups.values()], pa.binary()) for f in (dict.keys, dict.values)),
-        ], schema=THREE)
-        many = np.repeat(outside > most, count)
-        return pa.Table.from_batches([few, _bucketed("many", doc[many], homes, ((sig[many], 6), (doc[many], 8), (comp[many], 8)), THREE)])
+        last = np.append(start[1:], len(sig)) - 1
+        columns = {"sig": sig[start].astype(np.int64), "classes": last - start + 1, "n": np.add.reduceat(n, start), "top_n": n[last], "top": comp[last], "least": np.minimum.reduceat(least, start)}
+        return pa.table(columns)
 
     groups = found.where("kind = 'group'").select(F.col("a").alias("home"), "cells", "docs")
     known = comps.withColumn("home", F.pmod("node", F.lit(homes)))
-    return groups.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(attach, THREE_SQL).groupBy("home").applyInArrow(mixed, THREE_SQL)
+    summed = groups.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(count, SUMS_SQL).groupBy("home").applyInArrow(merge, "sig long, classes long, n long, top_n long, top long, least long")
+    whole = summed.groupBy("sig").agg(F.sum("classes").alias("classes"), F.sum("n").alias("n"), F.max("top_n").alias("top_n"), F.max_by("top", F.struct("top_n", "top")).alias("top"), F.min("least").alias("least"))
+    return whole.where("classes > 1").select("sig", "n", (F.col("n") - F.col("top_n")).alias("outside"), "top", "least")
 
 
-def block_members(few: DataFrame) -> DataFrame:
-    """(home, block, side, doc_id, comp): members of groups with the same smallest member, home, by the tasks to compare them in.
+def _sums(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Unpacked (sig, comp, n, least), one for each signature and class."""
+    sig, comp, n, least = (_whole(rows[c].to_pylist(), w) for c, w in (("sigs", 6), ("comps", 8), ("ns", 8), ("leasts", 8)))
+    return _by_class(sig, comp.astype(np.int64), n.astype(np.int64), least.astype(np.int64))
 
-    side 0 is compared with side 1; those of side 2 are a whole group. Blocks that many groups have made large are split again.
-    """
 
-    def members(rows: pa.Table) -> pa.Table:
-        out = []
-        home, block = rows["home"][0].as_py(), rows["sigs"][0].as_py()
-
-        def add(key: bytes, side: int, doc: np.ndarray, comp: np.ndarray) -> None:
-            n = len(doc)
-            out.append(pa.table({"home": np.full(n, home, np.int64), "block": pa.array([key] * n, pa.binary()), "side": np.full(n, side, np.int32), "doc_id": doc, "comp": comp}))
-
-        held = {}
-        for kind in ("left", "right", "few"):
-            some = rows.filter(pa.array([k == kind for k in rows["kind"].to_pylist()], pa.bool_()))
-            doc, first = np.unique(_whole(some["docs"].to_pylist(), 8).astype(np.int64), return_index=True)
-            held[kind] = doc, _whole(some["comps"].to_pylist(), 8).astype(np.int64)[first]
-        doc, comp = held["few"]
-        if 0 < len(doc) <= BLOCK:
-            add(block, 2, doc, comp)
-        elif len(doc):
-            away = _outside(comp)
-            held = {"left": (doc, comp), "right": (doc[away], comp[away])}
-        if len(held["left"][0]):
-            for kind, key, d, c in _blocks(held["left"], held["right"], BLOCK, 32):
-                add(block + key, ("left", "right").index(kind), d, c)
-        return pa.concat_tables(out)
-
-    return few.select("home", "sigs", "kind", "docs", "comps").groupBy("home", "sigs").applyInArrow(members, "home long, block binary, side int, doc_id long, comp long")
-
-
-def cross_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes whose cells may be linked, among members of groups with the same smallest member.
-
-    Such groups mostly are the same documents. Blocks of them meet in one task with one copy of each document's
-    cells, and only pairs that pass leave it. Documents of the largest class are compared with the others alone.
+def _by_class(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((comp, sig))
+    sig, comp, n, least = sig[order], comp[order], n[order], least[order]
+    start = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])])) if len(sig) else np.zeros(0, np.int64)
+    if not len(start):
+        return sig, comp, n, least
+    return sig[start], comp[start], np.add.reduceat(n, start), np.minimum.reduceat(least, start)
+
+
+def _summed(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: np.ndarray, homes: int) -> pa.RecordBatch:
+    """Packs of (sig, comp, n, least) by the hash of signature and class."""
+    sig, comp, n, least = _by_class(sig, comp, n, least)
+    home = (mix64(sig + mix64(comp.astype(np.uint64))) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(homes + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    parts = [order[cuts[i] : cuts[i + 1]] for i in full]
+    columns = [pa.array([_planes(x[p], w) for p in parts], pa.binary()) for x, w in ((sig, 6), (comp, 8), (n, 8), (least, 8))]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *columns], schema=SUMS)
+
+
+def members_of(found: DataFrame, mixed: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, doc_id, comp, n, outside, top, least): the members of mixed groups with their classes."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sigs, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_numbers(sigs, 6).astype(np.int64)), pa.array(_numbers(docs, 8).astype(np.int64))], names=["sig", "doc_id"])
+
+    rows = found.where("kind = 'group'").select("cells", "docs").mapInArrow(unpack, "sig long, doc_id long")
+    known = comps.select(F.col("node").alias("doc_id"), "component")
+    joined = met(rows, mixed, "sig", "doc_id", COPIES).distinct().join(known, "doc_id", "left")
+    return joined.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "outside", "top", "least")
+
+
+BLOCK_KEY = ["least", "n_left", "n_right", "i", "j"]
+
+
+def _dealt(n_left: Column, n_right: Column, bits: Column, left: Column, right: Column) -> Column:
+    """array<struct<side, i, j>>: a member of the left side goes to its own i and every j, one of the right to its j and every i."""
+    i, j = (F.pmod(bits, n).cast("int") for n in (n_left, n_right))
+    upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+    lefts = F.transform(upto(n_right), lambda x: F.struct(F.lit(0).alias("side"), i.alias("i"), x.alias("j")))
+    rights = F.transform(upto(n_left), lambda x: F.struct(F.lit(1).alias("side"), x.alias("i"), j.alias("j")))
+    return F.concat(F.when(left, lefts).otherwise(F.slice(lefts, 1, 0)), F.when(right, rights).otherwise(F.slice(rights, 1, 0)))
+
+
+def block_members(members: DataFrame, block: int | None = None) -> DataFrame:
+    """(least, n_left, n_right, i, j, p, q, side, doc_id, comp): by what tasks members of mixed groups are to be compared.
+
+    All members (side 0) are compared with those outside the largest class (side 1), by blocks of about `block` by the
+    hash of the document. Groups with the same smallest member mostly are the same documents and share their
+    blocks; blocks that they have made large together are split again, by p and q.
+    """
+    block = block or BLOCK
+    blocks = lambda n: F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(n / block)))).cast("long")
+    hashed = F.xxhash64("doc_id")
+    sized = members.withColumns({"n_left": blocks(F.col("n")), "n_right": blocks(F.col("outside"))})
+    dealt = sized.select("least", "n_left", "n_right", "doc_id", "comp", F.inline(_dealt(F.col("n_left"), F.col("n_right"), hashed, F.lit(True), F.col("comp") != F.col("top")))).distinct()
+    dealt = cut(dealt)
+    counts = dealt.groupBy(*BLOCK_KEY).agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights"))
+    large = cut(counts.where(F.greatest("lefts", "rights") > 2 * block).select(*BLOCK_KEY, blocks(F.col("lefts")).alias("m_left"), blocks(F.col("rights")).alias("m_right")))
+    if large.isEmpty():
+        return dealt.withColumns({"p": F.lit(0), "q": F.lit(0)})
+    split = dealt.join(F.broadcast(large) if large.count() <= COPIES else large, BLOCK_KEY, "left").fillna(1, ["m_left", "m_right"])
+    again = _dealt(F.col("m_left"), F.col("m_right"), F.shiftright(hashed, 32), F.col("side") == 0, F.col("side") == 1)
+    return split.select(*BLOCK_KEY, "doc_id", "comp", F.inline(F.transform(again, lambda x: F.struct(x.side.alias("side"), x.i.alias("p"), x.j.alias("q")))))
+
+
+def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes whose cells may be linked, among the members of mixed groups.
+
+    A task holds one block of each side, with one copy of each document's cells, and only pairs that pass leave it.
     """
 
     def pair(rows: pa.Table) -> pa.Table:
         side, doc, comp, n = (rows[c].to_numpy() for c in ("side", "doc_id", "comp", "n"))
-        cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["cells"].to_pylist()]).astype(np.int16)
-        names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-        # a whole group: the largest class first, each of the others against all before it; two blocks: left first
-        first = side == 0 if (side < 2).any() else which == count.argmax()
-        order = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])
-        doc, which, n, cells, side = doc[order], which[order], n[order], cells[order], side[order]
-        lefts = int(first.sum())
+        docs, first, which = np.unique(doc, return_index=True, return_inverse=True)
+        comp, n, packed = comp[first], n[first], rows["cells"].take(pa.array(first)).to_pylist()
+        cells = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in packed]).astype(np.int16)
+        left, right = (np.unique(which[side == k]) for k in (0, 1))
+        both = np.isin(left, right)
+        whole = rows["n_left"][0].as_py() == rows["n_right"][0].as_py() == 1  # then each pair outside the largest class would come twice
         found = [np.zeros((0, 2), np.int64)]
-        for i in range(lefts, len(doc)):
-            end = i if side[i] == 2 else lefts
-            j = np.flatnonzero((which[:end] != which[i]) & (9 * np.abs(n[:end] - n[i]) <= n[:end] + n[i]))
+        for i in right:
+            j = left[~(both & (left > i))] if whole else left
+            j = j[(comp[j] != comp[i]) & (9 * np.abs(n[j] - n[i]) <= n[j] + n[i])]
             for some in np.array_split(j, len(j) // 4000 + 1):
                 ok = some[9 * np.abs(cells[some] - cells[i]).sum(1, dtype=np.int64) <= n[some] + n[i]]
-                found.append(np.stack([np.maximum(doc[ok], doc[i]), np.minimum(doc[ok], doc[i])], 1))
+                found.append(np.stack([np.maximum(docs[ok], docs[i]), np.minimum(docs[ok], docs[i])], 1))
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    with_cells = block_members(few).join(sets, "doc_id").select("home", "block", "side", "doc_id", "comp", "n", "cells")
-    return with_cells.groupBy("home", "block").applyInArrow(pair, "a long, b long").distinct()
-
-
-def to_refine(many: DataFrame) -> DataFrame:
-    """(doc_id, comp, prefixes): the groups that each document is to be signed again for."""
-
-    def lists(rows: pa.Table) -> pa.Table:
-        sig, doc, comp = _whole(rows["sigs"].to_pylist(), 6), _whole(rows["docs"].to_pylist(), 8).astype(np.int64), _whole(rows["comps"].to_pylist(), 8).astype(np.int64)
-        order = np.lexsort((sig, doc))
-        sig, doc, comp = sig[order].astype(np.int64), doc[order], comp[order]
-        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        prefixes = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(sig))
-        return pa.table({"doc_id": doc[start], "comp": comp[start], "prefixes": prefixes})
-
-    return many.select("home", "sigs", "docs", "comps").groupBy("home").applyInArrow(lists, "doc_id long, comp long, prefixes array<long>")
+    key = [*BLOCK_KEY, "p", "q"]
+    with_cells = block_members(members).join(sets, "doc_id").select(*key, "side", "doc_id", "comp", "n", "cells")
+    return with_cells.groupBy(*key).applyInArrow(pair, "a long, b long").distinct()
 
 
 GROUPED = "bucket int, sigs binary, docs binary, comps binary, sizes binary, joined binary, kind string"
@@ -485,7 +473,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = few_broadcast(gone, texts, "doc_id", "left_anti")
     rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
     # signatures meet in many small buckets; what is found out goes home to documents in fewer, larger packs
-    buckets, homes = 2 * shuffle_partitions(docs.sparkSession), max(1, shuffle_partitions(docs.sparkSession) // 2)
+    size, partitions = text_bytes(texts), shuffle_partitions(docs.sparkSession)
+    buckets, homes = parts_for(size, BUCKET_BYTES, 2 * partitions), parts_for(size, 2 * BUCKET_BYTES, partitions // 2)
     sets = links = comps = None
 
     def link(pairs: DataFrame) -> None:
@@ -500,10 +489,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not level:
             sets = found.where("kind = 'set'").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "cells").dropDuplicates(["doc_id"])
         link(near(pairs_of(found), sets))
-        mixed = cut(mixed_groups(found, comps, homes, PAIRS if level < LEVELS else 1 << 62))
-        link(cross_pairs(mixed.where("kind <> 'many'"), sets))
-        again = cut(to_refine(mixed.where("kind = 'many'")))
-        if again.isEmpty():
+        mixed = cut(mixed_groups(found, comps, homes))
+        if mixed.isEmpty():
+            break
+        members = cut(members_of(found, mixed, comps))
+        refined = F.lit(level < LEVELS) & (F.col("outside") * F.col("n") > PAIRS)
+        link(cross_pairs(members.where(~refined), sets))
+        again = members.where(refined).groupBy("doc_id").agg(F.first("comp").alias("comp"), F.collect_set("sig").alias("prefixes"))
+        if (again := cut(again)).isEmpty():
             break
         rows = texts.join(again, "doc_id").select("doc_id", "comp", "prefixes", "text")
     return hashes.select("doc_id", "n").dropDuplicates(["doc_id"]), with_copies(comps, copies)
