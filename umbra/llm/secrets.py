@@ -10,6 +10,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -86,8 +87,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
     base, more = base_spans(data), entropy_spans(data)
     if base or more:
         if len(data) != len(text):
-            place = lambda x: len(data[:x].decode("utf-8", "surrogatepass"))
-            base, more = ([(place(a), k, place(b)) for a, k, b in x] for x in (base, more))
+            # code points that begin before each byte, counted once for all spans
+            before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            base, more = ([(int(before[a]), k, int(before[b])) for a, k, b in x] for x in (base, more))
     return sorted(base), sorted(base + more)
 
 
@@ -98,7 +100,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans and found (an array of kind, start, end).
 
-    A null text counts as an empty one. Offsets are code points, ends exclusive. Base spans always stay; an
+    A null text counts as an empty one. Each row is scanned by itself, so rows that repeat an id have results of
+    their own; an empty table gives none, and other columns pass through unless they have the name of an added one,
+    which wins. Offsets are code points, ends exclusive. Base spans always stay; an
     entropy span is added where a window of an unlisted candidate string has the entropy of its class.
     """
     kind = T.StructType([
