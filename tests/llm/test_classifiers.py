@@ -41,6 +41,131 @@ def test_language(labelled):
     assert by[1000] == by[1001] == by[1002] == "und"
 
 
+def test_language_on_an_empty_table(labelled):
+    docs, _ = labelled
+    assert I.fit_and_predict(docs.limit(0)).count() == 0
+
+
+def hashed_grams(text):
+    """Bucket of each n-gram, one character after the other."""
+    t = "".join(c if "a" <= c <= "z" or ord(c) >= 170 else " " for c in (text or "").lower())
+    for i in range(len(t)):
+        h = 0
+        for n in (1, 2, 3):
+            if i + n > len(t):
+                break
+            h = ((h ^ ord(t[i + n - 1])) * 0x01000193 + n) % 2**32
+            if t[i : i + n].strip():
+                yield ((h ^ h >> 15) * 0x85EBCA6B % 2**32) >> 32 - I.BITS
+
+
+@pytest.mark.parametrize("languages", [400, 2])
+def test_language_equals_plain_naive_bayes(spark, monkeypatch, languages):
+    monkeypatch.setattr(I, "LANGUAGES_A_MATRIX", languages)  # 2: the languages are dealt over several matrices
+    rows = [(k * 10 + i, " ".join(f"{c}{w}" for w in prose(k * 7 + i, 12).split()), c) for k, c in enumerate(("aa", "bb", "cc", "dd", "ee", "ñü")) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for _, text, lang in rows:
+        for g in hashed_grams(text):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    total = {k: sum(v.values()) + 0.5 * 2**I.BITS for k, v in counts.items()}
+    asked = [(1, "aaw0a bbw1b"), (2, "ccw3c"), (3, "ñüw1a ñü"), (4, "zzz ee"), (5, "12 3"), (6, None)]
+    got = {r.doc_id: r for r in I.predict(spark.createDataFrame(asked, "doc_id long, text string"), I.fit(docs)).collect()}
+    for doc, text in asked[:4]:
+        log = {k: sum(np.log((v.get(g, 0) + 0.5) / total[k]) for g in hashed_grams(text)) for k, v in counts.items()}
+        best = max(log, key=log.get)
+        share = 1 / sum(np.exp(x - log[best]) for x in log.values())
+        assert got[doc].lang_pred == best and abs(got[doc].score - share) < 1e-3
+    assert {got[5].lang_pred, got[6].lang_pred} == {"und"} and got[6].score == 0
+
+
+def test_log_count_ratios_and_descent_equal_dense_ones():
+    rng = np.random.default_rng(5)
+    features = [np.unique(rng.integers(0, 30, 8)) if i % 3 else np.unique(rng.integers(20, 50, 8)) for i in range(90)]
+    y = np.where(np.arange(90) % 3, 1.0, 0.0)
+    dense = np.zeros((90, 50))
+    for i, f in enumerate(features):
+        dense[i, f] = 1
+    up, down = 1 + dense[y > 0].sum(0), 1 + dense[y == 0].sum(0)
+    # counts of all buckets are smoothed, also of those that no text has
+    size = 1 << N.BITS
+    ratio = np.log(up / (up.sum() + size - 50)) - np.log(down / (down.sum() + size - 50))
+    sign, x = np.where(y > 0, 1.0, -1.0), np.hstack([dense * ratio, np.ones((90, 1))])
+    w, alpha, order = np.zeros(51), np.zeros(90), np.random.default_rng(1)
+    for _ in range(N.EPOCHS):
+        for i in order.permutation(90):
+            new = np.clip(alpha[i] - (sign[i] * (w @ x[i]) - 1) / (x[i] @ x[i]), 0, 1.0)
+            w += (new - alpha[i]) * sign[i] * x[i]
+            alpha[i] = new
+    got = N.dual_coordinate_descent(features, ratio, sign, np.ones(90))
+    assert np.allclose(got, w)
+    # the dual solution: weights are the sum of the vectors times their dual variables, and nearly optimal
+    far = N.dual_coordinate_descent(features, ratio, sign, np.ones(90), epochs=300)
+    loss = lambda v: v @ v / 2 + np.maximum(0, 1 - sign * (x @ v)).sum()
+    assert all(loss(far) <= loss(far + rng.normal(0, 0.05, 51)) + 1e-6 for _ in range(50))
+    model = N.fit_rows(features, y, np.ones(90))
+    scored = N.Model(model[:size].astype(np.float32), *model[size:])
+    assert scored.a > 0 and model[:50][up > 3 * down].mean() > 0 > model[:50][down > 3 * up].mean()
+
+
+def test_convolution_equals_loops():
+    rng = np.random.default_rng(2)
+    net = X.Net.started(rng.normal(0, 1, 1 << X.BITS))
+    docs = [rng.integers(0, 1 << X.BITS, (n, 2)) for n in (0, 1, 2, 7)]
+    row = np.repeat(np.arange(4), [len(d) for d in docs])
+    got = net.maxima(np.concatenate(docs), row, 4)
+    for d, ids in enumerate(docs):
+        words = [net.table[a] + net.table[b] for a, b in ids]
+        for k, w in enumerate(X.WIDTHS):
+            for f in range(X.FILTERS):
+                values = [sum(words[i + j] @ net.filters[k][j][:, f] for j in range(w)) + net.bias[k][f] for i in range(len(words) - w + 1)]
+                assert abs(got[d, k * X.FILTERS + f] - max([0.0, *values])) < 1e-4
+
+
+def test_first_step_follows_the_numeric_gradient():
+    ids = np.random.default_rng(3).integers(0, 1 << X.BITS, (9, 2))
+    before, after = X.Net.started(np.zeros(1 << X.BITS)), X.train([ids], np.array([1]), epochs=1)
+
+    def loss(net):
+        return float(np.log1p(np.exp(-net.logits(net.maxima(ids, np.zeros(9, np.int64), 1))[0])))
+
+    for old, new, some in ((before.out, after.out, [(0,), (9,), (24,)]), (before.filters[1], after.filters[1], [(0, 0, 1), (1, 3, 5)]), (before.bias, after.bias, [(0, 2), (2, 1)])):
+        for at in some:
+            kept, eps = old[at], 1e-3
+            old[at] = kept + eps
+            up = loss(before)
+            old[at] = kept - eps
+            g = (up - loss(before)) / (2 * eps)
+            old[at] = kept
+            assert abs((old[at] - new[at]) - X.RATE * g / np.sqrt(1e-2 + g * g)) < 2e-3
+
+
+def test_wider_filters_learn_the_order_of_words(monkeypatch):
+    """Every text has both words; only their order, side by side, tells the classes apart."""
+
+    def made(n, seed):
+        rng, docs = np.random.default_rng(seed), []
+        vocabulary = rng.integers(0, 1 << X.BITS, (60, 2)) if seed is None else np.random.default_rng(0).integers(0, 1 << X.BITS, (60, 2))
+        for i in range(n):
+            words = rng.integers(2, 60, 12).tolist()
+            at = int(rng.integers(0, 11))
+            words[at : at + 2] = [0, 1] if i % 2 else [1, 0]
+            docs.append(vocabulary[words])
+        return docs, np.arange(n) % 2
+
+    docs, y = made(800, 1)
+    test, want = made(200, 2)
+
+    def accuracy():
+        net = X.train(docs, y, epochs=15)
+        return np.mean([(net.logits(net.maxima(d, np.zeros(len(d), np.int64), 1))[0] > 0) == k for d, k in zip(test, want)])
+
+    assert accuracy() > 0.9
+    monkeypatch.setattr(X, "WIDTHS", (1,))
+    assert accuracy() < 0.7
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     none = labels.limit(0)

@@ -58,3 +58,16 @@ def test_filter_has_no_false_negatives_and_can_forget():
     f.remove(keys[:10_000])
     assert f.contains(keys[10_000:]).all()
     assert len(f) == 10_000
+
+
+def test_a_full_index_gets_more_shards(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(L, "KEYS_A_SHARD", 3)
+    index = L.insert(L.new_index(spark, 2), docs.where("doc_id < 10"))
+    assert index.n_keys > 6
+    more = L.insert(index, docs.where("doc_id >= 10"))
+    assert more.n_shards > 2 and more.n_shards * 3 >= index.n_keys
+    filters = {r.shard: [L.CuckooFilter.from_bytes(f) for f in r.filters] for r in more.filters.collect()}
+    keys = more.counts.collect()
+    assert all(any(f.contains(L.hash64([bytes(r.key)]))[0] for f in filters[r.shard]) for r in keys)
+    assert sum(len(f) for fs in filters.values() for f in fs) == len(keys) == more.n_keys
+    assert got(L.dedup_lines(docs, more)) == brute(rows)

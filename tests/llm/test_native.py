@@ -68,3 +68,11 @@ def test_mixing(spark, docs, no_docs):
     n = {r.source: r["count"] for r in M.mix(many, weights).groupBy("source").count().collect()}
     assert abs(n["small"] - 10000) < 400 and abs(n["big"] - 10000) < 400
     assert {r.source for r in M.mix(many, weights.where("source = 'big'")).select("source").distinct().collect()} == {"big"}
+
+
+def test_mixing_without_broadcast_deals_hot_sources_over_tasks(spark, monkeypatch):
+    many = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, null, if(id % 3 = 1, 'big', concat('s', id))) as source", "'x' as cdf")
+    rows = lambda: sorted((r.doc_id, str(r.source), r["copy"], r.order_key, r.cdf) for r in M.mix(many).collect())
+    want = rows()
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 5)
+    assert rows() == want and len(want) > 4000

@@ -46,3 +46,13 @@ def test_table(docs, no_docs, spark):
     assert S.scan(no_docs).count() == 0
     r = S.scan(spark.createDataFrame([(1, "é token = \"abcdef1\"")], "doc_id long, text string")).first()
     assert (r.n_assign, r.spans) == (1, "assign:2:18")
+
+
+def test_offsets_in_a_long_text_are_counted_once():
+    import time
+
+    piece = 'été token = "abcdef123" '
+    began = time.time()
+    base, _ = S.scan_text(piece * 40_000)
+    assert time.time() - began < 20
+    assert len(base) == 40_000 and base[-1] == (39_999 * len(piece) + 4, 0, 39_999 * len(piece) + 22)

@@ -2,7 +2,8 @@
 
 Fitting counts n-grams on Spark; the matrix of log probabilities (buckets x languages) is broadcast, and
 texts are scored in batches: a batch is a sparse matrix of n-gram buckets, in coordinate form, multiplied
-by the matrix and summed by row.
+by the matrix and summed by row. Where there are more languages than one matrix should have columns, they are
+dealt over several by hash; texts are scored by one after the other, and the best of all is named.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from umbra.llm.common import fold_of
+from umbra.llm.common import cut, fold_of, parts_for
 
 SIZES = (1, 2, 3)
 BITS = 16
 #: Bound of the fitting sample: about so many texts of each language, chosen by the hash of the id.
 TEXTS_A_LANGUAGE = 3000
-#: Languages that fit in the broadcast matrix of 2**BITS rows.
-MOST_LANGUAGES = 400
+#: About so many languages (a quarter of a megabyte each) are the columns of one broadcast matrix.
+LANGUAGES_A_MATRIX = 400
 BLOCK = 1 << 19
 
 
@@ -76,14 +77,20 @@ class Model:
         return total
 
 
-def fit(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE) -> Model:
-    """A model of docs (doc_id, text, lang) with a non-null text and lang.
+def fit(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE) -> list[Model]:
+    """Models of docs (doc_id, text, lang) with a non-null text and lang: one, or several that share the languages by hash."""
+    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    n = parts_for(known.select("lang").distinct().count(), LANGUAGES_A_MATRIX, 1)
+    return [fit_matrix(known if n == 1 else known.where(F.pmod(F.xxhash64("lang"), F.lit(n)) == i), texts_a_language) for i in range(n)]
+
+
+def fit_matrix(known: DataFrame, texts_a_language: int) -> Model:
+    """One model of the languages of known (doc_id, text, lang).
 
     The sample of each language is bounded by a hash threshold set from its exact count, so a language with
     most of the rows weighs no more than another.
     """
-    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
@@ -107,32 +114,57 @@ def fit(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE) -> Model:
     return Model(names, np.log(table / table.sum(0)).astype(np.float32), np.zeros(len(names)))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, the posterior probability of the language that is named.
-
-    A null text, one without a letter, and any text under a model without languages are `und` with score 0.
-    """
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with __lang: the best language of a model, its log probability, and the logarithm of all languages' sum."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = (("lang", T.StringType(), pa.string()), ("top", T.DoubleType(), pa.float64()), ("every", T.DoubleType(), pa.float64()))
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t, _ in fields]))
     def named(text: pa.Array) -> pa.Array:
-        model, langs, scores = held.value, [], []
+        model, langs, tops, sums = held.value, [], [], []
         for _, texts in blocks(text):
             letters = [any(map(str.isalpha, t)) and bool(model.languages) for t in texts]
             if model.languages:
                 total = model.score(texts)
-                best = total.argmax(1)
-                share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            langs += [model.languages[best[i]] if ok else "und" for i, ok in enumerate(letters)]
-            scores += [float(share[i]) if ok else 0.0 for i, ok in enumerate(letters)]
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                best, top = total.argmax(1), total.max(1)
+                every = top + np.log(np.exp(total - top[:, None]).sum(1))
+            langs += [model.languages[best[i]] if ok else None for i, ok in enumerate(letters)]
+            tops += [float(top[i]) if ok else None for i, ok in enumerate(letters)]
+            sums += [float(every[i]) if ok else None for i, ok in enumerate(letters)]
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, _, t) in zip((langs, tops, sums), fields, strict=True)], [n for n, _, _ in fields])
 
-    return docs.drop("lang_pred", "score").withColumn("__lang", named("text")).select("*", "__lang.lang_pred", "__lang.score").drop("__lang")
+    return docs.withColumn("__lang", named("text"))
+
+
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """docs with lang_pred and score, the posterior probability of the language that is named.
+
+    A null text, one without a letter, and any text under models without languages are `und` with score 0. Between
+    several models the texts are written down, so that an executor holds one matrix at a time.
+    """
+    out = docs.drop("lang_pred", "score")
+    for i, model in enumerate(models):
+        if not i:
+            out = _scored(out, model).withColumnRenamed("__lang", "__best")
+            continue
+        out = _scored(cut(out), model)
+        one, two = F.col("__best"), F.col("__lang")
+        better = (two.top > one.top) | (two.top == one.top) & (two.lang < one.lang)
+        every = F.greatest(one.every, two.every) + F.log1p(F.exp(-F.abs(one.every - two.every)))
+        both = F.struct(F.when(better, two.lang).otherwise(one.lang).alias("lang"), F.greatest(one.top, two.top).alias("top"), every.alias("every"))
+        out = out.withColumn("__best", F.when(two.lang.isNull(), one).when(one.lang.isNull(), two).otherwise(both)).drop("__lang")
+    best = F.col("__best")
+    share = F.coalesce(F.exp(best.top - best.every), F.lit(0.0))
+    return out.select("*", F.coalesce(best.lang, F.lit("und")).alias("lang_pred"), share.alias("score")).drop("__best")
 
 
 def fit_and_predict(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): fitted on the documents outside one fold, for all of them."""
+    """(doc_id, held_out, lang_pred, score): fitted on the documents outside one fold, for all of them.
+
+    Each row has a result of its own, also one that repeats an id or has a null one (never held out, never learnt
+    from). Null and empty texts are `und`; texts of any length are read whole; equal languages' ties go to the first
+    by name. An empty table gives no row. No column of docs but doc_id passes through, so none can clash.
+    """
     held_out = F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False))
     model = fit(docs.where(~held_out & F.col("doc_id").isNotNull()))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -1,6 +1,6 @@
 """Line dedup with sharded cuckoo filters over exact reference-count tables.
 
-The index is three tables, all hashed by the line key into a fixed number of shards:
+The index is three tables, all hashed by the line key into shards, of which it gets more as it grows:
 
 - ``postings`` (shard, key, doc_id, lines): which lines of which document hold a key;
 - ``counts`` (shard, key, n_refs, first_doc, last_doc): the exact reference counts;
@@ -24,12 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from umbra.llm.common import cut, shuffle_partitions
+from umbra.llm.common import cut, parts_for, shuffle_partitions, text_bytes
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
 SLOTS = 4
 MAX_KICKS = 500
+#: A shard's keys and filter are handled in one task: so many keys at most on average, and so many bytes of text for a first guess.
+KEYS_A_SHARD, BYTES_A_SHARD = 200_000, 8 << 20
 EMPTY = np.uint16(0)
 
 
@@ -131,6 +133,7 @@ class LineIndex:
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
+    n_keys: int = 0  # keys added so far
 
 
 POSTINGS = "shard int, key binary, doc_id long, lines array<int>"
@@ -169,7 +172,7 @@ def _counted(postings: DataFrame) -> DataFrame:
 
 
 def new_index(spark: SparkSession, n_shards: int | None = None) -> LineIndex:
-    """An index without documents; the number of shards stays as it is from here on."""
+    """An index without documents."""
     empty = lambda schema: spark.createDataFrame([], schema)
     return LineIndex(n_shards or max(16, 4 * shuffle_partitions(spark)), empty(POSTINGS), empty(COUNTS), empty(FILTERS))
 
@@ -214,8 +217,30 @@ def _take_out(keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [shard], "filters": [[x.to_bytes() for x in all_of]]})
 
 
+def _dealt(keyed: DataFrame, n_shards: int) -> DataFrame:
+    number = F.conv(F.hex(F.concat(*[F.substring("key", i, 1) for i in (12, 11, 10, 9)])), 16, 10).cast("long")
+    return keyed.withColumn("shard", F.pmod(number, F.lit(n_shards)).cast("int"))
+
+
+def resharded(index: LineIndex, n_shards: int) -> LineIndex:
+    """The same index over another number of shards; filters are built anew from the exact table."""
+    keys, none = _dealt(index.counts, n_shards).drop("gen"), index.filters.limit(0)
+    both = cut(keys.groupBy("shard").cogroup(none.groupBy("shard")).applyInPandas(_add, f"{COUNTS}, filters array<binary>"))
+    counts, filters = both.where("filters is null").drop("filters"), both.where("filters is not null").select("shard", "filters")
+    return LineIndex(n_shards, _dealt(index.postings, n_shards), counts, filters, index.n_keys)
+
+
+def grown(index: LineIndex) -> LineIndex:
+    """The index, with twice as many shards or more if its shards have too many keys."""
+    n = index.n_shards
+    while index.n_keys > n * KEYS_A_SHARD:
+        n *= 2
+    return index if n == index.n_shards else resharded(index, n)
+
+
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
     """The index with a batch of new documents (doc_id, text)."""
+    index = grown(index)
     return insert_postings(index, postings_of(docs, index.n_shards))
 
 
@@ -230,7 +255,8 @@ def insert_postings(index: LineIndex, added: DataFrame) -> LineIndex:
     new = asked.where("not maybe").drop("maybe").unionByName(maybe.join(index.counts, ["shard", "key"], "left_anti"))
     both = cut(new.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(_add, f"{COUNTS}, filters array<binary>"))
     counts = known.unionByName(both.where("filters is null").drop("filters"))
-    return LineIndex(index.n_shards, index.postings.unionByName(added), counts, both.where("filters is not null").select("shard", "filters"))
+    n_keys = index.n_keys + both.where("filters is null").count()
+    return LineIndex(index.n_shards, index.postings.unionByName(added), counts, both.where("filters is not null").select("shard", "filters"), n_keys)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
@@ -243,7 +269,7 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     counts = cut(index.counts.join(hit, ["shard", "key"], "left_anti").unionByName(again.join(gens, ["shard", "key"])))
     dead = index.counts.join(counts, ["shard", "key"], "left_anti").select("shard", "key", "gen")
     filters = dead.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(_take_out, FILTERS)
-    return LineIndex(index.n_shards, left, counts, cut(filters))
+    return LineIndex(index.n_shards, left, counts, cut(filters), index.n_keys)
 
 
 @F.arrow_udf(T.StringType())
@@ -278,8 +304,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
 def line_index(docs: DataFrame, batches: int = 2) -> LineIndex:
     """An index over docs, filled in batches by the hash of the id, as a growing corpus would fill it."""
-    index = new_index(docs.sparkSession)
+    index = new_index(docs.sparkSession, parts_for(text_bytes(docs), BYTES_A_SHARD, max(16, 4 * shuffle_partitions(docs.sparkSession))))
     found = cut(postings_of(docs, index.n_shards))
     for i in range(batches):
         index = insert_postings(index, found.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    return LineIndex(index.n_shards, found, index.counts, index.filters)
+    return LineIndex(index.n_shards, found, index.counts, index.filters, index.n_keys)

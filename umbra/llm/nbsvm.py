@@ -163,7 +163,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_and_predict(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, score, predicted): fitted on labels outside one fold, for all documents."""
+    """(doc_id, held_out, score, predicted): fitted on labels outside one fold, for all documents.
+
+    Each row has a score of its own, also one that repeats an id or has a null one (never held out, never learnt from).
+    Null texts count as empty ones, which have the score of a text without n-grams; texts of any length are read whole.
+    Without labels of both classes every text has one score; an empty table gives no row. No column of docs but
+    doc_id passes through, so none can clash.
+    """
     held_out = F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False))
     model = fit(labelled_sample(docs, labels, "quality", ~held_out, ROWS_A_CLASS))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
