@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from umbra.llm.common import WORD
+from umbra.llm.common import WORD, cut, met
 
 N_WORDS = 5
 THRESHOLD_PERCENT = 80
-#: Up to so many rows (under 200 bytes each) the items' side is broadcast; beyond, both sides are shuffled.
+#: Up to so many rows (under 200 bytes each) the items' side, or the ids of suspects, are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: In such a shuffle a shingle that very many documents have is dealt over so many tasks, to each of which the items' few rows of it go.
+SALTS = 16
 
 
 def _shingled(df: DataFrame, id_col: str) -> DataFrame:
@@ -40,9 +42,12 @@ def _text() -> Column:
     return F.concat_ws(" ", *[f"w{i}" for i in range(N_WORDS)])
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _met(many: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    return met(many, items, key, "doc_id", BROADCAST_ROWS, SALTS)
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
@@ -56,25 +61,25 @@ def item_sketches(items: DataFrame) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): items of which a document has at least 80 % of the shingles.
 
-    Words are lower-cased; a shingle is five of them, or all of a shorter text. Null and empty texts hold
-    nothing. Rows that repeat an id are one document or item; rows with a null id are left out.
+    Letters of all alphabets are lower-cased, for items stand in documents in either case. A shingle is five words, or all of a shorter text: an item of fewer than five words is
+    found only where it is the whole text. Null and empty texts hold nothing, and empty tables give no row. Rows
+    that repeat an id are one document or item; rows with a null id are left out. Other columns play no part.
     """
     docs, items = docs.where("doc_id is not null").select("doc_id", "text"), items.where("item_id is not null").select("item_id", "text")
     probes = _shingled(docs, "doc_id").select("doc_id", _hash().alias("hash"))
-    candidates = probes.join(_held(item_sketches(items)), "hash").select("doc_id", "item_id").distinct()
+    # all documents are shingled for this once; what follows reads the few rows that it wrote
+    candidates = cut(_met(probes, item_sketches(items), "hash").select("doc_id", "item_id").distinct())
     shingles = _shingled(items, "item_id").select("item_id", _text().alias("shingle")).distinct()
     sizes = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    suspects = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    shared = (
-        _shingled(suspects, "doc_id").select("doc_id", _text().alias("shingle"))
-        .join(_held(shingles), "shingle").groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
-    )
-    return (
-        shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes, "item_id")
-        .where(f"100 * n_shared >= {THRESHOLD_PERCENT} * n_item").select("doc_id", "item_id", "n_shared", "n_item")
-    )
+    ids = candidates.select("doc_id").distinct()
+    suspects = docs.join(F.broadcast(ids) if _small(ids) else ids, "doc_id", "left_semi")
+    held = _shingled(suspects, "doc_id").select("doc_id", _text().alias("shingle"))
+    shared = _met(held, shingles, "shingle").groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
+    sized = shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(F.broadcast(sizes) if _small(sizes) else sizes, "item_id")
+    return sized.where(f"100 * n_shared >= {THRESHOLD_PERCENT} * n_item").select("doc_id", "item_id", "n_shared", "n_item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item; those with a null id stay."""
-    return docs.join(contained_items(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = cut(contained_items(docs, items).select("doc_id").distinct())
+    return docs.join(F.broadcast(found) if _small(found) else found, "doc_id", "left_anti").select(*docs.columns)

@@ -48,12 +48,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_ok(x: str) -> str:
-    word = rf"[^\x20\x09-\x0D]+"
-    noise, nav, end, plate = (v.replace("'", "''") for v in (quality_rules.NOISE, quality_rules.NAVIGATION, quality_rules.SENTENCE_END, quality_rules.BOILERPLATE))
-    return (
-        f"NOT (regexp_matches({x}, '{word}') AND (len(regexp_extract_all({x}, '{noise}')) * 10 > length({x}) OR regexp_matches({x}, '{nav}')"
-        f" OR NOT regexp_matches({x}, '{end}') AND NOT regexp_matches({x}, '{word}{SP}+{word}{SP}+{word}') OR regexp_matches({x}, '{plate}')))"
-    )
+    """The rules of quality_rules.line_fails, said again for RE2: marks and phrases count by their share of the words."""
+    word = r"[^\x20\x09-\x0D]+"
+    noise, nav, end, plate, quoted = (v.replace("'", "''") for v in (quality_rules.NOISE, quality_rules.NAVIGATION, quality_rules.SENTENCE_END, quality_rules.BOILERPLATE, quality_rules.QUOTED))
+    n = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
+    bare = f"regexp_replace({x}, '{quoted}', ' ', 'g')"
+    menu = f"regexp_matches({x}, '{nav}') AND regexp_matches({bare}, '{nav}') AND {n(bare, '[|»›•]')} * {quality_rules.WORDS_A_SEPARATOR} >= {n(x, word)}"
+    boilerplate = f"regexp_matches({x}, '{plate}') AND {n(x, plate)} * {quality_rules.WORDS_A_PHRASE} >= {n(x, word)}"
+    stub = f"NOT regexp_matches({x}, '{end}') AND NOT regexp_matches({x}, '{word}{SP}+{word}{SP}+{word}')"
+    return f"NOT (regexp_matches({x}, '{word}') AND ({n(x, noise)} * 10 > length({x}) OR {menu} OR {stub} OR {boilerplate}))"
 
 
 OP3_CTES = rf"""
@@ -86,6 +89,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _shingles_sql(name: str, source: str, key: str, lower: str) -> str:
     return rf"""
 {name}_w AS (SELECT {key}, w FROM (SELECT {key}, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM {source}) WHERE len(w) > 0),
@@ -124,8 +130,6 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
-ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 OP9_CTES = f"""{_shingles_sql("op9_s", "{docs}", "doc_id", ASCII_LOWER)},
 op9_n AS (SELECT doc_id, count(*) AS n FROM op9_s GROUP BY doc_id),
 op9_links AS (
