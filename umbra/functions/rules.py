@@ -18,6 +18,7 @@ class Rule:
     confidence: float
     check: str = ""  # verhoeff, card, upi, not_bh, digit
     context: str = ""  # fires only where the unit's context is this category
+    hint: str = ""  # what every match has in it, as a pattern that is quickly found to be absent
 
     @property
     def spark_pattern(self) -> str:
@@ -26,18 +27,18 @@ class Rule:
 
 # Patterns and confidences of the rules.
 RULES = (
-    Rule("aadhaar", "AADHAAR", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.95, "verhoeff"),
-    Rule("aadhaar_masked", "AADHAAR", r"\b[Xx*]{4}[ -]?[Xx*]{4}[ -]?[0-9]{4}\b", 0.6),
-    Rule("pan", "PAN", r"\b[A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z]\b", 0.9),
-    Rule("card", "CARD_NUMBER", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", 0.92, "card"),
-    Rule("email", "EMAIL", r"[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+", 0.95),
-    Rule("upi", "UPI_ID", r"\b[a-zA-Z0-9._-]{2,256}@[a-zA-Z][a-zA-Z0-9]{1,64}\b", 0.55, "upi"),
-    Rule("phone", "PHONE", r"(?:\+91[ -]?|0)?\b[6-9][0-9]{4}[ -]?[0-9]{5}\b", 0.75),
-    Rule("ifsc", "IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.9),
-    Rule("vehicle_bh", "VEHICLE_REG", r"\b[0-9]{2}[ -]?BH[ -]?[0-9]{4}[ -]?[A-Z]{1,2}\b", 0.85),
-    Rule("vehicle", "VEHICLE_REG", r"\b[A-Z]{2}[ -]?[0-9]{1,2}[ -]?[A-Z]{1,3}[ -]?[0-9]{4}\b", 0.7, "not_bh"),
+    Rule("aadhaar", "AADHAAR", r"\b[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", 0.95, "verhoeff", hint=r"[2-9][0-9]{3}[ -]?[0-9]{4}"),
+    Rule("aadhaar_masked", "AADHAAR", r"\b[Xx*]{4}[ -]?[Xx*]{4}[ -]?[0-9]{4}\b", 0.6, hint=r"[Xx*]{4}"),
+    Rule("pan", "PAN", r"\b[A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z]\b", 0.9, hint=r"[A-Z][0-9]{4}[A-Z]"),
+    Rule("card", "CARD_NUMBER", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", 0.92, "card", hint=r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
+    Rule("email", "EMAIL", r"[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+", 0.95, hint=r"@"),
+    Rule("upi", "UPI_ID", r"\b[a-zA-Z0-9._-]{2,256}@[a-zA-Z][a-zA-Z0-9]{1,64}\b", 0.55, "upi", hint=r"@"),
+    Rule("phone", "PHONE", r"(?:\+91[ -]?|0)?\b[6-9][0-9]{4}[ -]?[0-9]{5}\b", 0.75, hint=r"[6-9][0-9]{4}[ -]?[0-9]{5}"),
+    Rule("ifsc", "IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.9, hint=r"[A-Z]0[A-Z0-9]{6}"),
+    Rule("vehicle_bh", "VEHICLE_REG", r"\b[0-9]{2}[ -]?BH[ -]?[0-9]{4}[ -]?[A-Z]{1,2}\b", 0.85, hint=r"BH"),
+    Rule("vehicle", "VEHICLE_REG", r"\b[A-Z]{2}[ -]?[0-9]{1,2}[ -]?[A-Z]{1,3}[ -]?[0-9]{4}\b", 0.7, "not_bh", hint=r"[A-Z][ -]?[0-9]{4}"),
     # Own definition: provider prefixes and web tokens.
-    Rule("secret", "SECRET", r"\b(?:ghp_[A-Za-z0-9]{36}|AKIA[A-Z0-9]{16}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)\b", 0.95),
+    Rule("secret", "SECRET", r"\b(?:ghp_[A-Za-z0-9]{36}|AKIA[A-Z0-9]{16}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)\b", 0.95, hint=r"ghp_|AKIA|eyJ"),
 )
 CONTEXT_RULES = (
     Rule("bank_account", "BANK_ACCOUNT", r"\b[0-9]{9,18}\b", 0.6, context="BANK_ACCOUNT"),
@@ -53,14 +54,14 @@ CONTEXT_RULES = (
     Rule("tracking_id", "TRACKING_ID", r"\b[A-Za-z0-9][A-Za-z0-9-]{2,29}\b", 0.8, "digit", "TRACKING_ID"),
 )
 SHAPES = (
-    Rule("currency", "FINANCIAL_VALUE", r"(?:₹|Rs\.?|INR)[ ]?[0-9,]+(?:\.[0-9]{1,2})?", 0.5),
-    Rule("digits_12", "UAN", r"\b[0-9]{12}\b", 0.3),
-    Rule("digits_9_18", "BANK_ACCOUNT", r"\b[0-9]{9,18}\b", 0.3),
-    Rule("voter", "VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b", 0.5),
-    Rule("pin", "PIN_CODE", r"\b[1-9][0-9]{5}\b", 0.3),
-    Rule("date", "DATE", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}\b", 0.5),
-    Rule("bearer", "SECRET", r"Bearer [A-Za-z0-9._-]{16,}", 0.9),
-    Rule("opaque", "SECRET", r"\b[A-Za-z0-9_-]{32,}\b", 0.3, "letter_digit"),
+    Rule("currency", "FINANCIAL_VALUE", r"(?:₹|Rs\.?|INR)[ ]?[0-9,]+(?:\.[0-9]{1,2})?", 0.5, hint=r"₹|Rs|INR"),
+    Rule("digits_12", "UAN", r"\b[0-9]{12}\b", 0.3, hint=r"[0-9]{12}"),
+    Rule("digits_9_18", "BANK_ACCOUNT", r"\b[0-9]{9,18}\b", 0.3, hint=r"[0-9]{9}"),
+    Rule("voter", "VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b", 0.5, hint=r"[A-Z][0-9]{7}"),
+    Rule("pin", "PIN_CODE", r"\b[1-9][0-9]{5}\b", 0.3, hint=r"[1-9][0-9]{5}"),
+    Rule("date", "DATE", r"\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}\b", 0.5, hint=r"[0-9][/-][0-9]"),
+    Rule("bearer", "SECRET", r"Bearer [A-Za-z0-9._-]{16,}", 0.9, hint=r"Bearer "),
+    Rule("opaque", "SECRET", r"\b[A-Za-z0-9_-]{32,}\b", 0.3, "letter_digit", hint=r"[A-Za-z0-9_-]{32}"),
 )
 UPI_HANDLES = ("okaxis", "okhdfcbank", "oksbi", "okicici", "okbizaxis", "ybl", "paytm", "apl", "ibl", "axl", "axisbank", "jio", "rzp", "freecharge", "idfcbank", "kotak", "upi")
 CARD_PREFIX = r"^(4|5[1-5]|2(22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[47]|60|65|81|82|508|353|356|6011|64[4-9]|3(0[0-5]|[68]))"

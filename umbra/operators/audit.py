@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from umbra.operators.detect import scan
 from umbra.operators.protect import TOKEN
@@ -12,6 +12,9 @@ from umbra.operators.protect import TOKEN
 CHECKS = ("schema", "rule-scan", "known-value", "unknown-token", "coverage", "digest")
 #: Fewer digits stand in any text by chance.
 MIN_DIGITS = 7
+MIN_CHARS = 4
+#: Up to so many first characters of known values (some 10 bytes each) are broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def rescan_rules(sanitized: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -20,31 +23,47 @@ def rescan_rules(sanitized: DataFrame, allowed: DataFrame) -> DataFrame:
     return scan(bare).join(allowed, ["unit_id", "category"], "left_anti").groupBy("unit_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ascii_lower(text: Column | str) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _containing(texts: DataFrame, values: DataFrame, size: int) -> DataFrame:
+    """(unit_id, category, normalized, form) where the text (unit_id, text) holds the form, anywhere in it.
+
+    They meet by the first `size` characters of the form. Where few of these occur, they are broadcast and only
+    such grams leave their text; else all grams of the texts are shuffled.
+    """
+    blocked = values.withColumn("block", F.substring("form", 1, size))
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # at every place, in one pass
+    long = texts.where(F.length("text") >= size)
+    distinct = blocked.select("block").distinct()
+    if distinct.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        long = long.crossJoin(F.broadcast(distinct.agg(F.collect_set("block").alias("__b"))))  # one row
+        grams = F.array_intersect(grams, F.col("__b"))
+    pairs = long.select("unit_id", F.explode(grams).alias("block")).join(blocked, "block").drop("block")
+    return pairs.join(texts, "unit_id").where(F.contains("text", "form")).drop("text")
+
+
+def known_forms(vault: DataFrame) -> DataFrame:
+    """(category, normalized, form, digits): values as they are looked for: normalized and (column value, if given) raw, A-Z lower-cased."""
+    forms = ["normalized", *(["value"] if "value" in vault.columns else [])]
+    every = vault.select("category", "normalized", F.explode(F.array(*forms)).alias("form")).where("form is not null")
+    return every.withColumn("form", ascii_lower("form")).distinct().withColumn("digits", F.regexp_replace("form", "[^0-9]", ""))
+
+
 def known_value_leaks(sanitized: DataFrame, vault: DataFrame) -> DataFrame:
     """(unit_id, category, normalized): units that still hold a known value, normalized or (column value, if given) raw.
 
-    Values of four characters or more are looked for, case aside, where their first word, without marks at its
-    ends, is a word of the text. Values of seven digits or more are also looked for in the digits of the text
-    alone, whatever stands between them; tokens are taken out before.
+    Values of four characters or more are looked for anywhere in the text, case of A-Z aside. Values of seven digits
+    or more are also looked for in the digits of the text alone, whatever stands between them; tokens are taken out
+    before that.
     """
-    word, key = r"[a-z0-9](?:[a-z0-9_.@+-]*[a-z0-9])?", ["category", "normalized"]
-    forms = ["normalized", *(["value"] if "value" in vault.columns else [])]
-    values = vault.select(*key, F.explode(F.array(*forms)).alias("form")).where("form is not null").distinct()
-    texts = sanitized.select("unit_id", "text")
-
-    blocks = values.where(F.length("form") >= 4).withColumn("block", F.regexp_extract(F.lower("form"), word, 0)).where("block <> ''")
-    words = texts.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("block"))
-    pairs = words.join(blocks, "block").select("unit_id", *key, "form").distinct()
-    as_text = pairs.join(texts, "unit_id").where(F.contains(F.lower("text"), F.lower("form"))).select("unit_id", *key)
-
-    digits = values.select(*key, F.regexp_replace("form", r"\D", "").alias("digits")).where(F.length("digits") >= MIN_DIGITS).distinct()
-    digits = digits.withColumn("block", F.substring("digits", 1, MIN_DIGITS))
-    runs = texts.select("unit_id", F.regexp_replace(F.regexp_replace("text", TOKEN, " "), r"\D", "").alias("all")).where(F.length("all") >= MIN_DIGITS)
-    starts = F.sequence(F.lit(1), F.length("all") - MIN_DIGITS + 1)
-    windows = runs.select("unit_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("all").substr(i, F.lit(MIN_DIGITS))))).alias("block"))
-    pairs = windows.join(digits, "block").select("unit_id", *key, "digits").distinct()
-    as_digits = pairs.join(runs, "unit_id").where(F.contains(F.col("all"), F.col("digits"))).select("unit_id", *key)
-    return as_text.unionByName(as_digits).distinct()
+    key, forms = ["category", "normalized"], known_forms(vault)
+    texts = sanitized.where("text is not null").select("unit_id", "text")
+    as_text = _containing(texts.withColumn("text", ascii_lower("text")), forms.where(F.length("form") >= MIN_CHARS).select(*key, "form"), MIN_CHARS)
+    bare = texts.withColumn("text", F.regexp_replace(F.regexp_replace("text", TOKEN, " "), "[^0-9]", ""))
+    as_digits = _containing(bare, forms.where(F.length("digits") >= MIN_DIGITS).select(*key, F.col("digits").alias("form")).distinct(), MIN_DIGITS)
+    return as_text.select("unit_id", *key).unionByName(as_digits.select("unit_id", *key)).distinct()
 
 
 def unknown_tokens(sanitized: DataFrame, vault: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ def luhn_valid(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, hint: str = "") -> Column:
     """array<struct<span_start, span_end, value, next>>: all matches with their places in code points.
 
-    Marks are put around the matches, and the pieces between marks are counted; pieces 2, 4, ... are matches.
+    hint is a pattern that every match has in it and that most texts lack. Marks are put around the matches, and the pieces between marks are counted; pieces 2, 4, ... are matches.
     """
     clean = F.translate(text, MARKS, "  ")
     pieces = F.split(F.regexp_replace(clean, f"({pattern})", "\x01$1\x02"), f"[{MARKS}]", -1)
@@ -35,7 +35,8 @@ def matches(text: Column, pattern: str) -> Column:
         return F.transform(ends, lambda i: F.struct(start(i).alias("span_start"), (start(i) + F.length(pieces[i])).alias("span_end"), pieces[i].alias("value"), F.substring(pieces[i + 1], 1, 1).alias("next")))
 
     found = F.transform(F.array(pieces), span)[0]
-    return F.when(text.rlike(pattern), found)
+    probable = F.contains(text, F.lit(hint)) if hint.isalpha() or hint == "@" else text.rlike(hint or pattern)
+    return F.when(probable & text.rlike(pattern), found) if hint else F.when(text.rlike(pattern), found)
 
 
 def _valid(rule: Rule, m: Column) -> Column:
@@ -56,7 +57,7 @@ def _found(rule: Rule) -> Column:
         confidence = F.when(handle.isin(*UPI_HANDLES), 0.9).otherwise(0.55) if rule.check == "upi" else F.lit(rule.confidence)
         return F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), m.span_start.alias("span_start"), m.span_end.alias("span_end"), m.value.alias("value"), confidence.alias("confidence"))
 
-    found = F.transform(F.filter(matches(F.col("text"), rule.spark_pattern), lambda m: _valid(rule, m)), row)
+    found = F.transform(F.filter(matches(F.col("text"), rule.spark_pattern, rule.hint), lambda m: _valid(rule, m)), row)
     none = F.array().cast("array<struct<rule:string,category:string,span_start:int,span_end:int,value:string,confidence:double>>")
     return F.coalesce(F.when(F.col("context") == rule.context, found) if rule.context else found, none)
 
@@ -64,7 +65,7 @@ def _found(rule: Rule) -> Column:
 def scan(units: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("unit_id", "origin")) -> DataFrame:
     """(unit_id, origin, rule, category, span_start, span_end, value, confidence): every valid match of every rule.
 
-    One pass over the units and no shuffle: each rule tests the text before it looks for places. Rules with a
+    One pass over the units and no shuffle: each rule looks for its hint first, then for a match, then for places. Rules with a
     context only read units whose `context` is theirs. A null text holds nothing.
     """
     return units.select(*keep, F.inline(F.concat(*[_found(rule) for rule in rules])))
@@ -125,11 +126,17 @@ def repeat_index(shapes: DataFrame) -> DataFrame:
 
 
 def merge_spans(detections: DataFrame, policy: DataFrame) -> DataFrame:
-    """(unit_id, origin, span_start, span_end, category, confidence, rules): overlapping spans of a unit as one.
+    """(unit_id, origin, span_start, span_end, category, confidence, certainty, rules, value): overlapping spans of a unit as one.
 
-    Spans chain into islands. The class with the least risk rank names an island, then the earliest span; the
-    confidence is that of not all being wrong.
+    Spans chain into islands. A certain member (confidence 0.6 or more, or a certainty of 'detected' where detections
+    have that column) makes the island certain, and then only certain ones name it: a secret first, then an explicit
+    field context (source 'field_context'), then the class with the least risk rank, then the earliest span. The
+    confidence is that of not all being wrong. value is that of a member that covers the island, else null.
     """
+    has = set(detections.columns)
+    sure = F.coalesce(F.col("certainty") == "detected", F.lit(False)) if "certainty" in has else F.col("confidence") >= 0.6
+    place = F.when(F.col("category") == "SECRET", 0).when(F.col("source") == "field_context", 1).otherwise(2) if "source" in has else F.when(F.col("category") == "SECRET", 0).otherwise(2)
+    detections = detections.withColumns({"__unsure": (~sure).cast("int"), "__place": place})
     ranked = detections.join(F.broadcast(policy.select("category", "risk_rank")), "category", "left").fillna(99, "risk_rank")
     order = Window.partitionBy("unit_id").orderBy("span_start", "span_end", "rule")
     reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -137,8 +144,10 @@ def merge_spans(detections: DataFrame, policy: DataFrame) -> DataFrame:
     doubt = F.aggregate(F.sort_array(F.collect_list("confidence")), F.lit(1.0), lambda a, c: a * (1 - c))
     return islands.groupBy("unit_id", "origin", "__island").agg(
         F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"),
-        F.min_by("category", F.struct("risk_rank", "span_start", "rule")).alias("category"), F.round(1 - doubt, 6).alias("confidence"),
+        F.min_by("category", F.struct("__unsure", "__place", "risk_rank", "span_start", "rule")).alias("category"), F.round(1 - doubt, 6).alias("confidence"),
+        F.when(F.min("__unsure") == 0, "detected").otherwise("uncertain").alias("certainty"),
         F.array_join(F.sort_array(F.collect_set("rule")), ",").alias("rules"),
+        F.when(F.max(F.col("span_end") - F.col("span_start")) == F.max("span_end") - F.min("span_start"), F.max_by("value", F.col("span_end") - F.col("span_start"))).alias("value"),
     ).drop("__island")
 
 

@@ -113,9 +113,8 @@ def probe_log(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), (k % 2 == 0).alias("schema_valid"), F.when(k % 5 != 0, k % 3 == 0).alias("grounded"), F.when(k % 7 != 0, k % 2 == 1).alias("enforced_ok"))
 
 
-def changed_decisions(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(unit_id, span_start, before, after): spans that two policies decide differently."""
-    key = ["unit_id", "span_start"]
+def changed_decisions(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """(key, before, after): spans that two policies decide differently."""
     return a.select(*key, F.col("action").alias("before")).join(b.select(*key, F.col("action").alias("after")), key).where("before <> after")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from umbra.functions import rules as R
 from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, evidence as V, pages as H, protect as P
+from umbra.sources import tables as S
 from umbra.sources.tables import stored, table, to_units, units
 from umbra.streaming import streams as T
 
@@ -33,10 +34,21 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-UNITS = """units AS (
+def _markup_sql(x: str) -> str:
+    x = f"regexp_replace({x}, {quoted(S.TAG)}, '', 'g')"
+    for entity, character in S.ENTITIES:
+        x = f"replace({x}, {quoted(entity)}, {quoted(character)})"
+    return rf"trim(regexp_replace({x}, '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+UNITS = rf"""page_lines AS (SELECT page_id, url, html, unnest(string_split(regexp_replace(regexp_replace(html, {quoted(S.UNSEEN)}, ' ', 'g'), {quoted(S.BREAKS)}, chr(1), 'g'), chr(1))) AS line, generate_subscripts(string_split(regexp_replace(regexp_replace(html, {quoted(S.UNSEEN)}, ' ', 'g'), {quoted(S.BREAKS)}, chr(1), 'g'), chr(1)), 1) AS i FROM pages),
+page_blocks AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS seq, text FROM (SELECT page_id, url, i, {_markup_sql('line')} AS text FROM page_lines) WHERE text <> ''),
+page_texts AS (SELECT * FROM page_blocks UNION ALL SELECT page_id, url, 0, text FROM (SELECT page_id, url, {_markup_sql(f"regexp_extract(html, {quoted(S.TITLE)}, 1)")} AS text FROM pages) WHERE text <> ''),
+units AS (
   SELECT 'doc:' || doc_id AS unit_id, source AS origin, 'text_span' AS target_kind, 0 AS seq, text FROM documents
   UNION ALL SELECT 'conv:' || conv_id || ':' || turn, 'conv:' || conv_id, 'text_span', turn, text FROM conversations
-  UNION ALL SELECT 'url:' || page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), 'side_channel', 0, url FROM pages)"""
+  UNION ALL SELECT 'url:' || page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), 'side_channel', 0, url FROM pages
+  UNION ALL SELECT 'page:' || page_id || ':' || seq, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), CASE WHEN seq = 0 THEN 'title' ELSE 'block' END, seq, text FROM page_texts)"""
 
 
 @query(f"WITH {UNITS} SELECT unit_id, origin, target_kind, seq, text FROM units")
@@ -155,12 +167,13 @@ POLICY = "policy(category, class, risk_rank, locked, is_identity, needed, not_ne
 MERGED = f"""{DET}, {POLICY}, ranked AS (SELECT d.*, coalesce(risk_rank, 99) AS risk_rank FROM det d LEFT JOIN policy USING (category)),
 reach AS (SELECT *, max(span_end) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranked),
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule) AS island FROM reach),
-merged AS (SELECT unit_id, origin, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(category, (risk_rank, span_start, rule)) AS category,
-  round(1 - product(1 - confidence), 6) AS confidence, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM islands GROUP BY unit_id, origin, island)"""
+merged AS (SELECT unit_id, origin, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(category, (confidence < 0.6, category <> 'SECRET', risk_rank, span_start, rule)) AS category,
+  round(1 - product(1 - confidence), 6) AS confidence, CASE WHEN max(confidence) >= 0.6 THEN 'detected' ELSE 'uncertain' END AS certainty, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules,
+  CASE WHEN max(span_end - span_start) = max(span_end) - min(span_start) THEN arg_max(value, span_end - span_start) END AS value FROM islands GROUP BY unit_id, origin, island)"""
 
 
-def merged(spark, sf):
-    return D.merge_spans(detections(spark, sf), R.load_policy(spark))
+def merged(spark, sf, found=None):
+    return D.merge_spans(detections(spark, sf) if found is None else found, R.load_policy(spark))
 
 
 @query(f"WITH {MERGED} SELECT * FROM merged")
@@ -185,22 +198,22 @@ def s4_load_labels(spark, sf):
 
 # ---- protection
 
-ORDERED = f"""{MERGED}, ordered AS (SELECT *, regexp_extract(unit_id, '[0-9]+', 0)::BIGINT AS seq, 'rule' AS source, CASE WHEN confidence < 0.6 THEN 'uncertain' ELSE 'detected' END AS certainty, category IN ('EMAIL', 'PHONE') AS needed_by_task FROM merged),
+ORDERED = f"""{MERGED}, ordered AS (SELECT *, regexp_extract(unit_id, '[0-9]+', 0)::BIGINT AS seq, 'rule' AS source, category IN ('EMAIL', 'PHONE') AS needed_by_task FROM merged),
 firsts AS (SELECT origin, o.category, min(seq) AS seq, bool_or(is_identity AND confidence >= 0.6) AS identity, min(CASE WHEN is_identity AND confidence >= 0.6 THEN seq END) AS id_seq, any_value(class) AS class FROM ordered o JOIN policy USING (category) GROUP BY origin, o.category),
 ident AS (SELECT origin, min(id_seq) AS seq FROM firsts WHERE identity GROUP BY origin),
-linked AS (SELECT origin, seq FROM (SELECT origin, seq, row_number() OVER (PARTITION BY origin ORDER BY seq, category) AS n FROM firsts WHERE class = 'quasi') WHERE n = 2),
+linked AS (SELECT origin, seq FROM (SELECT origin, seq, row_number() OVER (PARTITION BY origin ORDER BY seq, category) AS n FROM firsts WHERE class = 'quasi') WHERE n = 3),
 based AS (SELECT o.*, coalesce(class, 'non_pii') AS class, cond_then, cond_else, coalesce(i.seq <= o.seq, FALSE) OR coalesce(l.seq <= o.seq, FALSE) AS together,
   coalesce(CASE WHEN needed_by_task AND certainty <> 'uncertain' THEN needed ELSE not_needed END, 'ALLOW') AS base FROM ordered o LEFT JOIN policy p USING (category) LEFT JOIN ident i ON i.origin = o.origin LEFT JOIN linked l ON l.origin = o.origin),
 resolved AS (SELECT *, CASE WHEN base <> 'TOKEN_IF_IDENTITY_PRESENT' THEN base WHEN together THEN cond_then ELSE cond_else END AS r FROM based),
-decided AS (SELECT unit_id, origin, span_start, span_end, category, confidence, rules, seq, class, CASE WHEN certainty = 'uncertain' AND r IN ('TOKEN', 'TOKEN_WITH_APPROVAL', 'ALLOW') THEN 'FILL' ELSE r END AS action FROM resolved)"""
+decided AS (SELECT unit_id, origin, span_start, span_end, category, confidence, rules, value, seq, class, CASE WHEN certainty = 'uncertain' AND r IN ('TOKEN', 'TOKEN_WITH_APPROVAL', 'ALLOW') THEN 'FILL' ELSE r END AS action FROM resolved)"""
 
 
-def ordered(spark, sf):
-    return merged(spark, sf).withColumns({"seq": F.regexp_extract("unit_id", "[0-9]+", 0).cast("long"), "source": F.lit("rule"), "certainty": F.when(F.col("confidence") < 0.6, "uncertain").otherwise("detected"), "needed_by_task": F.col("category").isin("EMAIL", "PHONE")})
+def ordered(spark, sf, found=None):
+    return merged(spark, sf, found).withColumns({"seq": F.regexp_extract("unit_id", "[0-9]+", 0).cast("long"), "source": F.lit("rule"), "needed_by_task": F.col("category").isin("EMAIL", "PHONE")})
 
 
-def decided(spark, sf):
-    return P.decide(stored(ordered(spark, sf)), R.load_policy(spark), k=2).select("unit_id", "origin", "span_start", "span_end", "category", "confidence", "rules", "seq", "class", "action")
+def decided(spark, sf, found=None):
+    return P.decide(ordered(spark, sf, found), R.load_policy(spark)).select("unit_id", "origin", "span_start", "span_end", "category", "confidence", "rules", "value", "seq", "class", "action")
 
 
 @query(f"WITH {ORDERED} SELECT * FROM decided")
@@ -213,9 +226,20 @@ def p3_identity_seen(spark, sf):
     return P.identity_seen(ordered(spark, sf), R.load_policy(spark))
 
 
-@query(f"WITH {ORDERED} SELECT origin, seq FROM linked")
+QUASI = f"""{CONTEXT_UNITS}, {POLICY}, spans AS (SELECT unit_id, origin, regexp_extract(unit_id, '[0-9]+', 0)::BIGINT AS seq, category, rule, span_start, confidence FROM ({scan_sql('ctx', R.CONTEXT_RULES)})),
+firsts AS (SELECT origin, category, min(seq) AS seq FROM spans JOIN policy USING (category) WHERE class = 'quasi' GROUP BY ALL),
+linked AS (SELECT origin, seq FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY seq, category) AS n FROM firsts) WHERE n = 3)"""
+
+
+def quasi(spark, sf):
+    """Labelled spans of orders: dates, order ids and such, which identify together."""
+    spans = D.scan(context_units(spark, sf), R.CONTEXT_RULES).withColumn("seq", F.regexp_extract("unit_id", "[0-9]+", 0).cast("long"))
+    return spans.withColumns({"source": F.lit("rule"), "certainty": F.lit("detected"), "needed_by_task": F.lit(False)})
+
+
+@query(f"WITH {QUASI} SELECT origin, seq FROM linked")
 def p4_linkability(spark, sf):
-    return P.linkability(ordered(spark, sf), R.load_policy(spark), k=2)
+    return P.linkability(quasi(spark, sf), R.load_policy(spark))
 
 
 def normal_sql(c: str, v: str) -> str:
@@ -251,15 +275,33 @@ def p6_tokenize(spark, sf):
     return vault(spark, sf).withColumn("origins", F.array_join("origins", ","))
 
 
-REDACTED = f"""{ORDERED}, red AS (
+def redacted_sql(name: str, spans: str) -> str:
+    """Text with spans replaced by the vault's token where the decision is one, else by the category."""
+    return f"""{name} AS (
   SELECT u.unit_id, u.origin, u.seq, u.text, count(d.unit_id) AS n_redacted,
     coalesce(string_agg(substr(u.text, d.prev + 1, d.span_start - d.prev) || d.rep, '' ORDER BY d.span_start), '') || substr(u.text, coalesce(max(d.span_end), 0) + 1) AS text_redacted
-  FROM units u LEFT JOIN (SELECT *, lag(span_end, 1, 0) OVER (PARTITION BY unit_id ORDER BY span_start) AS prev, '[REDACTED:' || category || ']' AS rep FROM decided WHERE action <> 'ALLOW') d ON d.unit_id = u.unit_id GROUP BY u.unit_id, u.origin, u.seq, u.text)"""
+  FROM units u LEFT JOIN (SELECT s.*, lag(span_end, 1, 0) OVER (PARTITION BY unit_id ORDER BY span_start) AS prev,
+      coalesce(CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN token END, '[REDACTED:' || s.category || ']') AS rep
+    FROM {spans} s LEFT JOIN vault v ON v.category = s.category AND v.normalized = {normal_sql('s.category', 's.value')} WHERE action <> 'ALLOW') d ON d.unit_id = u.unit_id GROUP BY u.unit_id, u.origin, u.seq, u.text)"""
 
 
-def redacted(spark, sf):
-    spans = decided(spark, sf).where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end", F.concat(F.lit("[REDACTED:"), "category", F.lit("]")).alias("replacement"))
-    return P.redact_spans(units(spark, sf).select("unit_id", "origin", "seq", "text"), spans)
+REDACTED = f"{ORDERED}, {VAULT}, {redacted_sql('red', 'decided')}"
+#: Redactions with planted faults: every fifth document, page or conversation is left as it was.
+FAULTY = f"{ORDERED}, {VAULT}, applied AS (SELECT * FROM decided WHERE seq % 5 <> 0), {redacted_sql('red', 'applied')}"
+
+
+def replaced(spans, held):
+    """spans with the replacement that the decision asks for; held: the vault."""
+    normal = P.normalize_value(F.col("category"), F.col("value"))
+    joined = spans.withColumn("normalized", normal).join(held.select("category", "normalized", "token"), ["category", "normalized"], "left")
+    token = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), F.col("token"))
+    return joined.where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end", F.coalesce(token, F.concat(F.lit("[REDACTED:"), "category", F.lit("]"))).alias("replacement"))
+
+
+def redacted(spark, sf, found=None, spans=None):
+    found = detections(spark, sf) if found is None else found
+    spans = decided(spark, sf, found) if spans is None else spans
+    return P.redact_spans(units(spark, sf).select("unit_id", "origin", "seq", "text"), replaced(spans, P.tokenize(found, KEY)))
 
 
 @query(f"WITH {REDACTED} SELECT unit_id, n_redacted, text_redacted FROM red")
@@ -300,18 +342,27 @@ def p18_privacy_receipt(spark, sf):
 
 # ---- leak audit
 
-RESCAN = f"""{REDACTED}, bare AS (SELECT unit_id, origin, text_redacted AS text FROM red), again AS ({scan_sql('bare')}),
+TOKEN_SQL = P.TOKEN.replace("'", "''")
+RESCAN = f"""{FAULTY}, bare AS (SELECT unit_id, origin, regexp_replace(text_redacted, '{TOKEN_SQL}', ' ', 'g') AS text FROM red), again AS ({scan_sql('bare')}),
 leaks AS (SELECT unit_id, category, count(*) AS n FROM again WHERE (unit_id, category) NOT IN (SELECT (unit_id, category) FROM decided WHERE action = 'ALLOW') GROUP BY unit_id, category)"""
 
 
-def rescanned(spark, sf):
-    out = redacted(spark, sf).select("unit_id", "origin", F.col("text_redacted").alias("text"))
-    return L.rescan_rules(out, decided(spark, sf).where("action = 'ALLOW'").select("unit_id", "category"))
+def rescanned(out, spans):
+    return L.rescan_rules(out, spans.where("action = 'ALLOW'").select("unit_id", "category"))
+
+
+def faulty(spark, sf):
+    """(redacted units of which every fifth kept all it had: what the audit must find, the decided spans, the vault)."""
+    found = detections(spark, sf)
+    spans = stored(decided(spark, sf, found))
+    out = redacted(spark, sf, found, spans.where("seq % 5 <> 0"))
+    return stored(out.select("unit_id", "origin", F.col("text_redacted").alias("text"))), spans, P.tokenize(found, KEY)
 
 
 @query(f"WITH {RESCAN} SELECT * FROM leaks")
 def l3_rescan_rules(spark, sf):
-    return rescanned(spark, sf)
+    out, spans, _ = faulty(spark, sf)
+    return rescanned(out, spans)
 
 
 def known_values(found):
@@ -320,38 +371,56 @@ def known_values(found):
     return found.where(~F.col("category").isin(*P.NEVER_TOKENS)).select("category", normal.alias("normalized"), "value").distinct()
 
 
-@query(f"""WITH {DET}, {VAULT}, v AS (SELECT category, normalized, regexp_extract(lower(normalized), '[a-z0-9_.@+-]+', 0) AS block FROM vault WHERE length(normalized) >= 4),
-  w AS (SELECT unit_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.@+-]+')) AS words FROM units)
-  SELECT unit_id, category, normalized FROM w JOIN v ON block <> '' AND contains(lower(text), lower(normalized)) AND list_contains(words, block)""")
+LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+KNOWN = f"""known AS (SELECT DISTINCT category, {normal_sql('category', 'value')} AS normalized, value FROM hidden WHERE value IS NOT NULL AND category NOT IN ({', '.join(map(quoted, P.NEVER_TOKENS))})),
+forms AS (SELECT DISTINCT category, normalized, {LOW.format('form')} AS form, regexp_replace(form, '[^0-9]', '', 'g') AS digits FROM (SELECT category, normalized, unnest([normalized, value]) AS form FROM known) WHERE form IS NOT NULL),
+bared AS (SELECT unit_id, {LOW.format('text')} AS low, regexp_replace(regexp_replace(text, '{TOKEN_SQL}', ' ', 'g'), '[^0-9]', '', 'g') AS digits FROM outgoing),
+known_leaks AS (SELECT DISTINCT b.unit_id, f.category, f.normalized FROM bared b JOIN forms f ON length(f.form) >= {L.MIN_CHARS} AND contains(b.low, f.form) OR length(f.digits) >= {L.MIN_DIGITS} AND contains(b.digits, f.digits))"""
+HIDDEN = "hidden AS (SELECT * FROM decided WHERE action <> 'ALLOW'), outgoing AS (SELECT unit_id, text_redacted AS text FROM red)"
+
+
+@query(f"WITH {FAULTY}, {HIDDEN}, {KNOWN} SELECT * FROM known_leaks")
 def l4_known_value_leaks(spark, sf):
-    return L.known_value_leaks(units(spark, sf), known_values(detections(spark, sf)))
+    out, spans, _ = faulty(spark, sf)
+    return L.known_value_leaks(out, known_values(spans.where("action <> 'ALLOW' and value is not null")))
 
 
 def token_texts(spark, sf):
-    """Texts that carry one token each, every fifth of them altered."""
-    rows = vault(spark, sf).withColumn("k", F.pmod(F.crc32(F.encode("normalized", "UTF-8")), F.lit(5)))
-    return rows.select(F.concat("category", F.lit("/"), "normalized").alias("unit_id"), F.concat(F.lit("send "), F.when(F.col("category") == "EMAIL", F.concat(F.lit("[[PII:EMAIL:"), F.substring(F.sha2(F.col("normalized"), 256), 1, 8), F.lit("]]"))).otherwise(F.col("token")), F.lit(" now")).alias("text"))
+    """Texts that carry one token each; those of even length have theirs altered by one letter of its alphabet."""
+    turned = F.concat(F.expr("substring(token, 1, length(token) - 10)"), F.translate(F.expr("substring(token, length(token) - 9, 8)"), P.BASE32, P.BASE32[1:] + P.BASE32[:1]), F.lit("]]"))
+    text = F.concat(F.lit("send "), F.when(F.length("normalized") % 2 == 0, turned).otherwise(F.col("token")), F.lit(" now"))
+    return vault(spark, sf).select(F.concat("category", F.lit("/"), "normalized").alias("unit_id"), text.alias("text"))
 
 
-@query(rf"""WITH {DET}, {VAULT}, t AS (SELECT category || '/' || normalized AS unit_id, 'send ' || CASE WHEN category = 'EMAIL' THEN '[[PII:EMAIL:' || substr(sha256(normalized), 1, 8) || ']]' ELSE token END || ' now' AS text FROM vault)
-  SELECT DISTINCT unit_id, token FROM (SELECT unit_id, unnest(regexp_extract_all(text, '\[\[PII:[A-Z_]+:[a-z2-7]{{8}}\]\]')) AS token FROM t) WHERE token NOT IN (SELECT token FROM vault)""")
+@query(rf"""WITH {DET}, {VAULT}, t AS (SELECT category || '/' || normalized AS unit_id, 'send ' || CASE WHEN length(normalized) % 2 = 0 THEN left(token, length(token) - 10) || translate(substr(token, length(token) - 9, 8), '{P.BASE32}', '{P.BASE32[1:] + P.BASE32[:1]}') || ']]' ELSE token END || ' now' AS text FROM vault)
+  SELECT DISTINCT unit_id, token FROM (SELECT unit_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS token FROM t) WHERE token NOT IN (SELECT token FROM vault)""")
 def l5_unknown_tokens(spark, sf):
     return L.unknown_tokens(token_texts(spark, sf), vault(spark, sf))
 
 
-@query(f"""WITH {ORDERED}, applied AS (SELECT unit_id, span_start, span_end FROM det WHERE category IN ('EMAIL', 'CARD_NUMBER')), want AS (SELECT DISTINCT unit_id, span_start, span_end FROM decided WHERE action <> 'ALLOW')
-  SELECT * FROM (SELECT w.unit_id, w.span_start, w.span_end, CAST(sum(coalesce(greatest(least(w.span_end, a.span_end) - greatest(w.span_start, a.span_start), 0), 0)) AS BIGINT) AS covered FROM want w LEFT JOIN applied a USING (unit_id) GROUP BY ALL) WHERE covered < span_end - span_start""")
+COVERAGE = """want AS (SELECT DISTINCT unit_id, span_start, span_end FROM decided WHERE action <> 'ALLOW'), got AS (SELECT unit_id, span_start, CASE WHEN span_start % 3 = 0 THEN span_end - 1 ELSE span_end END AS span_end FROM applied),
+gaps AS (SELECT * FROM (SELECT w.unit_id, w.span_start, w.span_end, CAST(sum(coalesce(greatest(least(w.span_end, a.span_end) - greatest(w.span_start, a.span_start), 0), 0)) AS BIGINT) AS covered FROM want w LEFT JOIN got a USING (unit_id) GROUP BY ALL) WHERE covered < span_end - span_start)"""
+
+
+def gaps(spans):
+    """What is left open when every fifth unit is left out and some redactions end one character early."""
+    want = spans.where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end").distinct()
+    end = F.when(F.col("span_start") % 3 == 0, F.col("span_end") - 1).otherwise(F.col("span_end"))
+    return L.coverage_gaps(want, spans.where("seq % 5 <> 0").select("unit_id", "span_start", end.alias("span_end")))
+
+
+@query(f"WITH {FAULTY}, {COVERAGE} SELECT * FROM gaps")
 def l6_coverage_gaps(spark, sf):
-    spans = decided(spark, sf).where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end").distinct()
-    return L.coverage_gaps(spans, detections(spark, sf).where("category in ('EMAIL', 'CARD_NUMBER')"))
+    return gaps(decided(spark, sf))
 
 
-@query(f"WITH {RESCAN} SELECT u.unit_id, CASE WHEN l.unit_id IS NULL THEN 'SEALED' ELSE 'rule-scan' END AS verdict FROM units u LEFT JOIN (SELECT DISTINCT unit_id FROM leaks) l ON l.unit_id = u.unit_id")
+@query(f"""WITH {RESCAN}, {HIDDEN}, {KNOWN}, {COVERAGE}, failed AS (SELECT unit_id, 2 AS k, 'rule-scan' AS verdict FROM leaks UNION ALL SELECT unit_id, 3, 'known-value' FROM known_leaks UNION ALL SELECT unit_id, 5, 'coverage' FROM gaps
+    UNION ALL SELECT unit_id, 4, 'unknown-token' FROM (SELECT unit_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS token FROM outgoing) WHERE token NOT IN (SELECT token FROM vault))
+  SELECT u.unit_id, coalesce(v, 'SEALED') AS verdict FROM units u LEFT JOIN (SELECT unit_id, arg_min(verdict, k) AS v FROM failed GROUP BY unit_id) USING (unit_id)""")
 def l8_seal_verdict(spark, sf):
-    out = redacted(spark, sf).select("unit_id", F.col("text_redacted").alias("text"))
-    hidden = decided(spark, sf).where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end").distinct()
-    values = known_values(detections(spark, sf).join(hidden, ["unit_id", "span_start", "span_end"], "left_semi"))
-    found = {"rule-scan": rescanned(spark, sf), "known-value": L.known_value_leaks(out, values), "unknown-token": L.unknown_tokens(out, vault(spark, sf)), "coverage": L.coverage_gaps(hidden, hidden)}
+    out, spans, held = faulty(spark, sf)
+    values = known_values(spans.where("action <> 'ALLOW' and value is not null"))
+    found = {"rule-scan": rescanned(out, spans), "known-value": L.known_value_leaks(out, values), "unknown-token": L.unknown_tokens(out, held), "coverage": gaps(spans)}
     return L.seal_verdict(units(spark, sf), L.union_failures(found))
 
 
@@ -597,9 +666,19 @@ def e4_scored_categories(spark, sf):
     return E.scored_categories(truth(spark, sf), hits(spark, sf))
 
 
-@query(f"""WITH {HITS} SELECT * FROM (SELECT t.unit_id, t.ann_id, t.category AS expected, coalesce(d, '') AS detected FROM truth t LEFT JOIN (SELECT unit_id, ann_id, string_agg(DISTINCT category, ',' ORDER BY category) AS d FROM uniq GROUP BY ALL) USING (unit_id, ann_id)) WHERE expected <> detected""")
+WORSE = "worse AS (SELECT unit_id, ann_id, CASE WHEN category = 'PHONE' AND ann_id = 4 AND length(unit_id) % 2 = 0 THEN 'UAN' ELSE category END AS category FROM uniq WHERE NOT (category = 'IFSC' AND length(unit_id) % 2 = 1))"
+
+
+def worse(spark, sf):
+    """Hits with planted errors: some phones under another name, some codes missed."""
+    odd = F.length("unit_id") % 2
+    renamed = F.when((F.col("category") == "PHONE") & (F.col("ann_id") == 4) & (odd == 0), "UAN").otherwise(F.col("category"))
+    return hits(spark, sf).where(~((F.col("category") == "IFSC") & (odd == 1))).withColumn("category", renamed)
+
+
+@query(f"""WITH {HITS}, {WORSE} SELECT * FROM (SELECT t.unit_id, t.ann_id, t.category AS expected, coalesce(d, '') AS detected FROM truth t LEFT JOIN (SELECT unit_id, ann_id, string_agg(DISTINCT category, ',' ORDER BY category) AS d FROM worse GROUP BY ALL) USING (unit_id, ann_id)) WHERE expected <> detected""")
 def e5_error_rows(spark, sf):
-    return E.error_rows(truth(spark, sf), hits(spark, sf))
+    return E.error_rows(truth(spark, sf), worse(spark, sf))
 
 
 @query(f"""WITH {HITS}, wide AS (SELECT category, recall FROM scores WHERE category IS NOT NULL), less AS (SELECT t.category, round(count(u.unit_id) / count(*), 3) AS recall FROM truth t LEFT JOIN (SELECT * FROM uniq WHERE regexp_extract(unit_id, '[0-9]+')::BIGINT % 3 <> 0) u ON u.unit_id = t.unit_id AND u.ann_id = t.ann_id AND u.category = t.category GROUP BY t.category)
@@ -615,9 +694,9 @@ def e7_metrics_by_mode(spark, sf):
     return E.metrics_by_mode(truth(spark, sf), hits(spark, sf))
 
 
-@query(f"WITH {GEN} SELECT * FROM truth WHERE unit_id NOT IN (SELECT 'gen:' || o_custkey FROM orders)")
+@query(f"WITH {GEN} SELECT * FROM truth WHERE unit_id NOT IN (SELECT 'gen:' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def e8_exclude_refused(spark, sf):
-    return E.exclude_refused(truth(spark, sf), table(spark, sf, "orders").select(F.concat(F.lit("gen:"), "o_custkey").alias("unit_id")))
+    return E.exclude_refused(truth(spark, sf), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("gen:"), "o_custkey").alias("unit_id")))
 
 
 @query(f"""WITH {FOUND}, a AS (SELECT unit_id, category, count(*) AS was FROM found GROUP BY ALL), b AS (SELECT unit_id, category, count(*) AS now FROM found WHERE confidence >= 0.9 GROUP BY ALL)
@@ -885,14 +964,13 @@ def a2_check_actions(spark, sf):
     return A.check_actions(rows, elements)
 
 
-STRICTER = "CASE WHEN r.needed_by_task AND r.certainty <> 'uncertain' THEN 'FILL' ELSE d.action END"  # what the task needs is of class medium here
-
-
-@query(f"WITH {ORDERED} SELECT d.unit_id, d.span_start, d.action AS before, {STRICTER} AS after FROM decided d JOIN resolved r USING (unit_id, span_start) WHERE d.action <> {STRICTER}")
+@query(f"""WITH {QUASI} SELECT unit_id, rule, span_start, 'TOKEN' AS before, 'ALLOW' AS after FROM spans s JOIN linked l ON l.origin = s.origin AND l.seq <= s.seq JOIN policy USING (category) WHERE class = 'quasi'""")
 def e9_policy_ablation(spark, sf):
-    policy = R.load_policy(spark)
-    stricter = P.decide(ordered(spark, sf).withColumn("needed_by_task", F.lit(False)), policy, k=2)
-    return E.changed_decisions(decided(spark, sf), stricter)
+    """What linkability changes: decisions with it and without."""
+    spans, policy = quasi(spark, sf), R.load_policy(spark)
+    # labelled spans may be identities themselves, which would decide in its stead
+    spans = spans.join(F.broadcast(policy.where("class = 'quasi'").select("category")), "category", "left_semi")
+    return E.changed_decisions(P.decide(spans, policy), P.decide(spans, policy, k=1 << 30), ["unit_id", "rule", "span_start"])
 
 
 @query(f"""WITH {HITS}, t AS (SELECT *, CASE WHEN length(value) % 2 = 0 THEN 'labelled' ELSE 'misleading' END AS label, CASE WHEN span_start < 60 THEN 'table' ELSE 'prose' END AS construct FROM truth)

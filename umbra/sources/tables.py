@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Closed schemas: what doesn't fit is kept in _corrupt_record, never inferred.
 OBSERVATION = T.StructType([
@@ -42,12 +42,45 @@ def read_probe_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROBE).json(path)
 
 
+# Fixed patterns: what of a page is no text, tags that begin or end a block, other tags.
+UNSEEN = r"(?is)<!--.*?-->|<(?:script|style|template|noscript)(?:\s[^>]*)?>.*?</(?:script|style|template|noscript)\s*>|<title(?:\s[^>]*)?>.*?</title\s*>"
+BREAKS = r"(?i)</?(?:p|h[1-6]|li|td|th|label|dt|dd|figcaption|caption|blockquote|div|ul|ol|dl|table|tbody|thead|tr|section|article|header|footer|nav|main|body|html|head|form|br)(?:[\s/][^>]*)?>"
+TAG = r"<[^>]*>"
+TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def markup_text(markup: Column) -> Column:
+    """Text between tags: entities resolved, white space as single spaces."""
+    text = F.regexp_replace(markup, TAG, "")
+    for entity, character in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, seq, text): the title of each page (seq 0) and its text by blocks (from 1 on), by patterns alone.
+
+    One projection, which stays in the engine; the page operators parse the markup where structure is asked for.
+    """
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.col("html"), UNSEEN, " "), BREAKS, "\x01"), "\x01", -1)
+    blocks = F.filter(F.transform(lines, markup_text), lambda t: t != "")
+    every = F.concat(F.array(markup_text(F.regexp_extract("html", TITLE, 1))), blocks)
+    return pages.where("html is not null").select("page_id", "url", F.posexplode(every).alias("seq", "text")).where("text <> ''")
+
+
+def host(url: Column | str) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1), F.lit(""))
+
+
 def to_units(documents: DataFrame, conversations: DataFrame, pages: DataFrame) -> DataFrame:
-    """(unit_id, origin, target_kind, seq, text): documents, turns of conversations and page addresses."""
-    docs = documents.select(F.concat(F.lit("doc:"), "doc_id").alias("unit_id"), F.col("source").alias("origin"), F.lit("text_span").alias("target_kind"), F.lit(0).cast("long").alias("seq"), "text")
-    turns = conversations.select(F.concat(F.lit("conv:"), "conv_id", F.lit(":"), "turn").alias("unit_id"), F.concat(F.lit("conv:"), "conv_id").alias("origin"), F.lit("text_span").alias("target_kind"), F.col("turn").alias("seq"), "text")
-    urls = pages.select(F.concat(F.lit("url:"), "page_id").alias("unit_id"), F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("origin"), F.lit("side_channel").alias("target_kind"), F.lit(0).cast("long").alias("seq"), F.col("url").alias("text"))
-    return docs.unionByName(turns).unionByName(urls)
+    """(unit_id, origin, target_kind, seq, text): documents, turns of conversations, page addresses, titles and blocks."""
+    zero, kind = F.lit(0).cast("long").alias("seq"), lambda k: F.lit(k).alias("target_kind")
+    docs = documents.select(F.concat(F.lit("doc:"), "doc_id").alias("unit_id"), F.col("source").alias("origin"), kind("text_span"), zero, "text")
+    turns = conversations.select(F.concat(F.lit("conv:"), "conv_id", F.lit(":"), "turn").alias("unit_id"), F.concat(F.lit("conv:"), "conv_id").alias("origin"), kind("text_span"), F.col("turn").alias("seq"), "text")
+    urls = pages.select(F.concat(F.lit("url:"), "page_id").alias("unit_id"), host("url").alias("origin"), kind("side_channel"), zero, F.col("url").alias("text"))
+    inside = page_texts(pages).select(F.concat(F.lit("page:"), "page_id", F.lit(":"), "seq").alias("unit_id"), host("url").alias("origin"), F.when(F.col("seq") == 0, "title").otherwise("block").alias("target_kind"), F.col("seq").cast("long").alias("seq"), "text")
+    return docs.unionByName(turns).unionByName(urls).unionByName(inside)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +90,12 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read from there: for small results of long scans that are used again.
 
-    The folder is that of spark.checkpoint.dir; where it is unset, as in tests, a temporary one is made.
+    The folder is that of spark.checkpoint.dir. Only in local mode, as in tests, a temporary one is made where it is
+    unset; on a cluster that is an error, for a folder of one machine is lost with it.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
