@@ -35,7 +35,7 @@ SMALL = 6
 #: compared; beyond, the group is refined first.
 PAIRS = 4_000_000
 #: A task compares the cells of two blocks of about so many members of a group.
-BLOCK = 2000
+BLOCK = 1000
 #: Up to so many documents that repeat others are broadcast; more are joined by shuffle.
 COPIES = 500_000
 CELLS = 1024
@@ -274,7 +274,7 @@ def _summed(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, least: np.ndarray,
 
 
 def members_of(found: DataFrame, mixed: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, doc_id, comp, n, outside, top, least): the members of mixed groups with their classes."""
+    """(sig, doc_id, comp, n, outside, top, least): the members of mixed groups with their classes; some come twice."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +283,7 @@ def members_of(found: DataFrame, mixed: DataFrame, comps: DataFrame) -> DataFram
 
     rows = found.where("kind = 'group'").select("cells", "docs").mapInArrow(unpack, "sig long, doc_id long")
     known = comps.select(F.col("node").alias("doc_id"), "component")
-    joined = met(rows, mixed, "sig", "doc_id", COPIES).distinct().join(known, "doc_id", "left")
+    joined = met(rows, mixed, "sig", "doc_id", COPIES).join(known, "doc_id", "left")
     return joined.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "outside", "top", "least")
 
 
@@ -313,7 +313,7 @@ def block_members(members: DataFrame, block: int | None = None) -> DataFrame:
     dealt = sized.select("least", "n_left", "n_right", "doc_id", "comp", F.inline(_dealt(F.col("n_left"), F.col("n_right"), hashed, F.lit(True), F.col("comp") != F.col("top")))).distinct()
     dealt = cut(dealt)
     counts = dealt.groupBy(*BLOCK_KEY).agg(F.count_if(F.col("side") == 0).alias("lefts"), F.count_if(F.col("side") == 1).alias("rights"))
-    large = cut(counts.where(F.greatest("lefts", "rights") > 2 * block).select(*BLOCK_KEY, blocks(F.col("lefts")).alias("m_left"), blocks(F.col("rights")).alias("m_right")))
+    large = cut(counts.where(F.greatest("lefts", "rights") > block).select(*BLOCK_KEY, blocks(F.col("lefts")).alias("m_left"), blocks(F.col("rights")).alias("m_right")))
     if large.isEmpty():
         return dealt.withColumns({"p": F.lit(0), "q": F.lit(0)})
     split = dealt.join(F.broadcast(large) if large.count() <= COPIES else large, BLOCK_KEY, "left").fillna(1, ["m_left", "m_right"])
@@ -442,7 +442,7 @@ def candidates(rows: DataFrame, level: int, buckets: int, homes: int) -> DataFra
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    """The pairs (a, b) of documents whose shingle sets have a Jaccard similarity of 0.8 or more; pairs are read twice."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,10 +457,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok[i] = both > 0 and 100 * both >= 80 * (len(left) + len(other) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    texts = docs.select("doc_id", "text")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = few_broadcast(ids, docs.select("doc_id", "text"), "doc_id", "left_semi")  # few documents have a pair
     one = texts.join(pairs, F.col("doc_id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
     two = texts.join(one, F.col("doc_id") == F.col("b")).select("a", "b", "text_a", F.col("text").alias("text_b"))
-    return two.mapInArrow(check, "a long, b long").distinct()
+    return two.mapInArrow(check, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -479,7 +480,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, comps
-        new = cut(verified(pairs, texts))
+        new = cut(verified(cut(pairs), texts))
         if comps is None or not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comps = components(links)
