@@ -1,4 +1,9 @@
-"""A training corpus from `documents` in five stages; each works on all rows that its predecessor kept."""
+"""A training corpus from `documents` in five stages; each works on all rows that its predecessor kept.
+
+All stages take any table with doc_id, text, source and n_chars, return its columns in their order (the last one adds
+two), read texts of any length whole, and return an empty table for an empty one. Columns of other names pass through, also
+such as operators use for results of their own.
+"""
 
 from __future__ import annotations
 
@@ -12,29 +17,47 @@ from umbra.llm.queries import OP1_CTES, OP3_CTES, OP4_CTES, OP6_CTES, OP9_CTES
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail the rules go, and documents that fail them or lose too much text."""
+    """Lines that fail the rules go, and documents that fail them or lose too much text.
+
+    Null and empty texts fail. Rows are judged one by one, so repeated rows share their fate; a null id changes nothing.
+    """
     return quality_rules.clean(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in the document with the smallest id; a document left without a word goes."""
+    """Repeated lines stay in the document with the smallest id; a document left without a word by that goes.
+
+    Documents that lose nothing stay as they are, null and empty ones too. Rows that repeat an id are one document and keep
+    what it keeps; rows with a null id hold no line against others and stay.
+    """
     kept = line_dedup.dedup_lines(docs, line_dedup.line_index(docs))
     kept = kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
+    """One document of each class of near duplicates stays, the one with the smallest id.
+
+    Null texts and texts without words are like nothing and stay, as do rows with a null id. Rows that repeat an id are one
+    document and stay or go together.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts contain nothing; rows with a null id stay, and rows that repeat an id go together. An empty
+    benchmark takes nothing away.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are weighted by the square root of their sizes; rows come in a global random order."""
+    """Sources are weighted by the square root of their sizes; rows come in a global random order.
+
+    Adds copy and order_key. A null source is a source; rows that repeat an id are drawn alike, with null ids as one.
+    """
     return mixing.mix(docs)
 
 
