@@ -49,6 +49,7 @@ CONTEXT_RULES = (
     Rule("date", "DATE", r"\b(?:[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}|[0-9]{1,2} +(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* +[0-9]{2,4})\b", 0.7, context="DATE"),
     Rule("voter_id", "VOTER_ID", r"\b[A-Za-z]{3}[0-9]{7}\b", 0.8, "digit", "VOTER_ID"),
     Rule("passport", "PASSPORT", r"\b[A-Za-z0-9]{6,12}\b", 0.8, "digit", "PASSPORT"),
+    Rule("driving_licence", "DRIVING_LICENCE", r"\b[A-Za-z0-9][A-Za-z0-9 /-]{4,23}\b", 0.8, "digit", "DRIVING_LICENCE"),
     Rule("uan", "UAN", r"\b(?:[0-9][ -]?){11}[0-9]\b", 0.8, "digit", "UAN"),
     Rule("abha", "ABHA", r"\b(?:[0-9][ -]?){13}[0-9]\b", 0.8, "digit", "ABHA"),
     Rule("tracking_id", "TRACKING_ID", r"\b[A-Za-z0-9][A-Za-z0-9-]{2,29}\b", 0.8, "digit", "TRACKING_ID"),
@@ -146,3 +147,7 @@ def label_rows() -> list[tuple]:
 def load_labels(spark: SparkSession) -> DataFrame:
     """(category, phrase, phrase_len, is_generic, is_override, ord); some 110 rows."""
     return spark.createDataFrame(label_rows(), "category string, phrase string, phrase_len int, is_generic boolean, is_override boolean, ord int")
+
+
+#: Words of the longest phrase.
+MOST_WORDS = max(len(phrase.split()) for _, phrase, *_ in label_rows())

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
-from umbra.operators.detect import scan
+from umbra.operators.detect import places, scan
 from umbra.operators.protect import TOKEN
 
 CHECKS = ("schema", "rule-scan", "known-value", "unknown-token", "coverage", "digest")
 #: Fewer digits stand in any text by chance.
 MIN_DIGITS = 7
 MIN_CHARS = 4
+#: What may stand between the digits of a known value.
+BETWEEN_DIGITS = r"[\s,./()-]*"
 #: Up to so many first characters of known values (some 10 bytes each) are broadcast.
 BROADCAST_BLOCKS = 100_000
 
@@ -75,7 +78,8 @@ def unknown_tokens(sanitized: DataFrame, vault: DataFrame) -> DataFrame:
 def coverage_gaps(spans: DataFrame, applied: DataFrame) -> DataFrame:
     """(unit_id, span_start, span_end, covered): decided spans that applied redactions don't cover whole."""
     a = applied.select("unit_id", F.col("span_start").alias("s"), F.col("span_end").alias("e"))
-    overlap = F.greatest(F.least("span_end", "e") - F.greatest("span_start", "s"), F.lit(0))
+    # least and greatest pass over nulls, so a unit without any redaction must be told apart
+    overlap = F.when(F.col("s").isNotNull(), F.greatest(F.least("span_end", "e") - F.greatest("span_start", "s"), F.lit(0)))
     joined = spans.join(a, "unit_id", "left").groupBy("unit_id", "span_start", "span_end").agg(F.sum(F.coalesce(overlap, F.lit(0))).alias("covered"))
     return joined.where("covered < span_end - span_start")
 
@@ -92,12 +96,25 @@ def seal_verdict(units: DataFrame, failures: DataFrame) -> DataFrame:
     return units.select("unit_id").join(worst, "unit_id", "left").fillna("SEALED", "verdict")
 
 
+def canonical(df: DataFrame) -> Column:
+    """The columns in the order of their names, each as name:bytes:value in a line; -1 bytes is a null."""
+    line = lambda c: F.concat(F.lit(f"{c}:"), F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))
+    return F.concat(*[line(c) for c in sorted(df.columns)])
+
+
 def digests(df: DataFrame) -> DataFrame:
-    """(unit_id, digest, n_bytes) of the canonical bytes (sorted keys) of each row that would be written."""
-    body = F.to_json(F.struct(*sorted(c for c in df.columns)))
+    """(unit_id, digest, n_bytes) of the canonical bytes of each row that would be written."""
+    body = canonical(df)
     return df.select("unit_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"))
 
 
+def write_sanitized(df: DataFrame, path: str, allowed: tuple[str, ...]) -> None:
+    """Write rows with their digest, partitioned by origin; a column that isn't allowed is an error, not dropped."""
+    if extra := sorted(set(df.columns) - set(allowed)):
+        raise ValueError(f"columns that may not be written: {extra}")
+    df.join(digests(df), "unit_id").write.mode("overwrite").partitionBy("origin").parquet(path)
+
+
 def digest_mismatch(sent: DataFrame, received: DataFrame) -> DataFrame:
     """(unit_id): rows whose recomputed digest isn't the recorded one."""
     again = digests(received).select("unit_id", F.col("digest").alias("again"))
@@ -113,3 +130,81 @@ def invalid_audit_rows(audit: DataFrame, categories: list[str]) -> DataFrame:
     }
     faults = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()])), ",")
     return audit.withColumn("faults", faults).where("faults <> ''").select("row_id", "faults")
+
+
+def scan_known_values(units: DataFrame, vault: DataFrame) -> DataFrame:
+    """(unit_id, category, normalized, span_start, span_end): where known values stand, case of A-Z aside.
+
+    Values of seven digits or more are also found with marks between their digits. A span inside another one of the
+    same value counts for nothing.
+    """
+    key, forms = ["category", "normalized"], known_forms(vault)
+    texts = units.where("text is not null").select("unit_id", "text")
+    as_text = _containing(texts.withColumn("text", ascii_lower("text")), forms.where(F.length("form") >= MIN_CHARS).select(*key, "form"), MIN_CHARS)
+    digits = forms.where(F.length("digits") >= MIN_DIGITS).select(*key, F.col("digits").alias("form")).distinct()
+    as_digits = _containing(texts.withColumn("text", F.regexp_replace("text", "[^0-9]", "")), digits, MIN_DIGITS)
+    literal = F.concat(F.lit("(?i)\\Q"), "form", F.lit("\\E"))
+    spaced = F.array_join(F.split("form", ""), BETWEEN_DIGITS)
+    asked = as_text.select("unit_id", *key, literal.alias("pattern")).unionByName(as_digits.select("unit_id", *key, spaced.alias("pattern")))
+    spans = asked.join(texts, "unit_id").select("unit_id", *key, F.explode(places(F.col("text"), F.col("pattern"))).alias("s")).select("unit_id", *key, "s.*").distinct()
+    order = Window.partitionBy("unit_id", *key).orderBy("span_start", F.desc("span_end"))
+    reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("__reach", reach).where("__reach is null or span_end > __reach").drop("__reach")
+
+
+def bad_mask_labels(masks: DataFrame, vault: DataFrame, carried: DataFrame) -> DataFrame:
+    """(unit_id, span_start, fault): labels that are no words of the vocabulary, or name a token that wasn't issued, isn't
+    the mask's own, or isn't carried by the text; masks: unit_id, span_start, category, label, token; carried: unit_id, token."""
+    named = F.regexp_extract("label", r"^\[[A-Z_]+#([a-z2-7]{8})\]$", 1)
+    rows = masks.where("label is not null").withColumn("__named", named)
+    issued, there = vault.select("token", F.lit(True).alias("__issued")).distinct(), carried.select("unit_id", "token", F.lit(True).alias("__there")).distinct()
+    joined = rows.join(issued, "token", "left").join(there, ["unit_id", "token"], "left")
+    own = F.concat(F.lit("[[PII:"), "category", F.lit(":"), "__named", F.lit("]]"))
+    fault = (
+        F.when(~F.col("label").rlike(r"^\[[A-Z_]+(#[a-z2-7]{8})?\]$"), "vocabulary").when(F.col("__named") == "", None).when(F.col("__issued").isNull(), "not_issued")
+        .when(F.col("token") != own, "other_token").when(F.col("__there").isNull(), "not_carried")
+    )
+    return joined.select("unit_id", "span_start", fault.alias("fault")).where("fault is not null")
+
+
+def schema_faults(payloads: DataFrame, rules: dict[str, Column], allowed: tuple[str, ...]) -> DataFrame:
+    """(unit_id, fault): fields that break their rule, by name alone; columns that aren't allowed are faults of every row."""
+    extra = sorted(set(payloads.columns) - set(allowed))
+    faults = [F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(name)) for name, ok in rules.items()] + [F.lit(f"extra:{c}") for c in extra]
+    return payloads.select("unit_id", F.explode(F.array_compact(F.array(*faults))).alias("fault"))
+
+
+def audit_rows(decisions: DataFrame, verdicts: DataFrame, sealed: DataFrame) -> DataFrame:
+    """(unit_id, digest, verdict, category_counts): one audit row for each unit that was sent or refused.
+
+    decisions: unit_id, category; verdicts: unit_id, verdict; sealed: unit_id, digest. Nothing of the text is in it.
+    """
+    counts = decisions.groupBy("unit_id", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("unit_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_counts"))
+    empty = F.create_map().cast("map<string,bigint>")
+    return sealed.join(verdicts, "unit_id").join(counts, "unit_id", "left").select("unit_id", "digest", "verdict", F.coalesce("category_counts", empty).alias("category_counts"))
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to the audit table at path; what is there is never changed."""
+    rows.select("unit_id", "digest", "verdict", "category_counts").write.mode("append").parquet(path)
+
+
+def _leaves(value: Column, kind: T.DataType, path: Column) -> Column | None:
+    """array<struct<path, value>> of the strings in a value of that type, or None where the type can't hold one."""
+    if isinstance(kind, T.StringType):
+        return F.array(F.struct(path.alias("path"), value.alias("value")))
+    if isinstance(kind, T.StructType):
+        parts = [_leaves(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, T.ArrayType) and _leaves(F.lit(None), kind.elementType, path) is not None:
+        inside = F.transform(value, lambda x, i: _leaves(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(inside), F.array().cast("array<struct<path:string,value:string>>"))
+    return None
+
+
+def json_leaves(payloads: DataFrame, skipped: str = "^$") -> DataFrame:
+    """(unit_id, path, value): every string that is not null, anywhere in a payload's nested columns; paths that match `skipped` are left out."""
+    parts = [_leaves(F.col(f.name), f.dataType, F.lit(f.name)) for f in payloads.schema.fields if f.name != "unit_id"]
+    found = payloads.select("unit_id", F.inline(F.concat(*[p for p in parts if p is not None])))
+    return found.where(F.col("value").isNotNull() & ~F.col("path").rlike(skipped))

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from umbra.functions.rules import VERHOEFF_D, VERHOEFF_P
 
 #: Rows of truth come in this order; the second is the label that is written before the value.
-KINDS = (("AADHAAR", "Aadhaar"), ("CARD_NUMBER", "Card number"), ("PAN", "PAN"), ("EMAIL", "Email"), ("PHONE", "Mobile"), ("IFSC", "IFSC code"))
+KINDS = (("AADHAAR", "Aadhaar"), ("CARD_NUMBER", "Card number"), ("PAN", "PAN"), ("EMAIL", "Email"), ("PHONE", "Mobile"), ("IFSC", "IFSC code"),
+         ("VEHICLE_REG", "Vehicle"), ("UPI_ID", "UPI ID"), ("VOTER_ID", "Voter ID"), ("UAN", "UAN"), ("ABHA", "ABHA"), ("BANK_ACCOUNT", "Account"), ("PIN_CODE", "PIN code"), ("PASSPORT", "Passport"), ("ORDER_ID", "Order"),
+         ("DOB", "Date of birth"), ("OTP", "OTP"), ("TRACKING_ID", "Consignment"))
 
 
 def padded(number: Column, width: int) -> Column:
@@ -43,6 +45,12 @@ def generate_identifiers(keys: DataFrame, key: str = "c_custkey") -> DataFrame:
         "EMAIL": F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.example.org")),
         "PHONE": F.concat(F.lit("9"), padded(F.pmod(k * 15485863, F.lit(10**9)), 9)),
         "IFSC": F.concat(letters(k * 11, 4), F.lit("0"), padded(F.pmod(k * 271, F.lit(10**6)), 6)),
+        "VEHICLE_REG": F.concat(letters(k * 5, 2), padded(k % 99 + 1, 2), letters(k * 7, 2), padded(F.pmod(k * 13, F.lit(10**4)), 4)), "UPI_ID": F.concat(F.lit("pay"), k.cast("string"), F.lit("@ybl")),
+        "VOTER_ID": F.concat(letters(k * 19, 3), padded(F.pmod(k * 7, F.lit(10**7)), 7)), "UAN": F.concat(F.lit("1"), padded(F.pmod(k * 6151, F.lit(10**11)), 11)),
+        "ABHA": F.concat(F.lit("91"), padded(F.pmod(k * 7127, F.lit(10**12)), 12)), "BANK_ACCOUNT": F.concat(F.lit("0"), padded(F.pmod(k * 104711, F.lit(10**10)), 10)),
+        "PIN_CODE": F.concat((1 + k % 9).cast("string"), padded(F.pmod(k * 37, F.lit(10**5)), 5)), "PASSPORT": F.concat(letters(k * 23, 1), padded(F.pmod(k * 31, F.lit(10**7)), 7)),
+        "ORDER_ID": F.concat(F.lit("OD-"), padded(k, 8)), "DOB": F.concat(padded(k % 28 + 1, 2), F.lit("/"), padded(k % 12 + 1, 2), F.lit("/"), (1940 + k % 60).cast("string")),
+        "OTP": padded(F.pmod(k * 7919, F.lit(10**6)), 6), "TRACKING_ID": F.concat(letters(k * 29, 2), padded(F.pmod(k * 8191, F.lit(10**9)), 9), F.lit("IN")),
     }
     pairs = F.array(*[F.struct(F.lit(c).alias("category"), values[c].alias("value")) for c, _ in KINDS])
     return keys.select(F.concat(F.lit("gen:"), k.cast("string")).alias("unit_id"), F.inline(pairs))
@@ -54,6 +62,15 @@ def generate_near_misses(identifiers: DataFrame) -> DataFrame:
     return identifiers.where(F.col("category").isin("AADHAAR", "CARD_NUMBER")).select("unit_id", "category", F.concat(F.expr("substring(value, 1, length(value) - 1)"), last).alias("value"))
 
 
+def generate_catalogue(keys: DataFrame, key: str = "c_custkey") -> DataFrame:
+    """(unit_id, value): numbers and codes of catalogues, which are nobody's; what happens to look like a phone or an Aadhaar is left out."""
+    k = F.col(key).cast("long")
+    version = F.concat(F.lit("v"), (k % 9).cast("string"), F.lit("."), (k % 17).cast("string"), F.lit("."), (k % 31).cast("string"))
+    values = F.array(F.concat(F.lit("REF-"), (k * 7919).cast("string")), padded(F.pmod(k * 48271, F.lit(10**10)), 10), version, F.concat((k % 90 + 10).cast("string"), F.lit(" x "), (k % 70 + 10).cast("string")))
+    rows = keys.select(F.concat(F.lit("gen:"), k.cast("string")).alias("unit_id"), F.explode(values).alias("value"))
+    return rows.where(~F.col("value").rlike("^[6-9][0-9]{9}$") & ~F.col("value").rlike("^[2-9][0-9]{11}$"))
+
+
 def render_labelled_text(identifiers: DataFrame) -> DataFrame:
     """(unit_id, text, truth): `Label: value.` sentences, and where each value stands (category, value, span)."""
     rank = F.array_position(F.array(*[F.lit(c) for c, _ in KINDS]), F.col("category"))
@@ -80,7 +97,7 @@ def split_phrases(phrases: DataFrame) -> DataFrame:
 def derive_tasks(truth: DataFrame) -> DataFrame:
     """(unit_id, category, kind): control tasks for categories that a unit has once, ambiguous ones for more, missing ones for none."""
     counts = truth.groupBy("unit_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    every = truth.select("unit_id").distinct().select("unit_id", F.explode(F.array(*[F.lit(c) for c, _ in KINDS], F.lit("PASSPORT"))).alias("category"))
+    every = truth.select("unit_id").distinct().select("unit_id", F.explode(F.array(*[F.lit(c) for c, _ in KINDS], F.lit("DRIVING_LICENCE"))).alias("category"))
     return every.join(counts, ["unit_id", "category"], "left").select("unit_id", "category", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("control").alias("kind"))
 
 
@@ -90,3 +107,23 @@ def verify_seal(recorded: DataFrame, current: DataFrame) -> DataFrame:
     both = recorded.join(now, "unit_id", "full")
     drift = F.when(F.col("digest").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("digest") != F.col("now"), "changed")
     return both.withColumn("drift", drift).where("drift is not null").select("unit_id", "drift")
+
+
+def render_pages(customers: DataFrame) -> DataFrame:
+    """(page_id, html): a page for each customer, with a list of terms, a table, a form, marked and hidden parts and a picture."""
+    k = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit("<html><head><title>Account "), k, F.lit("</title><style>p{}</style></head><body><h2>Account "), k, F.lit("</h2><dl><dt>Name</dt><dd>"), "c_name",
+        F.lit("</dd></dl><table><tr><th>City</th><th>Code</th></tr><tr><td>"), "c_mktsegment", F.lit("</td><td>C-"), k,
+        F.lit('</td></tr></table><form><fieldset><legend>Contact</legend><label>Email</label><input type="email" autocomplete="email" placeholder="Your email"></fieldset>'),
+        F.lit('<input type="password" autocomplete="cc-csc"><button>Pay now</button></form><p data-private>Note '), k, F.lit('</p><p style="display:none">Hidden '), k,
+        F.lit('</p><div style="opacity: 0.2"><p style="opacity: .1">Faint '), k, F.lit('</p></div><span role="button">More '), k, F.lit('</span><img src="/m/'), k, F.lit('.png?s=1" alt="Face '), k, F.lit('"></body></html>'),
+    )
+    return customers.select(F.col("c_custkey").cast("long").alias("page_id"), html.alias("html"))
+
+
+def truth_agreement(shown: DataFrame, truth: DataFrame) -> DataFrame:
+    """(page_id, value, missing): values of the truth that a page doesn't show, and values it shows that the truth lacks."""
+    key = ["page_id", "value"]
+    a, b = shown.select(*key).distinct(), truth.select(*key).distinct()
+    return b.join(a, key, "left_anti").withColumn("missing", F.lit("page")).unionByName(a.join(b, key, "left_anti").withColumn("missing", F.lit("truth")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from umbra.functions.rules import CARD_PREFIX, CONTEXT_RULES, RULES, SHAPES, UPI_HANDLES, VERHOEFF_D, VERHOEFF_P, Rule
+from umbra.functions.rules import CARD_PREFIX, CONTEXT_RULES, MOST_WORDS, RULES, SHAPES, UPI_HANDLES, VERHOEFF_D, VERHOEFF_P, Rule
 
 MARKS = "\x01\x02"
 
@@ -91,17 +91,84 @@ def plain_label(text: Column) -> Column:
 def match_labels(texts: DataFrame, labels: DataFrame, key: str = "unit_id") -> DataFrame:
     """(key, category, phrase, phrase_len, rank): dictionary hits of each text, the most specific first.
 
-    Own words count before generic heads (name, number, ...), longer phrases before shorter ones.
+    Own words count before generic heads (name, number, ...), longer phrases before shorter ones. Latin phrases meet
+    runs of words by equality; others may stand inside words and are looked for in texts with such letters alone.
     """
-    padded = F.concat(F.lit(" "), plain_label(F.col("text")), F.lit(" "))
+    plain = texts.select(key, plain_label(F.col("text")).alias("__label"))
+    words = F.split("__label", " ")
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    every = F.flatten(F.array(*[runs(n) for n in range(1, MOST_WORDS + 1)]))
     latin = F.col("phrase").rlike("^[a-z0-9 ]+$")
-    hit = F.when(latin, F.col("__label").contains(F.concat(F.lit(" "), "phrase", F.lit(" ")))).otherwise(F.col("__label").contains(F.col("phrase")))
-    hits = texts.select(key, padded.alias("__label")).join(F.broadcast(labels), hit)  # labels: the fixed dictionary
+    one = plain.select(key, F.explode(F.array_distinct(every)).alias("phrase")).join(F.broadcast(labels.where(latin)), "phrase")  # labels: the fixed dictionary
+    two = plain.where(F.col("__label").rlike(r"[^\x00-\x7F]")).join(F.broadcast(labels.where(~latin)), F.col("__label").contains(F.col("phrase")))
+    columns = [key, "category", "phrase", "phrase_len", "is_generic", "is_override", "ord"]
+    hits = one.select(*columns).unionByName(two.select(*columns))
     order = Window.partitionBy(key, "category").orderBy("is_generic", F.desc("phrase_len"), F.desc("is_override"), "ord")
     best = hits.withColumn("r", F.row_number().over(order)).where("r = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("is_generic", F.desc("phrase_len"), F.desc("is_override"), "ord"))).select(key, "category", "phrase", "phrase_len", "rank")
 
 
+# How far an inline key and its value reach, and what ends a value.
+KEY_WORDS, VALUE_CHARS = 6, 64
+CLAUSE_END = r"(?s)^(.*?)(?:,\s+and\s+|[;.]\s+|[.;]\z)"
+
+
+def bind_inline_key_values(units: DataFrame, labels: DataFrame) -> DataFrame:
+    """(unit_id, category, key_end, value_start, value_end): every `label: value` in a text.
+
+    A key is one to six words before a colon, none of them beyond a mark that ends a clause; of those that the
+    dictionary knows the one with the longest phrase counts, then the shortest. A value goes up to the end of its
+    clause, 64 characters at most. A colon inside the value before it binds nothing.
+    """
+    pieces = units.where(F.col("text").rlike("[:：]")).select("unit_id", "text", F.split("text", "[:：]", -1).alias("__p"))
+    colons = pieces.select("unit_id", "text", "__p", F.explode(F.sequence(F.lit(1), F.size("__p") - 1)).alias("__i"))
+    at = F.length(F.array_join(F.slice("__p", F.lit(1), F.col("__i")), " "))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_extract(F.element_at("__p", F.col("__i")), r"[^.,;\n]*$", 0), r"\s+", " ")), " ")
+    keyed = colons.select("unit_id", "text", at.alias("key_end"), words.alias("__w"))
+    tails = keyed.select("unit_id", "key_end", "__w", F.explode(F.sequence(F.lit(1), F.least(F.size("__w"), F.lit(KEY_WORDS)))).alias("n"))
+    phrases = tails.select("unit_id", "key_end", "n", F.array_join(F.slice("__w", F.size("__w") - F.col("n") + 1, F.col("n")), " ").alias("text")).where(F.length("text") >= 2)
+    found = match_labels(phrases.select(F.struct("unit_id", "key_end", "n").alias("k"), "text"), labels, "k").where("rank = 1").select("k.*", "category", "phrase_len")
+    best = found.groupBy("unit_id", "key_end").agg(F.min_by("category", F.struct(-F.col("phrase_len"), "n")).alias("category"))
+    rest = F.substring(F.col("text"), F.col("key_end") + 2, F.length("text"))
+    start = F.col("key_end") + 1 + F.length(F.regexp_extract(rest, r"^\s*", 0))
+    window = F.substring(F.col("text"), F.col("value_start") + 1, F.lit(VALUE_CHARS))
+    length = F.when(window.rlike(CLAUSE_END), F.length(F.regexp_extract(window, CLAUSE_END, 1))).otherwise(F.length(window))
+    valued = keyed.join(best, ["unit_id", "key_end"]).withColumn("value_start", start).withColumn("value_end", F.col("value_start") + length).where("value_end > value_start")
+    rows = valued.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("key_end", "category", "value_start", "value_end"))).alias("b"))
+    none = F.struct(F.lit(0).alias("cursor"), F.slice("b", 1, 0).alias("kept"))
+    step = lambda a, x: F.when(x.key_end >= a.cursor, F.struct(x.value_end.alias("cursor"), F.concat(a.kept, F.array(x)).alias("kept"))).otherwise(a)
+    return rows.select("unit_id", F.inline(F.aggregate("b", none, step, lambda a: a.kept))).select("unit_id", "category", "key_end", "value_start", "value_end")
+
+
+def field_context(fields: DataFrame, labels: DataFrame) -> DataFrame:
+    """(unit_id, category, confidence): what a filled field is for; fields: unit_id, input_type, autocomplete, name, label, attr, value.
+
+    A password field is one; then a pin code by its autocomplete category; then what the name, the label or the
+    attribute say, in this order; then any other autocomplete category.
+    """
+    filled = fields.where(F.coalesce("value", F.lit("")) != "")
+    said = filled.select("unit_id", F.posexplode(F.array("name", "label", "attr")).alias("place", "text")).where("text <> ''")
+    top = match_labels(said.select(F.struct("unit_id", "place").alias("k"), "text"), labels, "k").where("rank = 1").groupBy(F.col("k.unit_id").alias("unit_id")).agg(F.min_by("category", "k.place").alias("said"))
+    category = F.when(F.col("input_type") == "password", "PASSWORD").when(F.col("autocomplete") == "PIN_CODE", "PIN_CODE").otherwise(F.coalesce("said", "autocomplete"))
+    return filled.join(top, "unit_id", "left").select("unit_id", category.alias("category"), F.lit(0.7).alias("confidence")).where("category is not null")
+
+
+def places(text: Column, pattern: Column) -> Column:
+    """array<struct<span_start, span_end>> of the matches of a pattern that differs by row, in code points."""
+    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    before = lambda i: F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
+    return F.transform(found, lambda m, i: F.struct(before(i).alias("span_start"), (before(i) + F.length(m)).alias("span_end")))
+
+
+def unscanned_media(media: DataFrame) -> DataFrame:
+    """(page_id, seq, category, confidence): every medium that is seen and can't be read."""
+    return media.where("hidden is null").select("page_id", "seq", F.lit("UNSCANNED_MEDIA").alias("category"), F.lit(1.0).alias("confidence"))
+
+
 def bind_leading_key(units: DataFrame, labels: DataFrame) -> DataFrame:
     """(unit_id, category, label, value): texts that begin with `key: value`, the key of 2 to 40 characters."""
     pattern = r"(?s)^\s*([^:\n]{2,40}):\s*(\S.*)$"

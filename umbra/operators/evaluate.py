@@ -47,20 +47,26 @@ def error_rows(truth: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def delta_pp(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(category, recall_pp): b's recall less a's in percentage points; null where a side lacks the category."""
-    x, y = a.where("category is not null").select("category", F.col("recall").alias("ra")), b.where("category is not null").select("category", F.col("recall").alias("rb"))
-    return x.join(y, "category", "full").select("category", F.round((F.col("rb") - F.col("ra")) * 100, 1).alias("recall_pp"))
+    """(category, precision_pp, recall_pp): b's figures less a's in percentage points; null where a side lacks them."""
+    side = lambda df, n: df.where("category is not null").select("category", F.col("precision").alias(f"p{n}"), F.col("recall").alias(f"r{n}"))
+    less = lambda m: F.round((F.col(f"{m}b") - F.col(f"{m}a")) * 100, 1)
+    return side(a, "a").join(side(b, "b"), "category", "full").select("category", less("p").alias("precision_pp"), less("r").alias("recall_pp"))
 
 
 MODES = (("checksum", ("AADHAAR", "CARD_NUMBER")), ("shape", ("PAN", "EMAIL", "PHONE", "IFSC", "UPI_ID", "VEHICLE_REG")))
 
 
+def _ratios(sums: DataFrame, *keys: str) -> DataFrame:
+    ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.round(F.col(a) / (F.col(a) + F.col(b)), 3))
+    return sums.select(*keys, "tp", "fp", "fn", ratio("tp", "fp").alias("precision"), ratio("tp", "fn").alias("recall"))
+
+
 def metrics_by_mode(truth: DataFrame, hits: DataFrame) -> DataFrame:
-    """(mode, tp, fp, fn): the counts by how a category is recognised."""
+    """(mode, category, tp, fp, fn, precision, recall) by how a category is recognised, by category within that, and over all (nulls)."""
     mode = F.lit("label")
     for name, categories in MODES:
         mode = F.when(F.col("category").isin(*categories), name).otherwise(mode)
-    return _counts(truth, hits).groupBy(mode.alias("mode")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return _ratios(_counts(truth, hits).withColumn("mode", mode).rollup("mode", "category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "mode", "category")
 
 
 def exclude_refused(truth: DataFrame, refused: DataFrame) -> DataFrame:
@@ -68,6 +74,13 @@ def exclude_refused(truth: DataFrame, refused: DataFrame) -> DataFrame:
     return truth.join(refused.select("unit_id").distinct(), "unit_id", "left_anti")
 
 
+def coverage(truth: DataFrame, refused: DataFrame) -> DataFrame:
+    """(n_units, n_refused, coverage): of the units with annotations, how many were refused, and the share that wasn't."""
+    marked = truth.select("unit_id").distinct().join(refused.select("unit_id", F.lit(1).alias("r")).distinct(), "unit_id", "left")
+    counts = marked.agg(F.count(F.lit(1)).alias("n_units"), F.count("r").alias("n_refused"))
+    return counts.select("n_units", "n_refused", F.round(1 - F.col("n_refused") / F.col("n_units"), 3).alias("coverage"))
+
+
 def replay_diff(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """(unit_id, category, was, now): where the number of detections of a category at a unit has changed."""
     n = lambda df, name: df.groupBy("unit_id", "category").agg(F.count(F.lit(1)).alias(name))
@@ -75,8 +88,16 @@ def replay_diff(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def false_success_rate(runs: DataFrame) -> DataFrame:
-    """(reason, impossible, done, flagged): how runs that can't succeed ended, by reason and over all (null)."""
-    return runs.where("impossible").rollup("reason").agg(F.count(F.lit(1)).alias("impossible"), F.count_if(F.expr("verdict = 'done'")).alias("done"), F.count_if(F.expr("verdict = 'flagged'")).alias("flagged"))
+    """(reason, impossible, done, flagged, mutated, controls, controls_done) by reason and over all (null).
+
+    runs: reason, impossible, verdict, mutated. How runs that can't succeed ended, how many changed something, and beside them
+    how many of the runs that can succeed did.
+    """
+    n = lambda name, *on: F.count_if(F.expr(" and ".join(on))).alias(name)
+    return runs.rollup("reason").agg(
+        n("impossible", "impossible"), n("done", "impossible", "verdict = 'done'"), n("flagged", "impossible", "verdict = 'flagged'"), n("mutated", "impossible", "mutated"),
+        n("controls", "not impossible"), n("controls_done", "not impossible", "verdict = 'done'"),
+    )
 
 
 def stratified_sample(tasks: DataFrame, n: int, salt: str) -> DataFrame:
@@ -86,11 +107,14 @@ def stratified_sample(tasks: DataFrame, n: int, salt: str) -> DataFrame:
 
 
 def latency_summary(log: DataFrame, least: int = 12) -> DataFrame:
-    """(name, n, low, mid, p90, p95, high, reportable): nearest-rank percentiles and the true median."""
+    """(name, n, low, mid, p90, p95, high, reportable): nearest-rank percentiles and the true median.
+
+    Reportable from `least` answers on, if no run is missing: their numbers are 0, 1, ... without a gap.
+    """
     return log.groupBy("name").agg(
         F.count("latency_ms").alias("n"), F.min("latency_ms").alias("low"), F.median("latency_ms").alias("mid"),
         F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY latency_ms)").alias("p90"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"),
-        F.max("latency_ms").alias("high"), (F.count("latency_ms") >= least).alias("reportable"),
+        F.max("latency_ms").alias("high"), ((F.count("latency_ms") >= least) & (F.count_distinct("run_index") == F.max("run_index") + 1)).alias("reportable"),
     )
 
 
@@ -104,13 +128,14 @@ def scorecard(log: DataFrame) -> DataFrame:
 def payload_sizes(payloads: DataFrame) -> DataFrame:
     """(mode, n, low, mid, p95, high): bytes of payloads by mode."""
     size = F.octet_length("text").cast("long")
-    return payloads.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.median(size).alias("mid"), F.max(size).alias("high"))
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY octet_length(text))")
+    return payloads.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.median(size).alias("mid"), p95.cast("long").alias("p95"), F.max(size).alias("high"))
 
 
 def probe_log(events: DataFrame) -> DataFrame:
     """events as a log of calls: the type is the fixture, the value its latency, the key's remainders its verdicts."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return events.select(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), (k % 2 == 0).alias("schema_valid"), F.when(k % 5 != 0, k % 3 == 0).alias("grounded"), F.when(k % 7 != 0, k % 2 == 1).alias("enforced_ok"))
+    return events.select(F.col("event_type").alias("name"), F.col("value").alias("latency_ms"), k.alias("run_index"), (k % 2 == 0).alias("schema_valid"), F.when(k % 5 != 0, k % 3 == 0).alias("grounded"), F.when(k % 7 != 0, k % 2 == 1).alias("enforced_ok"))
 
 
 def changed_decisions(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -118,8 +143,16 @@ def changed_decisions(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.select(*key, F.col("action").alias("before")).join(b.select(*key, F.col("action").alias("after")), key).where("before <> after")
 
 
-def faceted_counts(truth: DataFrame, hits: DataFrame) -> DataFrame:
-    """(label, construct, tp, fn) for each facet and over each (null); truth also has label and construct."""
-    found = dedup_hits(hits).withColumn("__hit", F.lit(1))
-    joined = truth.join(found, ["unit_id", "ann_id", "category"], "left")
-    return joined.cube("label", "construct").agg(F.count("__hit").alias("tp"), (F.count(F.lit(1)) - F.count("__hit")).alias("fn"))
+def faceted_metrics(truth: DataFrame, hits: DataFrame) -> DataFrame:
+    """(label, construct, tp, fp, fn, precision, recall) for each facet and over each (null); truth also has label and construct."""
+    facets = truth.select("unit_id", "ann_id", "label", "construct", F.col("category").alias("__is"))
+    found = dedup_hits(hits).join(facets, ["unit_id", "ann_id"])
+    right = F.col("category") == F.col("__is")
+    seen = found.select("label", "construct", right.cast("int").alias("tp"), (~right).cast("int").alias("fp"), F.lit(0).alias("fn"))
+    missed = truth.join(dedup_hits(hits), ["unit_id", "ann_id", "category"], "left_anti").select("label", "construct", F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("fn"))
+    return _ratios(seen.unionByName(missed).cube("label", "construct").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "label", "construct")
+
+
+def layer_changes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The spans that b has and a lacks (change: added) and the other way round (lost), each as often as it is more."""
+    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("lost")))

@@ -20,6 +20,11 @@ AUTOCOMPLETE = {
     "address-line1": "ADDRESS", "address-line2": "ADDRESS", "address-line3": "ADDRESS", "postal-code": "PIN_CODE", "bday": "DOB", "bday-day": "DOB", "bday-month": "DOB", "bday-year": "DOB",
     "cc-number": "CARD_NUMBER", "cc-csc": "CVV", "one-time-code": "OTP", "organization": "EMPLOYER", "address-level2": "CITY",
 }
+#: What the type of an input speaks for.
+INPUT_TYPES = {
+    "email": ("EMAIL",), "tel": ("PHONE",), "date": ("DOB", "DATE"), "month": ("DOB", "DATE"), "number": ("BANK_ACCOUNT", "PIN_CODE", "OTP", "FINANCIAL_VALUE", "UAN"),
+    "password": ("PASSWORD", "SECRET", "OTP", "CVV", "UPI_PIN"),
+}
 DETECTED, UNCERTAIN, REPEATED = 5, 3, 3
 
 
@@ -30,27 +35,33 @@ def map_autocomplete(attribute: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def negative_signals(container: Column, value: Column, n_targets: Column, category: Column, checksum: Column) -> Column:
+def negative_signals(container: Column, value: Column, n_targets: Column, category: Column, checksum: Column, in_search: Column | None = None) -> Column:
     """array<struct<name, points>> of what speaks against a candidate."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(container, F.lit(""))), "[^a-z]+", " "), F.lit(" "))
     in_container = F.exists(F.array(*map(F.lit, CONTAINERS)), lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
     harmless = F.lit(False)
     for shape in SHAPES:
         harmless = harmless | F.trim(value).rlike(shape)
-    checks = (("checksum_fail", -4, checksum == "fail"), ("non_pii_container", -3, in_container), ("non_pii_shape", -3, harmless), ("repeated", -2, n_targets >= REPEATED), ("username", -2, (category == "SECRET") & F.trim(value).rlike(USERNAME)))
+    checks = (("checksum_fail", -4, checksum == "fail"), ("non_pii_container", -3, in_container), ("non_pii_shape", -3, harmless), ("repeated", -2, n_targets >= REPEATED), ("in_search_scope", -2, F.lit(False) if in_search is None else in_search), ("username", -2, (category == "SECRET") & F.trim(value).rlike(USERNAME)))
     return F.array_compact(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.struct(F.lit(n).alias("name"), F.lit(p).alias("points"))) for n, p, on in checks]))
 
 
 def score_evidence(candidates: DataFrame) -> DataFrame:
     """candidates with score, verdict, claimed and score_confidence.
 
-    candidates: category, value, strength, checksum, bound, autocomplete, container, n_targets. The claimed category is that
-    of the bound label, else of the autocomplete attribute, else of the shape.
+    candidates: category, value, strength, checksum, bound, autocomplete, container, n_targets; and where they are known,
+    input_type, length_agrees, container_category, identity_seen, in_search. The claimed category is that of the bound label,
+    else of the autocomplete attribute, else of the shape.
     """
+    known = lambda c, kind: F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
     claimed = F.coalesce("bound", "autocomplete", "category")
     points = F.element_at(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv]), F.col("strength"))
     plus = F.when(F.col("checksum") == "pass", 5).otherwise(0) + points + F.when(F.col("bound").isNotNull(), 3).otherwise(0) + F.when(F.col("autocomplete") == claimed, 3).otherwise(0)
-    minus = F.aggregate(negative_signals(F.col("container"), F.col("value"), F.col("n_targets"), F.col("category"), F.col("checksum")), F.lit(0), lambda a, s: a + s.points)
+    types = F.create_map(*[x for k, v in INPUT_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    agrees = F.array_contains(F.element_at(types, F.lower(known("input_type", "string"))), claimed)
+    for on, points in ((agrees, 2), (known("length_agrees", "boolean"), 2), (known("container_category", "string") == claimed, 2), (known("identity_seen", "boolean"), 1)):
+        plus = plus + F.when(F.coalesce(on, F.lit(False)), points).otherwise(0)
+    minus = F.aggregate(negative_signals(F.col("container"), F.col("value"), F.col("n_targets"), F.col("category"), F.col("checksum"), known("in_search", "boolean")), F.lit(0), lambda a, s: a + s.points)
     scored = candidates.withColumns({"claimed": claimed, "score": plus + minus})
     s = F.col("score")
     confidence = F.when(s <= 0, 0.0).when(s >= DETECTED, F.least(F.lit(0.95), 0.75 + 0.05 * (s - DETECTED))).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.55), 0.15 * s)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,10 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from umbra.sources.tables import stored
+
 # Tags that make blocks, are skipped, act or show media; marks that sites put on private parts.
-BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "listitem", "td": "cell", "th": "columnheader", "label": "label", "dt": "term", "dd": "definition", "figcaption": "caption", "caption": "caption", "blockquote": "quote"}
+BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "listitem", "td": "cell", "th": "columnheader", "label": "label", "dt": "term", "dd": "definition", "figcaption": "caption", "caption": "caption", "blockquote": "quote", "legend": "legend"}
 SKIPPED = ("script", "style", "template", "noscript")
 ROLES = {"a": "link", "button": "button", "input": "textbox", "select": "combobox", "textarea": "textbox", "summary": "button"}
+ARIA = ("button", "link", "checkbox", "radio", "switch", "tab", "menuitem", "option", "textbox", "searchbox", "combobox", "slider", "spinbutton")
 MEDIA = {"img": "img", "canvas": "canvas", "video": "video", "embed": "embed", "object": "object", "iframe": "iframe"}
 MARKS = ("data-private", "data-pii", "data-hj-suppress", "data-clarity-mask", "rr-mask", "rr-block", "sentry-mask")
 #: What an opening tag closes first when it is still open.
@@ -20,16 +24,24 @@ CLOSES = {t: ("p",) for t in ("p", "ul", "ol", "dl", "div", "table", "section",
 CONTAINERS = ("ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "div", "section", "article", "li", "dd", "body")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
-PARTS = "page_id long, kind string, seq int, tag string, role string, text string, attr string, hidden string, marks string"
+PARTS = "page_id long, kind string, seq int, tag string, role string, text string, attr string, hidden string, marks string, in_form boolean"
+#: Below so much of itself, all around it counted, a part isn't seen.
+LEAST_OPACITY = 0.05
 
 
 class _Page(HTMLParser):
-    """One pass over a page; parts are (kind, seq, tag, role, text, attr, hidden reason, marks)."""
+    """One pass over a page; parts are [kind, seq, tag, role, texts, attr, hidden reason, marks, in a form].
+
+    attr is an address, an autocomplete attribute or, of a block, where it stands: `t:table:row:column` or `f:fieldset`.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
-        self.stack: list[tuple[str, list | None, str | None, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, list | None, str | None, tuple[str, ...], float]] = []
+        self.tables: list[list[int]] = []  # open tables: number, row, column
+        self.fieldsets: list[int] = []
+        self.n_tables = self.n_fieldsets = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -40,29 +52,47 @@ class _Page(HTMLParser):
             if self.stack[i][0] in CONTAINERS:
                 break
         style = a.get("style", "").replace(" ", "").lower()
-        reasons = [("aria-hidden", a.get("aria-hidden") == "true"), ("inert", "inert" in a), ("display", "display:none" in style), ("visibility", "visibility:hidden" in style), ("opacity", "opacity:0;" in style + ";")]
-        above = self.stack[-1] if self.stack else (None, None, None, ())
+        above = self.stack[-1] if self.stack else (None, None, None, (), 1.0)
+        set_to = re.search(r"(?:^|;)opacity:([0-9]*\.?[0-9]+)", style)
+        opacity = above[4] * (min(1.0, float(set_to[1])) if set_to else 1.0)
+        reasons = [("aria-hidden", a.get("aria-hidden") == "true"), ("inert", "inert" in a), ("display", "display:none" in style), ("visibility", "visibility:hidden" in style), ("opacity", opacity < LEAST_OPACITY)]
         hidden = above[2] or next((name for name, on in reasons if on), None)
         marks = tuple(dict.fromkeys([*above[3], *(m for m in MARKS if m in a), *(["autocomplete-cc"] if a.get("autocomplete", "").lower().startswith("cc-") else []), *(["type-password"] if tag == "input" and a.get("type", "").lower() == "password" else [])]))
+        if tag == "table":
+            self.n_tables += 1
+            self.tables.append([self.n_tables, 0, 0])
+        elif tag == "fieldset":
+            self.n_fieldsets += 1
+            self.fieldsets.append(self.n_fieldsets)
+        elif tag == "tr" and self.tables:
+            self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
+        elif tag in ("td", "th") and self.tables:
+            self.tables[-1][2] += 1
         part = None
         if tag in BLOCKS:
-            part = self._add("block", tag, BLOCKS[tag], "", "", hidden, marks)
-        if tag in ROLES and (tag != "a" or "href" in a):
-            own = self._add("element", tag, a.get("role") or ROLES[tag], a.get("aria-label") or a.get("title") or a.get("placeholder") or "", a.get("href") or a.get("autocomplete") or "", hidden, marks)
-            part = part or (own if tag in ("a", "button", "summary") and not own[4] else None)
+            where = "t:" + ":".join(map(str, self.tables[-1])) if tag in ("td", "th") and self.tables else f"f:{self.fieldsets[-1]}" if self.fieldsets else ""
+            part = self._add("block", tag, BLOCKS[tag], "", where, hidden, marks)
+        usable = tag in ROLES and (tag != "a" or "href" in a) or a.get("role") in ARIA or a.get("contenteditable") in ("", "true") or a.get("tabindex", "-1") != "-1"
+        if usable:
+            own = self._add("element", tag, a.get("role") or ROLES.get(tag, "generic"), a.get("aria-label") or a.get("title") or a.get("placeholder") or "", a.get("href") or a.get("autocomplete") or "", hidden, marks)
+            part = part or (own if tag not in ("input", "select", "textarea") and not own[4] else None)
         if tag in MEDIA:
             self._add("media", tag, MEDIA[tag], a.get("alt", ""), a.get("src", ""), hidden, marks)
         if tag not in VOID:
-            self.stack.append((tag, part, hidden, marks))
+            self.stack.append((tag, part, hidden, marks, opacity))
 
     def _add(self, kind: str, *rest) -> list:
-        self.parts.append([kind, len(self.parts), *rest[:2], [rest[2]] if rest[2] else [], rest[3], rest[4], ",".join(rest[5])])
+        self.parts.append([kind, len(self.parts), *rest[:2], [rest[2]] if rest[2] else [], rest[3], rest[4], ",".join(rest[5]), any(t == "form" for t, *_ in self.stack)])
         return self.parts[-1]
 
     def handle_endtag(self, tag: str) -> None:
         if any(t == tag for t, *_ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+            gone = None
+            while gone != tag:
+                gone = self.stack.pop()[0]
+                for name, open_ in (("table", self.tables), ("fieldset", self.fieldsets)):
+                    if gone == name and open_:
+                        open_.pop()
 
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
@@ -74,31 +104,31 @@ class _Page(HTMLParser):
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, seq, tag, role, text, attr, hidden, marks): blocks, elements and media of each page in order.
+    """(page_id, kind, seq, tag, role, text, attr, hidden, marks, in_form): blocks, elements and media of each page in order.
 
-    Each page is read once. Text is that of the nearest block (six levels up at most), nodes joined by one space;
+    Each page is read once; one without an id has parts without one. Text is that of the nearest block (six levels up at most), nodes joined by one space;
     hidden is the first reason that holds for the part or what is around it.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+            for page_id, html in zip(batch["page_id"].astype("Int64"), batch["html"], strict=True):
                 page = _Page()
                 page.feed(html or "")
                 page.close()
-                rows += [(page_id, k, s, t, r, " ".join(x), at, h, m) for k, s, t, r, x, at, h, m in page.parts]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "seq", "tag", "role", "text", "attr", "hidden", "marks"]).astype({"page_id": "int64", "seq": "int32"})
+                rows += [(page_id, k, s, t, r, " ".join(x), at, h, m, f) for k, s, t, r, x, at, h, m, f in page.parts]
+            yield pd.DataFrame(rows, columns=["page_id", "kind", "seq", "tag", "role", "text", "attr", "hidden", "marks", "in_form"]).astype({"page_id": "Int64", "seq": "int32"})
 
     return pages.select("page_id", "html").mapInPandas(read, PARTS)
 
 
 def text_blocks(parts: DataFrame) -> DataFrame:
-    return parts.where("kind = 'block' and text <> ''").select("page_id", "seq", "tag", "role", "text", "hidden", "marks")
+    return parts.where("kind = 'block' and text <> ''").select("page_id", "seq", "tag", "role", "text", "attr", "hidden", "marks")
 
 
 def elements(parts: DataFrame) -> DataFrame:
-    return parts.where("kind = 'element'").select("page_id", "seq", "tag", "role", F.col("text").alias("name"), "attr", "hidden", "marks")
+    return parts.where("kind = 'element'").select("page_id", "seq", "tag", "role", F.col("text").alias("name"), "attr", "hidden", "marks", "in_form")
 
 
 def media(parts: DataFrame) -> DataFrame:
@@ -108,9 +138,14 @@ def media(parts: DataFrame) -> DataFrame:
 
 
 def structural_context(blocks: DataFrame) -> DataFrame:
-    """blocks with the heading that they stand under."""
+    """blocks with the heading that they stand under, the legend of their fieldset and the header of their column."""
     before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("heading", F.last(F.when(F.col("role") == "heading", F.col("text")), ignorenulls=True).over(before))
+    last = lambda role, w: F.last(F.when(F.col("role") == role, F.col("text")), ignorenulls=True).over(w)
+    at = F.split("attr", ":")
+    placed = blocks.withColumns({"__group": F.when(F.col("attr").startswith("t:"), F.concat_ws(":", F.lit("t"), at[1], at[3])).otherwise(F.col("attr")), "heading": last("heading", before)})
+    near = Window.partitionBy("page_id", "__group").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda kind, role: F.when(F.col("attr").startswith(kind), last(role, near))
+    return placed.withColumns({"legend": inside("f:", "legend"), "column_header": F.when(F.col("role") == "cell", inside("t:", "columnheader"))}).drop("__group")
 
 
 def row_fingerprint(rows: DataFrame, salt: str, key: str = "page_id") -> DataFrame:
@@ -121,11 +156,12 @@ def row_fingerprint(rows: DataFrame, salt: str, key: str = "page_id") -> DataFra
 
 
 def stable_ids(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(page_id, fp, ordinal, eid): ids of `before` stay where the element is still there; others get the next numbers of their page."""
+    """(page_id, fp, ordinal, eid, ambiguous): ids of `before` stay where the element is still there; others get the next numbers
+    of their page. Elements that share a fingerprint with another of their page are ambiguous."""
     top = before.groupBy("page_id").agg(F.max("eid").alias("top"))
     joined = now.select("page_id", "fp", "ordinal").join(before.select("page_id", "fp", "ordinal", "eid"), ["page_id", "fp", "ordinal"], "left").join(top, "page_id", "left")
     fresh = F.row_number().over(Window.partitionBy("page_id", F.col("eid").isNull()).orderBy("fp", "ordinal"))
-    return joined.withColumn("eid", F.coalesce("eid", F.coalesce("top", F.lit(0)) + fresh)).select("page_id", "fp", "ordinal", "eid")
+    return joined.withColumn("eid", F.coalesce("eid", F.coalesce("top", F.lit(0)) + fresh)).withColumn("ambiguous", F.count(F.lit(1)).over(Window.partitionBy("page_id", "fp")) > 1).select("page_id", "fp", "ordinal", "eid", "ambiguous")
 
 
 def nearest_label(values: DataFrame, labels: DataFrame, most: int = 120) -> DataFrame:
@@ -144,15 +180,42 @@ def nearest_label(values: DataFrame, labels: DataFrame, most: int = 120) -> Data
     return v.join(lab, ["cx", "cy"]).where((left | above) & (far <= most * most)).groupBy("value_id").agg(F.min_by("label_id", F.struct(far, "label_id")).alias("label_id"))
 
 
-def frame_paths(frames: DataFrame, deepest: int = 8) -> DataFrame:
-    """(frame_id, path): ids from the root to each frame; frames in a cycle, or deeper than `deepest`, have none."""
-    spark = frames.sparkSession
-    frames.createOrReplaceTempView("__frames")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(frame_id, path, depth) AS (
-          SELECT frame_id, CAST(frame_id AS STRING), 1 FROM __frames WHERE parent_id IS NULL
-          UNION ALL SELECT f.frame_id, concat(w.path, '/', CAST(f.frame_id AS STRING)), w.depth + 1 FROM walk w JOIN __frames f ON f.parent_id = w.frame_id WHERE w.depth < {deepest})
-        SELECT frame_id, path FROM walk""")
+def frame_paths(frames: DataFrame) -> DataFrame:
+    """(frame_id, path): ids from the root to each frame, however deep; frames in or below a cycle have none.
+
+    By pointer jumping: in each round a frame's path is put behind that of the ancestor it begins at, so the rounds
+    are the logarithm of the depth; what is settled leaves, and what doesn't reach a root in the end is a cycle.
+    """
+    now, before = stored(frames.select("frame_id", F.col("parent_id").alias("up"), F.array(F.col("frame_id")).alias("ids"))), None
+    while (left := now.where("up is not null").count()) and left != before:
+        above = now.select(F.col("frame_id").alias("__up"), F.col("up").alias("__next"), F.col("ids").alias("__ids"))
+        joined = now.join(above, F.col("up") == F.col("__up"), "left")
+        known = F.col("__ids").isNotNull()
+        jumped = joined.select("frame_id", F.when(known, F.col("__next")).otherwise(F.col("up")).alias("up"), F.when(known, F.concat("__ids", "ids")).otherwise(F.col("ids")).alias("ids"))
+        now, before = stored(jumped.where("up is null or not array_contains(ids, up)")), left
+    return now.where("up is null").select("frame_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "/").alias("path"))
+
+
+IDENTITY_FIELDS = ("NAME", "EMAIL", "PHONE", "ADDRESS", "DOB", "AADHAAR", "PAN", "CARD_NUMBER", "BANK_ACCOUNT")
+
+
+def page_type(fields: DataFrame) -> DataFrame:
+    """(page_id, page_type): kyc_form, login, form or null by password fields and at least three identity fields; fields: page_id, input_type, category."""
+    password = F.coalesce(F.bool_or(F.col("input_type") == "password"), F.lit(False))
+    many = F.count_if(F.col("category").isin(*IDENTITY_FIELDS)) >= 3
+    return fields.groupBy("page_id").agg(F.when(password & many, "kyc_form").when(password, "login").when(many, "form").alias("page_type"))
+
+
+def safe_search_forms(fields: DataFrame) -> DataFrame:
+    """(page_id, eid, safe): whether a search field may be submitted: it has no form, or its form stays at the origin and asks for nothing private.
+
+    fields: page_id, eid, form, in_search, input_type, category, action_origin, origin.
+    """
+    private = (F.coalesce("input_type", F.lit("")) == "password") | F.col("category").isNotNull()
+    forms = fields.where("form is not null").groupBy("page_id", "form").agg(F.bool_or(private).alias("__private"), F.max("action_origin").alias("__action"))
+    joined = fields.where("in_search").join(forms, ["page_id", "form"], "left")
+    away = F.coalesce(F.col("__action") != F.col("origin"), F.lit(False))
+    return joined.select("page_id", "eid", F.when(F.col("form").isNull(), True).otherwise(~away & ~F.col("__private")).alias("safe"))
 
 
 def fill_state(category: Column, value: Column) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from umbra.sources.tables import stored
+
 NEVER_TOKENS = ("PASSWORD", "OTP", "CVV", "UPI_PIN", "SECRET")
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 TOKEN = r"\[\[PII:[A-Z_]+:[a-z2-7]{8}\]\]"
@@ -79,19 +85,37 @@ def base32_prefix(hexadecimal: Column, chars: int = 8) -> Column:
     return F.concat(*[letter(i) for i in range(chars)])
 
 
-def tokenize(values: DataFrame, key: str) -> DataFrame:
+def tokenize(values: DataFrame, key: str, issued: DataFrame | None = None) -> DataFrame:
     """(category, normalized, token, origins): one keyed token for each value; equal values have equal tokens.
 
-    Categories that must never be held get none. A value whose token another value of the category has, which
-    comes first in order, is hashed again with a counter.
+    Categories that must never be held get none. A value whose token another one has, which was issued before or
+    comes first in order, is hashed again with a counter until no two are alike. Values in issued (category,
+    normalized, token) keep the tokens that they have, so a value's token doesn't change as more values come.
     """
     normal = normalize_value(F.col("category"), F.col("value"))
     distinct = values.where(~F.col("category").isin(*NEVER_TOKENS)).groupBy("category", normal.alias("normalized")).agg(F.sort_array(F.collect_set("origin")).alias("origins"))
-    digest = lambda n: base32_prefix(hmac_sha256(key, F.concat("category", F.lit("\0"), "normalized", *([F.lit("\0"), n.cast("string")] if n is not None else []))))
-    first = distinct.withColumn("__t", digest(None))
-    turn = first.withColumn("__n", F.row_number().over(Window.partitionBy("category", "__t").orderBy("normalized")))
-    code = F.when(F.col("__n") == 1, F.col("__t")).otherwise(digest(F.col("__n")))
-    return turn.select("category", "normalized", F.concat(F.lit("[[PII:"), "category", F.lit(":"), code, F.lit("]]")).alias("token"), "origins")
+    names = ["category", "normalized"]
+    made = []
+    if issued is not None:
+        held = issued.select(*names, "token")
+        made = [distinct.join(held, names)]
+        distinct = distinct.join(held, names, "left_anti")
+    taken = None if issued is None else issued.select("category", "token")
+    left, turn = distinct, 0
+    while True:
+        message = F.concat("category", F.lit("\0"), "normalized", *([F.lit(f"\0{turn}")] if turn else []))
+        asked = left.withColumn("token", F.concat(F.lit("[[PII:"), "category", F.lit(":"), base32_prefix(hmac_sha256(key, message)), F.lit("]]")))
+        if taken is not None:
+            asked = asked.join(taken.distinct().withColumn("__taken", F.lit(True)), ["category", "token"], "left")
+        first = F.row_number().over(Window.partitionBy("category", "token").orderBy("normalized"))
+        asked = stored(asked.withColumn("__ok", (first == 1) & (F.col("__taken").isNull() if taken is not None else F.lit(True))))
+        good = asked.where("__ok").select(*names, "token", "origins")
+        made.append(good)
+        left = asked.where("not __ok").select(*names, "origins")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, (m.select(*names, "token", "origins") for m in made))
+        taken = good.select("category", "token") if taken is None else taken.unionByName(good.select("category", "token"))
+        turn += 1
 
 
 def neutralize(text: Column) -> Column:
@@ -136,37 +160,64 @@ def privacy_receipt(decisions: DataFrame) -> DataFrame:
 
 
 def text_budget(units: DataFrame, most: int = 4000) -> DataFrame:
-    """Units that fit into `most` characters of their origin in order; a smaller later one is still taken."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "unit_id", F.length("text").alias("n"))))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
-    step = lambda a, u: F.when(a.used + u.n <= most, F.struct((a.used + u.n).alias("used"), F.concat(a.kept, F.array(u.unit_id)).alias("kept"))).otherwise(a)
-    return units.groupBy("origin").agg(F.aggregate(rows, start, step).alias("b")).select("origin", F.explode("b.kept").alias("unit_id"))
+    """(origin, unit_id): units that fit into `most` characters of their origin in order; a smaller later one is still taken.
+
+    Whether one fits depends on all before it, so an origin's rows are read in order by one task, which holds only a
+    sum of them, however many there are.
+    """
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        origin, used = None, 0
+        for rows in batches:
+            keep = []
+            for o, n in zip(rows["origin"], rows["n"], strict=True):
+                if o != origin:
+                    origin, used = o, 0
+                keep.append(used + n <= most)
+                used += n if keep[-1] else 0
+            yield rows.loc[keep, ["origin", "unit_id"]]
+
+    sized = units.select("origin", "unit_id", "seq", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return sized.repartition("origin").sortWithinPartitions("origin", "seq", "unit_id").mapInPandas(taken, "origin string, unit_id string")
 
 
 def necessity(detections: DataFrame, vault: DataFrame, categories: list[str]) -> DataFrame:
-    """detections with needed_by_task: the value is in the vault already, or the task asks for its category."""
+    """detections (with editable and field_category, of their target) with needed_by_task: the value is in the vault already, or
+    it stands in a field that can be edited and whose category the task asks for."""
     held = vault.select("category", "normalized", F.lit(True).alias("__held")).distinct()
     normal = detections.withColumn("normalized", normalize_value(F.col("category"), F.col("value")))
     joined = normal.join(held, ["category", "normalized"], "left")
-    return joined.withColumn("needed_by_task", F.coalesce("__held", F.lit(False)) | F.col("category").isin(*categories)).drop("__held")
+    asked = F.coalesce(F.col("editable") & F.col("field_category").isin(*categories), F.lit(False))
+    return joined.withColumn("needed_by_task", F.coalesce("__held", F.lit(False)) | asked).drop("__held")
 
 
 def rehydrate(requests: DataFrame, vault: DataFrame) -> DataFrame:
     """(request_id, text, reason): all tokens of a text replaced by their values, or the request refused with a reason.
 
-    requests: request_id, action, origin, text. Only `type` and `select` may carry values, only tokens that were issued,
-    and only to an origin where the value was seen.
+    requests: request_id, action, origin, text, field_category, input_type, consented. Only `type` may carry values, only where the
+    user consented, only tokens that were issued, into a field of their category (a password's into a password field), and
+    only at an origin where the value was seen.
     """
     token = F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
-    asked = requests.withColumn("token", token).join(vault.select("token", "normalized", "origins"), "token", "left")
-    reason = F.when(F.col("token").isNull(), None).when(~F.col("action").isin("type", "select"), "action").when(F.col("normalized").isNull(), "unknown").when(~F.array_contains("origins", F.col("origin")), "origin")
-    rows = asked.withColumn("reason", reason).groupBy("request_id", "text").agg(
+    asked = requests.withColumn("token", token).join(vault.select("token", "category", "normalized", "origins"), "token", "left")
+    other = F.coalesce("field_category", F.lit("")) != F.col("category")
+    other = other | (F.col("category") == "PASSWORD") & (F.coalesce("input_type", F.lit("")) != "password")
+    reasons = ((F.col("action") != "type", "action"), (~F.col("consented"), "consent"), (F.col("normalized").isNull(), "unknown"), (other, "category"), (~F.array_contains("origins", F.col("origin")), "origin"))
+    reason = F.lit(None).cast("string")
+    for on, name in reversed(reasons):
+        reason = F.when(on, name).otherwise(reason)
+    rows = asked.withColumn("reason", F.when(F.col("token").isNotNull(), reason)).groupBy("request_id", "text").agg(
         F.min("reason").alias("reason"), F.array_sort(F.collect_list(F.when(F.col("normalized").isNotNull(), F.struct("token", "normalized")))).alias("pairs")
     )
     filled = F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(t, p.token, p.normalized))
     return rows.select("request_id", F.when(F.col("reason").isNull(), filled).alias("text"), "reason")
 
 
+def carried(sanitized: DataFrame) -> DataFrame:
+    """(origin, tokens, bytes): tokens and bytes that leave, by origin."""
+    return sanitized.groupBy("origin").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 def mask_plan(decisions: DataFrame) -> DataFrame:
     """(unit_id, span_start, mask, label): how each protected span is masked, and its label from a closed vocabulary."""
     mask = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), "LABELLED_FILL").when(F.col("action") == "BLUR", "BLUR").when(F.col("action") == "FILL_REGION", "FILL_REGION").otherwise("FILL")
@@ -180,3 +231,51 @@ def suppress_secret_values(fields: DataFrame, top: DataFrame) -> DataFrame:
     joined = fields.join(top.select("unit_id", "category"), "unit_id", "left")
     value = F.when(~F.coalesce(F.col("category").isin(*NEVER_TOKENS), F.lit(False)), F.col("value"))
     return joined.select("unit_id", value.alias("value"), (F.coalesce("value", F.lit("")) != "").alias("has_value"))
+
+
+def replace_known(units: DataFrame, values: DataFrame) -> DataFrame:
+    """units with every occurrence of their values replaced, but inside tokens; values: unit_id, nth, value, replacement.
+
+    Values come one after the other by nth, so a replacement that is a token is safe from those that follow.
+    """
+    listed = values.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("nth", "value", "replacement"))).alias("__v"))
+
+    def step(text: Column, v: Column) -> Column:
+        free, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+        done = F.transform(free, lambda x, i: F.concat(F.replace(x, v.value, v.replacement), F.coalesce(F.get(tokens, i), F.lit(""))))
+        return F.when(F.contains(text, v.value), F.array_join(done, "")).otherwise(text)
+
+    joined = units.join(listed, "unit_id", "left")
+    return joined.withColumn("text", F.when(F.col("__v").isNull(), F.col("text")).otherwise(F.aggregate("__v", F.col("text"), step))).drop("__v")
+
+
+def outbound_projection(elements: DataFrame) -> DataFrame:
+    """What of elements may leave: those seen or hidden but usable, the latter without place, value and length.
+
+    elements: eid, fp, role, label, x, y, visible, hidden_interactive, enabled, input_type, has_value, category, bucket, token.
+    """
+    seen = F.col("visible")
+    secret = F.coalesce(F.col("category").isin(*NEVER_TOKENS), F.lit(False)) | (F.coalesce("input_type", F.lit("")) == "password")
+    if_seen = lambda c: F.when(seen, F.col(c))
+    return elements.where(seen | F.col("hidden_interactive")).select(
+        "eid", "fp", "role", "label", "visible", F.when(seen, F.col("x")).otherwise(0).alias("x"), F.when(seen, F.col("y")).otherwise(0).alias("y"), (seen & F.col("enabled")).alias("enabled"),
+        if_seen("input_type").alias("input_type"), if_seen("has_value").alias("has_value"), F.when(seen & ~secret, F.col("bucket")).alias("bucket"), if_seen("token").alias("token"), (~seen).alias("hidden_interactive"),
+    )
+
+
+def render_context(units: DataFrame, history: DataFrame, most: int = 5) -> DataFrame:
+    """(origin, context): the texts of an origin in order and the last few steps of its history (origin, step, action, verdict), line by line."""
+    texts = units.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("seq", "unit_id", "text"))).alias("t"))
+    last = history.withColumn("__r", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("step")))).where(F.col("__r") <= most)
+    steps = last.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("step", "action", "verdict"))).alias("h"))
+    lines = F.transform("t", lambda x: F.concat(F.lit("- "), F.coalesce(x.text, F.lit(""))))
+    done = F.transform(F.coalesce("h", F.array().cast("array<struct<step:bigint,action:string,verdict:string>>")), lambda x: F.concat(F.lit("* "), x.step.cast("string"), F.lit(" "), x.action, F.lit(" "), x.verdict))
+    return texts.join(steps, "origin", "left").select("origin", F.array_join(F.concat(lines, done), "\n").alias("context"))
+
+
+def text_window(units: DataFrame, most_blocks: int = 40, most_chars: int = 2000) -> DataFrame:
+    """(origin, unit_id, text): the first blocks of an origin; the one that passes the characters is cut, and nothing follows."""
+    order = Window.partitionBy("origin").orderBy("seq", "unit_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = units.withColumns({"__n": F.count(F.lit(1)).over(order), "__sum": F.sum(F.length("text")).over(order)})
+    before = F.col("__sum") - F.length("text")
+    return counted.where((F.col("__n") <= most_blocks) & (before < most_chars)).select("origin", "unit_id", F.substring("text", F.lit(1), F.lit(most_chars) - before).alias("text"))

@@ -13,7 +13,9 @@ from umbra.sources import tables as S
 from umbra.sources.tables import stored, table, to_units, units
 from umbra.streaming import streams as T
 
+#: The key of pseudonyms comes from the session's configuration; this one is for tests, whose SQL must know it.
 KEY = "pseudonym key of the tests"
+KEY_SETTING = "spark.umbra.pseudonym.key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -92,15 +94,15 @@ def d1_scan_rules(spark, sf):
     return D.scan(units(spark, sf))
 
 
-CONTEXTS = ("BANK_ACCOUNT", "OTP", "PIN_CODE", "ORDER_ID", "FINANCIAL_VALUE", "DATE", "DOB", "VOTER_ID", "PASSPORT", "UAN", "TRACKING_ID")
+CONTEXTS = ("BANK_ACCOUNT", "OTP", "PIN_CODE", "ORDER_ID", "FINANCIAL_VALUE", "DATE", "DOB", "VOTER_ID", "PASSPORT", "UAN", "TRACKING_ID", "ABHA", "DRIVING_LICENCE")
 CONTEXT_UNITS = f"""ctx AS (
   SELECT 'ord:' || o_orderkey AS unit_id, o_orderpriority AS origin, ([{', '.join(map(quoted, CONTEXTS))}])[(o_orderkey % {len(CONTEXTS)} + 1)::INT] AS context,
-         'ref ' || (o_orderkey * 7919 + 100000) || ', due 12/05/' || (1990 + o_orderkey % 30) || ' or 3 Mar 2019, INR ' || o_orderkey || ', ABC' || lpad((o_orderkey % 10000000)::VARCHAR, 7, '0') || ' and ' || (o_orderkey * 104729 + 100000000000) || '.' AS text FROM orders)"""
+         'ref ' || (o_orderkey * 7919 + 100000) || ', due 12/05/' || (1990 + o_orderkey % 30) || ' or 3 Mar 2019, INR ' || o_orderkey || ', ABC' || lpad((o_orderkey % 10000000)::VARCHAR, 7, '0') || ' and ' || (o_orderkey * 104729 + 100000000000) || ' or 12-3456-7890-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '.' AS text FROM orders)"""
 
 
 def context_units(spark, sf):
     k = F.col("o_orderkey")
-    text = F.concat(F.lit("ref "), k * 7919 + 100000, F.lit(", due 12/05/"), 1990 + k % 30, F.lit(" or 3 Mar 2019, INR "), k, F.lit(", ABC"), F.lpad((k % 10000000).cast("string"), 7, "0"), F.lit(" and "), k * 104729 + 100000000000, F.lit("."))
+    text = F.concat(F.lit("ref "), k * 7919 + 100000, F.lit(", due 12/05/"), 1990 + k % 30, F.lit(" or 3 Mar 2019, INR "), k, F.lit(", ABC"), F.lpad((k % 10000000).cast("string"), 7, "0"), F.lit(" and "), k * 104729 + 100000000000, F.lit(" or 12-3456-7890-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("."))
     context = F.element_at(F.array(*map(F.lit, CONTEXTS)), (k % len(CONTEXTS) + 1).cast("int"))
     return table(spark, sf, "orders").select(F.concat(F.lit("ord:"), k).alias("unit_id"), F.col("o_orderpriority").alias("origin"), context.alias("context"), text.alias("text"))
 
@@ -186,14 +188,17 @@ def d20_detection_stats(spark, sf):
     return D.detection_stats(detections(spark, sf))
 
 
-@query(f"WITH {POLICY} SELECT * FROM policy")
+@query(f"WITH {DET}, {POLICY} SELECT category, class, risk_rank, locked, needed, not_needed, count(*) AS n FROM det JOIN policy USING (category) GROUP BY ALL")
 def s3_load_policy(spark, sf):
-    return R.load_policy(spark)
+    """The policy of what was detected."""
+    return detections(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(R.load_policy(spark)), "category").select("category", "class", "risk_rank", "locked", "needed", "not_needed", "n")
 
 
-@query(f"WITH {LABELS} SELECT * FROM labels_d")
+@query(f"WITH {LABELS}, {LABELLED} SELECT category, phrase, is_generic, is_override, count(*) AS n FROM labels_d JOIN labelled ON contains(label, phrase) GROUP BY ALL")
 def s4_load_labels(spark, sf):
-    return R.load_labels(spark)
+    """The dictionary's phrases in the labels of customers."""
+    fields = labelled(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("k"))  # a few hundred labels
+    return fields.join(F.broadcast(R.load_labels(spark)), F.contains("label", "phrase")).groupBy("category", "phrase", "is_generic", "is_override").agg(F.sum("k").alias("n"))
 
 
 # ---- protection
@@ -266,8 +271,12 @@ vault AS (SELECT category, normalized, origins, '[[PII:' || category || ':' || a
 VAULT = VAULT.replace("GROUP BY ALL", "GROUP BY 1, 2")
 
 
+def key_of(spark):
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def vault(spark, sf):
-    return P.tokenize(detections(spark, sf), KEY)
+    return P.tokenize(detections(spark, sf), key_of(spark))
 
 
 @query(f"WITH {DET}, {VAULT} SELECT category, normalized, token, array_to_string(origins, ',') AS origins FROM vault")
@@ -301,7 +310,7 @@ def replaced(spans, held):
 def redacted(spark, sf, found=None, spans=None):
     found = detections(spark, sf) if found is None else found
     spans = decided(spark, sf, found) if spans is None else spans
-    return P.redact_spans(units(spark, sf).select("unit_id", "origin", "seq", "text"), replaced(spans, P.tokenize(found, KEY)))
+    return P.redact_spans(units(spark, sf).select("unit_id", "origin", "seq", "text"), replaced(spans, P.tokenize(found, key_of(spark))))
 
 
 @query(f"WITH {REDACTED} SELECT unit_id, n_redacted, text_redacted FROM red")
@@ -356,7 +365,7 @@ def faulty(spark, sf):
     found = detections(spark, sf)
     spans = stored(decided(spark, sf, found))
     out = redacted(spark, sf, found, spans.where("seq % 5 <> 0"))
-    return stored(out.select("unit_id", "origin", F.col("text_redacted").alias("text"))), spans, P.tokenize(found, KEY)
+    return stored(out.select("unit_id", "origin", F.col("text_redacted").alias("text"))), spans, P.tokenize(found, key_of(spark))
 
 
 @query(f"WITH {RESCAN} SELECT * FROM leaks")
@@ -399,7 +408,7 @@ def l5_unknown_tokens(spark, sf):
 
 
 COVERAGE = """want AS (SELECT DISTINCT unit_id, span_start, span_end FROM decided WHERE action <> 'ALLOW'), got AS (SELECT unit_id, span_start, CASE WHEN span_start % 3 = 0 THEN span_end - 1 ELSE span_end END AS span_end FROM applied),
-gaps AS (SELECT * FROM (SELECT w.unit_id, w.span_start, w.span_end, CAST(sum(coalesce(greatest(least(w.span_end, a.span_end) - greatest(w.span_start, a.span_start), 0), 0)) AS BIGINT) AS covered FROM want w LEFT JOIN got a USING (unit_id) GROUP BY ALL) WHERE covered < span_end - span_start)"""
+gaps AS (SELECT * FROM (SELECT w.unit_id, w.span_start, w.span_end, CAST(sum(CASE WHEN a.unit_id IS NULL THEN 0 ELSE greatest(least(w.span_end, a.span_end) - greatest(w.span_start, a.span_start), 0) END) AS BIGINT) AS covered FROM want w LEFT JOIN got a ON a.unit_id = w.unit_id GROUP BY ALL) WHERE covered < span_end - span_start)"""
 
 
 def gaps(spans):
@@ -424,7 +433,8 @@ def l8_seal_verdict(spark, sf):
     return L.seal_verdict(units(spark, sf), L.union_failures(found))
 
 
-@query()
+@query(f"""WITH {REDACTED}, b AS (SELECT unit_id, 'origin:' || strlen(origin) || ':' || origin || chr(10) || 'text_redacted:' || coalesce(strlen(text_redacted), -1) || ':' || coalesce(text_redacted, '') || chr(10) || 'unit_id:' || strlen(unit_id) || ':' || unit_id || chr(10) AS body FROM red)
+  SELECT unit_id, sha256(body) AS digest, strlen(body) AS n_bytes FROM b""")
 def s7_write_sanitized(spark, sf):
     return L.digests(redacted(spark, sf).select("unit_id", "origin", "text_redacted"))
 
@@ -432,7 +442,7 @@ def s7_write_sanitized(spark, sf):
 # ---- action logs and captures
 
 LOG = """log AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, ts, event_type AS action, (props->>'$.k')::BIGINT AS fp, (props->>'$.k')::BIGINT % 3 AS digest,
-  CASE WHEN event_id % 3 = 0 THEN 'pass' WHEN event_id % 7 = 0 THEN 'retry' ELSE 'fail' END AS verdict FROM events)"""
+  CASE WHEN event_id % 3 = 0 THEN 'pass' WHEN event_id % 7 = 0 THEN 'retry' ELSE 'fail' END AS verdict, CASE WHEN (props->>'$.k')::BIGINT % 25 = 0 THEN 'BUDGET_EXHAUSTED' END AS code, (props->>'$.k')::BIGINT % 5 = 0 AS ocr FROM events)"""
 
 
 def log(spark, sf):
@@ -447,25 +457,25 @@ def a6_detect_loops(spark, sf):
 
 
 @query(f"""WITH {LOG}, c AS (SELECT *, sum(CASE WHEN verdict <> 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY step) AS g FROM log)
-  SELECT session, step, CASE WHEN row_number() OVER (PARTITION BY session, g ORDER BY step) > 2 THEN 'ask_user' ELSE 'replan' END AS next FROM c WHERE verdict = 'fail'""")
+  SELECT session, step, CASE WHEN code IS NOT NULL OR row_number() OVER (PARTITION BY session, g ORDER BY step) > 2 THEN 'ask_user' ELSE 'replan' END AS next FROM c WHERE verdict = 'fail'""")
 def a7_escalations(spark, sf):
     return A.escalations(log(spark, sf))
 
 
 @query(f"""WITH {LOG}, c AS (SELECT *, least(coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY session ORDER BY step))), 0), 60) AS gap FROM log),
-  d AS (SELECT *, sum(gap) OVER (PARTITION BY session ORDER BY step) AS active FROM c)
-  SELECT session, min(step) AS step, arg_min(CASE WHEN step >= 25 THEN 'steps' ELSE 'time' END, step) AS reason FROM d WHERE step >= 25 OR active >= 300 GROUP BY session""")
+  d AS (SELECT *, sum(gap) OVER (PARTITION BY session ORDER BY step) AS active, sum(CASE WHEN digest <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY step) AS calls FROM c)
+  SELECT session, min(step) AS step, arg_min(CASE WHEN step >= 25 THEN 'steps' WHEN calls >= 15 THEN 'calls' ELSE 'time' END, step) AS reason FROM d WHERE step >= 25 OR calls >= 15 OR active >= 300 GROUP BY session""")
 def a8_budget_breaches(spark, sf):
     return A.budget_breaches(log(spark, sf))
 
 
 @query(f"""WITH {LOG}, m AS (SELECT session, step, lag(action) OVER (PARTITION BY session ORDER BY step) AS was, action AS now FROM log),
   e AS (SELECT DISTINCT a.event_type AS was, b.event_type AS now FROM events a, events b WHERE a.event_type <= b.event_type AND a.event_id < 100 AND b.event_id < 100)
-  SELECT session, step, was, now FROM m WHERE was IS NOT NULL AND (was, now) NOT IN (SELECT (was, now) FROM e)""".replace(" AND a.event_id < 100 AND b.event_id < 100", "").replace("FROM events a, events b WHERE", "FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b WHERE"))
+  SELECT session, step, was, now FROM m WHERE was IS NOT NULL AND was <> now AND (was = 'purchase' OR (was, now) NOT IN (SELECT (was, now) FROM e))""".replace(" AND a.event_id < 100 AND b.event_id < 100", "").replace("FROM events a, events b WHERE", "FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b WHERE"))
 def a9_transition_violations(spark, sf):
     kinds = table(spark, sf, "events").select("event_type").distinct()  # the few kinds of events
     allowed = kinds.withColumnRenamed("event_type", "was").join(kinds.withColumnRenamed("event_type", "now"), F.col("was") <= F.col("now"))
-    return A.transition_violations(log(spark, sf), allowed)
+    return A.transition_violations(log(spark, sf), allowed, ("purchase",))
 
 
 @query(f"WITH {LOG} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY session ORDER BY step DESC) <= 25")
@@ -473,21 +483,22 @@ def a10_bounded_history(spark, sf):
     return A.bounded_history(log(spark, sf))
 
 
-@query(f"WITH {LOG} SELECT session, count(*) AS steps, count(*) FILTER (digest = 0) AS dom_only, count(*) FILTER (digest = 1) AS reused, count(*) FILTER (digest = 2) AS vision FROM log GROUP BY session")
+@query(f"WITH {LOG} SELECT session, count(*) AS steps, count(*) FILTER (digest = 0) AS dom_only, count(*) FILTER (digest = 1) AS reused, count(*) FILTER (digest = 2) AS vision, count(*) FILTER (ocr) AS ocr FROM log GROUP BY session")
 def a12_sensing_counters(spark, sf):
     return A.sensing_counters(log(spark, sf))
 
 
-@query(f"""WITH {LOG}, r AS (SELECT session, step, fp % 4 <> 0 AS valid, sum(CASE WHEN fp % 4 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY step) AS n FROM log)
-  SELECT session, step, CASE WHEN NOT valid THEN 'invalid' WHEN n > 3 THEN 'exhausted' ELSE 'granted' END AS outcome, CAST(greatest(3 - n, 0) AS BIGINT) AS remaining FROM r""")
+@query(f"""WITH {LOG}, r AS (SELECT session, step, fp % 40 AS asked, fp % 4 <> 0 AS valid, sum(CASE WHEN fp % 4 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY step) AS n FROM log)
+  SELECT session, step, CASE WHEN NOT valid THEN 'invalid' WHEN n > 3 THEN 'exhausted' ELSE 'granted' END AS outcome, CAST(greatest(3 - n, 0) AS BIGINT) AS remaining, CASE WHEN valid AND n <= 3 THEN least(asked, 20) ELSE 0 END AS rows FROM r""")
 def a13_expansion_budget(spark, sf):
-    return A.expansion_budget(log(spark, sf).select("session", "step", (F.col("fp") % 4 != 0).alias("valid")))
+    return A.expansion_budget(log(spark, sf).select("session", "step", (F.col("fp") % 4 != 0).alias("valid"), (F.col("fp") % 40).alias("asked")))
 
 
-CAPS = """caps AS (SELECT session, keys, url, row_number() OVER (PARTITION BY session ORDER BY hour) AS capture FROM (
-  SELECT user_id AS session, date_trunc('hour', ts) AS hour, list_distinct(list((props->>'$.k')::BIGINT)) AS keys, arg_min(event_type, (ts, event_id)) AS url FROM events GROUP BY user_id, date_trunc('hour', ts))),
-pairs AS (SELECT *, lag(keys) OVER (PARTITION BY session ORDER BY capture) AS b, lag(url) OVER (PARTITION BY session ORDER BY capture) AS b_url FROM caps),
-diffs AS (SELECT session, capture, url, b_url, len(b) AS n, len(list_filter(keys, lambda x: NOT list_contains(b, x))) AS added, len(list_filter(b, lambda x: NOT list_contains(keys, x))) AS removed FROM pairs WHERE b IS NOT NULL)"""
+CAPS = """caps AS (SELECT session, keys, url, dialog, scroll, dhash, row_number() OVER (PARTITION BY session ORDER BY span) AS capture FROM (
+  SELECT user_id AS session, date_trunc('week', ts) AS span, list_distinct(list(CASE WHEN user_id % 2 = 0 THEN (props->>'$.k')::BIGINT % 4 ELSE (props->>'$.k')::BIGINT END)) AS keys, CASE WHEN user_id % 3 = 0 THEN arg_min(event_type, (ts, event_id)) ELSE 'view' END AS url,
+    count(*) FILTER (event_type = 'signup') % 4 = 3 AS dialog, max(value) AS scroll, bit_or(1::BIGINT << (event_id * 7 % 56)::INT) AS dhash FROM events GROUP BY user_id, date_trunc('week', ts))),
+pairs AS (SELECT *, lag(keys) OVER w AS b, lag(url) OVER w AS b_url, lag(dialog) OVER w AS b_dialog, lag(scroll) OVER w AS b_scroll, lag(dhash) OVER w AS b_hash FROM caps WINDOW w AS (PARTITION BY session ORDER BY capture)),
+diffs AS (SELECT session, capture, url, b_url, dialog <> b_dialog AS dialog_changed, abs(scroll - b_scroll) / 500 AS scrolled, bit_count(xor(dhash, b_hash)) AS far, len(b) AS n, len(list_filter(keys, lambda x: NOT list_contains(b, x))) AS added, len(list_filter(b, lambda x: NOT list_contains(keys, x))) AS removed FROM pairs WHERE b IS NOT NULL)"""
 
 
 @query(f"WITH {CAPS} SELECT session, capture, added, removed FROM diffs")
@@ -495,7 +506,7 @@ def a14_mutation_diff(spark, sf):
     return A.mutation_diff(A.captures(table(spark, sf, "events")))
 
 
-@query(f"WITH {CAPS} SELECT session, capture, CASE WHEN url <> b_url THEN 'url' WHEN added + removed >= 3 THEN 'mutations' WHEN (added + removed) / greatest(n, 1) >= 0.25 THEN 'ratio' ELSE 'same' END AS reason FROM diffs")
+@query(f"WITH {CAPS} SELECT session, capture, CASE WHEN url <> b_url THEN 'url' WHEN dialog_changed THEN 'dialog' WHEN added + removed >= 15 THEN 'mutations' WHEN (added + removed) / greatest(n, 1) >= 0.25 THEN 'ratio' WHEN scrolled >= 0.5 THEN 'scroll' WHEN added + removed >= 5 AND far > 10 THEN 'hash' ELSE 'same' END AS reason FROM diffs")
 def a15_screen_changes(spark, sf):
     return A.screen_changes(A.captures(table(spark, sf, "events")))
 
@@ -509,10 +520,10 @@ def a16_difference_hash(spark, sf):
 
 
 @query(f"""WITH {HASHES}, r AS (SELECT dhash, min(vec_id) AS rep FROM h GROUP BY dhash)
-  SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INT) AS distance FROM r x JOIN r y ON x.rep < y.rep AND bit_count(xor(x.dhash, y.dhash)) <= 12
+  SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INT) AS distance FROM r x JOIN r y ON x.rep < y.rep AND bit_count(xor(x.dhash, y.dhash)) <= 10
   UNION ALL SELECT rep, vec_id, 0 FROM h JOIN r USING (dhash) WHERE vec_id <> rep""")
 def a16_near_hashes(spark, sf):
-    return A.near_hashes(A.difference_hash(table(spark, sf, "embeddings")), 12)
+    return A.near_hashes(A.difference_hash(table(spark, sf, "embeddings")), 10)
 
 
 @query(f"""WITH {LOG}, b AS (SELECT *, max(CASE WHEN digest = 0 THEN step END) OVER (PARTITION BY session ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM log)
@@ -546,7 +557,7 @@ def t4_debounce(spark, sf):
 
 
 @query(f"""WITH b AS ({BURST.format(op='<=', s=7200)}), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM b)
-  SELECT user_id, CAST(session AS BIGINT) AS session, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n FROM g GROUP BY user_id, session""")
+  SELECT user_id, min(ts) AS start, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n FROM g GROUP BY user_id, session""")
 def t5_session_state(spark, sf):
     return T.session_state(table(spark, sf, "events"))
 
@@ -564,6 +575,16 @@ def t2_rate_limit(spark, sf):
     return T.rate_limit(table(spark, sf, "events"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+  f AS (SELECT user_id, r, t, t AS begin, 1 AS fresh, NULL::VARCHAR AS why FROM e WHERE r = 1
+    UNION ALL SELECT e.user_id, e.r, e.t, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN e.t ELSE f.begin END, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN 1 ELSE 0 END,
+      CASE WHEN e.t - f.t >= 7200000000 THEN 'quiet' WHEN e.t - f.begin >= 21600000000 THEN 'max' END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1),
+  n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY r) AS burst, lead(why) OVER (PARTITION BY user_id ORDER BY r) AS ended FROM f)
+  SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n, coalesce(arg_max(ended, r), 'quiet') AS reason FROM n GROUP BY user_id, burst""")
+def t1_settle_bounded(spark, sf):
+    return T.settle_bounded(table(spark, sf, "events"))
+
+
 # ---- generated corpora and evaluation
 
 LET = lambda e, n: " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((({e}) // {26**i}) % 26 + 1)::INT, 1)" for i in range(n))
@@ -576,7 +597,19 @@ ids AS (
   UNION ALL SELECT unit_id, 3, 'PAN', {LET('k * 31', 3)} || 'P' || {LET('k * 17', 1)} || lpad((k * 37 % 10000)::VARCHAR, 4, '0') || {LET('k * 3', 1)} FROM keys
   UNION ALL SELECT unit_id, 4, 'EMAIL', 'user' || k || '@mail.example.org' FROM keys
   UNION ALL SELECT unit_id, 5, 'PHONE', '9' || lpad((k * 15485863 % 1000000000)::VARCHAR, 9, '0') FROM keys
-  UNION ALL SELECT unit_id, 6, 'IFSC', {LET('k * 11', 4)} || '0' || lpad((k * 271 % 1000000)::VARCHAR, 6, '0') FROM keys),
+  UNION ALL SELECT unit_id, 6, 'IFSC', {LET('k * 11', 4)} || '0' || lpad((k * 271 % 1000000)::VARCHAR, 6, '0') FROM keys
+  UNION ALL SELECT unit_id, 7, 'VEHICLE_REG', {LET('k * 5', 2)} || lpad((k % 99 + 1)::VARCHAR, 2, '0') || {LET('k * 7', 2)} || lpad((k * 13 % 10000)::VARCHAR, 4, '0') FROM keys
+  UNION ALL SELECT unit_id, 8, 'UPI_ID', 'pay' || k || '@ybl' FROM keys
+  UNION ALL SELECT unit_id, 9, 'VOTER_ID', {LET('k * 19', 3)} || lpad((k * 7 % 10000000)::VARCHAR, 7, '0') FROM keys
+  UNION ALL SELECT unit_id, 10, 'UAN', '1' || lpad((k * 6151 % 100000000000)::VARCHAR, 11, '0') FROM keys
+  UNION ALL SELECT unit_id, 11, 'ABHA', '91' || lpad((k * 7127 % 1000000000000)::VARCHAR, 12, '0') FROM keys
+  UNION ALL SELECT unit_id, 12, 'BANK_ACCOUNT', '0' || lpad((k * 104711 % 10000000000)::VARCHAR, 10, '0') FROM keys
+  UNION ALL SELECT unit_id, 13, 'PIN_CODE', (1 + k % 9) || lpad((k * 37 % 100000)::VARCHAR, 5, '0') FROM keys
+  UNION ALL SELECT unit_id, 14, 'PASSPORT', {LET('k * 23', 1)} || lpad((k * 31 % 10000000)::VARCHAR, 7, '0') FROM keys
+  UNION ALL SELECT unit_id, 15, 'ORDER_ID', 'OD-' || lpad(k::VARCHAR, 8, '0') FROM keys
+  UNION ALL SELECT unit_id, 16, 'DOB', lpad((k % 28 + 1)::VARCHAR, 2, '0') || '/' || lpad((k % 12 + 1)::VARCHAR, 2, '0') || '/' || (1940 + k % 60) FROM keys
+  UNION ALL SELECT unit_id, 17, 'OTP', lpad((k * 7919 % 1000000)::VARCHAR, 6, '0') FROM keys
+  UNION ALL SELECT unit_id, 18, 'TRACKING_ID', {LET('k * 29', 2)} || lpad((k * 8191 % 1000000000)::VARCHAR, 9, '0') || 'IN' FROM keys),
 sentences AS (SELECT *, ([{', '.join(quoted(x) for _, x in G.KINDS)}])[rank] AS label FROM ids),
 rendered AS (SELECT unit_id, string_agg(label || ': ' || value || '. ', '' ORDER BY rank) AS text FROM sentences GROUP BY unit_id),
 placed AS (SELECT *, coalesce(sum(length(label) + length(value) + 4) OVER (PARTITION BY unit_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(label) + 2 AS span_start FROM sentences),
@@ -620,6 +653,12 @@ def g2_generate_near_misses(spark, sf):
     return G.generate_near_misses(identifiers(spark, sf))
 
 
+@query("""SELECT unit_id, value FROM (SELECT 'gen:' || c_custkey AS unit_id, unnest(['REF-' || (c_custkey * 7919), lpad((c_custkey * 48271 % 10000000000)::VARCHAR, 10, '0'), 'v' || (c_custkey % 9) || '.' || (c_custkey % 17) || '.' || (c_custkey % 31), (c_custkey % 90 + 10) || ' x ' || (c_custkey % 70 + 10)]) AS value FROM customer)
+  WHERE NOT regexp_matches(value, '^[6-9][0-9]{9}$') AND NOT regexp_matches(value, '^[2-9][0-9]{11}$')""")
+def g2_catalogue_negatives(spark, sf):
+    return G.generate_catalogue(table(spark, sf, "customer"))
+
+
 @query(f"WITH {GEN} SELECT t.*, r.text FROM truth t JOIN rendered r USING (unit_id)")
 def g3_render_labelled_text(spark, sf):
     text = rendered(spark, sf)
@@ -631,7 +670,7 @@ def g4_split_phrases(spark, sf):
     return G.split_phrases(labelled(spark, sf).select("unit_id", F.col("label").alias("phrase")))
 
 
-@query(f"""WITH {GEN}, c AS (SELECT unit_id, category, count(*) AS n FROM truth WHERE length(value) % 2 = 0 GROUP BY ALL), e AS (SELECT unit_id, unnest([{', '.join(quoted(c) for c, _ in G.KINDS)}, 'PASSPORT']) AS category FROM (SELECT DISTINCT unit_id FROM truth WHERE length(value) % 2 = 0))
+@query(f"""WITH {GEN}, c AS (SELECT unit_id, category, count(*) AS n FROM truth WHERE length(value) % 2 = 0 GROUP BY ALL), e AS (SELECT unit_id, unnest([{', '.join(quoted(c) for c, _ in G.KINDS)}, 'DRIVING_LICENCE']) AS category FROM (SELECT DISTINCT unit_id FROM truth WHERE length(value) % 2 = 0))
   SELECT unit_id, category, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'control' END AS kind FROM e LEFT JOIN c USING (unit_id, category)""")
 def g5_derive_tasks(spark, sf):
     return G.derive_tasks(truth(spark, sf).where("length(value) % 2 = 0"))
@@ -681,17 +720,28 @@ def e5_error_rows(spark, sf):
     return E.error_rows(truth(spark, sf), worse(spark, sf))
 
 
-@query(f"""WITH {HITS}, wide AS (SELECT category, recall FROM scores WHERE category IS NOT NULL), less AS (SELECT t.category, round(count(u.unit_id) / count(*), 3) AS recall FROM truth t LEFT JOIN (SELECT * FROM uniq WHERE regexp_extract(unit_id, '[0-9]+')::BIGINT % 3 <> 0) u ON u.unit_id = t.unit_id AND u.ann_id = t.ann_id AND u.category = t.category GROUP BY t.category)
-  SELECT w.category, round((l.recall - w.recall) * 100, 1) AS recall_pp FROM wide w LEFT JOIN (SELECT * FROM less) l USING (category)""")
+MODE = "CASE WHEN category IN ('AADHAAR', 'CARD_NUMBER') THEN 'checksum' WHEN category IN ('PAN', 'EMAIL', 'PHONE', 'IFSC', 'UPI_ID', 'VEHICLE_REG') THEN 'shape' ELSE 'label' END"
+RATIOS = "CASE WHEN sum(tp) + sum(fp) > 0 THEN round(sum(tp) / (sum(tp) + sum(fp)), 3) END AS precision, CASE WHEN sum(tp) + sum(fn) > 0 THEN round(sum(tp) / (sum(tp) + sum(fn)), 3) END AS recall"
+WORSE_COUNTS = f"""{WORSE}, worse_counts AS (
+  SELECT u.category, CASE WHEN t.unit_id IS NULL THEN 0 ELSE 1 END AS tp, CASE WHEN t.unit_id IS NULL THEN 1 ELSE 0 END AS fp, 0 AS fn FROM (SELECT DISTINCT * FROM worse) u LEFT JOIN truth t ON t.unit_id = u.unit_id AND t.ann_id = u.ann_id AND t.category = u.category
+  UNION ALL SELECT t.category, 0, 0, 1 FROM truth t LEFT JOIN worse u ON t.unit_id = u.unit_id AND t.ann_id = u.ann_id AND t.category = u.category WHERE u.unit_id IS NULL)"""
+
+
+@query(f"""WITH {HITS}, {WORSE_COUNTS}, a AS (SELECT category, precision, recall FROM scores WHERE category IS NOT NULL), b AS (SELECT category, {RATIOS} FROM worse_counts GROUP BY category)
+  SELECT category, round((b.precision - a.precision) * 100, 1) AS precision_pp, round((b.recall - a.recall) * 100, 1) AS recall_pp FROM a FULL JOIN b USING (category)""")
 def e6_delta_pp(spark, sf):
-    t, h = truth(spark, sf), hits(spark, sf)
-    fewer = h.where(F.regexp_extract("unit_id", "[0-9]+", 0).cast("long") % 3 != 0)
-    return E.delta_pp(E.precision_recall(t, h), E.precision_recall(t, fewer))
+    t = stored(truth(spark, sf))
+    return E.delta_pp(E.precision_recall(t, hits(spark, sf)), E.precision_recall(t, worse(spark, sf)))
 
 
-@query(f"WITH {HITS} SELECT CASE WHEN category IN ('AADHAAR', 'CARD_NUMBER') THEN 'checksum' WHEN category IN ('PAN', 'EMAIL', 'PHONE', 'IFSC', 'UPI_ID', 'VEHICLE_REG') THEN 'shape' ELSE 'label' END AS mode, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM counts GROUP BY 1")
+@query(f"WITH {HITS}, {WORSE_COUNTS}, m AS (SELECT *, {MODE} AS mode FROM worse_counts) SELECT mode, category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, {RATIOS} FROM m GROUP BY ROLLUP (mode, category)")
 def e7_metrics_by_mode(spark, sf):
-    return E.metrics_by_mode(truth(spark, sf), hits(spark, sf))
+    return E.metrics_by_mode(truth(spark, sf), worse(spark, sf))
+
+
+@query(f"WITH {GEN}, r AS (SELECT DISTINCT 'gen:' || o_custkey AS unit_id FROM orders WHERE o_orderpriority = '1-URGENT') SELECT count(DISTINCT t.unit_id) AS n_units, count(DISTINCT r.unit_id) AS n_refused, round(1 - count(DISTINCT r.unit_id) / count(DISTINCT t.unit_id), 3) AS coverage FROM truth t LEFT JOIN r USING (unit_id)")
+def e8_coverage(spark, sf):
+    return E.coverage(truth(spark, sf), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("gen:"), "o_custkey").alias("unit_id")))
 
 
 @query(f"WITH {GEN} SELECT * FROM truth WHERE unit_id NOT IN (SELECT 'gen:' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -706,10 +756,12 @@ def e11_replay_diff(spark, sf):
     return E.replay_diff(rows, rows.where("confidence >= 0.9"))
 
 
-@query(f"""WITH {LOG} SELECT action AS reason, count(*) AS impossible, count(*) FILTER (verdict = 'pass') AS done, count(*) FILTER (verdict = 'retry') AS flagged FROM log WHERE fp % 2 = 0 GROUP BY ROLLUP (action)""")
+@query(f"""WITH {LOG}, r AS (SELECT action AS reason, fp % 2 = 0 AS impossible, CASE verdict WHEN 'pass' THEN 'done' WHEN 'retry' THEN 'flagged' ELSE 'open' END AS verdict, fp % 3 = 0 AS mutated FROM log)
+  SELECT reason, count(*) FILTER (impossible) AS impossible, count(*) FILTER (impossible AND verdict = 'done') AS done, count(*) FILTER (impossible AND verdict = 'flagged') AS flagged, count(*) FILTER (impossible AND mutated) AS mutated,
+    count(*) FILTER (NOT impossible) AS controls, count(*) FILTER (NOT impossible AND verdict = 'done') AS controls_done FROM r GROUP BY ROLLUP (reason)""")
 def e12_false_success_rate(spark, sf):
     verdict = F.when(F.col("verdict") == "pass", "done").when(F.col("verdict") == "retry", "flagged").otherwise("open")
-    return E.false_success_rate(log(spark, sf).select(F.col("action").alias("reason"), (F.col("fp") % 2 == 0).alias("impossible"), verdict.alias("verdict")))
+    return E.false_success_rate(log(spark, sf).select(F.col("action").alias("reason"), (F.col("fp") % 2 == 0).alias("impossible"), verdict.alias("verdict"), (F.col("fp") % 3 == 0).alias("mutated")))
 
 
 @query("SELECT stratum, id, pick FROM (SELECT o_orderpriority AS stratum, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('salt' || o_orderkey)) AS pick FROM orders) WHERE pick <= 10")
@@ -717,10 +769,10 @@ def e13_stratified_sample(spark, sf):
     return E.stratified_sample(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stratum"), F.col("o_orderkey").alias("id")), 10, "salt")
 
 
-PROBE = "probe AS (SELECT event_type AS name, value AS latency_ms, k % 2 = 0 AS schema_valid, CASE WHEN k % 5 <> 0 THEN k % 3 = 0 END AS grounded, CASE WHEN k % 7 <> 0 THEN k % 2 = 1 END AS enforced_ok FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events))"
+PROBE = "probe AS (SELECT event_type AS name, value AS latency_ms, k AS run_index, k % 2 = 0 AS schema_valid, CASE WHEN k % 5 <> 0 THEN k % 3 = 0 END AS grounded, CASE WHEN k % 7 <> 0 THEN k % 2 = 1 END AS enforced_ok FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events))"
 
 
-@query(f"WITH {PROBE} SELECT name, count(latency_ms) AS n, min(latency_ms) AS low, median(latency_ms) AS mid, quantile_disc(latency_ms, 0.9) AS p90, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS high, count(latency_ms) >= 12 AS reportable FROM probe GROUP BY name")
+@query(f"WITH {PROBE} SELECT name, count(latency_ms) AS n, min(latency_ms) AS low, median(latency_ms) AS mid, quantile_disc(latency_ms, 0.9) AS p90, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS high, count(latency_ms) >= 12 AND count(DISTINCT run_index) = max(run_index) + 1 AS reportable FROM probe GROUP BY name")
 def e14_latency_summary(spark, sf):
     return E.latency_summary(E.probe_log(table(spark, sf, "events")))
 
@@ -730,7 +782,7 @@ def e15_scorecard(spark, sf):
     return E.scorecard(E.probe_log(table(spark, sf, "events")))
 
 
-@query(f"WITH {UNITS} SELECT target_kind AS mode, count(*) AS n, min(strlen(text)) AS low, median(strlen(text)) AS mid, max(strlen(text)) AS high FROM units GROUP BY target_kind")
+@query(f"WITH {UNITS} SELECT target_kind AS mode, count(*) AS n, min(strlen(text)) AS low, median(strlen(text)) AS mid, quantile_disc(strlen(text), 0.95) AS p95, max(strlen(text)) AS high FROM units GROUP BY target_kind")
 def e16_payload_sizes(spark, sf):
     return E.payload_sizes(units(spark, sf).select(F.col("target_kind").alias("mode"), "text"))
 
@@ -792,7 +844,7 @@ def h9_assign_ordinals(spark, sf):
 
 @query(f"""WITH {LOG}, {FP}, b AS (SELECT session, key, ordinal, row_number() OVER (PARTITION BY session ORDER BY key, ordinal) AS eid FROM nth WHERE step % 3 <> 0), t AS (SELECT session, max(eid) AS top FROM b GROUP BY session),
   n AS (SELECT n.session, n.key, n.ordinal, b.eid, coalesce(top, 0) AS top FROM nth n LEFT JOIN b ON b.session = n.session AND b.key = n.key AND b.ordinal = n.ordinal LEFT JOIN t ON t.session = n.session WHERE n.step % 2 = 0)
-  SELECT session AS page_id, key AS fp, ordinal, coalesce(eid, top + row_number() OVER (PARTITION BY session, eid IS NULL ORDER BY key, ordinal)) AS eid FROM n""")
+  SELECT session AS page_id, key AS fp, ordinal, coalesce(eid, top + row_number() OVER (PARTITION BY session, eid IS NULL ORDER BY key, ordinal)) AS eid, count(*) OVER (PARTITION BY session, key) > 1 AS ambiguous FROM n""")
 def h10_stable_ids(spark, sf):
     rows = fingerprints(spark, sf).withColumnRenamed("session", "page_id")
     before = rows.where("seq % 3 <> 0").withColumn("eid", F.row_number().over(Window.partitionBy("page_id").orderBy("fp", "ordinal")))
@@ -814,7 +866,7 @@ FRAMES = "frames AS (SELECT c_custkey AS frame_id, CASE WHEN c_custkey % 97 = 0
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, walk AS (SELECT frame_id, frame_id::VARCHAR AS path, 1 AS depth FROM frames WHERE parent_id IS NULL
-  UNION ALL SELECT f.frame_id, w.path || '/' || f.frame_id, w.depth + 1 FROM walk w JOIN frames f ON f.parent_id = w.frame_id WHERE w.depth < 8) SELECT frame_id, path FROM walk""")
+  UNION ALL SELECT f.frame_id, w.path || '/' || f.frame_id, w.depth + 1 FROM walk w JOIN frames f ON f.parent_id = w.frame_id) SELECT frame_id, path FROM walk""")
 def h13_frame_paths(spark, sf):
     k = F.col("c_custkey")
     parent = F.when((k % 97 == 0) | (k < 2), None).when(k % 89 == 0, k).otherwise(F.floor(k / 3))
@@ -828,7 +880,8 @@ CANDS = f"""cands AS (SELECT o_orderkey AS id, ([{', '.join(map(quoted, ('UAN',
   CASE o_orderkey % 6 WHEN 0 THEN 'AB-' || o_orderkey WHEN 1 THEN 'user_' || (o_orderkey % 1000) WHEN 2 THEN (o_orderkey % 100) || '%' ELSE o_orderkey::VARCHAR END AS value,
   (['weak', 'structured', 'self_describing'])[(o_orderkey % 3 + 1)::INT] AS strength, CASE WHEN o_orderkey % 5 = 0 THEN 'fail' WHEN o_orderkey % 5 = 1 THEN 'pass' END AS checksum,
   CASE WHEN o_orderkey % 7 = 0 THEN 'NAME' END AS bound, CASE WHEN o_orderkey % 4 = 1 THEN ([{', '.join(quoted(V.AUTOCOMPLETE[t]) for t in TOKENS)}])[(o_orderkey % {len(TOKENS)} + 1)::INT] END AS autocomplete,
-  CASE WHEN o_orderkey % 8 = 0 THEN 'Our Product list' WHEN o_orderkey % 8 = 1 THEN 'Productivity' END AS container, o_orderkey % 5 AS n_targets FROM orders)"""
+  CASE WHEN o_orderkey % 8 = 0 THEN 'Our Product list' WHEN o_orderkey % 8 = 1 THEN 'Productivity' END AS container, o_orderkey % 5 AS n_targets,
+  CASE o_orderkey % 9 WHEN 0 THEN 'tel' WHEN 1 THEN 'number' WHEN 2 THEN 'password' END AS input_type, o_orderkey % 10 = 0 AS length_agrees, CASE WHEN o_orderkey % 12 = 0 THEN 'UAN' END AS container_category, o_orderkey % 6 = 1 AS identity_seen, o_orderkey % 14 = 3 AS in_search FROM orders)"""
 
 
 def candidates(spark, sf):
@@ -840,6 +893,7 @@ def candidates(spark, sf):
         k.alias("id"), pick(("UAN", "SECRET", "PIN_CODE", "DATE"), k % 4).alias("category"), value.alias("value"), pick(("weak", "structured", "self_describing"), k % 3).alias("strength"),
         F.when(k % 5 == 0, "fail").when(k % 5 == 1, "pass").alias("checksum"), F.when(k % 7 == 0, "NAME").alias("bound"), auto.alias("autocomplete"),
         F.when(k % 8 == 0, "Our Product list").when(k % 8 == 1, "Productivity").alias("container"), (k % 5).alias("n_targets"),
+        F.when(k % 9 == 0, "tel").when(k % 9 == 1, "number").when(k % 9 == 2, "password").alias("input_type"), (k % 10 == 0).alias("length_agrees"), F.when(k % 12 == 0, "UAN").alias("container_category"), (k % 6 == 1).alias("identity_seen"), (k % 14 == 3).alias("in_search"),
     )
 
 
@@ -851,17 +905,20 @@ def d7_map_autocomplete(spark, sf):
 PADDED = "' ' || regexp_replace(lower(coalesce(container, '')), '[^a-z]+', ' ', 'g') || ' '"
 SIGNALS = f"""signals AS (SELECT *, (CASE WHEN coalesce(checksum = 'fail', FALSE) THEN -4 ELSE 0 END) AS s1,
   (CASE WHEN {' OR '.join(f"contains({PADDED}, ' {t} ')" for t in V.CONTAINERS)} THEN -3 ELSE 0 END) AS s2, (CASE WHEN {' OR '.join(f"regexp_matches(trim(value), {quoted(x)})" for x in V.SHAPES)} THEN -3 ELSE 0 END) AS s3,
-  (CASE WHEN n_targets >= 3 THEN -2 ELSE 0 END) AS s4, (CASE WHEN category = 'SECRET' AND regexp_matches(trim(value), {quoted(V.USERNAME)}) THEN -2 ELSE 0 END) AS s5 FROM cands)"""
+  (CASE WHEN n_targets >= 3 THEN -2 ELSE 0 END) AS s4, (CASE WHEN category = 'SECRET' AND regexp_matches(trim(value), {quoted(V.USERNAME)}) THEN -2 ELSE 0 END) AS s5, (CASE WHEN in_search THEN -2 ELSE 0 END) AS s6 FROM cands)"""
 
 
-@query(f"""WITH {CANDS}, {SIGNALS} SELECT id, concat_ws(',', CASE WHEN s1 < 0 THEN 'checksum_fail' END, CASE WHEN s2 < 0 THEN 'non_pii_container' END, CASE WHEN s3 < 0 THEN 'non_pii_shape' END, CASE WHEN s4 < 0 THEN 'repeated' END, CASE WHEN s5 < 0 THEN 'username' END) AS signals FROM signals""")
+@query(f"""WITH {CANDS}, {SIGNALS} SELECT id, concat_ws(',', CASE WHEN s1 < 0 THEN 'checksum_fail' END, CASE WHEN s2 < 0 THEN 'non_pii_container' END, CASE WHEN s3 < 0 THEN 'non_pii_shape' END, CASE WHEN s4 < 0 THEN 'repeated' END, CASE WHEN s6 < 0 THEN 'in_search_scope' END, CASE WHEN s5 < 0 THEN 'username' END) AS signals FROM signals""")
 def d15_negative_signals(spark, sf):
-    found = V.negative_signals(F.col("container"), F.col("value"), F.col("n_targets"), F.col("category"), F.col("checksum"))
+    found = V.negative_signals(F.col("container"), F.col("value"), F.col("n_targets"), F.col("category"), F.col("checksum"), F.col("in_search"))
     return candidates(spark, sf).select("id", F.array_join(F.transform(found, lambda s: s["name"]), ",").alias("signals"))
 
 
-@query(f"""WITH {CANDS}, {SIGNALS}, sc AS (SELECT id, coalesce(bound, autocomplete, category) AS claimed, CASE WHEN checksum = 'pass' THEN 5 ELSE 0 END + CASE strength WHEN 'weak' THEN 1 WHEN 'structured' THEN 3 ELSE 5 END + CASE WHEN bound IS NOT NULL THEN 3 ELSE 0 END
-    + CASE WHEN autocomplete = coalesce(bound, autocomplete, category) THEN 3 ELSE 0 END + s1 + s2 + s3 + s4 + s5 AS score FROM signals)
+AGREES = "CASE input_type " + " ".join(f"WHEN '{k}' THEN coalesce(bound, autocomplete, category) IN ({', '.join(map(quoted, v))})" for k, v in V.INPUT_TYPES.items()) + " END"
+
+
+@query(f"""WITH {CANDS}, {SIGNALS}, sc AS (SELECT id, coalesce(bound, autocomplete, category) AS claimed, CASE WHEN {AGREES} THEN 2 ELSE 0 END + CASE WHEN length_agrees THEN 2 ELSE 0 END + CASE WHEN container_category = coalesce(bound, autocomplete, category) THEN 2 ELSE 0 END + CASE WHEN identity_seen THEN 1 ELSE 0 END + CASE WHEN checksum = 'pass' THEN 5 ELSE 0 END + CASE strength WHEN 'weak' THEN 1 WHEN 'structured' THEN 3 ELSE 5 END + CASE WHEN bound IS NOT NULL THEN 3 ELSE 0 END
+    + CASE WHEN autocomplete = coalesce(bound, autocomplete, category) THEN 3 ELSE 0 END + s1 + s2 + s3 + s4 + s5 + s6 AS score FROM signals)
   SELECT id, claimed, score, CASE WHEN score >= 5 THEN 'DETECTED' WHEN score >= 3 THEN 'UNCERTAIN' ELSE 'NOT_DETECTED' END AS verdict,
     CAST(round(CASE WHEN score <= 0 THEN 0 WHEN score >= 5 THEN least(0.95, 0.75 + 0.05 * (score - 5)) ELSE greatest(0.05, least(0.55, 0.15 * score)) END, 6) AS DOUBLE) AS score_confidence FROM sc""")
 def d16_score_evidence(spark, sf):
@@ -880,22 +937,35 @@ def d19_fill_state(spark, sf):
 
 
 @query(f"""WITH {DET}, n AS (SELECT unit_id, rule, category, span_start, origin, {normal_sql('category', 'value')} AS normalized FROM det), v AS (SELECT DISTINCT category, normalized FROM n WHERE origin < 'src5')
-  SELECT n.unit_id, n.rule, n.span_start, n.normalized, v.normalized IS NOT NULL OR n.category = 'CARD_NUMBER' AS needed_by_task FROM n LEFT JOIN v USING (category, normalized)""")
+  SELECT n.unit_id, n.rule, n.span_start, n.normalized, v.normalized IS NOT NULL OR n.span_start % 2 = 0 AND CASE WHEN n.span_start % 3 = 0 THEN 'EMAIL' ELSE n.category END = 'CARD_NUMBER' AS needed_by_task FROM n LEFT JOIN v USING (category, normalized)""")
 def p2_necessity(spark, sf):
     found = detections(spark, sf)
-    return P.necessity(found, P.tokenize(found.where("origin < 'src5'"), KEY), ["CARD_NUMBER"]).select("unit_id", "rule", "span_start", "normalized", "needed_by_task")
+    at = F.col("span_start")
+    targets = found.withColumns({"editable": at % 2 == 0, "field_category": F.when(at % 3 == 0, "EMAIL").otherwise(F.col("category"))})
+    return P.necessity(targets, P.tokenize(found.where("origin < 'src5'"), key_of(spark)), ["CARD_NUMBER"]).select("unit_id", "rule", "span_start", "normalized", "needed_by_task")
 
 
-REQUESTS = "req AS (SELECT category || '/' || normalized AS request_id, token, normalized, origins, CASE WHEN length(normalized) % 3 = 0 THEN 'click' ELSE 'type' END AS action, CASE WHEN length(normalized) % 2 = 0 THEN origins[1] ELSE 'elsewhere' END AS origin FROM vault)"
+REQUESTS = """req AS (SELECT category || '/' || normalized AS request_id, category, token, normalized, origins, CASE WHEN n % 7 = 0 THEN 'click' ELSE 'type' END AS action, CASE WHEN n % 5 = 0 THEN 'elsewhere' ELSE origins[1] END AS origin,
+  CASE WHEN n % 11 = 0 THEN NULL WHEN n % 3 = 0 THEN 'NAME' ELSE category END AS field_category, n % 2 = 0 OR n > 12 AS consented FROM (SELECT *, length(normalized) AS n FROM vault))"""
 
 
-@query(f"WITH {DET}, {VAULT}, {REQUESTS} SELECT request_id, CASE WHEN action = 'type' AND origin <> 'elsewhere' THEN 'use ' || normalized || ' and ' || normalized END AS text, CASE WHEN action <> 'type' THEN 'action' WHEN origin = 'elsewhere' THEN 'origin' END AS reason FROM req")
+@query(f"""WITH {DET}, {VAULT}, {REQUESTS}, r AS (SELECT *, CASE WHEN action <> 'type' THEN 'action' WHEN NOT consented THEN 'consent' WHEN coalesce(field_category, '') <> category THEN 'category' WHEN origin = 'elsewhere' THEN 'origin' END AS reason FROM req)
+  SELECT request_id, CASE WHEN reason IS NULL THEN 'use ' || normalized || ' and ' || normalized END AS text, reason FROM r""")
 def p7_rehydrate(spark, sf):
     held, n = vault(spark, sf), F.length("normalized")
-    requests = held.select(F.concat("category", F.lit("/"), "normalized").alias("request_id"), F.when(n % 3 == 0, "click").otherwise("type").alias("action"), F.when(n % 2 == 0, F.col("origins")[0]).otherwise("elsewhere").alias("origin"), F.concat(F.lit("use "), "token", F.lit(" and "), "token").alias("text"))
+    requests = held.select(
+        F.concat("category", F.lit("/"), "normalized").alias("request_id"), F.when(n % 7 == 0, "click").otherwise("type").alias("action"), F.when(n % 5 == 0, "elsewhere").otherwise(F.col("origins")[0]).alias("origin"), F.lit("text").alias("input_type"),
+        F.when(n % 11 == 0, None).when(n % 3 == 0, "NAME").otherwise(F.col("category")).alias("field_category"), ((n % 2 == 0) | (n > 12)).alias("consented"), F.concat(F.lit("use "), "token", F.lit(" and "), "token").alias("text"),
+    )
     return P.rehydrate(requests, held)
 
 
+@query(f"WITH {REDACTED} SELECT origin, CAST(sum(len(regexp_extract_all(text_redacted, '{P.TOKEN}'))) AS BIGINT) AS tokens, CAST(sum(strlen(text_redacted)) AS BIGINT) AS bytes FROM red GROUP BY origin")
+def p18_carried(spark, sf):
+    """Tokens and bytes that leave, by origin."""
+    return P.carried(redacted(spark, sf).select("origin", F.col("text_redacted").alias("text")))
+
+
 @query(f"""WITH {ORDERED} SELECT unit_id, span_start, CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN 'LABELLED_FILL' WHEN action IN ('BLUR', 'FILL_REGION') THEN action ELSE 'FILL' END AS mask,
   CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN '[' || category || '#' || row_number() OVER (PARTITION BY unit_id, category ORDER BY span_start) || ']' END AS label FROM decided WHERE action <> 'ALLOW'""")
 def p12_mask_plan(spark, sf):
@@ -956,12 +1026,18 @@ def a17_stable_captures(spark, sf):
     return A.stable_captures(attempts).fillna(-1, "step")
 
 
-@query(f"""WITH {LOG}, e AS (SELECT session, fp % 20 AS eid, min(fp) AS fp, count(*) % 2 = 0 AS visible, count(*) % 3 = 0 AS enabled FROM log WHERE step % 4 <> 0 GROUP BY session, fp % 20)
-  SELECT * FROM (SELECT l.session, l.step, CASE WHEN e.fp IS NULL THEN 'missing' WHEN e.fp <> l.fp THEN 'changed' WHEN NOT visible THEN 'not_visible' WHEN NOT enabled THEN 'disabled' END AS fault FROM log l LEFT JOIN e ON e.session = l.session AND e.eid = l.fp % 20) WHERE fault IS NOT NULL""")
+@query(f"""WITH {LOG}, e AS (SELECT session, fp % 20 AS eid, min(fp) AS fp, count(*) % 5 <> 0 AS visible, count(*) % 7 <> 0 AS hittable, count(*) % 3 <> 0 AS enabled, max(fp) % 4 = 0 AS ambiguous, CASE fp % 20 % 7 WHEN 0 THEN 'OTP' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'PASSWORD' END AS category, CASE WHEN max(fp) % 2 = 0 THEN 'password' ELSE 'text' END AS input_type FROM log WHERE step % 4 <> 0 GROUP BY session, fp % 20),
+  a AS (SELECT *, CASE action WHEN 'click' THEN 'click' WHEN 'signup' THEN 'type' WHEN 'view' THEN 'type' ELSE 'wait' END AS act, fp % 6 AS level, CASE step % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PASSWORD' END AS token FROM log)
+  SELECT * FROM (SELECT l.session, l.step, CASE WHEN e.fp IS NULL THEN 'missing' WHEN e.fp <> l.fp THEN 'changed' WHEN ambiguous AND level >= 3 THEN 'ambiguous' WHEN act IN ('click', 'type') AND NOT visible THEN 'not_visible' WHEN act IN ('click', 'type') AND NOT hittable THEN 'not_hittable'
+    WHEN act IN ('click', 'type') AND NOT enabled THEN 'disabled' WHEN act = 'type' AND coalesce(category IN ('OTP', 'CVV', 'UPI_PIN', 'SECRET'), FALSE) THEN 'never_automated' WHEN act = 'type' AND token IS NOT NULL AND (coalesce(category, '') <> token OR token = 'PASSWORD' AND input_type <> 'password') THEN 'token_type' END AS fault
+    FROM a l LEFT JOIN e ON e.session = l.session AND e.eid = l.fp % 20) WHERE fault IS NOT NULL""")
 def a2_check_actions(spark, sf):
-    rows = log(spark, sf).withColumn("eid", F.col("fp") % 20)
-    elements = rows.where("step % 4 <> 0").groupBy("session", "eid").agg(F.min("fp").alias("fp"), (F.count(F.lit(1)) % 2 == 0).alias("visible"), (F.count(F.lit(1)) % 3 == 0).alias("enabled"))
-    return A.check_actions(rows, elements)
+    rows, n, kind = log(spark, sf).withColumn("eid", F.col("fp") % 20), F.count(F.lit(1)), F.col("eid") % 7
+    elements = rows.where("step % 4 <> 0").groupBy("session", "eid").agg(F.min("fp").alias("fp"), (n % 5 != 0).alias("visible"), (n % 7 != 0).alias("hittable"), (n % 3 != 0).alias("enabled"), (F.max("fp") % 4 == 0).alias("ambiguous"), F.when(F.max("fp") % 2 == 0, "password").otherwise("text").alias("input_type"))
+    elements = elements.withColumn("category", F.when(kind == 0, "OTP").when(kind == 1, "EMAIL").when(kind == 2, "PASSWORD"))
+    act = F.when(F.col("action") == "click", "click").when(F.col("action").isin("signup", "view"), "type").otherwise("wait")
+    token = F.when(F.col("step") % 4 == 0, "EMAIL").when(F.col("step") % 4 == 1, "PASSWORD")
+    return A.check_actions(rows.withColumns({"action": act, "level": F.col("fp") % 6, "token_category": token}), elements)
 
 
 @query(f"""WITH {QUASI} SELECT unit_id, rule, span_start, 'TOKEN' AS before, 'ALLOW' AS after FROM spans s JOIN linked l ON l.origin = s.origin AND l.seq <= s.seq JOIN policy USING (category) WHERE class = 'quasi'""")
@@ -973,11 +1049,13 @@ def e9_policy_ablation(spark, sf):
     return E.changed_decisions(P.decide(spans, policy), P.decide(spans, policy, k=1 << 30), ["unit_id", "rule", "span_start"])
 
 
-@query(f"""WITH {HITS}, t AS (SELECT *, CASE WHEN length(value) % 2 = 0 THEN 'labelled' ELSE 'misleading' END AS label, CASE WHEN span_start < 60 THEN 'table' ELSE 'prose' END AS construct FROM truth)
-  SELECT label, construct, count(u.unit_id) AS tp, count(*) - count(u.unit_id) AS fn FROM t LEFT JOIN (SELECT * FROM uniq WHERE category <> 'PAN') u ON u.unit_id = t.unit_id AND u.ann_id = t.ann_id AND u.category = t.category GROUP BY CUBE (label, construct)""")
+@query(f"""WITH {HITS}, {WORSE}, t AS (SELECT *, CASE WHEN length(value) % 2 = 0 THEN 'labelled' ELSE 'misleading' END AS label, CASE WHEN span_start < 60 THEN 'table' ELSE 'prose' END AS construct FROM truth),
+  h AS (SELECT DISTINCT * FROM worse), c AS (SELECT label, construct, CASE WHEN h.category = t.category THEN 1 ELSE 0 END AS tp, CASE WHEN h.category <> t.category THEN 1 ELSE 0 END AS fp, 0 AS fn FROM t JOIN h USING (unit_id, ann_id)
+    UNION ALL SELECT label, construct, 0, 0, 1 FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.unit_id = t.unit_id AND h.ann_id = t.ann_id AND h.category = t.category))
+  SELECT label, construct, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, {RATIOS} FROM c GROUP BY CUBE (label, construct)""")
 def e17_faceted_metrics(spark, sf):
     t = truth(spark, sf).withColumns({"label": F.when(F.length("value") % 2 == 0, "labelled").otherwise("misleading"), "construct": F.when(F.col("span_start") < 60, "table").otherwise("prose")})
-    return E.faceted_counts(t, hits(spark, sf).where("category <> 'PAN'"))
+    return E.faceted_metrics(t, worse(spark, sf))
 
 
 @query(f"""WITH {REDACTED} SELECT origin, count(*) AS n_units, CAST(sum(n_redacted) AS BIGINT) AS n_redacted, CAST(sum(length(text_redacted)) AS BIGINT) AS n_chars FROM red GROUP BY origin""")

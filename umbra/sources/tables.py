@@ -32,9 +32,9 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OBSERVATION).option("mode", "PERMISSIVE").json(path)
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(page, split, seed, element, category, value, label, idiom): one row for each labelled item of the manifests."""
-    rows = spark.read.schema(TRUTH).option("multiLine", True).json(path)
+def read_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(page, split, seed, element, category, value, label, idiom): one row for each labelled item of the manifests, one a file or one a line."""
+    rows = spark.read.schema(TRUTH).option("multiLine", not lines).json(path)
     return rows.select("page", "split", "seed", F.inline("items")).withColumnRenamed("elementId", "element")
 
 

@@ -1,9 +1,14 @@
-"""Event-time operators; each has a batch twin with the same result on the same events."""
+"""Event-time operators. Each is one definition for streams and tables, or a stateful one with a batch twin of the same result."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from umbra.operators import audit, detect, protect
 
 
 def micros(ts: Column | str) -> Column:
@@ -15,32 +20,39 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    return events.withWatermark("ts", late) if events.isStreaming else events
+
+
 def category_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
-    """(start, event_type, n, total) in tumbling windows; streaming rows later than the watermark are dropped."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    """(start, event_type, n, total) in tumbling windows; streaming rows later than the watermark are dropped, and counted in the query's progress."""
+    rows = _watermarked(events, late)
     return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def settle_windows(events: DataFrame, quiet: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """(user_id, start, stop, n): bursts of a user's events that end after a quiet time."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     return rows.groupBy(F.session_window("ts", quiet).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def debounce(events: DataFrame, seconds: int = 3600) -> DataFrame:
+def _upto(seconds: int) -> str:
+    """A session's gap that events exactly so far apart don't end."""
+    return f"{seconds} seconds 1 microseconds"
+
+
+def debounce(events: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id): the last event of each burst of a user."""
-    following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = micros(following) - micros("ts")
-    return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > seconds * 1_000_000)).select("user_id", "event_id")
+    rows = _watermarked(events, late)
+    last = rows.groupBy(F.session_window("ts", _upto(seconds)).alias("w"), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return last.select("user_id", "event_id")
 
 
-def session_state(events: DataFrame, ttl: int = 7200) -> DataFrame:
-    """(user_id, session, first_type, last_type, n): what a session with a time to live keeps: its first plan and last token."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = micros("ts") - micros(F.lag("ts").over(order))
-    marked = events.withColumn("__new", F.when(gap.isNull() | (gap > ttl * 1_000_000), 1).otherwise(0)).withColumn("session", F.sum("__new").over(order))
-    at = F.struct("ts", "event_id")
-    return marked.groupBy("user_id", "session").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.count(F.lit(1)).alias("n"))
+def session_state(events: DataFrame, ttl: int = 7200, late: str = "1 hour") -> DataFrame:
+    """(user_id, start, first_type, last_type, n): what a session with a time to live keeps: its first plan and last token. Idle ones are evicted by the watermark."""
+    rows, at = _watermarked(events, late), F.struct("ts", "event_id")
+    kept = rows.groupBy(F.session_window("ts", _upto(ttl)).alias("w"), "user_id").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.count(F.lit(1)).alias("n"))
+    return kept.select("user_id", F.col("w.start").alias("start"), "first_type", "last_type", "n")
 
 
 def coalesce_latest(events: DataFrame) -> DataFrame:
@@ -48,10 +60,158 @@ def coalesce_latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-def rate_limit(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """(user_id, event_id): events admitted when fewer than two were in the time before. An ordered fold over a user's events."""
-    rows = F.array_sort(F.collect_list(F.struct(micros("ts").alias("t"), "event_id")))
-    none = F.lit(-(2**62)).cast("long")
-    start = F.struct(none.alias("a"), none.alias("b"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda s, e: F.when(e.t - s.a >= seconds * 1_000_000, F.struct(s.b.alias("a"), e.t.alias("b"), F.concat(s.kept, F.array(e.event_id)).alias("kept"))).otherwise(s)
-    return events.groupBy("user_id").agg(F.aggregate(rows, start, step).alias("s")).select("user_id", F.explode("s.kept").alias("event_id"))
+# ---- folds: what happens to an event depends on all before it
+
+Fold = Callable[[tuple, int, int], tuple[tuple, list[tuple]]]
+
+
+def _folded(events: DataFrame, fold: Fold, end: Callable[[tuple], list[tuple]], start: tuple, out: str, state: str, late: str) -> DataFrame:
+    """fold(state, micros, event_id) -> (state, rows out) over a user's events in order; end(state) -> the rows left at the end.
+
+    On a table, users' rows are read in order by one task each, which holds one state. On a stream the state is kept
+    between batches, and the rows left come out when the watermark has passed them by `late`.
+    """
+    rows = _watermarked(events, late).select("user_id", "ts", "event_id")
+    names = [c.split()[0] for c in out.split(",")]
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, held = None, start
+        for part in parts:
+            made: list[tuple] = []
+            for u, t, e in zip(part["user_id"].tolist(), part["t"].tolist(), part["event_id"].tolist(), strict=True):
+                if u != user:
+                    made += [(user, *r) for r in end(held)] if user is not None else []
+                    user, held = u, start
+                held, done = fold(held, t, e)
+                made += [(u, *r) for r in done]
+            yield pd.DataFrame(made, columns=names)
+        if user is not None:
+            yield pd.DataFrame([(user, *r) for r in end(held)], columns=names)
+
+    if not rows.isStreaming:
+        return rows.withColumn("t", micros("ts")).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(batch, out)
+
+    def stateful(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held = group.get if group.exists else start
+        made: list[tuple] = []
+        if group.hasTimedOut:
+            made = end(held)
+            group.remove()
+        else:
+            new = pd.concat(list(parts))
+            times = [int(t.value // 1000) for t in new["ts"]]
+            for t, e in sorted(zip(times, new["event_id"].tolist(), strict=True)):
+                held, done = fold(held, t, e)
+                made += done
+            group.update(held)
+            group.setTimeoutTimestamp(max(max(times) // 1000 + 1, group.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *r) for r in made], columns=names)
+
+    return rows.groupBy("user_id").applyInPandasWithState(stateful, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+NEVER = -(2**62)
+
+
+def rate_limit(events: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_id): events admitted when fewer than two were in the time before."""
+
+    def fold(held: tuple, t: int, e: int) -> tuple[tuple, list[tuple]]:
+        return ((held[1], t), [(e,)]) if t - held[0] >= seconds * 1_000_000 else (held, [])
+
+    return _folded(events, fold, lambda held: [], (NEVER, NEVER), "user_id long, event_id long", "a long, b long", late)
+
+
+def settle_bounded(events: DataFrame, quiet: int = 7200, most: int = 21600, late: str = "1 hour") -> DataFrame:
+    """(user_id, start, stop, n, reason): bursts that end after a quiet time (quiet), or when they have lasted for `most` seconds (max); in microseconds."""
+
+    def row(held: tuple, reason: str) -> list[tuple]:
+        return [(held[0], held[1], held[2], reason)] if held[2] else []
+
+    def fold(held: tuple, t: int, e: int) -> tuple[tuple, list[tuple]]:
+        begin, last, n = held
+        if n and t - begin >= most * 1_000_000 and t - last < quiet * 1_000_000:
+            return (t, t, 1), row(held, "max")
+        if n and t - last >= quiet * 1_000_000:
+            return (t, t, 1), row(held, "quiet")
+        return (begin if n else t, t, n + 1), []
+
+    return _folded(events, fold, lambda held: row(held, "quiet"), (0, 0, 0), "user_id long, start long, stop long, n long, reason string", "begin long, last long, n long", late)
+
+
+def origin_state(detections: DataFrame, policy: DataFrame, k: int = 3) -> DataFrame:
+    """(origin, what, seq): from which capture on an origin has shown an identity, and is linkable; as a stream, each once.
+
+    Captures of an origin must come in the order of seq from batch to batch, as they do where they are taken. The state is the
+    set of quasi-identifying categories, fewer than k, and a flag.
+    """
+    rows = detections.join(F.broadcast(policy.select("category", "class", "is_identity")), "category")  # policy: the fixed table
+    marked = rows.where((F.col("class") == "quasi") | F.col("is_identity") & (F.col("confidence") >= 0.6)).select("origin", "seq", "category", (F.col("is_identity") & (F.col("confidence") >= 0.6)).alias("identity"), (F.col("class") == "quasi").alias("quasi"))
+    if not detections.isStreaming:
+        seen = protect.identity_seen(detections, policy).select("origin", F.lit("identity").alias("what"), F.col("seq").cast("long").alias("seq"))
+        return seen.unionByName(protect.linkability(detections, policy, k).select("origin", F.lit("linkable").alias("what"), F.col("seq").cast("long").alias("seq")))
+
+    def stateful(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        known, named, linked = group.get if group.exists else ("", False, False)
+        have, made = set(filter(None, known.split(","))), []
+        for _, r in pd.concat(list(parts)).sort_values(["seq", "category"]).iterrows():
+            if r["identity"] and not named:
+                named = True
+                made.append((key[0], "identity", int(r["seq"])))
+            if r["quasi"] and not linked:
+                have.add(r["category"])
+                if len(have) >= k:
+                    linked = True
+                    made.append((key[0], "linkable", int(r["seq"])))
+        group.update((",".join(sorted(have)), named, linked))
+        yield pd.DataFrame(made, columns=["origin", "what", "seq"])
+
+    return marked.groupBy("origin").applyInPandasWithState(stateful, "origin string, what string, seq long", "known string, named boolean, linked boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+# ---- streams of texts: each batch goes through the functions for tables
+
+
+def tokenize_batch(values: DataFrame, key: str, vault_path: str) -> DataFrame:
+    """The tokens of a batch's values; those not yet in the vault (a table at vault_path) are added to it."""
+    spark = values.sparkSession
+    schema = "category string, normalized string, token string, origins array<string>"
+    try:
+        issued = spark.read.schema(schema).parquet(vault_path)
+        issued.isEmpty()
+    except Exception as e:  # no vault yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        issued = spark.createDataFrame([], schema)
+    tokens = protect.stored(protect.tokenize(values, key, issued))
+    tokens.join(issued.select("category", "normalized"), ["category", "normalized"], "left_anti").write.mode("append").parquet(vault_path)
+    return tokens
+
+
+def redact_batch(units: DataFrame, policy: DataFrame, key: str, vault_path: str) -> DataFrame:
+    """(unit_id, origin, text, verdict): units redacted, and whether they may leave: SEALED or the first failing check.
+
+    units: unit_id, origin, seq, text. Spans that are certain are needed by no task here, so they are masked or replaced.
+    """
+    found = protect.stored(detect.scan(units))
+    tokens = tokenize_batch(found, key, vault_path)
+    spans = detect.merge_spans(found, policy).join(units.select("unit_id", "seq"), "unit_id").withColumns({"source": F.lit("rule"), "needed_by_task": F.col("category").isin("EMAIL", "PHONE")})
+    decided = protect.stored(protect.decide(spans, policy))
+    named = decided.withColumn("normalized", protect.normalize_value(F.col("category"), F.col("value"))).join(tokens.select("category", "normalized", "token"), ["category", "normalized"], "left")
+    token = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), F.col("token"))
+    put = named.where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end", F.coalesce(token, F.concat(F.lit("[REDACTED:"), "category", F.lit("]"))).alias("replacement"))
+    out = protect.redact_spans(units, put).select("unit_id", "origin", F.col("text_redacted").alias("text"))
+    known = named.where("action <> 'ALLOW' and value is not null").select("category", "normalized", "value")
+    failures = {"rule-scan": audit.rescan_rules(out, decided.where("action = 'ALLOW'").select("unit_id", "category")), "known-value": audit.known_value_leaks(out, known), "unknown-token": audit.unknown_tokens(out, tokens)}
+    return out.join(audit.seal_verdict(out, audit.union_failures(failures)), "unit_id")
+
+
+def redact_stream(units: DataFrame, policy: DataFrame, key: str, folder: str):
+    """A running query that redacts a stream of units: sealed rows go to folder/sealed, refused ones to folder/quarantine."""
+
+    def process(batch: DataFrame, number: int) -> None:
+        rows = protect.stored(redact_batch(batch, policy, key, f"{folder}/vault").withColumn("batch", F.lit(number)))
+        rows.where("verdict = 'SEALED'").write.mode("append").parquet(f"{folder}/sealed")
+        rows.where("verdict <> 'SEALED'").write.mode("append").parquet(f"{folder}/quarantine")
+
+    return units.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint")
