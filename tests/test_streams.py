@@ -42,7 +42,7 @@ def test_stateful_streams_equal_their_tables(spark, events, tmp_path, op):
 
 def test_origins_are_named_once(spark, tmp_path):
     kinds = ("CITY", "PIN_CODE", "DATE", "EMAIL", "OTP", "ORDER_ID")
-    rows = [(f"o{i % 5}", i, kinds[(i * 7 + i // 5) % 6 if i % 5 else 0], 0.9 if i % 4 else 0.5, i // 5) for i in range(75)]
+    rows = [(f"o{i % 5}", i, kinds[(i * 7 + i // 5 * 2) % 6 if i % 5 else 0], 0.9 if i % 4 else 0.5, i // 5) for i in range(75)]
     df = spark.createDataFrame(rows, "origin string, seq long, category string, confidence double, day long")
     policy = R.load_policy(spark)
     got = run(spark, df, lambda s: T.origin_state(s, policy), tmp_path)

@@ -32,7 +32,7 @@ def detect_loops(log: DataFrame) -> DataFrame:
     return counted.withColumn("__idle", idle).withColumn("code", code).where("code is not null").select("session", "step", "code")
 
 
-#: Failures that no new plan mends.
+# Failures that no new plan mends.
 TERMINAL = ("BUDGET_EXHAUSTED", "LOOP_DETECTED", "NO_PROGRESS")
 
 

@@ -14,7 +14,7 @@ CHECKS = ("schema", "rule-scan", "known-value", "unknown-token", "coverage", "di
 #: Fewer digits stand in any text by chance.
 MIN_DIGITS = 7
 MIN_CHARS = 4
-#: What may stand between the digits of a known value.
+# Fixed value: what may stand between the digits of a known value.
 BETWEEN_DIGITS = r"[\s,./()-]*"
 #: Up to so many first characters of known values (some 10 bytes each) are broadcast.
 BROADCAST_BLOCKS = 100_000

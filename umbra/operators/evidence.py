@@ -20,7 +20,7 @@ AUTOCOMPLETE = {
     "address-line1": "ADDRESS", "address-line2": "ADDRESS", "address-line3": "ADDRESS", "postal-code": "PIN_CODE", "bday": "DOB", "bday-day": "DOB", "bday-month": "DOB", "bday-year": "DOB",
     "cc-number": "CARD_NUMBER", "cc-csc": "CVV", "one-time-code": "OTP", "organization": "EMPLOYER", "address-level2": "CITY",
 }
-#: What the type of an input speaks for.
+# The categories that the type of an input speaks for.
 INPUT_TYPES = {
     "email": ("EMAIL",), "tel": ("PHONE",), "date": ("DOB", "DATE"), "month": ("DOB", "DATE"), "number": ("BANK_ACCOUNT", "PIN_CODE", "OTP", "FINANCIAL_VALUE", "UAN"),
     "password": ("PASSWORD", "SECRET", "OTP", "CVV", "UPI_PIN"),

@@ -196,6 +196,7 @@ def frame_paths(frames: DataFrame) -> DataFrame:
     return now.where("up is null").select("frame_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "/").alias("path"))
 
 
+# The categories of fields that make a form one about a person.
 IDENTITY_FIELDS = ("NAME", "EMAIL", "PHONE", "ADDRESS", "DOB", "AADHAAR", "PAN", "CARD_NUMBER", "BANK_ACCOUNT")
 
 
