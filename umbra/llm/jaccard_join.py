@@ -471,8 +471,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = cut(equal_sets(hashes))
     # an id that is repeated with another text may stand for that one's set and stays
     gone = copies.select("doc_id").distinct().join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    texts = few_broadcast(gone, texts, "doc_id", "left_anti")
-    rows = texts.select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
+    # only the first signing has to leave the others out: none of them is in a pair or a group then
+    rows = few_broadcast(gone, texts, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("comp"), F.array(F.lit(0).cast("long")).alias("prefixes"), "text")
     # signatures meet in many small buckets; what is found out goes home to documents in fewer, larger packs
     size, partitions = text_bytes(texts), shuffle_partitions(docs.sparkSession)
     buckets, homes = parts_for(size, BUCKET_BYTES, 2 * partitions), parts_for(size, 2 * BUCKET_BYTES, partitions // 2)
