@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules, secrets, suffix_dedup, toxicity
+from umbra.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules, secrets, suffix_dedup, toxicity
 from umbra.llm.common import table
 
 SP = r"[\x20\x09-\x0D]"
@@ -164,10 +164,49 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.fit_and_predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("doc_id", "n_chars", "edited_text", F.col("fingerprint").alias("a"), F.col("edited_fingerprint").alias("b"), F.col("next.fingerprint").alias("c"))
+    own, new = F.col("a"), F.col("b")
+    return made.select(
+        "doc_id", "n_chars", sha("edited_text").alias("edited_sha256"), fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(new).alias("edited_fingerprint"),
+        fingerprints.likeness(own, new).alias("near_edited"), fingerprints.likeness(own, F.col("c")).alias("near_next"),
+    )
+
+
+def _fingerprint_sql(text: str) -> str:
+    words = rf"regexp_extract_all({ASCII_LOWER.replace('text', text, 1)}, '[^\x20\x09-\x0D]+')"
+    return f"(SELECT list_sort(list_distinct(list_transform(range(1, len(w) + 1), lambda i: substr(md5(array_to_string(w[greatest(i - {fingerprints.N_WORDS - 1}, 1):i], ' ')), 1, 16)))) FROM (SELECT {words} AS w))"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    bound = f"least(greatest('{fingerprints.BOUND}', {a}[-1]), greatest('{fingerprints.BOUND}', {b}[-1]))"
+    of = lambda x: f"list_filter({x}, lambda v: v <= {bound})"
+    shared = f"len(list_intersect({of(a)}, {of(b)}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN (len({a}) = len({b}))::INT::DOUBLE ELSE {shared} / (len({of(a)}) + len({of(b)}) - {shared}) END"
+
+
+def _kept_sql(h: str) -> str:
+    below = f"list_filter({h}, lambda v: v < '{fingerprints.BOUND}')"
+    return f"CASE WHEN len({below}) >= {fingerprints.LEAST} THEN {below} ELSE {h}[1:{fingerprints.LEAST}] END"
+
+
+OP11_SQL = f"""WITH op11_docs AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents),
+op11_edited AS (
+  SELECT doc_id, n_chars, t, substr(t, 1, n_chars - n_chars // 3) || substr(coalesce(lead(t) OVER o, first_value(t) OVER o), 1, n_chars // 3) AS e
+  FROM op11_docs WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+op11_all AS (SELECT doc_id, n_chars, e, {_fingerprint_sql("t")} AS ha, {_fingerprint_sql("e")} AS hb FROM op11_edited),
+op11_kept AS (SELECT doc_id, n_chars, e, {_kept_sql("ha")} AS a, {_kept_sql("hb")} AS b FROM op11_all),
+op11_next AS (
+  SELECT *, coalesce(lead(a) OVER o, first_value(a) OVER o) AS c FROM op11_kept WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+       {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next FROM op11_next"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn, op11_fingerprints)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_fingerprints": OP11_SQL}
