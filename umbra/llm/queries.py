@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, nbsvm, quality_rules, secrets, suffix_dedup, toxicity
-from umbra.llm.common import table
+from umbra.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, nbsvm, periodic_runs, quality_rules, secrets, suffix_dedup, toxicity
+from umbra.llm.common import WORD, table
 
 SP = r"[\x20\x09-\x0D]"
 
@@ -203,8 +203,34 @@ SELECT doc_id, n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fi
        {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next FROM op11_next"""
 
 
+def _looped(doc_id: F.Column, text: F.Column) -> F.Column:
+    """Every tenth text with its words from a place on looping, both by the hash of the id; the others as they are."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def rewritten(w: F.Column) -> F.Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.transform(F.array(words), rewritten)[0]).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs).withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("a"), (-r.period).alias("p")))))
+    line = lambda r: F.concat_ws(",", r.start, r.length, r.period)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.a")).alias("start"), "best.length", (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn, op11_fingerprints)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn, op11_fingerprints, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
