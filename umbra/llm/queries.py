@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from umbra.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, mixing, nbsvm, periodic_runs, quality_rules, secrets, suffix_dedup, toxicity
+from umbra.llm import decontamination, fingerprints, jaccard_join, language_id, lexical_search, line_dedup, mixing, nbsvm, periodic_runs, quality_rules, secrets, suffix_dedup, toxicity
 from umbra.llm.common import WORD, table
 
 SP = r"[\x20\x09-\x0D]"
@@ -203,6 +203,24 @@ SELECT doc_id, n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fi
        {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next FROM op11_next"""
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = rf"""WITH op12_terms AS (SELECT doc_id, unnest(regexp_extract_all({ASCII_LOWER}, '{lexical_search.TERM}')) AS term FROM documents),
+op12_tf AS (SELECT doc_id, term, count(*) AS tf FROM op12_terms GROUP BY ALL),
+op12_n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM op12_tf GROUP BY doc_id),
+op12_all AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM op12_n),
+op12_m AS (SELECT doc_id, 100 - 75 + ((75 * n * nn) // ll) AS m FROM op12_n, op12_all),
+op12_w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM op12_tf GROUP BY term), op12_all),
+op12_items AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({ASCII_LOWER}, '{lexical_search.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+op12_scores AS (
+  SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM op12_items JOIN op12_w USING (term) JOIN op12_tf USING (term) JOIN op12_m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM op12_scores WHERE score > 0) WHERE rank <= 10"""
+
+
 def _looped(doc_id: F.Column, text: F.Column) -> F.Column:
     """Every tenth text with its words from a place on looping, both by the hash of the id; the others as they are."""
     h = F.crc32(doc_id.cast("string"))
@@ -230,9 +248,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn, op11_fingerprints, op13_periodic_runs)
+    found = (op1_line_dedup, op3_quality_rules, op4_benchmark_decontamination, op6_source_mixing, op2_nbsvm_quality, op5_language_id, op7_secret_scan, op8_suffix_dedup, op9_ngram_jaccard_join, op10_toxicity_cnn, op11_fingerprints, op12_ranked_search, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_fingerprints": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_source_mixing": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_fingerprints": OP11_SQL, "op12_ranked_search": OP12_SQL}
