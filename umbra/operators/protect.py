@@ -33,17 +33,20 @@ def linkability(detections: DataFrame, policy: DataFrame, k: int = 3) -> DataFra
     return firsts.withColumn("n", nth).where(F.col("n") == k).select("origin", "seq")
 
 
-def decide(detections: DataFrame, policy: DataFrame, k: int = 3, overrides: dict[str, str] | None = None) -> DataFrame:
+def decide(detections: DataFrame, policy: DataFrame, k: int = 3, overrides: dict[str, str] | None = None, seen: DataFrame | None = None) -> DataFrame:
     """detections with class and action.
 
     detections: origin, seq, category, confidence, source, certainty, needed. Quasi-identifiers become tokens once
     the origin has shown an identity or k of them. Uncertain spans take the branch for values that aren't
     needed and are masked at least; known values are never let through; a user may change unlocked classes.
+    seen: sightings from before (origin, seq, category, confidence), which count for their origin as the detections do.
     """
     joined = detections.join(F.broadcast(policy).drop("is_identity"), "category", "left")
-    seen = identity_seen(detections, policy).withColumnRenamed("seq", "__identity")
-    linked = linkability(detections, policy, k).withColumnRenamed("seq", "__linked")
-    known = joined.join(seen, "origin", "left").join(linked, "origin", "left")
+    sightings = detections.select("origin", "seq", "category", "confidence")
+    sightings = sightings if seen is None else sightings.unionByName(seen.select(*sightings.columns))
+    named = identity_seen(sightings, policy).withColumnRenamed("seq", "__identity")
+    linked = linkability(sightings, policy, k).withColumnRenamed("seq", "__linked")
+    known = joined.join(named, "origin", "left").join(linked, "origin", "left")
     unsure = F.coalesce(F.col("certainty"), F.lit("detected")) == "uncertain"
     together = F.coalesce(F.col("__identity") <= F.col("seq"), F.lit(False)) | F.coalesce(F.col("__linked") <= F.col("seq"), F.lit(False))
     base = F.when(F.col("needed_by_task") & ~unsure, F.coalesce("needed", F.lit("ALLOW"))).otherwise(F.coalesce("not_needed", F.lit("ALLOW")))

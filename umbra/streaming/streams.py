@@ -1,14 +1,11 @@
-"""Event-time operators. Each is one definition for streams and tables, or a stateful one with a batch twin of the same result."""
+"""Event-time operators. Each is one definition for streams and tables: windows, sessions, or folds over a key's rows in order."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from umbra.operators import audit, detect, protect
+from umbra.operators import protect
+from umbra.streaming.folds import Fold, folded
 
 
 def micros(ts: Column | str) -> Column:
@@ -62,156 +59,87 @@ def coalesce_latest(events: DataFrame) -> DataFrame:
 
 # ---- folds: what happens to an event depends on all before it
 
-Fold = Callable[[tuple, int, int], tuple[tuple, list[tuple]]]
+NEVER = -(2**62)
 
 
-def _folded(events: DataFrame, fold: Fold, end: Callable[[tuple], list[tuple]], start: tuple, out: str, state: str, late: str) -> DataFrame:
-    """fold(state, micros, event_id) -> (state, rows out) over a user's events in order; end(state) -> the rows left at the end.
+def rate_limit(events: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """(user_id, event_id): events admitted when fewer than two were in the time before."""
+    span = seconds * 1_000_000
 
-    On a table, users' rows are read in order by one task each, which holds one state. On a stream the state is kept
-    between batches, and the rows left come out when the watermark has passed them by `late`.
-    """
-    rows = _watermarked(events, late).select("user_id", "ts", "event_id")
-    names = [c.split()[0] for c in out.split(",")]
-
-    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, held = None, start
-        for part in parts:
-            made: list[tuple] = []
-            for u, t, e in zip(part["user_id"].tolist(), part["t"].tolist(), part["event_id"].tolist(), strict=True):
-                if u != user:
-                    made += [(user, *r) for r in end(held)] if user is not None else []
-                    user, held = u, start
-                held, done = fold(held, t, e)
-                made += [(u, *r) for r in done]
-            yield pd.DataFrame(made, columns=names)
-        if user is not None:
-            yield pd.DataFrame([(user, *r) for r in end(held)], columns=names)
-
-    if not rows.isStreaming:
-        return rows.withColumn("t", micros("ts")).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(batch, out)
-
-    def stateful(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        held = group.get if group.exists else start
-        made: list[tuple] = []
-        if group.hasTimedOut:
-            made = end(held)
-            group.remove()
-        else:
-            new = pd.concat(list(parts))
-            times = [int(t.value // 1000) for t in new["ts"]]
-            for t, e in sorted(zip(times, new["event_id"].tolist(), strict=True)):
-                held, done = fold(held, t, e)
-                made += done
-            group.update(held)
-            group.setTimeoutTimestamp(max(max(times) // 1000 + 1, group.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *r) for r in made], columns=names)
-
-    return rows.groupBy("user_id").applyInPandasWithState(stateful, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def step(held: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        t, event = row
+        return ((held[1], t), [(event,)]) if t - held[0] >= span else (held, [])
 
+    fold = Fold(step, lambda held: [], lambda held: held[1] + span, (NEVER, NEVER), "event_id long", "a long, b long", "event_id long")
+    return folded(events.select("user_id", "ts", "event_id"), "user_id", fold, late)
 
-NEVER = -(2**62)
 
+def settle_bounded(events: DataFrame, quiet: int = 7200, most: int = 21600, late: str = "1 hour") -> DataFrame:
+    """(user_id, start, stop, n, reason): bursts that end after a quiet time (quiet), or when they have lasted for `most` seconds
+    (max), whichever comes first; start and stop, the first and last event, in microseconds. On a stream a timer ends a burst."""
 
-def rate_limit(events: DataFrame, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """(user_id, event_id): events admitted when fewer than two were in the time before."""
+    def step(held: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begin, _, n = held
+        return (begin if n else row[0], row[0], n + 1), []
 
-    def fold(held: tuple, t: int, e: int) -> tuple[tuple, list[tuple]]:
-        return ((held[1], t), [(e,)]) if t - held[0] >= seconds * 1_000_000 else (held, [])
+    def by_quiet(held: tuple) -> int:
+        return held[1] + quiet * 1_000_000
 
-    return _folded(events, fold, lambda held: [], (NEVER, NEVER), "user_id long, event_id long", "a long, b long", late)
+    def by_most(held: tuple) -> int:
+        return held[0] + most * 1_000_000
 
+    fold = Fold(step, lambda held: [(*held, "quiet" if by_quiet(held) <= by_most(held) else "max")], lambda held: min(by_quiet(held), by_most(held)), (0, 0, 0), "event_id long", "begin long, last long, n long", "start long, stop long, n long, reason string")
+    return folded(events.select("user_id", "ts", "event_id"), "user_id", fold, late)
+
+
+# How many steps of a plan a session keeps, and how many characters of each.
+PLAN_STEPS, PLAN_CHARS = 8, 120
 
-def settle_bounded(events: DataFrame, quiet: int = 7200, most: int = 21600, late: str = "1 hour") -> DataFrame:
-    """(user_id, start, stop, n, reason): bursts that end after a quiet time (quiet), or when they have lasted for `most` seconds (max); in microseconds."""
 
-    def row(held: tuple, reason: str) -> list[tuple]:
-        return [(held[0], held[1], held[2], reason)] if held[2] else []
+def session_plans(events: DataFrame, ttl: int = 7200, late: str = "1 hour") -> DataFrame:
+    """(user_id, start, plan, token, n): what a session keeps: its first plan, cut to eight steps of 120 characters, and its last token.
+
+    events: user_id, ts, event_id, plan (array of texts, or null), token (or null). A session that is idle for more than ttl
+    seconds is evicted, on a stream by a timer; what it held comes out then. start, its first event, in microseconds.
+    """
+    cut = F.transform(F.slice(F.coalesce("plan", F.array().cast("array<string>")), 1, PLAN_STEPS), lambda x: F.substring(x, 1, PLAN_CHARS))
+    rows = events.select("user_id", "ts", "event_id", F.when(F.size(cut) > 0, F.to_json(cut)).alias("plan"), "token")
 
-    def fold(held: tuple, t: int, e: int) -> tuple[tuple, list[tuple]]:
-        begin, last, n = held
-        if n and t - begin >= most * 1_000_000 and t - last < quiet * 1_000_000:
-            return (t, t, 1), row(held, "max")
-        if n and t - last >= quiet * 1_000_000:
-            return (t, t, 1), row(held, "quiet")
-        return (begin if n else t, t, n + 1), []
+    def step(held: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        begin, _, plan, token, n = held
+        return (begin if n else row[0], row[0], row[2] if plan is None else plan, token if row[3] is None else row[3], n + 1), []
 
-    return _folded(events, fold, lambda held: row(held, "quiet"), (0, 0, 0), "user_id long, start long, stop long, n long, reason string", "begin long, last long, n long", late)
+    fold = Fold(
+        step, lambda held: [(held[0], held[2], held[3], held[4])], lambda held: held[1] + ttl * 1_000_000 + 1, (0, 0, None, None, 0),
+        "event_id long, plan string, token string", "begin long, last long, plan string, token string, n long", "start long, plan string, token string, n long",
+    )
+    return folded(rows, "user_id", fold, late).withColumn("plan", F.coalesce(F.from_json("plan", "array<string>"), F.array().cast("array<string>")))
 
 
-def origin_state(detections: DataFrame, policy: DataFrame, k: int = 3) -> DataFrame:
-    """(origin, what, seq): from which capture on an origin has shown an identity, and is linkable; as a stream, each once.
+def origin_state(detections: DataFrame, policy: DataFrame, k: int = 3, late: str = "1 hour") -> DataFrame:
+    """(origin, what, seq): from which capture on an origin has shown an identity, and is linkable; each once.
 
-    Captures of an origin must come in the order of seq from batch to batch, as they do where they are taken. The state is the
-    set of quasi-identifying categories, fewer than k, and a flag.
+    detections: origin, seq, category, confidence and, on a stream, ts, the time of the capture, which rises with seq. Captures may
+    come in any order within the lateness. The state is the set of quasi-identifying categories, k at most, and two flags.
     """
-    rows = detections.join(F.broadcast(policy.select("category", "class", "is_identity")), "category")  # policy: the fixed table
-    marked = rows.where((F.col("class") == "quasi") | F.col("is_identity") & (F.col("confidence") >= 0.6)).select("origin", "seq", "category", (F.col("is_identity") & (F.col("confidence") >= 0.6)).alias("identity"), (F.col("class") == "quasi").alias("quasi"))
     if not detections.isStreaming:
         seen = protect.identity_seen(detections, policy).select("origin", F.lit("identity").alias("what"), F.col("seq").cast("long").alias("seq"))
         return seen.unionByName(protect.linkability(detections, policy, k).select("origin", F.lit("linkable").alias("what"), F.col("seq").cast("long").alias("seq")))
-
-    def stateful(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        known, named, linked = group.get if group.exists else ("", False, False)
-        have, made = set(filter(None, known.split(","))), []
-        for _, r in pd.concat(list(parts)).sort_values(["seq", "category"]).iterrows():
-            if r["identity"] and not named:
-                named = True
-                made.append((key[0], "identity", int(r["seq"])))
-            if r["quasi"] and not linked:
-                have.add(r["category"])
-                if len(have) >= k:
-                    linked = True
-                    made.append((key[0], "linkable", int(r["seq"])))
-        group.update((",".join(sorted(have)), named, linked))
-        yield pd.DataFrame(made, columns=["origin", "what", "seq"])
-
-    return marked.groupBy("origin").applyInPandasWithState(stateful, "origin string, what string, seq long", "known string, named boolean, linked boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-# ---- streams of texts: each batch goes through the functions for tables
-
-
-def tokenize_batch(values: DataFrame, key: str, vault_path: str) -> DataFrame:
-    """The tokens of a batch's values; those not yet in the vault (a table at vault_path) are added to it."""
-    spark = values.sparkSession
-    schema = "category string, normalized string, token string, origins array<string>"
-    try:
-        issued = spark.read.schema(schema).parquet(vault_path)
-        issued.isEmpty()
-    except Exception as e:  # no vault yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        issued = spark.createDataFrame([], schema)
-    tokens = protect.stored(protect.tokenize(values, key, issued))
-    tokens.join(issued.select("category", "normalized"), ["category", "normalized"], "left_anti").write.mode("append").parquet(vault_path)
-    return tokens
-
-
-def redact_batch(units: DataFrame, policy: DataFrame, key: str, vault_path: str) -> DataFrame:
-    """(unit_id, origin, text, verdict): units redacted, and whether they may leave: SEALED or the first failing check.
-
-    units: unit_id, origin, seq, text. Spans that are certain are needed by no task here, so they are masked or replaced.
-    """
-    found = protect.stored(detect.scan(units))
-    tokens = tokenize_batch(found, key, vault_path)
-    spans = detect.merge_spans(found, policy).join(units.select("unit_id", "seq"), "unit_id").withColumns({"source": F.lit("rule"), "needed_by_task": F.col("category").isin("EMAIL", "PHONE")})
-    decided = protect.stored(protect.decide(spans, policy))
-    named = decided.withColumn("normalized", protect.normalize_value(F.col("category"), F.col("value"))).join(tokens.select("category", "normalized", "token"), ["category", "normalized"], "left")
-    token = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), F.col("token"))
-    put = named.where("action <> 'ALLOW'").select("unit_id", "span_start", "span_end", F.coalesce(token, F.concat(F.lit("[REDACTED:"), "category", F.lit("]"))).alias("replacement"))
-    out = protect.redact_spans(units, put).select("unit_id", "origin", F.col("text_redacted").alias("text"))
-    known = named.where("action <> 'ALLOW' and value is not null").select("category", "normalized", "value")
-    failures = {"rule-scan": audit.rescan_rules(out, decided.where("action = 'ALLOW'").select("unit_id", "category")), "known-value": audit.known_value_leaks(out, known), "unknown-token": audit.unknown_tokens(out, tokens)}
-    return out.join(audit.seal_verdict(out, audit.union_failures(failures)), "unit_id")
-
-
-def redact_stream(units: DataFrame, policy: DataFrame, key: str, folder: str):
-    """A running query that redacts a stream of units: sealed rows go to folder/sealed, refused ones to folder/quarantine."""
-
-    def process(batch: DataFrame, number: int) -> None:
-        rows = protect.stored(redact_batch(batch, policy, key, f"{folder}/vault").withColumn("batch", F.lit(number)))
-        rows.where("verdict = 'SEALED'").write.mode("append").parquet(f"{folder}/sealed")
-        rows.where("verdict <> 'SEALED'").write.mode("append").parquet(f"{folder}/quarantine")
-
-    return units.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint")
+    rows = detections.join(F.broadcast(policy.select("category", "class", "is_identity")), "category")  # policy: the fixed table
+    identity, quasi = F.col("is_identity") & (F.col("confidence") >= 0.6), F.col("class") == "quasi"
+    marked = rows.where(quasi | identity).select("origin", "ts", F.col("seq").cast("long").alias("seq"), "category", identity.alias("identity"), quasi.alias("quasi"))
+
+    def step(held: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        known, named, linked = held
+        _, seq, category, is_identity, is_quasi = row
+        made = [] if named or not is_identity else [("identity", seq)]
+        have = set(filter(None, known.split(",")))
+        if is_quasi and not linked:
+            have.add(category)
+            if len(have) >= k:
+                made.append(("linkable", seq))
+                linked = True
+        return (",".join(sorted(have)), named or is_identity, linked), made
+
+    fold = Fold(step, lambda held: [], lambda held: None, ("", False, False), "seq long, category string, identity boolean, quasi boolean", "known string, named boolean, linked boolean", "what string, seq long")
+    return folded(marked, "origin", fold, late)
