@@ -575,12 +575,14 @@ def t2_rate_limit(spark, sf):
     return T.rate_limit(table(spark, sf, "events"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
-  f AS (SELECT user_id, r, t, t AS begin, 1 AS fresh, NULL::VARCHAR AS why FROM e WHERE r = 1
-    UNION ALL SELECT e.user_id, e.r, e.t, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN e.t ELSE f.begin END, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN 1 ELSE 0 END,
-      CASE WHEN e.t - f.t >= 7200000000 THEN 'quiet' WHEN e.t - f.begin >= 21600000000 THEN 'max' END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1),
-  n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY r) AS burst, lead(why) OVER (PARTITION BY user_id ORDER BY r) AS ended FROM f)
-  SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n, coalesce(arg_max(ended, r), 'quiet') AS reason FROM n GROUP BY user_id, burst""")
+SETTLED = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+  f AS (SELECT user_id, r, t, t AS begin, 1 AS fresh FROM e WHERE r = 1
+    UNION ALL SELECT e.user_id, e.r, e.t, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN e.t ELSE f.begin END, CASE WHEN e.t - f.t >= 7200000000 OR e.t - f.begin >= 21600000000 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1),
+  n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY r) AS burst FROM f)
+  SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n, CASE WHEN max(t) + 7200000000 <= min(t) + 21600000000 THEN 'quiet' ELSE 'max' END AS reason FROM n GROUP BY user_id, burst"""
+
+
+@query(SETTLED)
 def t1_settle_bounded(spark, sf):
     return T.settle_bounded(table(spark, sf, "events"))
 
