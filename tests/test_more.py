@@ -38,7 +38,7 @@ def test_known_values_where_they_stand(spark):
 
 @pytest.mark.parametrize("blocks", [100_000, 0])
 def test_leaks_inside_words_and_by_shuffle(spark, monkeypatch, blocks):
-    monkeypatch.setattr(L, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(L, "AUTOMATON_FORMS", blocks)
     vault = spark.createDataFrame([("NAME", "asha rao"), ("PHONE", "9876543210")], "category string, normalized string")
     got = {(r.unit_id, r.category) for r in L.known_value_leaks(units(spark, "xxASHA RAOyy", "asha  rao", "(987) 654-3210", "98765", None), vault).collect()}
     assert got == {("0", "NAME"), ("2", "PHONE")}
@@ -102,3 +102,28 @@ def test_leaves(spark):
     rows = spark.createDataFrame([("1", ("a", [("x", 1), (None, 2)]), ["p", "q"])], "unit_id string, body struct<t:string, xs:array<struct<s:string, n:int>>>, tags array<string>")
     got = {(r.path, r.value) for r in L.json_leaves(rows, r"\.t$").collect()}
     assert got == {("body.xs[0].s", "x"), ("tags[0]", "p"), ("tags[1]", "q")}
+
+
+@pytest.mark.parametrize("passes", [8, 0])
+def test_values_that_begin_alike_meet_few_texts(spark, monkeypatch, passes):
+    """By automata in several passes, and by the rarest gram; the values share their first characters with every text."""
+    monkeypatch.setattr(L, "AUTOMATON_PASSES", passes)
+    monkeypatch.setattr(L, "AUTOMATON_FORMS", 30_000)
+    n = 100_000 if passes else 20_000
+    vault = spark.range(n).selectExpr("'EMAIL' as category", "concat('user', lpad(id, 6, '0'), '@x.org') as normalized")
+    texts = units(spark, *[f"mail of USER{i * 37:06d}@x.org and user{i * 37 + 1:06d}@x.orgy and user{i:05d}@x.org" for i in range(200)], "user", None, "")
+    got = {(int(r.unit_id), r.normalized) for r in L.known_value_leaks(texts, vault).collect()}
+    assert got == {(i, f"user{i * 37 + k:06d}@x.org") for i in range(200) for k in (0, 1)}
+
+
+def test_look_alikes_of_tokens_are_unknown(spark):
+    vault = spark.createDataFrame([("[[PII:EMAIL:aaaaaaaa]]",)], "token string")
+    texts = units(spark, "a [[PII:EMAIL:aaaaaaaa]]", "b [[PII:EMAIL:bbbbbbbb]]", "c [ [ P I I : EMAIL", "d [[pii:email:aaaaaaaa]]", "[[PII:EMAIL:aaaaaaaa]] and [[pii:x", "none", None)
+    assert sorted((r.unit_id, r.token) for r in L.unknown_tokens(texts, vault).collect()) == [("1", "[[PII:EMAIL:bbbbbbbb]]"), ("2", "look-alike"), ("3", "look-alike")]
+
+
+def test_digests_of_lost_and_added_rows(spark):
+    rows = units(spark, "a", "b", "c", None).select("unit_id", "text")
+    sent = L.digests(rows)
+    got = rows.where("unit_id <> '1'").withColumn("text", F.when(F.col("unit_id") == "2", "C").otherwise(F.col("text"))).unionByName(spark.createDataFrame([("9", "new")], "unit_id string, text string"))
+    assert sorted(r.unit_id for r in L.digest_mismatch(sent, got).collect()) == ["1", "2", "9"]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from umbra.operators.detect import places, scan
 from umbra.operators.protect import TOKEN
+from umbra.sources.tables import stored
 
 CHECKS = ("schema", "rule-scan", "known-value", "unknown-token", "coverage", "digest")
 #: Fewer digits stand in any text by chance.
@@ -16,8 +21,8 @@ MIN_DIGITS = 7
 MIN_CHARS = 4
 # Fixed value: what may stand between the digits of a known value.
 BETWEEN_DIGITS = r"[\s,./()-]*"
-#: Up to so many first characters of known values (some 10 bytes each) are broadcast.
-BROADCAST_BLOCKS = 100_000
+#: Known values of one automaton (some 1 kB of a task's memory each), and how many passes over the texts are made with such.
+AUTOMATON_FORMS, AUTOMATON_PASSES = 50_000, 8
 
 
 def rescan_rules(sanitized: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -30,21 +35,53 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _by_automata(texts: DataFrame, forms: DataFrame, n_blocks: int) -> DataFrame:
+    """(unit_id, form) where the text holds the form: one pass over the texts for each block of forms, by an automaton of them."""
+    found = []
+    for i in range(n_blocks):
+        block = [r[0] for r in forms.where(F.pmod(F.xxhash64("form"), F.lit(n_blocks)) == i).collect()]
+
+        def search(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for form in block:
+                automaton.add_word(form, form)
+            automaton.make_automaton()
+            for batch in batches:
+                held = [sorted({form for _, form in automaton.iter(text)}) for text in batch.column(1).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([f for x in held for f in x], pa.string())], names=["unit_id", "form"])
+
+        if block:
+            found.append(texts.mapInArrow(search, T.StructType([texts.schema["unit_id"], T.StructField("form", T.StringType())])))
+    return reduce(DataFrame.unionByName, found) if found else texts.select("unit_id", F.lit("").alias("form")).limit(0)
+
+
+def _by_rarest_gram(texts: DataFrame, forms: DataFrame, size: int) -> DataFrame:
+    """(unit_id, form) where the text holds the form: they meet by that gram of a form that the fewest texts have.
+
+    Grams of texts are counted first, those alone that forms have; a form with a gram that no text has is in none.
+    """
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    of_forms = forms.select("form", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("gram"))
+    of_texts = texts.where(F.length("text") >= size).select("unit_id", F.explode(grams).alias("gram"))
+    of_texts = stored(of_texts.join(of_forms.select("gram").distinct(), "gram", "left_semi"))
+    counts = of_texts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = of_forms.join(counts, "gram", "left").groupBy("form").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return of_texts.join(rarest, "gram").join(texts, "unit_id").where(F.contains("text", "form")).select("unit_id", "form")
+
+
 def _containing(texts: DataFrame, values: DataFrame, size: int) -> DataFrame:
-    """(unit_id, category, normalized, form) where the text (unit_id, text) holds the form, anywhere in it.
+    """values by unit_id where the text (unit_id, text) holds the form (of `size` characters or more), anywhere in it.
 
-    They meet by the first `size` characters of the form. Where few of these occur, they are broadcast and only
-    such grams leave their text; else all grams of the texts are shuffled.
+    Up to AUTOMATON_FORMS * AUTOMATON_PASSES forms are looked for by automata, in passes over the texts that move nothing; beyond, by their rarest gram.
     """
-    blocked = values.withColumn("block", F.substring("form", 1, size))
-    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))  # at every place, in one pass
-    long = texts.where(F.length("text") >= size)
-    distinct = blocked.select("block").distinct()
-    if distinct.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        long = long.crossJoin(F.broadcast(distinct.agg(F.collect_set("block").alias("__b"))))  # one row
-        grams = F.array_intersect(grams, F.col("__b"))
-    pairs = long.select("unit_id", F.explode(grams).alias("block")).join(blocked, "block").drop("block")
-    return pairs.join(texts, "unit_id").where(F.contains("text", "form")).drop("text")
+    forms = values.select("form").distinct()
+    n = forms.limit(AUTOMATON_FORMS * AUTOMATON_PASSES + 1).count()
+    if n <= AUTOMATON_FORMS * AUTOMATON_PASSES:
+        found = _by_automata(texts, forms, -(-n // AUTOMATON_FORMS))
+    else:
+        found = _by_rarest_gram(texts, forms, size)
+    return found.join(values, "form")
 
 
 def known_forms(vault: DataFrame) -> DataFrame:
@@ -69,10 +106,17 @@ def known_value_leaks(sanitized: DataFrame, vault: DataFrame) -> DataFrame:
     return as_text.select("unit_id", *key).unionByName(as_digits.select("unit_id", *key)).distinct()
 
 
+# How a look-alike of a token begins, and what is reported of it.
+LOOK_ALIKE = r"(?i)\[\s*\[\s*P\s*I\s*I\s*:"
+LOOK_ALIKE_FOUND = "look-alike"
+
+
 def unknown_tokens(sanitized: DataFrame, vault: DataFrame) -> DataFrame:
-    """(unit_id, token): tokens in the text that the vault didn't issue."""
+    """(unit_id, token): tokens in the text that the vault didn't issue; `look-alike` for a text without any token in which something looks like one."""
     found = sanitized.select("unit_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).distinct()
-    return found.join(vault.select("token").distinct(), "token", "left_anti")
+    unknown = found.join(vault.select("token").distinct(), "token", "left_anti")
+    like = sanitized.where(F.col("text").rlike(LOOK_ALIKE) & ~F.col("text").rlike(TOKEN)).select("unit_id", F.lit(LOOK_ALIKE_FOUND).alias("token")).distinct()
+    return unknown.select("unit_id", "token").unionByName(like)
 
 
 def coverage_gaps(spans: DataFrame, applied: DataFrame) -> DataFrame:
@@ -112,13 +156,14 @@ def write_sanitized(df: DataFrame, path: str, allowed: tuple[str, ...]) -> None:
     """Write rows with their digest, partitioned by origin; a column that isn't allowed is an error, not dropped."""
     if extra := sorted(set(df.columns) - set(allowed)):
         raise ValueError(f"columns that may not be written: {extra}")
-    df.join(digests(df), "unit_id").write.mode("overwrite").partitionBy("origin").parquet(path)
+    body = canonical(df)
+    df.withColumns({"digest": F.sha2(body, 256), "n_bytes": F.octet_length(body).cast("long")}).write.mode("overwrite").partitionBy("origin").parquet(path)
 
 
 def digest_mismatch(sent: DataFrame, received: DataFrame) -> DataFrame:
-    """(unit_id): rows whose recomputed digest isn't the recorded one."""
+    """(unit_id): rows whose recomputed digest isn't the recorded one, rows that were lost on the way, and rows that were added."""
     again = digests(received).select("unit_id", F.col("digest").alias("again"))
-    return sent.join(again, "unit_id").where("digest <> again").select("unit_id")
+    return sent.select("unit_id", "digest").join(again, "unit_id", "full").where("not digest <=> again").select("unit_id")
 
 
 def invalid_audit_rows(audit: DataFrame, categories: list[str]) -> DataFrame:

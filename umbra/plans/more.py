@@ -237,12 +237,14 @@ def p8_neutralize(spark, sf):
 CANONICAL = "'origin:' || strlen(origin) || ':' || origin || chr(10) || 'text:' || coalesce(strlen(text), -1) || ':' || coalesce(text, '') || chr(10) || 'unit_id:' || strlen(unit_id) || ':' || unit_id || chr(10)"
 
 
-@query(f"WITH {UNITS}, sent AS (SELECT unit_id, origin, text, {CANONICAL} AS body FROM units) SELECT unit_id FROM sent WHERE length(text) % 7 = 0 AND text <> ''")
+@query(f"WITH {UNITS} SELECT unit_id FROM units WHERE length(text) % 7 = 0 AND text <> '' OR length(text) % 11 = 3 UNION ALL SELECT 'new:' || unit_id FROM units WHERE length(text) % 13 = 5")
 def l9_digest_mismatch(spark, sf):
-    """Rows of which a character was changed on the way."""
+    """Rows of which a character was changed on the way, rows that were lost and rows that were added."""
     rows = units(spark, sf).select("unit_id", "origin", "text")
     changed = F.when(F.length("text") % 7 == 0, F.concat(F.lit("x"), F.expr("substring(text, 2)"), F.lit("y"))).otherwise(F.col("text"))
-    return L.digest_mismatch(L.digests(rows), rows.withColumn("text", F.when(F.col("text") == "", F.col("text")).otherwise(changed)))
+    arrived = rows.where("length(text) is null or length(text) % 11 <> 3").withColumn("text", F.when(F.col("text") == "", F.col("text")).otherwise(changed))
+    added = rows.where("length(text) % 13 = 5").withColumn("unit_id", F.concat(F.lit("new:"), "unit_id"))
+    return L.digest_mismatch(L.digests(rows), arrived.unionByName(added))
 
 
 @query(f"""WITH {FAULTY}, {HIDDEN}, sent AS (SELECT unit_id, origin, text_redacted AS text FROM red), counts AS (SELECT unit_id, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM (SELECT unit_id, category, count(*) AS n FROM decided GROUP BY ALL) GROUP BY unit_id)

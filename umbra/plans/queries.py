@@ -395,14 +395,16 @@ def l4_known_value_leaks(spark, sf):
 
 
 def token_texts(spark, sf):
-    """Texts that carry one token each; those of even length have theirs altered by one letter of its alphabet."""
+    """Texts that carry one token each; those of even length have theirs altered by one letter of its alphabet, every fifth one only looks like one."""
     turned = F.concat(F.expr("substring(token, 1, length(token) - 10)"), F.translate(F.expr("substring(token, length(token) - 9, 8)"), P.BASE32, P.BASE32[1:] + P.BASE32[:1]), F.lit("]]"))
-    text = F.concat(F.lit("send "), F.when(F.length("normalized") % 2 == 0, turned).otherwise(F.col("token")), F.lit(" now"))
+    like = F.concat(F.lit("[ [pii: "), F.expr("substring(token, 7)"))
+    text = F.concat(F.lit("send "), F.when(F.length("normalized") % 5 == 0, like).when(F.length("normalized") % 2 == 0, turned).otherwise(F.col("token")), F.lit(" now"))
     return vault(spark, sf).select(F.concat("category", F.lit("/"), "normalized").alias("unit_id"), text.alias("text"))
 
 
-@query(rf"""WITH {DET}, {VAULT}, t AS (SELECT category || '/' || normalized AS unit_id, 'send ' || CASE WHEN length(normalized) % 2 = 0 THEN left(token, length(token) - 10) || translate(substr(token, length(token) - 9, 8), '{P.BASE32}', '{P.BASE32[1:] + P.BASE32[:1]}') || ']]' ELSE token END || ' now' AS text FROM vault)
-  SELECT DISTINCT unit_id, token FROM (SELECT unit_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS token FROM t) WHERE token NOT IN (SELECT token FROM vault)""")
+@query(rf"""WITH {DET}, {VAULT}, t AS (SELECT category || '/' || normalized AS unit_id, 'send ' || CASE WHEN length(normalized) % 5 = 0 THEN '[ [pii: ' || substr(token, 7) WHEN length(normalized) % 2 = 0 THEN left(token, length(token) - 10) || translate(substr(token, length(token) - 9, 8), '{P.BASE32}', '{P.BASE32[1:] + P.BASE32[:1]}') || ']]' ELSE token END || ' now' AS text FROM vault)
+  SELECT DISTINCT unit_id, token FROM (SELECT unit_id, unnest(regexp_extract_all(text, '{TOKEN_SQL}')) AS token FROM t) WHERE token NOT IN (SELECT token FROM vault)
+  UNION ALL SELECT unit_id, 'look-alike' FROM t WHERE regexp_matches(text, '(?i)\[\s*\[\s*P\s*I\s*I\s*:') AND NOT regexp_matches(text, '{TOKEN_SQL}')""")
 def l5_unknown_tokens(spark, sf):
     return L.unknown_tokens(token_texts(spark, sf), vault(spark, sf))
 
