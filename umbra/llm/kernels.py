@@ -42,16 +42,21 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
+#: A second base and second codes, for hashes that don't depend on the first ones.
+OTHER_BASE = 0xD1342543DE82EF95
+OTHER_CODES = mix64(np.arange(1001, 1257, dtype=np.uint64))
+
+
+def prefix_hashes(buf: np.ndarray, base: int = BASE, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """Polynomial hashes of all prefixes of buf; span_hashes() reads any substring's from them."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[buf] * powers(BASE, len(buf)), out=out[1:])
+    np.cumsum(codes[buf] * powers(base, len(buf)), out=out[1:])
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
     """The hash of each buf[start:end]: equal strings have equal hashes wherever they stand."""
-    return (prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start]
+    return (prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
