@@ -127,3 +127,24 @@ def test_digests_of_lost_and_added_rows(spark):
     sent = L.digests(rows)
     got = rows.where("unit_id <> '1'").withColumn("text", F.when(F.col("unit_id") == "2", "C").otherwise(F.col("text"))).unionByName(spark.createDataFrame([("9", "new")], "unit_id string, text string"))
     assert sorted(r.unit_id for r in L.digest_mismatch(sent, got).collect()) == ["1", "2", "9"]
+
+
+def test_leaves_of_json_of_any_shape(spark):
+    import json
+
+    def walk(x, path):
+        if isinstance(x, str):
+            yield path or "$", x
+        for k, v in x.items() if isinstance(x, dict) else []:
+            yield from walk(v, f"{path}.{k}" if path else k)
+        for i, v in enumerate(x if isinstance(x, list) else []):
+            yield from walk(v, f"{path}[{i}]")
+
+    deep = "end"
+    for i in range(12):
+        deep = {f"k{i}": [deep, i]} if i % 2 else [deep, {"s": "x"}]
+    shapes = [{"a": "x", "b": [1, "y", {"c": None, "d": True, "e": ["z", ["w"]]}], "f": {}, "g": []}, ["p", 2.5, 10**30, "q"], "alone", 7, None, {"n": {"n": {"n": "é « 漢 »"}}}, deep, {"t": "2024-01-01"}]
+    rows = [(str(i), json.dumps(x, ensure_ascii=i % 2 == 0)) for i, x in enumerate(shapes)] + [("bad", '{"a": "cut'), ("none", None), ("empty", "")]
+    got = sorted((r.unit_id, r.path, r.value) for r in L.variant_leaves(spark.createDataFrame(rows, "unit_id string, payload string")).collect())
+    want = [(str(i), p, v) for i, x in enumerate(shapes) for p, v in walk(x, "")] + [("bad", "$", '{"a": "cut'), ("empty", "$", "")]
+    assert got == sorted(want)

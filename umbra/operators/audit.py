@@ -253,3 +253,24 @@ def json_leaves(payloads: DataFrame, skipped: str = "^$") -> DataFrame:
     parts = [_leaves(F.col(f.name), f.dataType, F.lit(f.name)) for f in payloads.schema.fields if f.name != "unit_id"]
     found = payloads.select("unit_id", F.inline(F.concat(*[p for p in parts if p is not None])))
     return found.where(F.col("value").isNotNull() & ~F.col("path").rlike(skipped))
+
+
+def variant_leaves(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(unit_id, path, value): every string in JSON of any shape; paths as those of json_leaves, `$` for a payload that is a string itself.
+
+    Texts that are no JSON have one leaf, themselves, so that nothing goes unseen. Each round takes one level of all payloads apart; there are
+    as many as the deepest payload has levels.
+    """
+    parsed = payloads.where(F.col(column).isNotNull()).select("unit_id", F.lit("").alias("path"), F.try_parse_json(column).alias("v"), F.col(column).alias("raw"))
+    broken = parsed.where("v is null").select("unit_id", F.lit("$").alias("path"), F.col("raw").alias("value"))
+    left, found = parsed.where("v is not null").select("unit_id", "path", "v"), [broken]
+    while True:
+        kind = F.schema_of_variant("v")
+        strings = left.where(kind == "STRING")
+        found.append(strings.select("unit_id", F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), F.expr("v::string").alias("value")))
+        inside = left.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if inside.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        parts = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "part"))
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise("."), "key"))
+        left = stored(parts.where(~F.schema_of_variant("part").isin("BIGINT", "BOOLEAN", "VOID", "DOUBLE") & ~F.schema_of_variant("part").startswith("DECIMAL")).select("unit_id", F.concat("path", name).alias("path"), F.col("part").alias("v")))

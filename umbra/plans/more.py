@@ -409,3 +409,17 @@ def s1_read_observations(spark, sf):
     rows = read_observations(spark, path)
     raw = F.col("_corrupt_record")
     return rows.select(F.coalesce("capture_id", F.regexp_extract(raw, '"capture_id":"([^"]*)"', 1)).alias("capture_id"), F.coalesce("url", F.regexp_extract(raw, '"url":"([^"]*)"', 1)).alias("url"), raw.isNotNull().alias("corrupt"))
+
+
+# ---- JSON of unknown shape
+
+
+@query("""WITH payloads AS (SELECT 'conv:' || conv_id AS unit_id, to_json({'conv': conv_id, 'meta': {'first': min_by(role, turn), 'tags': [['t' || conv_id], ['x', 'y']]}, 'turns': list({'role': role, 'body': {'text': text, 'n': turn}} ORDER BY turn)}) AS payload FROM conversations GROUP BY conv_id)
+  SELECT unit_id, substr(fullkey, 3) AS path, atom->>'$' AS value FROM payloads, json_tree(payload) WHERE type = 'VARCHAR'""")
+def l2_variant_leaves(spark, sf):
+    """The strings of conversations as JSON texts, whose shape the walk doesn't know."""
+    body = F.struct("role", F.struct("text", F.col("turn").alias("n")).alias("body"))
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("b")))), lambda x: x.b).alias("turns"))
+    tags = F.array(F.array(F.concat(F.lit("t"), "conv_id")), F.array(F.lit("x"), F.lit("y")))
+    payload = F.to_json(F.struct(F.col("conv_id").alias("conv"), F.struct("first", tags.alias("tags")).alias("meta"), "turns"), {"ignoreNullFields": "false"})
+    return L.variant_leaves(turns.select(F.concat(F.lit("conv:"), "conv_id").alias("unit_id"), payload.alias("payload")))
