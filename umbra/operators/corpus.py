@@ -127,3 +127,16 @@ def truth_agreement(shown: DataFrame, truth: DataFrame) -> DataFrame:
     key = ["page_id", "value"]
     a, b = shown.select(*key).distinct(), truth.select(*key).distinct()
     return b.join(a, key, "left_anti").withColumn("missing", F.lit("page")).unionByName(a.join(b, key, "left_anti").withColumn("missing", F.lit("truth")))
+
+
+def render_forms(customers: DataFrame) -> DataFrame:
+    """(page_id, html): a form for each customer whose fields are named in every way that there is."""
+    k = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<body><p id="who">Account of <b>'), "c_name", F.lit('</b></p><span id="part">('), k, F.lit(')</span><label for="mail">Mail address</label><label for="mail">Second label</label><label for="gone">Lost</label><form>'),
+        F.lit('<input id="mail" type="email" autocomplete="email" placeholder="hint"><input aria-labelledby="who  part nothing" aria-label="not this" type="tel">'),
+        F.lit('<label>Street <input autocomplete="street-address"></label><input aria-label="Code '), k, F.lit('" title="not this"><input title="Town">'),
+        F.lit('<input aria-labelledby="nothing" placeholder="Left over"><select id="s"><option>One</option></select></form><a href="/c/'), k, F.lit('">See <i>order</i> '), k,
+        F.lit('</a><button aria-labelledby="part">Pay</button><button>Send</button><label for="s">Choice</label></body>'),
+    )
+    return customers.select(F.col("c_custkey").cast("long").alias("page_id"), html.alias("html"))

@@ -25,20 +25,24 @@ CONTAINERS = ("ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "div", "sect
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 PARTS = "page_id long, kind string, seq int, tag string, role string, text string, attr string, hidden string, marks string, in_form boolean"
+#: What else an element or label says: its id, the ids it is named by, the id it is for, type, autocomplete, address, own name, hint, and the label around it.
+SAID = ("dom_id", "labelledby", "label_for", "input_type", "autocomplete", "href", "aria_label", "hint")
+SAYING = PARTS + "".join(f", {name} string" for name in SAID) + ", around int"
 #: Below so much of itself, all around it counted, a part isn't seen.
 LEAST_OPACITY = 0.05
 
 
 class _Page(HTMLParser):
-    """One pass over a page; parts are [kind, seq, tag, role, texts, attr, hidden reason, marks, in a form].
+    """One pass over a page; parts are [kind, seq, tag, role, texts, attr, hidden reason, marks, in a form, what else it says].
 
-    attr is an address, an autocomplete attribute or, of a block, where it stands: `t:table:row:column` or `f:fieldset`.
+    Texts of tags with an id are kept by id too, for parts that are named by them. attr is an address, an autocomplete attribute or, of a block, where it stands: `t:table:row:column` or `f:fieldset`.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
-        self.stack: list[tuple[str, list | None, str | None, tuple[str, ...], float]] = []
+        self.stack: list[tuple[str, list | None, str | None, tuple[str, ...], float, list[str] | None]] = []
+        self.by_id: dict[str, list[str]] = {}
         self.tables: list[list[int]] = []  # open tables: number, row, column
         self.fieldsets: list[int] = []
         self.n_tables = self.n_fieldsets = 0
@@ -52,7 +56,7 @@ class _Page(HTMLParser):
             if self.stack[i][0] in CONTAINERS:
                 break
         style = a.get("style", "").replace(" ", "").lower()
-        above = self.stack[-1] if self.stack else (None, None, None, (), 1.0)
+        above = self.stack[-1] if self.stack else (None, None, None, (), 1.0, None)
         set_to = re.search(r"(?:^|;)opacity:([0-9]*\.?[0-9]+)", style)
         opacity = above[4] * (min(1.0, float(set_to[1])) if set_to else 1.0)
         reasons = [("aria-hidden", a.get("aria-hidden") == "true"), ("inert", "inert" in a), ("display", "display:none" in style), ("visibility", "visibility:hidden" in style), ("opacity", opacity < LEAST_OPACITY)]
@@ -68,21 +72,26 @@ class _Page(HTMLParser):
             self.tables[-1][1:] = [self.tables[-1][1] + 1, 0]
         elif tag in ("td", "th") and self.tables:
             self.tables[-1][2] += 1
-        part = None
+        part, own_text = None, None
+        if a.get("id") and a["id"] not in self.by_id:  # the first of an id is the one that is referred to
+            own_text = self.by_id[a["id"]] = []
+        kind = a.get("type", "").lower() or ("text" if tag == "input" else "")
+        around = next((p[1] for t, p, *_ in reversed(self.stack) if t == "label" and p and p[0] == "block"), None)
+        said = (a.get("id"), a.get("aria-labelledby"), a.get("for") if tag == "label" else None, kind or None, a.get("autocomplete"), a.get("href"), a.get("aria-label"), a.get("title") or a.get("placeholder"), around)
         if tag in BLOCKS:
             where = "t:" + ":".join(map(str, self.tables[-1])) if tag in ("td", "th") and self.tables else f"f:{self.fieldsets[-1]}" if self.fieldsets else ""
-            part = self._add("block", tag, BLOCKS[tag], "", where, hidden, marks)
+            part = self._add("block", tag, BLOCKS[tag], "", where, hidden, marks, said)
         usable = tag in ROLES and (tag != "a" or "href" in a) or a.get("role") in ARIA or a.get("contenteditable") in ("", "true") or a.get("tabindex", "-1") != "-1"
         if usable:
-            own = self._add("element", tag, a.get("role") or ROLES.get(tag, "generic"), a.get("aria-label") or a.get("title") or a.get("placeholder") or "", a.get("href") or a.get("autocomplete") or "", hidden, marks)
+            own = self._add("element", tag, a.get("role") or ROLES.get(tag, "generic"), a.get("aria-label") or a.get("title") or a.get("placeholder") or "", a.get("href") or a.get("autocomplete") or "", hidden, marks, said)
             part = part or (own if tag not in ("input", "select", "textarea") and not own[4] else None)
         if tag in MEDIA:
-            self._add("media", tag, MEDIA[tag], a.get("alt", ""), a.get("src", ""), hidden, marks)
+            self._add("media", tag, MEDIA[tag], a.get("alt", ""), a.get("src", ""), hidden, marks, said)
         if tag not in VOID:
-            self.stack.append((tag, part, hidden, marks, opacity))
+            self.stack.append((tag, part, hidden, marks, opacity, own_text))
 
     def _add(self, kind: str, *rest) -> list:
-        self.parts.append([kind, len(self.parts), *rest[:2], [rest[2]] if rest[2] else [], rest[3], rest[4], ",".join(rest[5]), any(t == "form" for t, *_ in self.stack)])
+        self.parts.append([kind, len(self.parts), *rest[:2], [rest[2]] if rest[2] else [], rest[3], rest[4], ",".join(rest[5]), any(t == "form" for t, *_ in self.stack), rest[6]])
         return self.parts[-1]
 
     def handle_endtag(self, tag: str) -> None:
@@ -98,6 +107,9 @@ class _Page(HTMLParser):
         text = " ".join(data.split())
         if not text or any(t in SKIPPED for t, *_ in self.stack):
             return
+        for *_, named in self.stack:
+            if named is not None:
+                named.append(text)
         near = [part for _, part, *_ in reversed(self.stack[-7:]) if part]
         for part in near[:1] + [p for p in near[1:2] if near[0][0] == "element" and p[0] == "block"]:
             part[4].append(text)
@@ -109,6 +121,11 @@ def page_parts(pages: DataFrame) -> DataFrame:
     Each page is read once; one without an id has parts without one. Text is that of the nearest block (six levels up at most), nodes joined by one space;
     hidden is the first reason that holds for the part or what is around it.
     """
+    return saying_parts(pages).where("kind <> 'target'").select(*[c.split()[0] for c in PARTS.split(", ")])
+
+
+def saying_parts(pages: DataFrame) -> DataFrame:
+    """The parts of pages with what else they say, and a row of kind `target` with the text of each id that a part is named by."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,10 +134,36 @@ def page_parts(pages: DataFrame) -> DataFrame:
                 page = _Page()
                 page.feed(html or "")
                 page.close()
-                rows += [(page_id, k, s, t, r, " ".join(x), at, h, m, f) for k, s, t, r, x, at, h, m, f in page.parts]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "seq", "tag", "role", "text", "attr", "hidden", "marks", "in_form"]).astype({"page_id": "Int64", "seq": "int32"})
+                rows += [(page_id, k, s, t, r, " ".join(x), at, h, m, f, *said) for k, s, t, r, x, at, h, m, f, said in page.parts]
+                asked = sorted({name for *_, said in page.parts for name in (said[1] or "").split()} & set(page.by_id))
+                rows += [(page_id, "target", None, None, None, " ".join(page.by_id[name]), None, None, None, None, name, *[None] * 8) for name in asked]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAYING.split(", ")]).astype({"page_id": "Int64", "seq": "Int32", "around": "Int32"})
+
+    return pages.select("page_id", "html").mapInPandas(read, SAYING)
+
+
+def named_elements(parts: DataFrame) -> DataFrame:
+    """(page_id, seq, tag, role, name, label_text, input_type, autocomplete, href, hidden, in_form): elements with their accessible names.
 
-    return pages.select("page_id", "html").mapInPandas(read, PARTS)
+    parts: those of saying_parts. A name is the text of the ids that the element is labelled by, in their order; else its
+    aria-label; else its label, one for its id or around it; else its own text; else its title or placeholder. label_text is
+    the label alone. References are resolved within a page; ids that nothing has count for nothing, and of several labels the first counts.
+    """
+    page = F.coalesce("page_id", F.lit(-1)).alias("__page")  # pages without an id are one to themselves
+    rows = parts.where("kind = 'element'").withColumn("__page", page)
+    targets = parts.where("kind = 'target'").select(page, F.col("dom_id").alias("__id"), F.col("text").alias("__text"))
+    asked = rows.where("labelledby is not null").select("__page", "seq", F.posexplode(F.split(F.trim("labelledby"), r"\s+")).alias("__at", "__id")).join(targets, ["__page", "__id"])
+    texts = F.array_sort(F.collect_list(F.struct("__at", "__text")))
+    by_ids = asked.groupBy("__page", "seq").agg(F.array_join(F.filter(F.transform(texts, lambda x: x["__text"]), lambda t: t != ""), " ").alias("__by"))
+    labels = parts.where("kind = 'block' and tag = 'label' and text <> ''").select(page, F.col("seq").alias("__seq"), "label_for", F.col("text").alias("__label"))
+    first = labels.where("label_for is not null").groupBy("__page", F.col("label_for").alias("dom_id")).agg(F.min_by("__label", "__seq").alias("__for"))
+    wrapping = labels.select("__page", F.col("__seq").alias("around"), F.col("__label").alias("__around"))
+    joined = rows.join(by_ids, ["__page", "seq"], "left").join(first, ["__page", "dom_id"], "left").join(wrapping, ["__page", "around"], "left")
+    label = F.coalesce("__for", "__around")
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    own = F.when(~F.col("tag").isin("input", "select", "textarea") & F.col("aria_label").isNull() & F.col("hint").isNull(), F.col("text"))
+    name = F.coalesce(filled(F.col("__by")), filled(F.col("aria_label")), filled(label), filled(own), filled(F.col("hint")), F.lit(""))
+    return joined.select("page_id", "seq", "tag", "role", name.alias("name"), F.coalesce(label, F.lit("")).alias("label_text"), "input_type", "autocomplete", "href", "hidden", "in_form")
 
 
 def text_blocks(parts: DataFrame) -> DataFrame:
@@ -165,35 +208,52 @@ def stable_ids(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def nearest_label(values: DataFrame, labels: DataFrame, most: int = 120) -> DataFrame:
-    """(value_id, label_id): the nearest label left on the same row or above in the same column, within `most`.
+    """(page_id, value_id, label_id): the nearest label of a value's page left on the same row or above in the same column, within `most`.
 
     Boxes meet by grid cells of that size, a label in its own and the neighbouring cells, so no pair further apart is made.
     """
     cell = lambda c: F.floor(F.col(c) / most)
-    v = values.select("value_id", F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    v = values.select("page_id", "value_id", F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    lab = labels.select("label_id", F.col("x").alias("lx"), F.col("y").alias("ly"), cell("x").alias("gx"), cell("y").alias("gy"), F.inline(around))
-    lab = lab.select("label_id", "lx", "ly", (F.col("gx") + F.col("dx")).alias("cx"), (F.col("gy") + F.col("dy")).alias("cy"))
+    lab = labels.select("page_id", "label_id", F.col("x").alias("lx"), F.col("y").alias("ly"), cell("x").alias("gx"), cell("y").alias("gy"), F.inline(around))
+    lab = lab.select("page_id", "label_id", "lx", "ly", (F.col("gx") + F.col("dx")).alias("cx"), (F.col("gy") + F.col("dy")).alias("cy"))
     left = (F.col("ly") == F.col("vy")) & (F.col("lx") < F.col("vx"))
     above = (F.col("lx") == F.col("vx")) & (F.col("ly") < F.col("vy"))
     far = (F.col("vx") - F.col("lx")) ** 2 + (F.col("vy") - F.col("ly")) ** 2
-    return v.join(lab, ["cx", "cy"]).where((left | above) & (far <= most * most)).groupBy("value_id").agg(F.min_by("label_id", F.struct(far, "label_id")).alias("label_id"))
+    return v.join(lab, ["page_id", "cx", "cy"]).where((left | above) & (far <= most * most)).groupBy("page_id", "value_id").agg(F.min_by("label_id", F.struct(far, "label_id")).alias("label_id"))
 
 
 def frame_paths(frames: DataFrame) -> DataFrame:
-    """(frame_id, path): ids from the root to each frame, however deep; frames in or below a cycle have none.
+    """(frame_id, path): ids from the root to each frame, however deep; frames in or below a cycle have none."""
+    placed = frames.select("frame_id", "parent_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return frame_offsets(placed).select("frame_id", "path")
+
+
+def frame_offsets(frames: DataFrame) -> DataFrame:
+    """(frame_id, path, dx, dy): ids from the root to each frame, and where its corner is on the root; frames: frame_id, parent_id, x, y in the parent.
 
-    By pointer jumping: in each round a frame's path is put behind that of the ancestor it begins at, so the rounds
-    are the logarithm of the depth; what is settled leaves, and what doesn't reach a root in the end is a cycle.
+    By pointer jumping: in each round a frame's path and offset are put behind those of the ancestor it begins at, so the rounds
+    are the logarithm of the depth; what is settled leaves, and what doesn't reach a root in the end is a cycle. A root
+    stands where its own x and y say; a frame whose parent isn't there reaches none. Null places count as 0.
     """
-    now, before = stored(frames.select("frame_id", F.col("parent_id").alias("up"), F.array(F.col("frame_id")).alias("ids"))), None
+    of = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    now, before = stored(frames.select("frame_id", F.col("parent_id").alias("up"), F.array(F.col("frame_id")).alias("ids"), of("x").alias("dx"), of("y").alias("dy"))), None
     while (left := now.where("up is not null").count()) and left != before:
-        above = now.select(F.col("frame_id").alias("__up"), F.col("up").alias("__next"), F.col("ids").alias("__ids"))
+        above = now.select(F.col("frame_id").alias("__up"), F.col("up").alias("__next"), F.col("ids").alias("__ids"), F.col("dx").alias("__dx"), F.col("dy").alias("__dy"))
         joined = now.join(above, F.col("up") == F.col("__up"), "left")
         known = F.col("__ids").isNotNull()
-        jumped = joined.select("frame_id", F.when(known, F.col("__next")).otherwise(F.col("up")).alias("up"), F.when(known, F.concat("__ids", "ids")).otherwise(F.col("ids")).alias("ids"))
+        jumped = joined.select(
+            "frame_id", F.when(known, F.col("__next")).otherwise(F.col("up")).alias("up"), F.when(known, F.concat("__ids", "ids")).otherwise(F.col("ids")).alias("ids"),
+            (F.col("dx") + F.coalesce("__dx", F.lit(0.0))).alias("dx"), (F.col("dy") + F.coalesce("__dy", F.lit(0.0))).alias("dy"),
+        )
         now, before = stored(jumped.where("up is null or not array_contains(ids, up)")), left
-    return now.where("up is null").select("frame_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "/").alias("path"))
+    return now.where("up is null").select("frame_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), "/").alias("path"), "dx", "dy")
+
+
+def page_boxes(boxes: DataFrame, offsets: DataFrame) -> DataFrame:
+    """boxes (frame_id, x, y, w, h in their frame) with left and top on the root; those of frames that reach no root have none and are left out."""
+    joined = boxes.join(offsets.select("frame_id", "dx", "dy"), "frame_id")
+    return joined.withColumns({"left": F.col("x") + F.col("dx"), "top": F.col("y") + F.col("dy")}).drop("dx", "dy")
 
 
 # The categories of fields that make a form one about a person.

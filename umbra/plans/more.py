@@ -423,3 +423,30 @@ def l2_variant_leaves(spark, sf):
     tags = F.array(F.array(F.concat(F.lit("t"), "conv_id")), F.array(F.lit("x"), F.lit("y")))
     payload = F.to_json(F.struct(F.col("conv_id").alias("conv"), F.struct("first", tags.alias("tags")).alias("meta"), "turns"), {"ignoreNullFields": "false"})
     return L.variant_leaves(turns.select(F.concat(F.lit("conv:"), "conv_id").alias("unit_id"), payload.alias("payload")))
+
+
+# ---- names and places on pages
+
+NAMED = (
+    ("input", "textbox", "'Mail address'", "Mail address", "email", "email", None, True), ("input", "textbox", "'Account of ' || c_name || ' (' || c_custkey || ')'", "", "tel", None, None, True), ("input", "textbox", "'Street'", "Street", "text", "street-address", None, True),
+    ("input", "textbox", "'Code ' || c_custkey", "", "text", None, None, True), ("input", "textbox", "'Town'", "", "text", None, None, True), ("input", "textbox", "'Left over'", "", "text", None, None, True), ("select", "combobox", "'Choice'", "Choice", None, None, None, True),
+    ("a", "link", "'See order ' || c_custkey", "", None, None, "'/c/' || c_custkey", False), ("button", "button", "'(' || c_custkey || ')'", "", None, None, None, False), ("button", "button", "'Send'", "", None, None, None, False),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey AS page_id, '{t}' AS tag, '{r}' AS role, {n} AS name, '{lab}' AS label_text, {quoted(i) if i else 'NULL'} AS input_type, {quoted(a) if a else 'NULL'} AS autocomplete, {h or 'NULL'} AS href, {f} AS in_form FROM customer" for t, r, n, lab, i, a, h, f in NAMED))
+def h2_named_elements(spark, sf):
+    """Elements of forms that Spark makes of customers, with the names that ids, labels, texts and hints give them."""
+    return H.named_elements(H.saying_parts(G.render_forms(table(spark, sf, "customer")))).drop("seq", "hidden")
+
+
+@query("""WITH RECURSIVE frames AS (SELECT c_custkey AS frame_id, CASE WHEN c_custkey % 97 = 0 OR c_custkey < 2 THEN NULL WHEN c_custkey % 89 = 0 THEN c_custkey ELSE c_custkey // 3 END AS parent_id, (c_custkey % 13 * 10)::DOUBLE AS x, CASE WHEN c_custkey % 7 > 0 THEN (c_custkey % 7)::DOUBLE END AS y FROM customer),
+  walk AS (SELECT frame_id, x AS dx, coalesce(y, 0) AS dy FROM frames WHERE parent_id IS NULL UNION ALL SELECT f.frame_id, w.dx + f.x, w.dy + coalesce(f.y, 0) FROM walk w JOIN frames f ON f.parent_id = w.frame_id)
+  SELECT o_orderkey AS box_id, frame_id, dx + o_orderkey % 31 AS left, dy + o_orderkey % 17 AS top FROM orders JOIN walk ON frame_id = o_custkey""")
+def h13_page_boxes(spark, sf):
+    """Boxes in nested frames, placed on the page."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    parent = F.when((k % 97 == 0) | (k < 2), None).when(k % 89 == 0, k).otherwise(F.floor(k / 3))
+    frames = table(spark, sf, "customer").select(k.alias("frame_id"), parent.alias("parent_id"), (k % 13 * 10).cast("double").alias("x"), F.when(k % 7 > 0, (k % 7).cast("double")).alias("y"))
+    boxes = table(spark, sf, "orders").select(o.alias("box_id"), F.col("o_custkey").alias("frame_id"), (o % 31).cast("double").alias("x"), (o % 17).cast("double").alias("y"), F.lit(10.0).alias("w"), F.lit(5.0).alias("h"))
+    return H.page_boxes(boxes, H.frame_offsets(frames)).select("box_id", "frame_id", "left", "top")

@@ -855,14 +855,14 @@ def h10_stable_ids(spark, sf):
     return H.stable_ids(before, rows.where("seq % 2 = 0"))
 
 
-BOXES = "boxes AS (SELECT o_orderkey AS id, (o_orderkey % 97) * 100 AS x, (o_orderkey * 53 % 311) * 10 AS y FROM orders)"
+BOXES = "boxes AS (SELECT o_custkey % 50 AS page_id, o_orderkey AS id, (o_orderkey % 97) * 100 AS x, (o_orderkey * 53 % 311) * 10 AS y FROM orders)"
 
 
-@query(f"""WITH {BOXES}, p AS (SELECT v.id AS value_id, l.id AS label_id, (v.x - l.x) ** 2 + (v.y - l.y) ** 2 AS far FROM boxes v JOIN boxes l ON v.id % 3 <> 0 AND l.id % 3 = 0 AND (l.y = v.y AND l.x < v.x AND v.x - l.x <= 120 OR l.x = v.x AND l.y < v.y AND v.y - l.y <= 120))
-  SELECT value_id, arg_min(label_id, (far, label_id)) AS label_id FROM p GROUP BY value_id""")
+@query(f"""WITH {BOXES}, p AS (SELECT v.page_id, v.id AS value_id, l.id AS label_id, (v.x - l.x) ** 2 + (v.y - l.y) ** 2 AS far FROM boxes v JOIN boxes l ON v.page_id = l.page_id AND v.id % 3 <> 0 AND l.id % 3 = 0 AND (l.y = v.y AND l.x < v.x AND v.x - l.x <= 120 OR l.x = v.x AND l.y < v.y AND v.y - l.y <= 120))
+  SELECT page_id, value_id, arg_min(label_id, (far, label_id)) AS label_id FROM p GROUP BY page_id, value_id""")
 def h12_nearest_label(spark, sf):
     k = F.col("o_orderkey")
-    boxes = table(spark, sf, "orders").select(k.alias("id"), ((k % 97) * 100).alias("x"), ((k * 53 % 311) * 10).alias("y"))
+    boxes = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("page_id"), k.alias("id"), ((k % 97) * 100).alias("x"), ((k * 53 % 311) * 10).alias("y"))
     return H.nearest_label(boxes.where("id % 3 <> 0").withColumnRenamed("id", "value_id"), boxes.where("id % 3 = 0").withColumnRenamed("id", "label_id"))
 
 
