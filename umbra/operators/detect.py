@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +23,36 @@ def luhn_valid(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+#: Places are summed up in blocks of so many pieces, so that thousands of matches in one text cost little more than so many times a few.
+BLOCK = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def starts(sizes: Column) -> Column:
+    """array<int>: the sum of all sizes before each one: those of whole blocks of blocks, of whole blocks, and of the block itself."""
+
+    def summed(x: Column, width: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / width).cast("int")), lambda b: F.aggregate(F.slice(x, b * width + 1, F.lit(width)), F.lit(0), lambda a, y: a + y))
+
+    def upto(x: Column, first: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(x, first + 1, i - first), F.lit(0), lambda a, y: a + y)
+
+    def of(sums: Column) -> Column:
+        def start(i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            c = F.floor(b / BLOCK).cast("int")
+            return upto(sums.tops, F.lit(0), c) + upto(sums.blocks, c * BLOCK, b) + upto(sums.sizes, b * BLOCK, i)
+
+        return F.transform(sums.sizes, lambda _, i: start(i))
+
+    blocks = _let(sizes, lambda x: F.struct(x.alias("sizes"), summed(x, BLOCK).alias("blocks")))
+    return _let(blocks, lambda s: _let(F.struct(s.sizes.alias("sizes"), s.blocks.alias("blocks"), summed(s.blocks, BLOCK).alias("tops")), of))
+
+
 def matches(text: Column, pattern: str, hint: str = "") -> Column:
     """array<struct<span_start, span_end, value, next>>: all matches with their places in code points.
 
@@ -29,12 +61,11 @@ def matches(text: Column, pattern: str, hint: str = "") -> Column:
     clean = F.translate(text, MARKS, "  ")
     pieces = F.split(F.regexp_replace(clean, f"({pattern})", "\x01$1\x02"), f"[{MARKS}]", -1)
 
-    def span(pieces: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: (F.pmod(i, F.lit(2)) == 1) & (i < F.size(pieces)))
-        start = lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
-        return F.transform(ends, lambda i: F.struct(start(i).alias("span_start"), (start(i) + F.length(pieces[i])).alias("span_end"), pieces[i].alias("value"), F.substring(pieces[i + 1], 1, 1).alias("next")))
+    def spans(p: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p.text) - 1, F.lit(1))), lambda i: (F.pmod(i, F.lit(2)) == 1) & (i < F.size(p.text)))
+        return F.transform(ends, lambda i: F.struct(p.at[i].alias("span_start"), (p.at[i] + F.length(p.text[i])).alias("span_end"), p.text[i].alias("value"), F.substring(p.text[i + 1], 1, 1).alias("next")))
 
-    found = F.transform(F.array(pieces), span)[0]
+    found = _let(pieces, lambda p: _let(F.struct(p.alias("text"), starts(F.transform(p, F.length)).alias("at")), spans))
     probable = F.contains(text, F.lit(hint)) if hint.isalpha() or hint == "@" else text.rlike(hint or pattern)
     return F.when(probable & text.rlike(pattern), found) if hint else F.when(text.rlike(pattern), found)
 
@@ -124,20 +155,28 @@ def bind_inline_key_values(units: DataFrame, labels: DataFrame) -> DataFrame:
     dictionary knows the one with the longest phrase counts, then the shortest. A value goes up to the end of its
     clause, 64 characters at most. A colon inside the value before it binds nothing.
     """
-    pieces = units.where(F.col("text").rlike("[:：]")).select("unit_id", "text", F.split("text", "[:：]", -1).alias("__p"))
-    colons = pieces.select("unit_id", "text", "__p", F.explode(F.sequence(F.lit(1), F.size("__p") - 1)).alias("__i"))
-    at = F.length(F.array_join(F.slice("__p", F.lit(1), F.col("__i")), " "))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_extract(F.element_at("__p", F.col("__i")), r"[^.,;\n]*$", 0), r"\s+", " ")), " ")
-    keyed = colons.select("unit_id", "text", at.alias("key_end"), words.alias("__w"))
-    tails = keyed.select("unit_id", "key_end", "__w", F.explode(F.sequence(F.lit(1), F.least(F.size("__w"), F.lit(KEY_WORDS)))).alias("n"))
-    phrases = tails.select("unit_id", "key_end", "n", F.array_join(F.slice("__w", F.size("__w") - F.col("n") + 1, F.col("n")), " ").alias("text")).where(F.length("text") >= 2)
+    words = lambda piece: F.split(F.trim(F.regexp_replace(F.regexp_extract(piece, r"[^.,;\n]*$", 0), r"\s+", " ")), " ")
+
+    def bound(p: Column) -> Column:
+        """Each colon with the last words before it and the first characters behind it; the text stays behind."""
+        heads = F.transform(p, lambda x: F.substring(x, 1, VALUE_CHARS))
+
+        def colon(at: Column, heads: Column, i: Column) -> Column:
+            lead = F.regexp_extract(p[i], r"^\s*", 0)
+            rest = F.concat(F.substring(p[i], F.length(lead) + 1, F.lit(VALUE_CHARS)), F.when(i + 1 < F.size(p), F.concat(F.lit(":"), F.array_join(F.slice(heads, i + 2, F.lit(VALUE_CHARS)), ":"))).otherwise(""))
+            return F.struct((at[i] - 1).alias("key_end"), (at[i] + F.length(lead)).alias("value_start"), F.slice(F.reverse(words(p[i - 1])), 1, KEY_WORDS).alias("__w"), F.substring(rest, 1, VALUE_CHARS).alias("__window"))
+
+        every = lambda s: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: colon(s.at, s.heads, i))
+        return _let(F.struct(starts(F.transform(p, lambda x: F.length(x) + 1)).alias("at"), heads.alias("heads")), every)
+
+    split = F.split("text", "[:：]", -1)
+    keyed = units.where(F.col("text").rlike("[:：]")).select("unit_id", F.inline(_let(split, bound)))
+    tails = keyed.select("unit_id", "key_end", "__w", F.explode(F.sequence(F.lit(1), F.size("__w"))).alias("n"))
+    phrases = tails.select("unit_id", "key_end", "n", F.array_join(F.reverse(F.slice("__w", F.lit(1), F.col("n"))), " ").alias("text")).where(F.length("text") >= 2)
     found = match_labels(phrases.select(F.struct("unit_id", "key_end", "n").alias("k"), "text"), labels, "k").where("rank = 1").select("k.*", "category", "phrase_len")
     best = found.groupBy("unit_id", "key_end").agg(F.min_by("category", F.struct(-F.col("phrase_len"), "n")).alias("category"))
-    rest = F.substring(F.col("text"), F.col("key_end") + 2, F.length("text"))
-    start = F.col("key_end") + 1 + F.length(F.regexp_extract(rest, r"^\s*", 0))
-    window = F.substring(F.col("text"), F.col("value_start") + 1, F.lit(VALUE_CHARS))
-    length = F.when(window.rlike(CLAUSE_END), F.length(F.regexp_extract(window, CLAUSE_END, 1))).otherwise(F.length(window))
-    valued = keyed.join(best, ["unit_id", "key_end"]).withColumn("value_start", start).withColumn("value_end", F.col("value_start") + length).where("value_end > value_start")
+    length = F.when(F.col("__window").rlike(CLAUSE_END), F.length(F.regexp_extract("__window", CLAUSE_END, 1))).otherwise(F.length("__window"))
+    valued = keyed.join(best, ["unit_id", "key_end"]).withColumn("value_end", F.col("value_start") + length).where("value_end > value_start")
     rows = valued.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("key_end", "category", "value_start", "value_end"))).alias("b"))
     none = F.struct(F.lit(0).alias("cursor"), F.slice("b", 1, 0).alias("kept"))
     step = lambda a, x: F.when(x.key_end >= a.cursor, F.struct(x.value_end.alias("cursor"), F.concat(a.kept, F.array(x)).alias("kept"))).otherwise(a)
@@ -160,8 +199,13 @@ def field_context(fields: DataFrame, labels: DataFrame) -> DataFrame:
 def places(text: Column, pattern: Column) -> Column:
     """array<struct<span_start, span_end>> of the matches of a pattern that differs by row, in code points."""
     found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    before = lambda i: F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
-    return F.transform(found, lambda m, i: F.struct(before(i).alias("span_start"), (before(i) + F.length(m)).alias("span_end")))
+
+    def spans(p: Column) -> Column:
+        sizes = F.transform(p.gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get(p.found, i)), F.lit(0)))
+        place = lambda at: F.transform(p.found, lambda m, i: F.struct((at[i] + F.length(p.gaps[i])).alias("span_start"), (at[i] + F.length(p.gaps[i]) + F.length(m)).alias("span_end")))
+        return _let(starts(sizes), place)
+
+    return _let(F.struct(found.alias("found"), gaps.alias("gaps")), spans)
 
 
 def unscanned_media(media: DataFrame) -> DataFrame:

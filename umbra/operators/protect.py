@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from umbra.sources.tables import stored
@@ -59,8 +60,20 @@ def decide(detections: DataFrame, policy: DataFrame, k: int = 3, overrides: dict
     return known.withColumns({"class": F.coalesce("class", F.lit("non_pii")), "action": action}).drop("risk_rank", "locked", "needed", "not_needed", "cond_then", "cond_else", "__identity", "__linked")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def compatible(value: Column) -> Column:
+    """A text in the compatibility form of Unicode (NFKC): full-width digits are digits, composed letters one character. Plain ASCII stays in the engine."""
+    other = value.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_nfkc(F.when(other, value)), value)
+
+
 def normalize_value(category: Column, value: Column) -> Column:
     """A value as equal values are compared."""
+    value = compatible(value)
     digits = F.regexp_replace(value, "[^0-9]", "")
     phone = F.when(digits.startswith("91") & (F.length(digits) > 10), F.right(digits, F.lit(10))).otherwise(digits)
     return (
@@ -91,12 +104,14 @@ def base32_prefix(hexadecimal: Column, chars: int = 8) -> Column:
 def tokenize(values: DataFrame, key: str, issued: DataFrame | None = None) -> DataFrame:
     """(category, normalized, token, origins): one keyed token for each value; equal values have equal tokens.
 
-    Categories that must never be held get none. A value whose token another one has, which was issued before or
+    Categories that must never be held get none, nor do uncertain detections (column certainty, or else a confidence below
+    0.6, where values have them) and null values. A value whose token another one has, which was issued before or
     comes first in order, is hashed again with a counter until no two are alike. Values in issued (category,
     normalized, token) keep the tokens that they have, so a value's token doesn't change as more values come.
     """
     normal = normalize_value(F.col("category"), F.col("value"))
-    distinct = values.where(~F.col("category").isin(*NEVER_TOKENS)).groupBy("category", normal.alias("normalized")).agg(F.sort_array(F.collect_set("origin")).alias("origins"))
+    sure = F.coalesce(F.col("certainty") != "uncertain", F.lit(True)) if "certainty" in values.columns else F.coalesce(F.col("confidence") >= 0.6, F.lit(True)) if "confidence" in values.columns else F.lit(True)
+    distinct = values.where(~F.col("category").isin(*NEVER_TOKENS) & sure & F.col("value").isNotNull()).groupBy("category", normal.alias("normalized")).agg(F.sort_array(F.collect_set("origin")).alias("origins"))
     names = ["category", "normalized"]
     made = []
     if issued is not None:
@@ -221,12 +236,16 @@ def carried(sanitized: DataFrame) -> DataFrame:
     return sanitized.groupBy("origin").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-def mask_plan(decisions: DataFrame) -> DataFrame:
-    """(unit_id, span_start, mask, label): how each protected span is masked, and its label from a closed vocabulary."""
+def mask_plan(decisions: DataFrame, vault: DataFrame) -> DataFrame:
+    """(unit_id, span_start, category, mask, label, token): how each protected span is masked; a label names the category and the id of the value's
+    token, or the category alone where the vault has none."""
     mask = F.when(F.col("action").isin("TOKEN", "TOKEN_WITH_APPROVAL"), "LABELLED_FILL").when(F.col("action") == "BLUR", "BLUR").when(F.col("action") == "FILL_REGION", "FILL_REGION").otherwise("FILL")
-    nth = F.row_number().over(Window.partitionBy("unit_id", "category").orderBy("span_start"))
-    label = F.when(mask == "LABELLED_FILL", F.concat(F.lit("["), "category", F.lit("#"), nth.cast("string"), F.lit("]")))
-    return decisions.where("action <> 'ALLOW'").select("unit_id", "span_start", mask.alias("mask"), label.alias("label"))
+    named = decisions.where("action <> 'ALLOW'").withColumn("normalized", normalize_value(F.col("category"), F.col("value"))).withColumn("mask", mask)
+    joined = named.join(vault.select("category", "normalized", F.col("token").alias("__token")), ["category", "normalized"], "left")
+    token = F.when(F.col("mask") == "LABELLED_FILL", F.col("__token"))
+    code = F.coalesce(F.concat(F.lit("#"), F.expr("substring(__token, length(__token) - 9, 8)")), F.lit(""))
+    label = F.when(F.col("mask") == "LABELLED_FILL", F.concat(F.lit("["), "category", code, F.lit("]")))
+    return joined.select("unit_id", "span_start", "category", "mask", label.alias("label"), token.alias("token"))
 
 
 def suppress_secret_values(fields: DataFrame, top: DataFrame) -> DataFrame:

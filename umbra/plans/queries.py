@@ -265,7 +265,7 @@ def _hmac_sql(message: str) -> str:
     return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
 
 
-VAULT = f"""vals AS (SELECT category, {normal_sql('category', 'value')} AS normalized, list_sort(list_distinct(list(origin))) AS origins FROM det WHERE category NOT IN ('PASSWORD', 'OTP', 'CVV', 'UPI_PIN', 'SECRET') GROUP BY ALL),
+VAULT = f"""vals AS (SELECT category, {normal_sql('category', 'value')} AS normalized, list_sort(list_distinct(list(origin))) AS origins FROM det WHERE confidence >= 0.6 AND category NOT IN ('PASSWORD', 'OTP', 'CVV', 'UPI_PIN', 'SECRET') GROUP BY ALL),
 hashed AS (SELECT *, ('0x' || substr({_hmac_sql("category || chr(0) || normalized")}, 1, 10))::BIGINT AS n FROM vals),
 vault AS (SELECT category, normalized, origins, '[[PII:' || category || ':' || array_to_string(list_transform(range(8), lambda i: substr('{P.BASE32}', ((n >> (35 - 5 * i)) & 31)::INT + 1, 1)), '') || ']]' AS token FROM hashed)"""
 VAULT = VAULT.replace("GROUP BY ALL", "GROUP BY 1, 2")
@@ -970,10 +970,40 @@ def p18_carried(spark, sf):
     return P.carried(redacted(spark, sf).select("origin", F.col("text_redacted").alias("text")))
 
 
-@query(f"""WITH {ORDERED} SELECT unit_id, span_start, CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN 'LABELLED_FILL' WHEN action IN ('BLUR', 'FILL_REGION') THEN action ELSE 'FILL' END AS mask,
-  CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN '[' || category || '#' || row_number() OVER (PARTITION BY unit_id, category ORDER BY span_start) || ']' END AS label FROM decided WHERE action <> 'ALLOW'""")
+PLANNED = f"""named AS (SELECT d.*, v.token FROM decided d LEFT JOIN vault v ON v.category = d.category AND v.normalized = {normal_sql('d.category', 'd.value')} WHERE action <> 'ALLOW')"""
+
+
+@query(f"""WITH {ORDERED}, {VAULT}, {PLANNED} SELECT unit_id, span_start, CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN 'LABELLED_FILL' WHEN action IN ('BLUR', 'FILL_REGION') THEN action ELSE 'FILL' END AS mask,
+  CASE WHEN action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') THEN '[' || category || coalesce('#' || substr(token, length(token) - 9, 8), '') || ']' END AS label FROM named""")
 def p12_mask_plan(spark, sf):
-    return P.mask_plan(decided(spark, sf))
+    found = detections(spark, sf)
+    return P.mask_plan(decided(spark, sf, found), P.tokenize(found, key_of(spark))).select("unit_id", "span_start", "mask", "label")
+
+
+@query(f"WITH {ORDERED}, {VAULT}, {PLANNED} SELECT unit_id, span_start, 'not_carried' AS fault FROM named WHERE action IN ('TOKEN', 'TOKEN_WITH_APPROVAL') AND token IS NOT NULL AND seq % 5 = 0")
+def l7_labels_of_plans(spark, sf):
+    """The labels of mask plans, checked against redactions of which every fifth was left out: their tokens are not in the text."""
+    out, spans, held = faulty(spark, sf)
+    carried = out.select("unit_id", F.explode(F.regexp_extract_all("text", F.lit(P.TOKEN), F.lit(0))).alias("token"))
+    return L.bad_mask_labels(P.mask_plan(spans, held), held, carried)
+
+
+WIDE = "translate({0}, '0123456789', '０１２３４５６７８９')"
+SPELT = f"""spelt AS (SELECT c_custkey, unnest([{{{{'category': 'PHONE', 'plain': lpad((c_custkey * 7919 % 1000000000)::VARCHAR, 10, '9')}}}}, {{{{'category': 'NAME', 'plain': 'josé ' || lower(c_name)}}}}, {{{{'category': 'CITY', 'plain': lower(c_mktsegment)}}}}]) AS v FROM customer)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {SPELT} SELECT c_custkey, v.category AS category, v.plain AS normalized FROM spelt")
+def p5_compatible_forms(spark, sf):
+    """Values in full-width digits, composed and decomposed letters and odd spaces, as they are compared."""
+    k = F.col("c_custkey")
+    phone = F.lpad((k * 7919 % 1000000000).cast("string"), 10, "9")
+    values = F.array(
+        F.struct(F.lit("PHONE").alias("category"), F.when(k % 2 == 0, F.translate(phone, "0123456789", "０１２３４５６７８９")).otherwise(phone).alias("value")),
+        F.struct(F.lit("NAME").alias("category"), F.concat(F.when(k % 2 == 0, "Jose\u0301").otherwise("JOSÉ"), F.when(k % 3 == 0, "\u3000").otherwise("  "), "c_name").alias("value")),
+        F.struct(F.lit("CITY").alias("category"), F.translate("c_mktsegment", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ").alias("value")),
+    )
+    rows = table(spark, sf, "customer").select(k, F.inline(values))
+    return rows.select(k, "category", P.normalize_value(F.col("category"), F.col("value")).alias("normalized"))
 
 
 @query(f"""WITH {LABELS}, {LABELLED}, t AS (SELECT unit_id, label AS text FROM labelled), top AS (SELECT unit_id, category FROM {label_match_sql('t')} WHERE rank = 1)
