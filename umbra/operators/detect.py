@@ -53,53 +53,59 @@ def starts(sizes: Column) -> Column:
     return _let(blocks, lambda s: _let(F.struct(s.sizes.alias("sizes"), s.blocks.alias("blocks"), summed(s.blocks, BLOCK).alias("tops")), of))
 
 
-def matches(text: Column, pattern: str, hint: str = "") -> Column:
-    """array<struct<span_start, span_end, value, next>>: all matches with their places in code points.
+def _spans(p: Column) -> Column:
+    """array<struct<span_start, span_end, value, next>> from the pieces of a text, of which every second one is a match."""
 
-    hint is a pattern that every match has in it and that most texts lack. Marks are put around the matches, and the pieces between marks are counted; pieces 2, 4, ... are matches.
+    def placed(at: Callable[[Column], Column]) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: (F.pmod(i, F.lit(2)) == 1) & (i < F.size(p)))
+        return F.transform(ends, lambda i: F.struct(at(i).alias("span_start"), (at(i) + F.length(p[i])).alias("span_end"), p[i].alias("value"), F.substring(p[i + 1], 1, 1).alias("next")))
+
+    few = placed(lambda i: F.length(F.array_join(F.slice(p, F.lit(1), i), "")))
+    return F.when(F.size(p) <= BLOCK, few).otherwise(_let(starts(F.transform(p, F.length)), lambda at: placed(lambda i: at[i])))
+
+
+def _pieces(rule: Rule) -> Column:
+    """The pieces of `text` between and inside the matches of a rule, or null where it has none.
+
+    A rule's hint is a pattern that every match has in it and that most texts lack. Marks are put around the matches, and the text is split at them.
     """
+    text, pattern, hint = F.col("text"), rule.spark_pattern, rule.hint
     clean = F.translate(text, MARKS, "  ")
     pieces = F.split(F.regexp_replace(clean, f"({pattern})", "\x01$1\x02"), f"[{MARKS}]", -1)
-
-    def spans(p: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p.text) - 1, F.lit(1))), lambda i: (F.pmod(i, F.lit(2)) == 1) & (i < F.size(p.text)))
-        return F.transform(ends, lambda i: F.struct(p.at[i].alias("span_start"), (p.at[i] + F.length(p.text[i])).alias("span_end"), p.text[i].alias("value"), F.substring(p.text[i + 1], 1, 1).alias("next")))
-
-    found = _let(pieces, lambda p: _let(F.struct(p.alias("text"), starts(F.transform(p, F.length)).alias("at")), spans))
     probable = F.contains(text, F.lit(hint)) if hint.isalpha() or hint == "@" else text.rlike(hint or pattern)
-    return F.when(probable & text.rlike(pattern), found) if hint else F.when(text.rlike(pattern), found)
+    on = probable & text.rlike(pattern) if hint else text.rlike(pattern)
+    return F.when((F.col("context") == rule.context) & on if rule.context else on, pieces)
 
 
-def _valid(rule: Rule, m: Column) -> Column:
-    value, digits = m.value, F.regexp_replace(m.value, "[ -]", "")
+def _valid(rules: tuple[Rule, ...]) -> Column:
+    """Whether a match (columns n, value and next) passes its rule's check."""
+    value, digits = F.col("value"), F.regexp_replace("value", "[ -]", "")
     checks = {
-        "": lambda: F.lit(True), "verhoeff": lambda: verhoeff_valid(digits), "digit": lambda: value.rlike("[0-9]"), "letter_digit": lambda: value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
-        "card": lambda: F.length(digits).between(13, 19) & luhn_valid(digits) & digits.rlike(CARD_PREFIX),
-        "upi": lambda: m.next != ".", "not_bh": lambda: ~F.upper(value).contains("BH"),
+        "verhoeff": verhoeff_valid(digits), "digit": value.rlike("[0-9]"), "letter_digit": value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
+        "card": F.length(digits).between(13, 19) & luhn_valid(digits) & digits.rlike(CARD_PREFIX),
+        "upi": F.col("next") != ".", "not_bh": ~F.upper(value).contains("BH"),
     }
-    return checks[rule.check]()
-
-
-def _found(rule: Rule) -> Column:
-    """array<struct<rule, category, span_start, span_end, value, confidence>>: the valid matches of a rule in `text`."""
-
-    def row(m: Column) -> Column:
-        handle = F.lower(F.element_at(F.split(m.value, "@"), -1))
-        confidence = F.when(handle.isin(*UPI_HANDLES), 0.9).otherwise(0.55) if rule.check == "upi" else F.lit(rule.confidence)
-        return F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.category).alias("category"), m.span_start.alias("span_start"), m.span_end.alias("span_end"), m.value.alias("value"), confidence.alias("confidence"))
-
-    found = F.transform(F.filter(matches(F.col("text"), rule.spark_pattern, rule.hint), lambda m: _valid(rule, m)), row)
-    none = F.array().cast("array<struct<rule:string,category:string,span_start:int,span_end:int,value:string,confidence:double>>")
-    return F.coalesce(F.when(F.col("context") == rule.context, found) if rule.context else found, none)
+    out = F.lit(True)
+    for name in sorted({r.check for r in rules if r.check}):
+        out = F.when(F.col("n").isin(*[i for i, r in enumerate(rules) if r.check == name]), checks[name]).otherwise(out)
+    return out
 
 
 def scan(units: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("unit_id", "origin")) -> DataFrame:
     """(unit_id, origin, rule, category, span_start, span_end, value, confidence): every valid match of every rule.
 
-    One pass over the units and no shuffle: each rule looks for its hint first, then for a match, then for places. Rules with a
-    context only read units whose `context` is theirs. A null text holds nothing.
+    One pass over the units and no shuffle: each rule looks for its hint first, then for a match, and only what it found is taken
+    apart. Rules with a context only read units whose `context` is theirs. A null text holds nothing.
     """
-    return units.select(*keep, F.inline(F.concat(*[_found(rule) for rule in rules])))
+    found = F.filter(F.array(*[F.struct(F.lit(i).alias("n"), _pieces(rule).alias("p")) for i, rule in enumerate(rules)]), lambda r: r.p.isNotNull())
+    spans = F.transform(found, lambda r: F.transform(_spans(r.p), lambda m: F.struct(r.n.alias("n"), m.span_start.alias("span_start"), m.span_end.alias("span_end"), m.value.alias("value"), m.next.alias("next"))))
+    rows = units.select(*keep, F.inline(F.flatten(spans))).where(_valid(rules))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("n") + 1)
+    confidence = of([float(r.confidence) for r in rules])
+    if handles := [i for i, r in enumerate(rules) if r.check == "upi"]:
+        known = F.lower(F.element_at(F.split("value", "@"), -1)).isin(*UPI_HANDLES)
+        confidence = F.when(F.col("n").isin(*handles), F.when(known, 0.9).otherwise(0.55)).otherwise(confidence)
+    return rows.select(*keep, of([r.name for r in rules]).alias("rule"), of([r.category for r in rules]).alias("category"), "span_start", "span_end", "value", confidence.alias("confidence"))
 
 
 def scan_context_rules(units: DataFrame) -> DataFrame:
@@ -166,8 +172,10 @@ def bind_inline_key_values(units: DataFrame, labels: DataFrame) -> DataFrame:
             rest = F.concat(F.substring(p[i], F.length(lead) + 1, F.lit(VALUE_CHARS)), F.when(i + 1 < F.size(p), F.concat(F.lit(":"), F.array_join(F.slice(heads, i + 2, F.lit(VALUE_CHARS)), ":"))).otherwise(""))
             return F.struct((at[i] - 1).alias("key_end"), (at[i] + F.length(lead)).alias("value_start"), F.slice(F.reverse(words(p[i - 1])), 1, KEY_WORDS).alias("__w"), F.substring(rest, 1, VALUE_CHARS).alias("__window"))
 
+        sizes = F.transform(p, lambda x: F.length(x) + 1)
+        few = F.transform(p, lambda x, i: F.length(F.array_join(F.slice(p, F.lit(1), i), "")) + i)
         every = lambda s: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: colon(s.at, s.heads, i))
-        return _let(F.struct(starts(F.transform(p, lambda x: F.length(x) + 1)).alias("at"), heads.alias("heads")), every)
+        return _let(F.struct(F.when(F.size(p) <= BLOCK, few).otherwise(starts(sizes)).alias("at"), heads.alias("heads")), every)
 
     split = F.split("text", "[:：]", -1)
     keyed = units.where(F.col("text").rlike("[:：]")).select("unit_id", F.inline(_let(split, bound)))
