@@ -108,10 +108,10 @@ def scan(units: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
     return rows.select(*keep, of([r.name for r in rules]).alias("rule"), of([r.category for r in rules]).alias("category"), "span_start", "span_end", "value", confidence.alias("confidence"))
 
 
-def scan_context_rules(units: DataFrame) -> DataFrame:
+def scan_context_rules(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "origin")) -> DataFrame:
     """Matches of the rules that need a label; units: unit_id, origin, context, text. A DOB context has dates of its own name."""
     dob = units.where("context = 'DOB'").withColumn("context", F.lit("DATE"))
-    return scan(units, CONTEXT_RULES).unionByName(scan(dob, tuple(r for r in CONTEXT_RULES if r.name == "date")).withColumn("category", F.lit("DOB")))
+    return scan(units, CONTEXT_RULES, keep).unionByName(scan(dob, tuple(r for r in CONTEXT_RULES if r.name == "date"), keep).withColumn("category", F.lit("DOB")))
 
 
 def find_shapes(units: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from umbra.functions import rules as R
-from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, evidence as V, pages as H, protect as P
+from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, evidence as V, layers as Y, pages as H, protect as P
 from umbra.plans.queries import (
-    CONTEXT_UNITS, DET, FAULTY, GEN, HIDDEN, KNOWN, LABELLED, LABELS, LOG, SHAPES, TOKEN_SQL, UNITS, VAULT, context_units, detections, faulty, identifiers, key_of, known_values, label_match_sql, labelled, log, normal_sql, query, quoted, rendered, truth, vault,
+    CONTEXT_UNITS, DET, FAULTY, GEN, HIDDEN, KNOWN, LABELLED, LABELS, LOG, POLICY, SHAPES, TOKEN_SQL, UNITS, VAULT, context_units, detections, faulty, identifiers, key_of, known_values, label_match_sql, labelled, log, normal_sql, query, quoted, rendered, scan_sql, truth, vault,
 )
 from umbra.sources.tables import stored, table, units
 
@@ -24,7 +24,7 @@ def keyed(spark, sf) -> DataFrame:
     return rows.select(F.concat(F.lit("cust:"), k).alias("unit_id"), F.concat(F.lit("Our records currently show "), "phrase", F.lit(": "), "c_name", F.lit(", and "), "c_mktsegment", F.lit(": x. Note: Ref: "), k, tail).alias("text"))
 
 
-@query(rf"""WITH RECURSIVE {LABELS}, {KEYED}, pieces AS (SELECT unit_id, text, string_split(text, ':') AS p FROM keyed),
+BOUND = rf"""pieces AS (SELECT unit_id, text, string_split(text, ':') AS p FROM {{source}}),
   colons AS (SELECT unit_id, text, p[i] AS piece, length(array_to_string(p[1:i], ':')) AS pos FROM (SELECT *, unnest(range(1, len(p))) AS i FROM pieces)),
   worded AS (SELECT *, string_split(trim(regexp_replace(regexp_extract(piece, '[^.,;\n]*$'), '\s+', ' ', 'g')), ' ') AS words FROM colons),
   tails AS (SELECT unit_id, pos, w, array_to_string(words[len(words) - w + 1:len(words)], ' ') AS text FROM (SELECT *, unnest(range(1, least(len(words), 6) + 1)) AS w FROM worded)),
@@ -36,7 +36,10 @@ def keyed(spark, sf) -> DataFrame:
   valued AS (SELECT unit_id, category, pos, value_start, value_start + CASE WHEN regexp_matches(win, '(?s)^(.*?)(?:,\s+and\s+|[;.]\s+|[.;]\z)') THEN length(regexp_extract(win, '(?s)^(.*?)(?:,\s+and\s+|[;.]\s+|[.;]\z)', 1)) ELSE length(win) END AS value_end FROM windowed),
   nth AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY pos) AS r FROM valued WHERE value_end > value_start),
   f AS (SELECT *, TRUE AS kept, value_end AS cursor FROM nth WHERE r = 1
-    UNION ALL SELECT n.*, n.pos >= f.cursor, CASE WHEN n.pos >= f.cursor THEN n.value_end ELSE f.cursor END FROM f JOIN nth n ON n.unit_id = f.unit_id AND n.r = f.r + 1)
+    UNION ALL SELECT n.*, n.pos >= f.cursor, CASE WHEN n.pos >= f.cursor THEN n.value_end ELSE f.cursor END FROM f JOIN nth n ON n.unit_id = f.unit_id AND n.r = f.r + 1)"""
+
+
+@query(rf"""WITH RECURSIVE {LABELS}, {KEYED}, {BOUND.replace('{source}', 'keyed')}
   SELECT unit_id, category, CAST(pos AS INT) AS key_end, CAST(value_start AS INT) AS value_start, CAST(value_end AS INT) AS value_end FROM f WHERE kept""")
 def d4_bind_inline_key_values(spark, sf):
     return D.bind_inline_key_values(keyed(spark, sf), R.load_labels(spark))
@@ -450,3 +453,45 @@ def h13_page_boxes(spark, sf):
     frames = table(spark, sf, "customer").select(k.alias("frame_id"), parent.alias("parent_id"), (k % 13 * 10).cast("double").alias("x"), F.when(k % 7 > 0, (k % 7).cast("double")).alias("y"))
     boxes = table(spark, sf, "orders").select(o.alias("box_id"), F.col("o_custkey").alias("frame_id"), (o % 31).cast("double").alias("x"), (o % 17).cast("double").alias("y"), F.lit(10.0).alias("w"), F.lit(5.0).alias("h"))
     return H.page_boxes(boxes, H.frame_offsets(frames)).select("box_id", "frame_id", "left", "top")
+
+
+# ---- one detection by all layers
+
+SCORE = f"CASE rule {' '.join(f'WHEN {quoted(r)} THEN {n}' for r, n in POINTS.items())} END + CASE WHEN bound IS NULL THEN 0 ELSE 3 END - CASE WHEN {' OR '.join(f'regexp_matches(trim(v), {quoted(x)})' for x in V.SHAPES)} THEN 3 ELSE 0 END - CASE WHEN n_targets >= 3 THEN 2 ELSE 0 END - CASE WHEN category = 'SECRET' AND regexp_matches(trim(v), {quoted(V.USERNAME)}) THEN 2 ELSE 0 END"
+CUT = "substr(text, {0} + 1, {1} - {0})"
+LAYERS = rf"""{GEN}, gen_units AS (SELECT unit_id, 'gen' AS origin, text FROM rendered), {LABELS}, {BOUND.replace('{source}', 'gen_units')},
+  bound AS (SELECT unit_id, category AS context, CAST(value_start AS INT) AS a, CAST(value_end AS INT) AS e FROM f WHERE kept),
+  bvals AS (SELECT unit_id || '|' || a AS unit_id, origin, context, {CUT.format('a', 'e')} AS text FROM bound JOIN gen_units USING (unit_id)), bdob AS (SELECT unit_id, origin, 'DATE' AS context, text FROM bvals WHERE context = 'DOB'),
+  in_context AS (SELECT * FROM ({scan_sql('bvals', R.CONTEXT_RULES)}) UNION ALL SELECT * REPLACE ('DOB' AS category) FROM ({scan_sql('bdob', tuple(r for r in R.CONTEXT_RULES if r.name == 'date'))})),
+  by_rule AS ({scan_sql('gen_units')}),
+  firm AS (SELECT * FROM by_rule UNION ALL SELECT split_part(unit_id, '|', 1), origin, 'context:' || rule, category, span_start + split_part(unit_id, '|', 2)::INT, span_end + split_part(unit_id, '|', 2)::INT, value, confidence FROM in_context),
+  hidden AS (SELECT category, value FROM ids WHERE category IN ('EMAIL', 'ORDER_ID', 'PHONE') AND regexp_extract(unit_id, '[0-9]+', 0)::INT % 3 = 0), outgoing AS (SELECT unit_id, text FROM gen_units), {KNOWN},
+  asked AS (SELECT DISTINCT b.unit_id, f.category, f.normalized, '(?i)\Q' || form || '\E' AS pattern FROM bared b JOIN forms f ON length(f.form) >= {L.MIN_CHARS} AND contains(b.low, f.form)
+    UNION SELECT DISTINCT b.unit_id, f.category, f.normalized, {SPACED.replace('digits', 'f.digits')} FROM bared b JOIN forms f ON length(f.digits) >= {L.MIN_DIGITS} AND contains(b.digits, f.digits)),
+  pieced AS (SELECT a.*, regexp_extract_all(u.text, pattern) AS m, string_split_regex(u.text, pattern) AS g FROM asked a JOIN gen_units u USING (unit_id)),
+  stood AS (SELECT DISTINCT unit_id, category, normalized, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i], '')) AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM pieced)),
+  reached AS (SELECT *, max(e) OVER (PARTITION BY unit_id, category, normalized ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM stood),
+  {SHAPES.replace('FROM units WHERE', 'FROM gen_units WHERE')}, counted AS (SELECT k.*, n_targets FROM (SELECT *, lower(regexp_replace(v, '\s', '', 'g')) AS n FROM shapes) k JOIN (SELECT origin, lower(regexp_replace(v, '\s', '', 'g')) AS n, count(DISTINCT unit_id) AS n_targets FROM shapes GROUP BY ALL) c ON c.origin = k.origin AND c.n = k.n),
+  scored AS (SELECT *, {SCORE} AS score FROM (SELECT c.*, b.context AS bound FROM counted c LEFT JOIN bound b ON b.unit_id = c.unit_id AND c.span_start >= b.a AND c.span_end <= b.e)),
+  layered AS (SELECT unit_id, origin, rule, category, span_start, span_end, value, confidence, confidence < 0.6 AS unsure FROM firm
+    UNION ALL SELECT unit_id, origin, 'label', context, a, e, {CUT.format('a', 'e')}, 0.65, FALSE FROM bound b JOIN gen_units USING (unit_id) WHERE NOT EXISTS (SELECT 1 FROM firm x WHERE x.unit_id = b.unit_id AND x.span_start < b.e AND b.a < x.span_end)
+    UNION ALL SELECT unit_id, origin, 'vault', category, s, e, {CUT.format('s', 'e')}, 1.0, FALSE FROM reached JOIN gen_units USING (unit_id) WHERE reach IS NULL OR e > reach
+    UNION ALL SELECT unit_id, origin, 'evidence:' || rule, coalesce(bound, category), span_start, span_end, v, round(CASE WHEN score >= 5 THEN least(0.95, 0.75 + 0.05 * (score - 5)) ELSE least(0.55, 0.15 * score) END, 6), score < 5 FROM scored WHERE score >= 3),
+  {POLICY}, ranked AS (SELECT d.*, coalesce(risk_rank, 99) AS risk_rank FROM layered d LEFT JOIN policy USING (category)),
+  reach2 AS (SELECT *, max(span_end) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranked),
+  islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule) AS island FROM reach2)
+  SELECT unit_id, origin, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(category, (unsure, category <> 'SECRET', risk_rank, span_start, rule)) AS category, round(1 - product(1 - confidence), 6) AS confidence,
+    CASE WHEN bool_and(unsure) THEN 'uncertain' ELSE 'detected' END AS certainty, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, CASE WHEN max(span_end - span_start) = max(span_end) - min(span_start) THEN arg_max(value, span_end - span_start) END AS value FROM islands GROUP BY unit_id, origin, island"""
+
+
+def layered(spark, sf) -> DataFrame:
+    """What all layers find in the generated texts; every third customer's address, order and phone are known before."""
+    texts = rendered(spark, sf).select("unit_id", F.lit("gen").alias("origin"), "text")
+    ids = identifiers(spark, sf).where("category in ('EMAIL', 'ORDER_ID', 'PHONE')").where(F.regexp_extract("unit_id", "[0-9]+", 0).cast("int") % 3 == 0)
+    known = ids.select("category", P.normalize_value(F.col("category"), F.col("value")).alias("normalized"), "value").distinct()
+    return Y.detect_layers(texts, R.load_labels(spark), known)
+
+
+@query(f"WITH RECURSIVE {LAYERS}")
+def d18_merge_layers(spark, sf):
+    return D.merge_spans(layered(spark, sf), R.load_policy(spark))
