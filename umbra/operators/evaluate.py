@@ -155,4 +155,7 @@ def faceted_metrics(truth: DataFrame, hits: DataFrame) -> DataFrame:
 
 def layer_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     """The spans that b has and a lacks (change: added) and the other way round (lost), each as often as it is more."""
-    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("lost")))
+    both = a.withColumn("__n", F.lit(-1)).unionByName(b.withColumn("__n", F.lit(1)))
+    more = both.groupBy(*a.columns).agg(F.sum("__n").cast("int").alias("__n")).where("__n <> 0")
+    change = F.when(F.col("__n") > 0, "added").otherwise("lost")
+    return more.select(*a.columns, change.alias("change"), F.explode(F.array_repeat(F.lit(1), F.abs("__n")))).drop("col")

@@ -459,7 +459,7 @@ def h13_page_boxes(spark, sf):
 
 SCORE = f"CASE rule {' '.join(f'WHEN {quoted(r)} THEN {n}' for r, n in POINTS.items())} END + CASE WHEN bound IS NULL THEN 0 ELSE 3 END - CASE WHEN {' OR '.join(f'regexp_matches(trim(v), {quoted(x)})' for x in V.SHAPES)} THEN 3 ELSE 0 END - CASE WHEN n_targets >= 3 THEN 2 ELSE 0 END - CASE WHEN category = 'SECRET' AND regexp_matches(trim(v), {quoted(V.USERNAME)}) THEN 2 ELSE 0 END"
 CUT = "substr(text, {0} + 1, {1} - {0})"
-LAYERS = rf"""{GEN}, gen_units AS (SELECT unit_id, 'gen' AS origin, text FROM rendered), {LABELS}, {BOUND.replace('{source}', 'gen_units')},
+LAYERS = rf"""{GEN}, gen_units AS (SELECT unit_id, 'gen' AS origin, text || 'paid INR ' || regexp_extract(unit_id, '[0-9]+', 0) || ' on the way' AS text FROM rendered), {LABELS}, {BOUND.replace('{source}', 'gen_units')},
   bound AS (SELECT unit_id, category AS context, CAST(value_start AS INT) AS a, CAST(value_end AS INT) AS e FROM f WHERE kept),
   bvals AS (SELECT unit_id || '|' || a AS unit_id, origin, context, {CUT.format('a', 'e')} AS text FROM bound JOIN gen_units USING (unit_id)), bdob AS (SELECT unit_id, origin, 'DATE' AS context, text FROM bvals WHERE context = 'DOB'),
   in_context AS (SELECT * FROM ({scan_sql('bvals', R.CONTEXT_RULES)}) UNION ALL SELECT * REPLACE ('DOB' AS category) FROM ({scan_sql('bdob', tuple(r for r in R.CONTEXT_RULES if r.name == 'date'))})),
@@ -477,21 +477,38 @@ LAYERS = rf"""{GEN}, gen_units AS (SELECT unit_id, 'gen' AS origin, text FROM re
     UNION ALL SELECT unit_id, origin, 'label', context, a, e, {CUT.format('a', 'e')}, 0.65, FALSE FROM bound b JOIN gen_units USING (unit_id) WHERE NOT EXISTS (SELECT 1 FROM firm x WHERE x.unit_id = b.unit_id AND x.span_start < b.e AND b.a < x.span_end)
     UNION ALL SELECT unit_id, origin, 'vault', category, s, e, {CUT.format('s', 'e')}, 1.0, FALSE FROM reached JOIN gen_units USING (unit_id) WHERE reach IS NULL OR e > reach
     UNION ALL SELECT unit_id, origin, 'evidence:' || rule, coalesce(bound, category), span_start, span_end, v, round(CASE WHEN score >= 5 THEN least(0.95, 0.75 + 0.05 * (score - 5)) ELSE least(0.55, 0.15 * score) END, 6), score < 5 FROM scored WHERE score >= 3),
-  {POLICY}, ranked AS (SELECT d.*, coalesce(risk_rank, 99) AS risk_rank FROM layered d LEFT JOIN policy USING (category)),
-  reach2 AS (SELECT *, max(span_end) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranked),
-  islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule) AS island FROM reach2)
-  SELECT unit_id, origin, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(category, (unsure, category <> 'SECRET', risk_rank, span_start, rule)) AS category, round(1 - product(1 - confidence), 6) AS confidence,
-    CASE WHEN bool_and(unsure) THEN 'uncertain' ELSE 'detected' END AS certainty, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, CASE WHEN max(span_end - span_start) = max(span_end) - min(span_start) THEN arg_max(value, span_end - span_start) END AS value FROM islands GROUP BY unit_id, origin, island"""
+  {POLICY}"""
+
+
+def merge_sql(name: str, source: str) -> str:
+    return f"""{name}_ranked AS (SELECT d.*, coalesce(risk_rank, 99) AS risk_rank FROM {source} d LEFT JOIN policy USING (category)),
+  {name}_reach AS (SELECT *, max(span_end) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}_ranked),
+  {name}_islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY span_start, span_end, rule) AS island FROM {name}_reach),
+  {name} AS (SELECT unit_id, origin, min(span_start) AS span_start, max(span_end) AS span_end, arg_min(category, (unsure, category <> 'SECRET', risk_rank, span_start, rule)) AS category, round(1 - product(1 - confidence), 6) AS confidence,
+    CASE WHEN bool_and(unsure) THEN 'uncertain' ELSE 'detected' END AS certainty, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, CASE WHEN max(span_end - span_start) = max(span_end) - min(span_start) THEN arg_max(value, span_end - span_start) END AS value FROM {name}_islands GROUP BY unit_id, origin, island)"""
 
 
 def layered(spark, sf) -> DataFrame:
-    """What all layers find in the generated texts; every third customer's address, order and phone are known before."""
-    texts = rendered(spark, sf).select("unit_id", F.lit("gen").alias("origin"), "text")
+    """What all layers find in the generated texts, which end with an amount that no label names; every third customer's address, order and phone are known before."""
+    amount = F.concat("text", F.lit("paid INR "), F.regexp_extract("unit_id", "[0-9]+", 0), F.lit(" on the way"))
+    texts = rendered(spark, sf).select("unit_id", F.lit("gen").alias("origin"), amount.alias("text"))
     ids = identifiers(spark, sf).where("category in ('EMAIL', 'ORDER_ID', 'PHONE')").where(F.regexp_extract("unit_id", "[0-9]+", 0).cast("int") % 3 == 0)
     known = ids.select("category", P.normalize_value(F.col("category"), F.col("value")).alias("normalized"), "value").distinct()
     return Y.detect_layers(texts, R.load_labels(spark), known)
 
 
-@query(f"WITH RECURSIVE {LAYERS}")
+@query(f"WITH RECURSIVE {LAYERS}, {merge_sql('whole', 'layered')} SELECT * FROM whole")
 def d18_merge_layers(spark, sf):
     return D.merge_spans(layered(spark, sf), R.load_policy(spark))
+
+
+ARM = "SELECT unit_id, span_start, span_end, category, certainty FROM"
+
+
+@query(f"""WITH RECURSIVE {LAYERS}, {merge_sql('whole', 'layered')}, plain AS (SELECT * FROM layered WHERE NOT starts_with(rule, 'evidence:')), {merge_sql('base', 'plain')}
+  SELECT *, 'added' AS change FROM ({ARM} whole EXCEPT ALL {ARM} base) UNION ALL SELECT *, 'lost' FROM ({ARM} base EXCEPT ALL {ARM} whole)""")
+def e10_whole_detections(spark, sf):
+    """What the evidence layer changes in whole detections, of which each is merged for itself: spans it adds, and spans that go because they grow or get sure."""
+    spans, policy, columns = stored(layered(spark, sf)), R.load_policy(spark), ("unit_id", "span_start", "span_end", "category", "certainty")
+    base = D.merge_spans(spans.where("source <> 'evidence'"), policy)
+    return E.layer_changes(base.select(*columns), D.merge_spans(spans, policy).select(*columns))
