@@ -113,7 +113,7 @@ def t6_origin_stream(spark, sf):
 @query(f"WITH {DET}, {VAULT} SELECT category, normalized, token, unnest(origins) AS origin FROM vault")
 def t7_tokenize_stream(spark, sf):
     """The vault of p6_tokenize, one row for each origin of a value, from a stream of detections."""
-    rows = detections(spark, sf).select("unit_id", "category", "value", "origin")
+    rows = detections(spark, sf).where("confidence >= 0.6").select("unit_id", "category", "value", "origin")
     return replayed(rows, F.pmod(F.hash("unit_id"), F.lit(3)), 3, lambda s: V.tokenize_stream(s.drop("unit_id"), key_of(spark)), "tokens")
 
 
