@@ -33,3 +33,18 @@ def test_evidence(spark):
     df = spark.createDataFrame(rows, "id int, category string, value string, strength string, checksum string, bound string, autocomplete string, container string, n_targets int")
     got = {r.id: (r.claimed, r.score, r.verdict) for r in V.score_evidence(df).collect()}
     assert got == {1: ("SECRET", -1, "NOT_DETECTED"), 2: ("UAN", 8, "DETECTED"), 3: ("UAN", 3, "UNCERTAIN"), 4: ("CITY", 4, "UNCERTAIN")}
+
+
+def test_names_by_reference(spark):
+    html = '<p id="a">One</p><p id="a">Twice</p><div id="b">Two <b>more</b></div><label for="f">For it</label><input id="f" aria-labelledby=" b a x " title="t"><label>Around <input></label><input aria-label=" " placeholder="P"><button><img alt="x">Go</button><input>'
+    other = '<input id="f" aria-labelledby="a b">'
+    rows = H.named_elements(H.saying_parts(spark.createDataFrame([(1, html), (2, other), (None, other), (3, None)], "page_id long, html string"))).collect()
+    assert [(r.name, r.label_text) for r in sorted((r for r in rows if r.page_id == 1), key=lambda r: r.seq)] == [("Two more One", "For it"), ("Around", "Around"), ("P", ""), ("Go", ""), ("", "")]
+    assert [r.name for r in rows if r.page_id != 1] == ["", ""]
+
+
+def test_boxes_of_nested_frames(spark):
+    frames = spark.createDataFrame([(1, None, 5.0, 1.0), (2, 1, 10.0, None), (3, 2, 1.0, 1.0), (4, 5, 0.0, 0.0), (5, 4, 0.0, 0.0), (6, 99, 0.0, 0.0)], "frame_id long, parent_id long, x double, y double")
+    boxes = spark.createDataFrame([(i, 2.0, 3.0) for i in range(1, 8)], "frame_id long, x double, y double")
+    got = {r.frame_id: (r.left, r.top) for r in H.page_boxes(boxes, H.frame_offsets(frames)).collect()}
+    assert got == {1: (7.0, 4.0), 2: (17.0, 4.0), 3: (18.0, 5.0)}

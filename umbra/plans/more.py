@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from umbra.functions import rules as R
 from umbra.operators import actions as A, audit as L, corpus as G, detect as D, evaluate as E, evidence as V, layers as Y, pages as H, protect as P
 from umbra.plans.queries import (
-    CONTEXT_UNITS, DET, FAULTY, GEN, HIDDEN, KNOWN, LABELLED, LABELS, LOG, POLICY, SHAPES, TOKEN_SQL, UNITS, VAULT, context_units, detections, faulty, identifiers, key_of, known_values, label_match_sql, labelled, log, normal_sql, query, quoted, rendered, scan_sql, truth, vault,
+    CONTEXT_UNITS, DET, FAULTY, GEN, HIDDEN, KNOWN, LABELLED, LABELS, LOG, POLICY, SHAPES, TOKEN_SQL, UNITS, VAULT, context_units, detections, faulty, identifiers, known_values, label_match_sql, labelled, log, normal_sql, query, quoted, rendered, scan_sql, truth, vault,
 )
 from umbra.sources.tables import stored, table, units
 
