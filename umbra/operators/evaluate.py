@@ -7,11 +7,14 @@ from pyspark.sql.window import Window
 
 
 def match_truth(detections: DataFrame, truth: DataFrame) -> DataFrame:
-    """(unit_id, ann_id, category): annotations that a detection overlaps and contains or is contained in."""
+    """(unit_id, ann_id, category): annotations that a detection overlaps and contains or is contained in.
+
+    Sides that grow are merged, here and below: Spark's estimates don't know how many rows a list is taken apart into, and would broadcast millions.
+    """
     t = truth.select("unit_id", "ann_id", F.col("span_start").alias("ts"), F.col("span_end").alias("te"), F.lower("value").alias("tv"))
     hit = (F.col("span_start") < F.col("te")) & (F.col("ts") < F.col("span_end"))
     value = F.lower("value")
-    return detections.join(t, "unit_id").where(hit & (value.contains(F.col("tv")) | F.contains("tv", value))).select("unit_id", "ann_id", "category")
+    return detections.join(t.hint("merge"), "unit_id").where(hit & (value.contains(F.col("tv")) | F.contains("tv", value))).select("unit_id", "ann_id", "category")
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
@@ -19,13 +22,16 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 
 
 def _counts(truth: DataFrame, hits: DataFrame) -> DataFrame:
-    """(category, tp, fp, fn) rows, to be summed; a wrong category is a false positive there and a miss here."""
-    h = dedup_hits(hits)
-    right = h.join(truth.select("unit_id", "ann_id", "category"), ["unit_id", "ann_id", "category"], "left_semi")
-    wrong = h.join(truth.select("unit_id", "ann_id", "category"), ["unit_id", "ann_id", "category"], "left_anti")
-    missed = truth.where("category <> 'NONE'").join(right, ["unit_id", "ann_id", "category"], "left_anti")
-    rows = lambda df, tp, fp, fn: df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select("category", (F.col("n") * tp).alias("tp"), (F.col("n") * fp).alias("fp"), (F.col("n") * fn).alias("fn"))
-    return rows(right, 1, 0, 0).unionByName(rows(wrong, 0, 1, 0)).unionByName(rows(missed, 0, 0, 1))
+    """(category, tp, fp, fn) rows, to be summed; a wrong category is a false positive there and a miss here.
+
+    Truth and hits meet by one grouping, of which the partial sums are all that is shuffled; what has a null in its key is like nothing.
+    """
+    key = ["unit_id", "ann_id", "category"]
+    both = truth.select(*key, F.lit(1).alias("__t"), F.lit(0).alias("__h")).unionByName(hits.select(*key, F.lit(0).alias("__t"), F.lit(1).alias("__h")))
+    sums = both.groupBy(*key).agg(F.sum("__t").alias("__t"), F.max("__h").alias("__h"))
+    right = (F.col("__t") > 0) & (F.col("__h") > 0) & F.col("unit_id").isNotNull() & F.col("ann_id").isNotNull() & F.col("category").isNotNull()
+    counted = sums.select("category", right.cast("long").alias("tp"), ((F.col("__h") > 0) & ~right).cast("long").alias("fp"), F.when(~right & (F.col("category") != "NONE"), F.col("__t")).otherwise(0).alias("fn"))
+    return counted.where("tp + fp + fn > 0").groupBy("category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def precision_recall(truth: DataFrame, hits: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def scored_categories(truth: DataFrame, hits: DataFrame) -> DataFrame:
 def error_rows(truth: DataFrame, hits: DataFrame) -> DataFrame:
     """(unit_id, ann_id, expected, detected): annotations whose detected categories aren't just the expected one."""
     found = dedup_hits(hits).groupBy("unit_id", "ann_id").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("detected"))
-    joined = truth.join(found, ["unit_id", "ann_id"], "left").select("unit_id", "ann_id", F.col("category").alias("expected"), F.coalesce("detected", F.lit("")).alias("detected"))
+    joined = truth.join(found.hint("merge"), ["unit_id", "ann_id"], "left").select("unit_id", "ann_id", F.col("category").alias("expected"), F.coalesce("detected", F.lit("")).alias("detected"))
     return joined.where("expected <> detected")
 
 
@@ -83,8 +89,8 @@ def coverage(truth: DataFrame, refused: DataFrame) -> DataFrame:
 
 def replay_diff(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """(unit_id, category, was, now): where the number of detections of a category at a unit has changed."""
-    n = lambda df, name: df.groupBy("unit_id", "category").agg(F.count(F.lit(1)).alias(name))
-    return n(recorded, "was").join(n(current, "now"), ["unit_id", "category"], "full").fillna(0, ["was", "now"]).where("was <> now")
+    n = lambda df, was, now: df.select("unit_id", "category", F.lit(was).alias("was"), F.lit(now).alias("now"))
+    return n(recorded, 1, 0).unionByName(n(current, 0, 1)).groupBy("unit_id", "category").agg(F.sum("was").alias("was"), F.sum("now").alias("now")).where("was <> now")
 
 
 def false_success_rate(runs: DataFrame) -> DataFrame:
@@ -145,12 +151,13 @@ def changed_decisions(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def faceted_metrics(truth: DataFrame, hits: DataFrame) -> DataFrame:
     """(label, construct, tp, fp, fn, precision, recall) for each facet and over each (null); truth also has label and construct."""
-    facets = truth.select("unit_id", "ann_id", "label", "construct", F.col("category").alias("__is"))
-    found = dedup_hits(hits).join(facets, ["unit_id", "ann_id"])
-    right = F.col("category") == F.col("__is")
-    seen = found.select("label", "construct", right.cast("int").alias("tp"), (~right).cast("int").alias("fp"), F.lit(0).alias("fn"))
-    missed = truth.join(dedup_hits(hits), ["unit_id", "ann_id", "category"], "left_anti").select("label", "construct", F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("fn"))
-    return _ratios(seen.unionByName(missed).cube("label", "construct").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "label", "construct")
+    found = hits.groupBy("unit_id", "ann_id").agg(F.collect_set("category").alias("__found"))
+    none = F.array().cast("array<string>")
+    seen = truth.join(found.hint("merge"), ["unit_id", "ann_id"], "left").withColumn("__found", F.coalesce("__found", none))
+    right = F.coalesce(F.array_contains("__found", F.col("category")), F.lit(False)).cast("int")
+    wrong = F.when(F.col("category").isNull(), 0).otherwise(F.size("__found") - right)
+    counted = seen.select("label", "construct", right.alias("tp"), wrong.alias("fp"), (1 - right).alias("fn"))
+    return _ratios(counted.cube("label", "construct").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "label", "construct")
 
 
 def layer_changes(a: DataFrame, b: DataFrame) -> DataFrame:
