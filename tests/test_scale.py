@@ -1,0 +1,54 @@
+"""Plans that stay within bounds when their tables grow: nothing that grows is broadcast, nothing is worked out twice, and cores share the work."""
+
+import pytest
+
+import __spark_entry__ as entry
+from umbra.operators import detect, evaluate, pages
+from umbra.sources.tables import spread
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def eager(spark):
+    """A session that broadcasts whatever it takes for less than 1 GB, as it takes lists for one row each."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def plan(df, kind="executedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+@pytest.mark.parametrize("name", ["g5_derive_tasks", "g3_render_labelled_text", "g7_truth_agreement", "e1_match_truth", "e2_dedup_hits", "e3_precision_recall", "e4_scored_categories", "e5_error_rows", "e7_metrics_by_mode", "e11_replay_diff", "e17_faceted_metrics", "d17_residual_label_fallback"])
+def test_generated_rows_are_not_broadcast(eager, name):
+    assert "Broadcast" not in plan(entry.queries()[name](eager, SF))
+
+
+def test_texts_are_scanned_once(spark):
+    units = spark.createDataFrame([("a", "o", "mail a.b@example.org"), ("b", "o", None), ("c", "o", "none")], "unit_id string, origin string, text string")
+    found = detect.scan(units)
+    assert "Filter (size(" not in plan(found, "optimizedPlan")
+    assert [(r.unit_id, r.category) for r in found.collect()] == [("a", "EMAIL")]
+
+
+def test_counts_of_truth_and_hits_with_nulls_and_repeats(spark):
+    truth = spark.createDataFrame([("u", 1, "A"), ("u", 2, "B"), ("u", 3, "NONE"), ("u", 4, "A"), (None, 5, "A")], "unit_id string, ann_id long, category string")
+    hits = spark.createDataFrame([("u", 1, "A"), ("u", 1, "A"), ("u", 2, "A"), ("u", 3, "B"), (None, 5, "A")], "unit_id string, ann_id long, category string")
+    got = {r.category: (r.tp, r.fp, r.fn) for r in evaluate.precision_recall(truth, hits).collect()}
+    assert got == {"A": (1, 2, 2), "B": (0, 1, 1), None: (1, 3, 3)}
+
+
+def test_small_files_are_dealt_over_the_cores(spark):
+    assert spread(spark.range(0, 100, 1, 1), 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, 1), 10).rdd.getNumPartitions() == max(10, spark.sparkContext.defaultParallelism)
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    n = 3 * pages.PAGES_A_BATCH + 1
+    html = spark.range(0, n, 1, 1).selectExpr("id as page_id", "concat('<p>Text ', id, '</p><img src=x>') as html")
+    got = pages.page_parts(html).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"block": n, "media": n}
