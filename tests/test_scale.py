@@ -76,3 +76,8 @@ def test_values_of_necessity_are_those_a_vault_holds(spark, tmp_path):
     want = {tuple(r) for r in con.execute(f"SELECT unit_id, rule, span_start, needed_by_task FROM ({entry.oracle_sql()['p2_necessity']})").fetchall()}
     got = {tuple(r) for r in entry.queries()["p2_necessity"](spark, str(tmp_path / "sf")).select("unit_id", "rule", "span_start", "needed_by_task").collect()}
     assert got == want and {"upi", "secret"} <= {r[1] for r in got}
+
+
+def test_turned_hashes_are_not_broadcast(eager):
+    got = entry.queries()["a16_near_hashes"](eager, SF)
+    assert "Broadcast" not in plan(got)

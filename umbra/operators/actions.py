@@ -126,7 +126,8 @@ def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:
 
     56 bits fall into so few parts that a pair differs by at most two bits in one of them. Each hash asks for its
     parts as they are and with each bit and each pair of bits turned, so parts stay wide and few hashes share one;
-    equal hashes are joined once.
+    equal hashes are joined once. What is asked for is hundreds of rows a hash, for which Spark's estimate takes one: it
+    streams past the hashes of a partition and is never broadcast.
     """
     parts = most // 3 + 1
     edges = [56 * i // parts for i in range(parts + 1)]
@@ -138,8 +139,8 @@ def near_hashes(hashes: DataFrame, most: int = 5) -> DataFrame:
     other = own.select(F.col("rep").alias("b"), F.col("dhash").alias("__h"), "part", F.col("bits").alias("__bits"), F.explode(F.array(*[F.lit(t).cast("long") for t in turned])).alias("__t"))
     asked = other.select("b", "__h", "part", F.col("__bits").bitwiseXOR(F.col("__t")).alias("bits"))
     distance = F.bit_count(F.col("dhash").bitwiseXOR(F.col("__h")))
-    pairs = own.join(asked, ["part", "bits"]).where("rep < b").where(distance <= most).select(F.col("rep").alias("a"), "b", distance.alias("distance")).distinct()
-    copies = hashes.join(reps, "dhash").where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"), F.lit(0).alias("distance"))
+    pairs = asked.join(own.hint("shuffle_hash"), ["part", "bits"]).where("rep < b").where(distance <= most).select(F.col("rep").alias("a"), "b", distance.alias("distance")).distinct()
+    copies = hashes.join(reps.hint("merge"), "dhash").where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"), F.lit(0).alias("distance"))
     return pairs.unionByName(copies)
 
 
