@@ -25,7 +25,7 @@ def labelled_values(units: DataFrame, labels: DataFrame) -> DataFrame:
 def evidence_spans(units: DataFrame, values: DataFrame) -> DataFrame:
     """Label-free shapes that their evidence makes detected or uncertain; one inside a labelled value is claimed by that label."""
     shapes = detect.repeat_index(stored(detect.find_shapes(units)))
-    inside = values.select(F.col("unit_id").alias("__u"), F.col("context").alias("bound"), F.col("value_start").alias("__a"), F.col("value_end").alias("__e"))
+    inside = values.select(F.col("unit_id").alias("__u"), F.col("context").alias("bound"), F.col("value_start").alias("__a"), F.col("value_end").alias("__e")).hint("merge")
     joined = shapes.join(inside, (F.col("unit_id") == F.col("__u")) & (F.col("span_start") >= F.col("__a")) & (F.col("span_end") <= F.col("__e")), "left")
     strength = F.create_map(*[F.lit(x) for kv in STRENGTHS.items() for x in kv])[F.col("rule")]
     none = F.lit(None).cast("string")
@@ -40,13 +40,14 @@ def detect_layers(units: DataFrame, labels: DataFrame, vault: DataFrame) -> Data
     units: unit_id, origin, text; vault: category, normalized and value of known values. Rules read the whole text, and those that need a
     context the values behind labels; a labelled value that neither touches counts by its label alone. Spans of different layers may overlap.
     """
+    units = stored(units).hint("merge")  # texts grow and are joined by their id; Spark takes made ones for small
     values = stored(labelled_values(units, labels))
     sure = F.when(F.col("confidence") >= 0.6, "detected").otherwise("uncertain")
     rules = stored(detect.scan(units))
     context = detect.scan_context_rules(values, ("unit_id", "origin", "value_start")).withColumns({"span_start": F.col("span_start") + F.col("value_start"), "span_end": F.col("span_end") + F.col("value_start"), "rule": F.concat(F.lit("context:"), "rule")})
     firm = stored(rules.select(*SPAN[:8]).unionByName(context.select(*SPAN[:8])))
     bindings = values.select("unit_id", F.col("context").alias("category"), F.col("value_start").alias("span_start"), F.col("value_end").alias("span_end"))
-    left = detect.residual_label_fallback(bindings, firm).join(values.select("unit_id", "origin", F.col("value_start").alias("span_start"), F.col("text").alias("value")), ["unit_id", "span_start"])
+    left = detect.residual_label_fallback(bindings, firm).join(values.select("unit_id", "origin", F.col("value_start").alias("span_start"), F.col("text").alias("value")).hint("merge"), ["unit_id", "span_start"])
     known = audit.scan_known_values(units, vault).join(units.select("unit_id", "origin", "text"), "unit_id")
     known = known.withColumn("value", F.substring(F.col("text"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")))
     of = lambda df, **cols: df.withColumns({k: v if not isinstance(v, str) else F.lit(v) for k, v in cols.items()}).select(*SPAN)
