@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,23 @@ def test_quirks_are_kept(spark):
     assert [g[1] for g in got if g[0] == 3] == ["AADHAAR"]
 
 
+def test_spelt_patterns_match_what_the_patterns_do():
+    both = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    parts = ["2345 6789 0123", "XXXX-XXXX-1234", "ABCPE1234F", "4111 1111 1111 1111", "a.b@c.com", "x_y@ybl", "+91 98765 43210", "ABCD0123456", "12BH1234AB", "MH 12 AB 1234", "12/05/1990", "3 Mar 2019", "ABC1234567", "eyJa.b.c", *"Aa09_-.@ ,é+/*X"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 8))) for _ in range(1500)]
+    for rule in (*R.RULES, *R.CONTEXT_RULES, *R.SHAPES):
+        plain, spelt = re.compile(rule.pattern.replace(r"\b", both)), re.compile(rule.spark_pattern)
+        for text in texts:
+            assert [m.span() for m in plain.finditer(text)] == [m.span() for m in spelt.finditer(text)], (rule.name, text)
+    spelt = {r.name: r.spark_pattern for r in R.RULES}
+    assert not [n for n in ("aadhaar", "pan", "card", "phone", "ifsc", "vehicle_bh", "vehicle") if R.BOUNDARY in spelt[n]]  # one side to look at, not both at every place
+
+
+def test_marks_in_texts_are_read_as_spaces(spark):
+    assert scanned(spark, "\x01a@b.com\x02 9876543210\x01", "no\x01thing\x02") == [(0, "EMAIL", 1, 8, "a@b.com", 0.95), (0, "PHONE", 10, 20, "9876543210", 0.75)]
+
+
 def test_check_digits(spark):
     ids = G.generate_identifiers(spark.range(1, 200).withColumnRenamed("id", "c_custkey"))
     units = ids.select("unit_id", F.lit("o").alias("origin"), "category", F.col("value").alias("text"))
