@@ -48,3 +48,13 @@ def test_boxes_of_nested_frames(spark):
     boxes = spark.createDataFrame([(i, 2.0, 3.0) for i in range(1, 8)], "frame_id long, x double, y double")
     got = {r.frame_id: (r.left, r.top) for r in H.page_boxes(boxes, H.frame_offsets(frames)).collect()}
     assert got == {1: (7.0, 4.0), 2: (17.0, 4.0), 3: (18.0, 5.0)}
+
+
+def test_tags_without_attributes_take_over_what_is_around_them(monkeypatch):
+    asked, of = [], H._Page._inherited
+    monkeypatch.setattr(H._Page, "_inherited", staticmethod(lambda tag, *rest: asked.append(tag) or of(tag, *rest)))
+    page = H._Page()
+    page.feed('<div data-private style="opacity: 0.2"><section style="opacity:.1"><p>Faint</p><ul><li>One</li></ul></section><p>Seen</p></div><p>Free</p>')
+    page.close()
+    assert [(p[4], p[6], p[7]) for p in page.parts] == [(["Faint"], "opacity", "data-private"), (["One"], "opacity", "data-private"), (["Seen"], None, "data-private"), (["Free"], None, "")]
+    assert asked == ["div", "section"]
