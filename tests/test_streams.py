@@ -83,6 +83,18 @@ def test_a_burst_goes_on_over_batches_and_ends_by_a_timer(spark, tmp_path):
     assert by_most == {(0, 22, "max"), (22_000_000_000, 8, "quiet")}
 
 
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_keys_share_a_state(spark, disordered, tmp_path, monkeypatch, buckets):
+    """However the keys are dealt, a stream gives what the table gives; sessions need no Python at all."""
+    from umbra.streaming import folds
+
+    monkeypatch.setattr(folds, "BUCKETS", buckets)
+    many = disordered.withColumn("user_id", F.col("event_id") % 97)
+    got = run(spark, many, FOLDS["bounded"], tmp_path, after=sentinel(many))
+    assert of_users(got) == of_users(FOLDS["bounded"](many))
+    assert "Python" not in FOLDS["plans"](many)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_newest_request_of_a_stream(spark, events, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as Y
 
 from umbra.functions import rules as R
 from umbra.operators import detect as D
@@ -17,7 +17,9 @@ FAR = "2100-01-01 00:00:00"
 
 def fed(rows: DataFrame, number: Column, n: int, folder: str, writer: Callable[[DataFrame], object]) -> None:
     """Run a stream over rows: those with number 0 come in the first micro-batch, and so on; writer(stream) says what becomes of them."""
-    spark, dealt = rows.sparkSession, stored(rows.withColumn("__number", number))
+    spark = rows.sparkSession
+    rows.withColumn("__number", number.cast("int")).write.partitionBy("__number").parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(Y.StructType([*rows.schema, Y.StructField("__number", Y.IntegerType())])).parquet(f"{folder}/dealt")
     spark.createDataFrame([], rows.schema).write.mode("append").parquet(f"{folder}/in")
     for i in range(n):
         dealt.where(F.col("__number") == i).drop("__number").write.mode("append").parquet(f"{folder}/in")

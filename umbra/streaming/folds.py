@@ -8,15 +8,19 @@ ends, so what a state leaves at its end comes out without a further row of the k
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Over so many buckets the keys of a stream are dealt, each one state with a timer. A stream that goes on has to keep the number.
+BUCKETS = 256
+
+
 def keyed_state(spark: SparkSession) -> None:
     """State variables with timers need this state store; queries started from now on have it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -28,6 +32,7 @@ class Fold:
 
     ends(state) says when a state ends of itself if no row comes before that, or None: then it stays. columns, state and out
     are schemas: of the rows without t, which are their order among equal times, of the state, and of the rows out without the key.
+    thin(rows), of rows (key, t, *columns) of several keys in any order, leaves out those that change neither the state nor what comes out, whatever other rows come.
     """
 
     step: Callable[[tuple, tuple], tuple[tuple, list[tuple]]]
@@ -37,6 +42,7 @@ class Fold:
     columns: str
     state: str
     out: str
+    thin: Callable[[list[tuple]], list[tuple]] = field(default=lambda rows: rows)
 
     def take(self, held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
         """The state after a row, and all rows out: those of a state that has ended before it too."""
@@ -59,55 +65,54 @@ def _names(schema: str) -> list[str]:
     return names
 
 
-class Ordered(StatefulProcessor):
-    """A key's rows that may not be final yet, and the state of those that were folded."""
+def _tuples(part: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows of a frame, with None for what is null."""
+    return list(zip(*((c.astype(object).where(c.notna(), None) if c.hasnans else c).tolist() for c in (part[x] for x in columns)), strict=True))
 
-    def __init__(self, key: str, fold: Fold):
-        self.fold, self.columns, self.out = fold, ["at_micros", *_names(fold.columns)], [key, *_names(fold.out)]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t long, {self.fold.columns}")
-        self.held = handle.getValueState("held", self.fold.state)
+def _order(row: tuple) -> list[tuple]:
+    return [(x is not None, x) for x in row]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for part in rows for r in part[self.columns].astype(object).where(part[self.columns].notna(), None).itertuples(index=False, name=None)]
-        yield self._folded(key, timerValues, new)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._folded(key, timerValues, [])
+class Ordered:
+    """Rows that may not be final yet, and the state of those that were folded, of all keys of a bucket: what its group state holds.
 
-    def close(self) -> None:
-        pass
+    A group costs some milliseconds of Python in each micro-batch whatever is in it, so keys share one; a bucket that has
+    new rows, or a key that is due, is read and written whole.
+    """
 
-    def _folded(self, key: tuple, timers, new: list[tuple]) -> pd.DataFrame:
-        passed = timers.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = sorted([*rows, *new], key=lambda r: [(x is not None, x) for x in r])
-        held = tuple(self.held.get()) if self.held.exists() else None
+    def __init__(self, key: str, kind: str, fold: Fold):
+        self.fold, self.columns, self.out = fold, [key, "at_micros", *_names(fold.columns)], [key, *_names(fold.out)]
+        self.state = f"held array<struct<k {kind}, {fold.state}>>, waiting array<struct<k {kind}, t long, {fold.columns}>>"
+
+    def __call__(self, bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        states, waiting = state.get if state.exists else ([], [])
+        held, rows = {h[0]: tuple(h[1:]) for h in states}, [tuple(r) for r in waiting]
+        if not state.hasTimedOut:
+            for part in parts:
+                rows.extend(_tuples(part, self.columns))
+                rows = self.fold.thin(rows)
         made: list[tuple] = []
-        final = [r for r in rows if r[0] <= passed]
-        for row in final:
-            held, done = self.fold.take(held, row)
-            made += done
-        due = self.fold.ends(held) if held is not None else None
-        if due is not None and due <= passed:
-            made, held, due = made + self.fold.end(held), None, None
-        rest = rows[len(final) :]
-        if rest and (new or final):
-            self.waiting.put(rest)
-        elif not rest and self.waiting.exists():
-            self.waiting.clear()
-        if held is not None:
-            self.held.update(held)
-        elif self.held.exists():
-            self.held.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wake = [t for t in (rest[0][0] if rest else None, due) if t is not None]
-        if wake:
-            self.handle.registerTimer(-(-min(wake) // 1000))
-        return pd.DataFrame([(key[0], *r) for r in made], columns=self.out)
+        for k, *row in sorted((r for r in rows if r[1] <= passed), key=_order):
+            held[k], done = self.fold.take(held.get(k), tuple(row))
+            made += [(k, *d) for d in done]
+        rest = [r for r in rows if r[1] > passed]
+        wake = min((r[1] for r in rest), default=None)
+        for k, h in list(held.items()):
+            due = self.fold.ends(h)
+            if due is not None and due <= passed:
+                made += [(k, *d) for d in self.fold.end(held.pop(k))]
+            elif due is not None:
+                wake = due if wake is None else min(wake, due)
+        if held or rest:
+            state.update(([(k, *h) for k, h in held.items()], rest))
+            if wake is not None:  # a group is woken once the watermark is beyond its time, which is a millisecond before the one that is due
+                state.setTimeoutTimestamp(max(1, -(-wake // 1000) - 1))
+        else:
+            state.remove()
+        if made:
+            yield pd.DataFrame(made, columns=self.out)
 
 
 def folded(rows: DataFrame, key: str, fold: Fold, late: str) -> DataFrame:
@@ -121,18 +126,19 @@ def folded(rows: DataFrame, key: str, fold: Fold, late: str) -> DataFrame:
     if rows.isStreaming:
         keyed_state(rows.sparkSession)
         timed = rows.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("at_micros"), *columns)
-        return timed.groupBy(key).transformWithStateInPandas(Ordered(key, fold), out, "append", "eventTime")
+        ordered = Ordered(key, kind, fold)
+        dealt = timed.withColumn("__bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))))
+        return dealt.groupBy("__bucket").applyInPandasWithState(ordered.__call__, out, ordered.state, "append", GroupStateTimeout.EventTimeTimeout)
 
     def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, None
         for part in parts:
             made: list[tuple] = []
-            fields = part[["at_micros", *columns]].astype(object)
-            for k, row in zip(part[key].tolist(), fields.where(fields.notna(), None).itertuples(index=False, name=None), strict=True):
+            for k, row in zip(part[key].tolist(), _tuples(part, ["at_micros", *columns]), strict=True):
                 if k != at:
                     made += [(at, *r) for r in fold.end(held)] if held is not None else []
                     at, held = k, None
-                held, done = fold.take(held, tuple(row))
+                held, done = fold.take(held, row)
                 made += [(k, *r) for r in done]
             yield pd.DataFrame(made, columns=names)
         if held is not None:

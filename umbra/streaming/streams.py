@@ -100,20 +100,15 @@ def session_plans(events: DataFrame, ttl: int = 7200, late: str = "1 hour") -> D
     """(user_id, start, plan, token, n): what a session keeps: its first plan, cut to eight steps of 120 characters, and its last token.
 
     events: user_id, ts, event_id, plan (array of texts, or null), token (or null). A session that is idle for more than ttl
-    seconds is evicted, on a stream by a timer; what it held comes out then. start, its first event, in microseconds.
+    seconds is evicted, on a stream by the watermark; what it held comes out then. start, its first event, in microseconds.
     """
-    cut = F.transform(F.slice(F.coalesce("plan", F.array().cast("array<string>")), 1, PLAN_STEPS), lambda x: F.substring(x, 1, PLAN_CHARS))
-    rows = events.select("user_id", "ts", "event_id", F.when(F.size(cut) > 0, F.to_json(cut)).alias("plan"), "token")
-
-    def step(held: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
-        begin, _, plan, token, n = held
-        return (begin if n else row[0], row[0], row[2] if plan is None else plan, token if row[3] is None else row[3], n + 1), []
-
-    fold = Fold(
-        step, lambda held: [(held[0], held[2], held[3], held[4])], lambda held: held[1] + ttl * 1_000_000 + 1, (0, 0, None, None, 0),
-        "event_id long, plan string, token string", "begin long, last long, plan string, token string, n long", "start long, plan string, token string, n long",
-    )
-    return folded(rows, "user_id", fold, late).withColumn("plan", F.coalesce(F.from_json("plan", "array<string>"), F.array().cast("array<string>")))
+    cut = F.transform(F.slice("plan", 1, PLAN_STEPS), lambda x: F.substring(x, 1, PLAN_CHARS))
+    rows = _watermarked(timed(events), late).select("user_id", "ts", "event_id", F.when(F.size(cut) > 0, cut).alias("plan"), "token")
+    at = F.struct("ts", "event_id", "plan", "token")
+    kept = rows.groupBy(F.session_window("ts", _upto(ttl)).alias("w"), "user_id").agg(
+        F.min_by("plan", F.when(F.col("plan").isNotNull(), at)).alias("plan"), F.max_by("token", F.when(F.col("token").isNotNull(), at)).alias("token"), F.count(F.lit(1)).alias("n")
+    )
+    return kept.select("user_id", micros("w.start").alias("start"), F.coalesce("plan", F.array().cast("array<string>")).alias("plan"), "token", "n")
 
 
 def origin_state(detections: DataFrame, policy: DataFrame, k: int = 3, late: str = "1 hour") -> DataFrame:
@@ -141,5 +136,15 @@ def origin_state(detections: DataFrame, policy: DataFrame, k: int = 3, late: str
                 linked = True
         return (",".join(sorted(have)), named or is_identity, linked), made
 
-    fold = Fold(step, lambda held: [], lambda held: None, ("", False, False), "seq long, category string, identity boolean, quasi boolean", "known string, named boolean, linked boolean", "what string, seq long")
+    def thin(rows: list[tuple]) -> list[tuple]:
+        """The first row of an origin of each kind: a later one names nothing new."""
+        first: dict[tuple, tuple] = {}
+        at = lambda row: (row[1], row[2] is not None, row[2])
+        for row in rows:
+            kind = (row[0], *row[3:])
+            if kind not in first or at(row) < at(first[kind]):
+                first[kind] = row
+        return list(first.values())
+
+    fold = Fold(step, lambda held: [], lambda held: None, ("", False, False), "seq long, category string, identity boolean, quasi boolean", "known string, named boolean, linked boolean", "what string, seq long", thin)
     return folded(marked, "origin", fold, late)
