@@ -166,6 +166,29 @@ def test_wider_filters_learn_the_order_of_words(monkeypatch):
     assert accuracy() < 0.7
 
 
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """Weights, word counts and thresholds see all rows, also where they are dealt over several parts."""
+    monkeypatch.setattr(X, "ROWS_A_PART", 1500)
+    n = 6400
+    docs = spark.range(0, n, 1, 8).selectExpr("id as doc_id", "concat('plain words ', id % 97, if(id % 2 = 0, ' vile', ' kind')) as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as toxic")
+    seen, old, counted = [], X.trained, []
+    monkeypatch.setattr(X, "trained", lambda rows, sizes: (seen.append((rows.count(), sizes.tolist())), old(rows, sizes))[1])
+    before = X.thresholds
+    monkeypatch.setattr(X, "thresholds", lambda rows, net: (counted.append(rows.count()), before(rows, net))[1])
+    out = X.fit_and_predict(docs, labels).cache()
+    kept = out.where("not held_out").count()
+    assert seen[0][0] == sum(seen[0][1]) and seen[0][0] + counted[0] == kept > 5000  # a sample had 2500 a class
+    assert out.where("predicted <> int(doc_id % 2 = 0)").count() == 0
+
+
+def test_a_flat_net_is_the_net():
+    net, _ = X.started(np.random.default_rng(1).normal(0, 1, 1 << X.BITS))
+    net.out = net.out.astype(np.float32)
+    back = X.from_flat(X.flat(net))
+    assert all(np.array_equal(a, b) for a, b in zip((net.table, *net.filters, net.bias, net.out), (back.table, *back.filters, back.bias, back.out), strict=True))
+
+
 def test_nothing_to_learn_from(labelled):
     docs, labels = labelled
     none = labels.limit(0)

@@ -23,6 +23,10 @@ BITS = 16
 TEXTS_A_LANGUAGE = 3000
 #: About so many languages (a quarter of a megabyte each) are the columns of one broadcast matrix.
 LANGUAGES_A_MATRIX = 400
+#: N-grams of up to so many languages are counted in one go, which is faster, but touches all their buckets.
+LANGUAGES_A_COUNT = 16
+#: In place of a bound: every text is counted.
+EVERY = 1 << 62
 BLOCK = 1 << 19
 
 
@@ -104,7 +108,11 @@ def fit_matrix(known: DataFrame, texts_a_language: int) -> Model:
             lang = np.array([place[x] for x in batch.column(1).to_pylist()])
             for first, texts in blocks(batch.column(0)):
                 bucket, row = buckets(texts)
-                np.add.at(total, (lang[first + row], bucket), 1)
+                at = lang[first + row].astype(np.int64) << BITS | bucket
+                if len(names) <= LANGUAGES_A_COUNT:
+                    total += np.bincount(at, minlength=total.size).reshape(total.shape)
+                else:
+                    np.add.at(total.reshape(-1), at, 1)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], names=["k", "b", "n"])
 
