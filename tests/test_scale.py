@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from umbra.functions import rules
 from umbra.operators import detect, evaluate, pages
 from umbra.sources.tables import spread
 
@@ -35,6 +36,18 @@ def test_texts_are_scanned_once(spark):
     assert [(r.unit_id, r.category) for r in found.collect()] == [("a", "EMAIL")]
 
 
+def test_inline_keys_are_bound_where_their_text_is(eager):
+    """Nothing of a text is shuffled; a text with very many colons, other alphabets and keys of few words bind as before."""
+    texts = ["name: A; " * 300, "मेरा नाम: Asha", "the mobile pan number: 1", "e: x", "full-name: B. Town：Pune", "pin_code: 1, and name of: C"]
+    units = eager.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "unit_id string, text string")
+    found = detect.bind_inline_key_values(units, rules.load_labels(eager))
+    assert "hashpartitioning" not in plan(found)
+    got = {}
+    for r in found.orderBy("key_end").collect():
+        got.setdefault(int(r.unit_id), []).append((r.category, texts[int(r.unit_id)][r.value_start : r.value_end]))
+    assert got == {0: [("NAME", "A")] * 300, 1: [("NAME", "Asha")], 2: [("PAN", "1")], 4: [("NAME", "B"), ("CITY", "Pune")], 5: [("PIN_CODE", "1"), ("NAME", "C")]}
+
+
 def test_counts_of_truth_and_hits_with_nulls_and_repeats(spark):
     truth = spark.createDataFrame([("u", 1, "A"), ("u", 2, "B"), ("u", 3, "NONE"), ("u", 4, "A"), (None, 5, "A")], "unit_id string, ann_id long, category string")
     hits = spark.createDataFrame([("u", 1, "A"), ("u", 1, "A"), ("u", 2, "A"), ("u", 3, "B"), (None, 5, "A")], "unit_id string, ann_id long, category string")
