@@ -205,3 +205,23 @@ def test_dual_coordinate_descent_separates():
     ratio = np.ones(40)
     w = N.dual_coordinate_descent(features, ratio, y, np.ones(200), epochs=20)
     assert np.mean([np.sign(w[f].sum() + w[-1]) == k for f, k in zip(features, y)]) > 0.9
+
+
+def test_filters_over_many_texts_at_once_are_those_of_each_text():
+    """Texts of no, one and two words, and longer ones than a block, beside others in one batch."""
+    rng = np.random.default_rng(5)
+    net, seen = X.started(rng.normal(0, 1, 1 << X.BITS))
+    docs = [rng.integers(0, 1 << X.BITS, (n, 2)).astype(np.int32) for n in (0, 1, 2, 3, 0, X.BLOCK_WORDS + 5, 40, 1, 0)]
+    top, where = X.tops(net, docs)
+    for i, ids in enumerate(docs):
+        x = net.table[ids[:, 0]] + net.table[ids[:, 1]]
+        for k, w in enumerate(X.WIDTHS):
+            y = np.array([sum(x[p + j] @ net.filters[k][j] for j in range(w)) + net.bias[k] for p in range(len(x) - w + 1)]).reshape(-1, X.FILTERS)
+            assert np.allclose(top[i, k], np.maximum(y.max(0), 0) if len(y) else 0, atol=1e-6)
+            if len(y):
+                assert np.allclose(y[where[i, k], range(X.FILTERS)], y.max(0), atol=1e-6)
+    row = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+    assert np.allclose(net.maxima(np.concatenate(docs), row, len(docs)), top.reshape(len(docs), -1), atol=1e-6)
+    empty = docs[:1] * X.BATCH
+    X.descend(net, seen, empty, np.zeros(len(empty)), np.arange(len(empty)))  # a batch without a word
+    assert np.isfinite(net.out).all()

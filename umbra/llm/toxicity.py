@@ -31,6 +31,8 @@ RATE = 0.05
 MOST_PARTS = 32
 ROWS_A_PART = 4000
 SHUFFLED = 4096
+#: Words that go through the filters together, and bytes of the texts they are read from: what a core's cache holds.
+BLOCK_WORDS, BLOCK_BYTES = 8192, 1 << 17
 #: Logits are counted in steps of 1 / STEPS where thresholds are sought.
 STEPS = 1000
 #: A language with fewer toxic rows to calibrate on takes the threshold of all.
@@ -42,7 +44,7 @@ THRESHOLD = 0.5
 def word_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, ids, row): two table rows for each word, and the word's row."""
     low = np.uint64((1 << BITS) - 1)
-    for first, end, buf, offsets in blocks(column, 1 << 20):
+    for first, end, buf, offsets in blocks(column, BLOCK_BYTES):
         h, row = word_hashes(buf, offsets, WORDS)
         yield first, end - first, np.stack([h & low, (h >> np.uint64(32)) & low], 1).astype(np.int32), row
 
@@ -66,62 +68,97 @@ class Net:
             f[:, 0] += 0.5 / len(f)
         return cls(table, filters, np.zeros((len(WIDTHS), FILTERS), np.float32), np.append(np.full(len(WIDTHS) * FILTERS, 0.1), -1.0), {"": 0.0})
 
+    def embedded(self, ids: np.ndarray) -> np.ndarray:
+        """words x SIZE."""
+        x = self.table.take(ids[:, 0], axis=0)
+        x += self.table.take(ids[:, 1], axis=0)
+        return x
+
+    def applied(self, x: np.ndarray, k: int) -> np.ndarray:
+        """FILTERS x places: what the filters of the k-th width say at each place of words that follow one another; x: words x SIZE."""
+        w, n = WIDTHS[k], len(x) - WIDTHS[k] + 1
+        every = (self.filters[k].transpose(0, 2, 1).reshape(-1, SIZE) @ x.T).reshape(w, FILTERS, len(x))
+        y = every[0, :, :n] + self.bias[k][:, None]
+        for j in range(1, w):
+            y += every[j, :, j : j + n]
+        return y
+
     def maxima(self, ids: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """The largest value of each filter in each of n rows, not below 0."""
         out = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
-        x = self.table[ids[:, 0]] + self.table[ids[:, 1]]
+        x = self.embedded(ids)
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
         for k, w in enumerate(WIDTHS):
             if len(x) < w:
                 continue
-            y = sum(x[j : len(x) - w + 1 + j] @ self.filters[k][j] for j in range(w)) + self.bias[k]
-            at = row[: len(y)]
-            inside = at == row[w - 1 :]
-            y, at = y[inside], at[inside]
-            if len(at):
-                start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                out[at[start], k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(y, start, axis=0), 0)
+            y = self.applied(x, k)
+            y[:, row[: y.shape[1]] != row[w - 1 :]] = 0
+            first = start[: np.searchsorted(start, y.shape[1])]
+            out[row[first], k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(y, first, axis=1), 0).T
         return out
 
     def logits(self, maxima: np.ndarray) -> np.ndarray:
         return maxima @ self.out[:-1] + self.out[-1]
 
 
+def tops(net: Net, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """docs x WIDTHS x FILTERS: the largest value of each filter in each of docs, not below 0, and the word at which it begins."""
+    top, where = np.zeros((len(docs), len(WIDTHS), FILTERS), np.float32), np.zeros((len(docs), len(WIDTHS), FILTERS), np.int64)
+    ends = np.cumsum([len(ids) for ids in docs])
+    first = 0
+    while first < len(docs):
+        # docs of about BLOCK_WORDS words together go through the filters at once; a longer one goes alone
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + BLOCK_WORDS, "right")))
+        ids = np.concatenate(docs[first:end])
+        x = net.embedded(ids)
+        for k, w in enumerate(WIDTHS):
+            if len(x) < w:
+                continue
+            y = net.applied(x, k)
+            for i in range(first, end):
+                a, b = ends[i] - len(docs[i]) - before, ends[i] - before - w + 1
+                if a < b:
+                    where[i, k] = y[:, a:b].argmax(1)
+                    top[i, k] = y[np.arange(FILTERS), a + where[i, k]]
+        first = end
+    return np.maximum(top, 0), where
+
+
 def descend(net: Net, seen: Net, docs: list[np.ndarray], y: np.ndarray, order: np.ndarray) -> None:
     """One pass of stochastic gradient descent over docs with Adagrad steps on the logistic loss; gradients flow through the maxima alone. seen has the sums of squares."""
     for begin in range(0, len(order), BATCH):
         part = order[begin : begin + BATCH]
-        g_out, g_bias, g_filters = np.zeros_like(net.out), np.zeros_like(net.bias), [np.zeros_like(f) for f in net.filters]
+        held = [docs[i] for i in part]
+        top, where = tops(net, held)
+        flat_top = top.reshape(len(part), -1)
+        z = flat_top @ net.out[:-1] + net.out[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+        g_out = np.append(error @ flat_top, error.sum())
+        g_top = (error[:, None] * net.out[:-1]).reshape(top.shape) * (top > 0)
+        g_bias = g_top.sum(0).astype(np.float32)
+        g_filters = [np.zeros_like(f) for f in net.filters]
+        every, starts = np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
         words, g_words = [], []
-        for i in part:
-            ids = docs[i]
-            x = net.table[ids[:, 0]] + net.table[ids[:, 1]]
-            top, where = np.zeros((len(WIDTHS), FILTERS), np.float32), np.zeros((len(WIDTHS), FILTERS), np.int64)
-            for k, w in enumerate(WIDTHS):
-                if len(x) >= w:
-                    v = sum(x[j : len(x) - w + 1 + j] @ net.filters[k][j] for j in range(w)) + net.bias[k]
-                    where[k] = v.argmax(0)
-                    top[k] = np.maximum(v[where[k], np.arange(FILTERS)], 0)
-            z = top.ravel() @ net.out[:-1] + net.out[-1]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(part)
-            g_out[:-1] += error * top.ravel()
-            g_out[-1] += error
-            g_top = (error * net.out[:-1]).reshape(top.shape) * (top > 0)
-            g_bias += g_top
-            for k, w in enumerate(WIDTHS):
-                if len(x) >= w:
-                    for j in range(w):
-                        g_filters[k][j] += x[where[k] + j].T * g_top[k]
-                        words.append(ids[where[k] + j])
-                        g_words.append((net.filters[k][j] * g_top[k]).T)
+        for k, w in enumerate(WIDTHS):
+            # what is no maximum above 0 has no gradient
+            doc, f = np.nonzero(g_top[:, k])
+            g, at = g_top[doc, k, f][:, None].astype(np.float32), starts[doc] + where[doc, k, f]
+            of_filter = (f == np.arange(FILTERS)[:, None]) * g.T
+            for j in range(w):
+                ids = every.take(at + j, axis=0)
+                g_filters[k][j] += (of_filter @ net.embedded(ids)).T
+                words.append(ids)
+                g_words.append(net.filters[k][j].T[f] * g)
         for value, grad, sums in ((net.out, g_out, seen.out), (net.bias, g_bias, seen.bias), *zip(net.filters, g_filters, seen.filters, strict=True)):
             sums += grad * grad
             value -= RATE * (grad + 1e-5 * value) / np.sqrt(sums)
-        if words:
-            ids, grad = np.concatenate(words), np.concatenate(g_words)
-            rows, which = np.unique(ids, return_inverse=True)
-            total = np.zeros((len(rows), SIZE), np.float32)
-            np.add.at(total, which.reshape(ids.shape)[:, 0], grad)
-            np.add.at(total, which.reshape(ids.shape)[:, 1], grad)
+        ids, grad = np.concatenate(words).T.ravel(), np.tile(np.concatenate(g_words), (2, 1))
+        if len(ids):
+            by_id = ids.argsort(kind="stable")
+            ids = ids[by_id]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            rows, total = ids[first], np.add.reduceat(grad[by_id], first, axis=0).astype(np.float32)
             seen.table[rows] += total * total
             net.table[rows] -= RATE * total / np.sqrt(seen.table[rows])
 
