@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from umbra.functions import rules
-from umbra.operators import detect, evaluate, pages
+from umbra.operators import audit, detect, evaluate, pages
 from umbra.sources.tables import spread
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,18 @@ def test_inline_keys_are_bound_where_their_text_is(eager):
     assert got == {0: [("NAME", "A")] * 300, 1: [("NAME", "Asha")], 2: [("PAN", "1")], 4: [("NAME", "B"), ("CITY", "Pune")], 5: [("PIN_CODE", "1"), ("NAME", "C")]}
 
 
+def test_known_values_are_looked_for_in_one_pass(spark):
+    """As text and as digits at once; digits of tokens count where they stand, but leak nothing."""
+    rows = [("a", "Tel. +91 (98765) 43210"), ("b", "[[PII:PHONE:abcd2345]] 678, É ASHA"), ("c", ""), ("d", None), ("e", "9\u06698765 43210")]
+    units = spark.createDataFrame(rows, "unit_id string, text string")
+    vault = spark.createDataFrame([("PHONE", "9876543210"), ("NAME", "é asha"), ("NAME", "asha"), ("UAN", "2345678")], "category string, normalized string")
+    found = audit.known_value_leaks(units, vault)
+    assert plan(found, "optimizedPlan").count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == {("a", "PHONE", "9876543210"), ("b", "NAME", "asha"), ("e", "PHONE", "9876543210")}
+    spans = audit.scan_known_values(units, vault).select("unit_id", "normalized").distinct().collect()
+    assert {tuple(r) for r in spans} == {("a", "9876543210"), ("b", "asha")}
+
+
 def test_counts_of_truth_and_hits_with_nulls_and_repeats(spark):
     truth = spark.createDataFrame([("u", 1, "A"), ("u", 2, "B"), ("u", 3, "NONE"), ("u", 4, "A"), (None, 5, "A")], "unit_id string, ann_id long, category string")
     hits = spark.createDataFrame([("u", 1, "A"), ("u", 1, "A"), ("u", 2, "A"), ("u", 3, "B"), (None, 5, "A")], "unit_id string, ann_id long, category string")
