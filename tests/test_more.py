@@ -1,5 +1,7 @@
 """Labels in running text, fields, known values, pages as text, plans, sinks."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,24 @@ def test_values_that_begin_alike_meet_few_texts(spark, monkeypatch, passes):
     assert got == {(i, f"user{i * 37 + k:06d}@x.org") for i in range(200) for k in (0, 1)}
 
 
+@pytest.mark.parametrize("hashed", [4_000_000, 700])
+def test_known_values_by_hashes_are_those_in_the_texts(spark, monkeypatch, hashed):
+    """Beyond the automata texts meet values by what they hold: no value that only shares a part with a text is shuffled, in one pass or in several."""
+    monkeypatch.setattr(L, "AUTOMATON_FORMS", 0)
+    monkeypatch.setattr(L, "HASHED_FORMS", hashed)
+    values = [("NAME", x) for x in ("asha", "asha r", "\u00e9t\u00e9 asha", "ab\U0001f600c", "abc", "x" * 70)] + [("PHONE", f"98{i * 37:08d}") for i in range(1500)]
+    vault = spark.createDataFrame(values, "category string, normalized string")
+    texts = ["\u00c9T\u00c9 ASHA", "\u00e9t\u00e9 ASHA RAO", "AB\U0001f600C", "x" * 69, "y" + "x" * 71, "ash", "a abc", "", None, *(f"call 98-{i:08d} or 9800000{i:03d}" for i in range(300)), "[[PII:PHONE:abcd9800]] 000037"]
+    known = L.known_forms(vault)
+    got = {(int(r.unit_id), r.form, r.by_digits) for r in L._holding(units(spark, *texts).where("text is not null"), known, False).collect()}
+    low = lambda t: t.encode().lower().decode()
+    want = {(i, v, False) for i, t in enumerate(texts) if t for _, v in values if len(v) >= 4 and v in low(t)}
+    want |= {(i, v, True) for i, t in enumerate(texts) if t for c, v in values if c == "PHONE" and v in "".join(x for x in re.sub(L.TOKEN, " ", t) if x in "0123456789")}
+    assert got == want and len(want) > 20
+    moved = L._by_hashes(units(spark, *texts).where("text is not null"), known.where("length(form) >= 4").select("form", F.lit(False).alias("by_digits")), 1, True)
+    assert moved.count() == sum(not d for *_, d in want)
+
+
 def test_look_alikes_of_tokens_are_unknown(spark):
     vault = spark.createDataFrame([("[[PII:EMAIL:aaaaaaaa]]",)], "token string")
     texts = units(spark, "a [[PII:EMAIL:aaaaaaaa]]", "b [[PII:EMAIL:bbbbbbbb]]", "c [ [ P I I : EMAIL", "d [[pii:email:aaaaaaaa]]", "[[PII:EMAIL:aaaaaaaa]] and [[pii:x", "none", None)

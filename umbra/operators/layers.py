@@ -17,9 +17,9 @@ SPAN = ("unit_id", "origin", "rule", "category", "span_start", "span_end", "valu
 
 def labelled_values(units: DataFrame, labels: DataFrame) -> DataFrame:
     """(unit_id, origin, context, value_start, value_end, text): the values that stand behind a label in running text."""
-    bound = detect.bind_inline_key_values(units, labels)
+    bound = detect.bind_inline_key_values(units, labels, ("unit_id", "origin", "text"))
     text = F.substring(F.col("text"), F.col("value_start") + 1, F.col("value_end") - F.col("value_start"))
-    return bound.join(units.select("unit_id", "origin", "text"), "unit_id").select("unit_id", "origin", F.col("category").alias("context"), "value_start", "value_end", text.alias("text"))
+    return bound.select("unit_id", "origin", F.col("category").alias("context"), "value_start", "value_end", text.alias("text"))
 
 
 def evidence_spans(units: DataFrame, values: DataFrame) -> DataFrame:
@@ -43,13 +43,12 @@ def detect_layers(units: DataFrame, labels: DataFrame, vault: DataFrame) -> Data
     units = stored(units).hint("merge")  # texts grow and are joined by their id; Spark takes made ones for small
     values = stored(labelled_values(units, labels))
     sure = F.when(F.col("confidence") >= 0.6, "detected").otherwise("uncertain")
-    rules = stored(detect.scan(units))
+    rules = detect.scan(units)
     context = detect.scan_context_rules(values, ("unit_id", "origin", "value_start")).withColumns({"span_start": F.col("span_start") + F.col("value_start"), "span_end": F.col("span_end") + F.col("value_start"), "rule": F.concat(F.lit("context:"), "rule")})
     firm = stored(rules.select(*SPAN[:8]).unionByName(context.select(*SPAN[:8])))
-    bindings = values.select("unit_id", F.col("context").alias("category"), F.col("value_start").alias("span_start"), F.col("value_end").alias("span_end"))
-    left = detect.residual_label_fallback(bindings, firm).join(values.select("unit_id", "origin", F.col("value_start").alias("span_start"), F.col("text").alias("value")).hint("merge"), ["unit_id", "span_start"])
-    known = audit.scan_known_values(units, vault).join(units.select("unit_id", "origin", "text"), "unit_id")
-    known = known.withColumn("value", F.substring(F.col("text"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")))
+    bindings = values.select("unit_id", "origin", F.col("context").alias("category"), F.col("value_start").alias("span_start"), F.col("value_end").alias("span_end"), F.col("text").alias("value"))
+    left = detect.residual_label_fallback(bindings, firm)
+    known = audit.scan_known_values(units, vault, ("origin",))
     of = lambda df, **cols: df.withColumns({k: v if not isinstance(v, str) else F.lit(v) for k, v in cols.items()}).select(*SPAN)
     layers = [
         of(firm, certainty=sure, source="rule"), of(left, rule="label", confidence=F.lit(LABELLED), certainty="detected", source="label"),
