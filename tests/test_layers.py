@@ -28,3 +28,21 @@ def test_no_units(spark):
     vault = spark.createDataFrame([], "category string, normalized string, value string")
     assert Y.detect_layers(none, R.load_labels(spark), vault).count() == 0
     assert D.scan(none.withColumn("context", F.lit("DOB"))).count() == 0
+
+
+def test_texts_meet_known_values_once_and_changes_take_one_shuffle(spark):
+    """Bound values carry their text instead of meeting it again; both merges of the whole read the layers once and give what two would."""
+    from umbra.operators import audit as L, evaluate as E
+    from umbra.plans.more import whole_arms
+
+    texts = ["Email: ann@x.org. Date of birth: 12/05/1990; INR 5,000 and 12/05/1991", "asha rao, UAN: 100200300400."]
+    units = spark.createDataFrame([(f"u{i}", "o", t) for i, t in enumerate(texts)], "unit_id string, origin string, text string")
+    vault = spark.createDataFrame([("NAME", "asha rao", "Asha Rao")], "category string, normalized string, value string")
+    assert "Join" not in Y.labelled_values(units, R.load_labels(spark))._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
+    known = L.scan_known_values(units, vault, ("origin",)).collect()
+    assert [(r.unit_id, r.origin, r.value, r.span_start) for r in known] == [("u1", "o", "asha rao", 0)]
+    spans, policy, columns = Y.detect_layers(units, R.load_labels(spark), vault), R.load_policy(spark), ("unit_id", "span_start", "span_end", "category", "certainty")
+    two = E.layer_changes(D.merge_spans(spans.where("source <> 'evidence'"), policy).select(*columns), D.merge_spans(spans, policy).select(*columns))
+    one = E.signed_changes(whole_arms(spans, policy))
+    assert sorted(map(tuple, one.select(*two.columns).collect())) == sorted(map(tuple, two.collect())) != []
+    assert one.columns == two.columns

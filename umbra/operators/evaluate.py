@@ -162,7 +162,12 @@ def faceted_metrics(truth: DataFrame, hits: DataFrame) -> DataFrame:
 
 def layer_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     """The spans that b has and a lacks (change: added) and the other way round (lost), each as often as it is more."""
-    both = a.withColumn("__n", F.lit(-1)).unionByName(b.withColumn("__n", F.lit(1)))
-    more = both.groupBy(*a.columns).agg(F.sum("__n").cast("int").alias("__n")).where("__n <> 0")
+    return signed_changes(a.withColumn("side", F.lit(-1)).unionByName(b.withColumn("side", F.lit(1))))
+
+
+def signed_changes(both: DataFrame) -> DataFrame:
+    """What layer_changes says, of spans of both in one: column side is -1 for those of a, 1 for those of b."""
+    columns = [c for c in both.columns if c != "side"]
+    more = both.groupBy(*columns).agg(F.sum("side").cast("int").alias("__n")).where("__n <> 0")
     change = F.when(F.col("__n") > 0, "added").otherwise("lost")
-    return more.select(*a.columns, change.alias("change"), F.explode(F.array_repeat(F.lit(1), F.abs("__n")))).drop("col")
+    return more.select(*columns, change.alias("change"), F.explode(F.array_repeat(F.lit(1), F.abs("__n")))).drop("col")
