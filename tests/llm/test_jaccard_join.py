@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from umbra.llm import jaccard_join as J
@@ -117,3 +118,19 @@ def test_an_id_with_two_texts_ties_their_copies(spark):
     one, two = "a b c d e f g", "h i j k l m n"
     df = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in J.linked(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+@pytest.mark.parametrize("most", [60, 9000])
+def test_blocks_are_compared_by_products(most):
+    """No pair whose cells may be linked is missing, and far fewer pairs than all are left to be compared one by one."""
+    rng = np.random.default_rng(most)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**63, int(rng.integers(5, most)))
+        sets += [np.unique(np.where(rng.random(len(base)) < k / 40, rng.integers(0, 2**63, len(base)), base)) for k in range(8)]
+    cells = np.stack([np.minimum(np.bincount(s % J.CELLS, minlength=J.CELLS), 255) for s in sets]).astype(np.int16)
+    n = np.array([len(s) for s in sets])
+    exact = np.stack([9 * np.abs(cells - cells[i]).sum(1, dtype=np.int64) <= n + n[i] for i in range(70)], 1)
+    found = J.may_link(cells, cells[:70], n, n[:70])
+    assert found.shape == (96, 70) and not (exact & ~found).any() and exact.sum() <= found.sum() < found.size / 3
+    assert J.may_link(cells[:0], cells, n[:0], n).shape == (0, 96)

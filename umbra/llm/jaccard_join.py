@@ -39,6 +39,8 @@ BLOCK = 1000
 #: Up to so many documents that repeat others are broadcast; more are joined by shuffle.
 COPIES = 500_000
 CELLS = 1024
+#: Heights of cells' counts at which two blocks are compared by a product of matrices.
+LAYERS = 12
 #: A bucket of signatures has those of about so many bytes of text, a home the findings of twice as many.
 BUCKET_BYTES = 16 << 20
 #: Levels of refinement before all blocks of a group that is still large and mixed are compared.
@@ -321,6 +323,22 @@ def block_members(members: DataFrame, block: int | None = None) -> DataFrame:
     return split.select(*BLOCK_KEY, "doc_id", "comp", F.inline(F.transform(again, lambda x: F.struct(x.side.alias("side"), x.i.alias("p"), x.j.alias("q")))))
 
 
+def may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Whether each x (counts by cells) may be linked with each y: a matrix with no link missing, by the product of which cells have counts of 1, 2, ...
+
+    Counts that two sets share are those of each height that both reach. Where few are left above a height, or at LAYERS, all that both have above it is taken for shared.
+    """
+    shared, rest = np.zeros((len(x), len(y)), np.float32), [x, y]
+    for _ in range(LAYERS):
+        shared += (rest[0] > 0).astype(np.float32) @ (rest[1] > 0).astype(np.float32).T
+        rest = [np.maximum(z - 1, 0) for z in rest]
+        if any(40 * z.sum(dtype=np.int64) <= n.sum() for z, n in zip(rest, (n_x, n_y), strict=True)):
+            break
+    shared += np.minimum(rest[0].sum(1, dtype=np.float32)[:, None], rest[1].sum(1, dtype=np.float32))
+    sums = x.sum(1, dtype=np.float32)[:, None] + y.sum(1, dtype=np.float32)
+    return 9 * (sums - 2 * shared) <= (n_x[:, None] + n_y).astype(np.float32) + 1  # one more than exact, for what floats round
+
+
 def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different classes whose cells may be linked, among the members of mixed groups.
 
@@ -336,12 +354,16 @@ def cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         both = np.isin(left, right)
         whole = rows["n_left"][0].as_py() == rows["n_right"][0].as_py() == 1  # then each pair outside the largest class would come twice
         found = [np.zeros((0, 2), np.int64)]
-        for i in right:
-            j = left[~(both & (left > i))] if whole else left
-            j = j[(comp[j] != comp[i]) & (9 * np.abs(n[j] - n[i]) <= n[j] + n[i])]
-            for some in np.array_split(j, len(j) // 4000 + 1):
-                ok = some[9 * np.abs(cells[some] - cells[i]).sum(1, dtype=np.int64) <= n[some] + n[i]]
-                found.append(np.stack([np.maximum(docs[ok], docs[i]), np.minimum(docs[ok], docs[i])], 1))
+        for some in np.array_split(right, len(right) // BLOCK + 1):
+            near = may_link(cells[left], cells[some], n[left], n[some]) & (comp[left][:, None] != comp[some])
+            if whole:
+                near &= ~(both[:, None] & (left[:, None] > some))
+            j, i = np.nonzero(near)
+            j, i = left[j], some[i]
+            for part in np.array_split(np.arange(len(j)), len(j) // 4000 + 1):
+                a, b = j[part], i[part]
+                ok = (9 * np.abs(cells[a] - cells[b]).sum(1, dtype=np.int64) <= n[a] + n[b]) & (9 * np.abs(n[a] - n[b]) <= n[a] + n[b])
+                found.append(np.stack([np.maximum(docs[a[ok]], docs[b[ok]]), np.minimum(docs[a[ok]], docs[b[ok]])], 1))
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
