@@ -156,6 +156,15 @@ def test_a_stream_is_redacted_exactly_once(spark, tmp_path):
     assert refused == {"doc:5": "unknown-token", "doc:6": "known-value"}
 
 
+def test_a_batch_keeps_its_texts_once(spark, tmp_path, monkeypatch):
+    """Of what a batch writes beside its tables only the redacted texts hold texts: neither the batch itself nor the verdicts do."""
+    kept = []
+    monkeypatch.setattr(V, "stored", lambda df, whole=V.stored: kept.append(df.columns) or whole(df))
+    V.commit_batch(vault_units(spark, [(0, "s", "mail a@b.org please"), (1, "s", "see [[PII:EMAIL:aaaaaaaa]]")]), 0, R.load_policy(spark), "k", str(tmp_path / "w"))
+    assert sum("text" in columns for columns in kept) == 1
+    assert [r.verdict for name in ("sealed", "quarantine") for r in V.kept(spark, str(tmp_path / "w"), name).collect()] == ["SEALED", "unknown-token"]
+
+
 def test_sightings_of_earlier_batches_count(spark, tmp_path):
     """A quasi-identifier alone stays; after an identity at its origin, in an earlier batch, it does not."""
     policy = R.load_policy(spark)

@@ -80,7 +80,7 @@ def kept(spark, folder: str, name: str, before: int | None = None) -> DataFrame:
 
 
 def redact_batch(units: DataFrame, policy: DataFrame, key: str, vault: DataFrame, sightings: DataFrame) -> dict[str, DataFrame]:
-    """What a batch adds to each table: verdict holds all its units redacted, with SEALED or the first failing check.
+    """What a batch adds to the tables vault and sightings; out, all its units redacted; verdict, of each SEALED or the first failing check.
 
     units: unit_id, origin, seq, text; vault and sightings: those of all batches before. Only certain spans that become tokens
     enter the vault; an origin's sightings of before count in decisions; the audit looks for the values of the whole
@@ -104,17 +104,20 @@ def redact_batch(units: DataFrame, policy: DataFrame, key: str, vault: DataFrame
         "unknown-token": audit.unknown_tokens(out, vault.select("token").unionByName(tokens.select("token"))),
     }
     seen = spans.groupBy("origin", "category", "confidence").agg(F.min("seq").alias("seq"))
-    return {"vault": entries, "sightings": seen, "verdict": out.join(audit.seal_verdict(out, audit.union_failures(failures)), "unit_id")}
+    return {"vault": entries, "sightings": seen, "out": out, "verdict": audit.seal_verdict(out, audit.union_failures(failures))}
 
 
 def commit_batch(units: DataFrame, number: int, policy: DataFrame, key: str, folder: str) -> None:
-    """Redact one micro-batch and write all it adds under its number, the vault first. Running it again gives the same files' rows."""
+    """Redact one micro-batch and write all it adds under its number, the vault first. Running it again gives the same files' rows.
+
+    Texts are read from the batch itself and kept once, redacted: of the audit only the verdicts are kept.
+    """
     spark = units.sparkSession
     for name, schema in SCHEMAS.items():  # an empty table where there is none yet
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(f"{folder}/{name}")
-    made = redact_batch(stored(units.select("unit_id", "origin", "seq", "text")), policy, key, kept(spark, folder, "vault", number), kept(spark, folder, "sightings", number))
-    verdict = stored(made.pop("verdict"))
-    made |= {"sealed": verdict.where("verdict = 'SEALED'"), "quarantine": verdict.where("verdict <> 'SEALED'")}
+    made = redact_batch(units.select("unit_id", "origin", "seq", "text"), policy, key, kept(spark, folder, "vault", number), kept(spark, folder, "sightings", number))
+    out, verdict = made.pop("out"), stored(made.pop("verdict"))
+    made |= {name: out.join(verdict.where(which), "unit_id") for name, which in (("sealed", "verdict = 'SEALED'"), ("quarantine", "verdict <> 'SEALED'"))}
     for name in SCHEMAS:
         made[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
